@@ -92,6 +92,97 @@ def q_engineered(spark, sf):
     return engineered(spark, sf)
 
 
+def _eng_subset(*cols):
+    def fn(spark, sf):
+        return engineered(spark, sf).select("customer_id", *cols)
+    return fn
+
+
+QUERIES["spend_features"] = _eng_subset(
+    "total_spend_weighted_new", "spend_per_purchase_new", "spend_rating_new")
+QUERIES["label_maps"] = _eng_subset(
+    "frequency_value_new", "payment_type_new", "climate_group_new")
+QUERIES["fixed_bins"] = _eng_subset("age_new", "loyalty_level_new")
+QUERIES["quantile_bins"] = _eng_subset("purchase_amount_usd_new", "loyalty_score_new")
+QUERIES["label_crosses"] = _eng_subset(
+    "season_category_new", "season_color_new", "item_category_new", "sub_freq_new",
+    "ship_sub_new")
+QUERIES["flags"] = _eng_subset("high_review_rating_new", "promo_no_sub_new")
+QUERIES["promo_interactions"] = _eng_subset("promo_x_loyalty", "promo_x_freq")
+QUERIES["location_grouping"] = _eng_subset("location", "location_grouped_new")
+
+
+@query("drop_leakage")
+def q_drop_leakage(spark, sf):
+    df = fe.drop_present(engineered(spark, sf), L.MODEL_DROP_COLUMNS)
+    return fe.drop_prefixed(df, L.LEAKAGE_PREFIXES)
+
+
+@query("segment_inputs_filled")
+def q_segment_inputs_filled(spark, sf):
+    df = engineered(spark, sf).select("customer_id", *L.SEGMENT_FEATURES)
+    return fe.fill_zero(df, L.SEGMENT_FEATURES)
+
+
+@query("subscribed_customers")
+def q_subscribed_customers(spark, sf):
+    return shop(spark, sf).where(F.col("subscription_status") == "Yes") \
+        .select("customer_id", "purchase_amount_usd")
+
+
+@query("category_domain")
+def q_category_domain(spark, sf):
+    return fe.domain(shop(spark, sf), "category")
+
+
+# ---------------------------------------------------------------- C2-C5
+@query("value_counts")
+def q_value_counts(spark, sf):
+    vc = st.value_counts_many(shop(spark, sf), ["gender", "subscription_status", "size", "category"])
+    return vc.select("column_name", "value", "n", r6("pct").alias("pct"))
+
+
+@query("top_locations")
+def q_top_locations(spark, sf):
+    df = shop(spark, sf)
+    return (df.where(F.col("location").isNotNull()).groupBy("location")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("n"), "location").limit(L.TOP_LOCATIONS))
+
+
+@query("contingency_discount_promo")
+def q_contingency(spark, sf):
+    return st.contingency(shop(spark, sf), "discount_applied", "promo_code_used")
+
+
+def _crosstab(a, b, names):
+    def fn(spark, sf):
+        t = st.crosstab_pct(shop(spark, sf), a, b, ["No", "Yes"], names)
+        return t.select(a, *[r6(n).alias(n) for n in names])
+    return fn
+
+
+QUERIES["crosstab_discount_promo"] = _crosstab(
+    "discount_applied", "promo_code_used", ["promo_no_pct", "promo_yes_pct"])
+QUERIES["crosstab_promo_subscription"] = _crosstab(
+    "promo_code_used", "subscription_status", ["sub_no_pct", "sub_yes_pct"])
+QUERIES["crosstab_gender_subscription"] = _crosstab(
+    "gender", "subscription_status", ["sub_no_pct", "sub_yes_pct"])
+
+
+@query("kpis")
+def q_kpis(spark, sf):
+    k = st.kpis(shop(spark, sf))
+    return k.select("n_customers", *[r6(c).alias(c) for c in k.columns[1:]])
+
+
+@query("amount_density")
+def q_amount_density(spark, sf):
+    d = st.kde(shop(spark, sf), "purchase_amount_usd", "subscription_status")
+    return d.select("subscription_status", "point", r6("x").alias("x"),
+                    F.round("density", 12).alias("density"))
+
+
 # ---------------------------------------------------------------- C8, C9
 @query("rate_by_category")
 def q_rate_by_category(spark, sf):

@@ -92,6 +92,19 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
             .orderBy(F.desc("n"), "value"))
 
 
+def value_counts_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column_name, value, n, pct)`` for several columns in one scan.
+
+    The per-column total is a window partitioned by column name over the
+    small count table, never over rows.
+    """
+    from pyspark.sql.window import Window
+    counts = label_counts(df, cols)
+    total = F.sum("n").over(Window.partitionBy("name"))
+    return counts.select(F.col("name").alias("column_name"), "value", "n",
+                         (F.col("n") * 100.0 / total).alias("pct"))
+
+
 # ---------------------------------------------------------------- C3
 def top_labels(df: DataFrame, col: str, n: int = L.TOP_LOCATIONS) -> list:
     """The n most frequent non-null labels; ties broken by label."""

@@ -138,5 +138,100 @@ FROM eng WHERE category IS NOT NULL GROUP BY category
 """
 
 
+def _eng_subset(*cols):
+    return W_ENG + "SELECT customer_id, " + ", ".join(cols) + " FROM eng"
+
+
+ORACLE["spend_features"] = _eng_subset(
+    "total_spend_weighted_new", "spend_per_purchase_new", "spend_rating_new")
+ORACLE["label_maps"] = _eng_subset("frequency_value_new", "payment_type_new", "climate_group_new")
+ORACLE["fixed_bins"] = _eng_subset("age_new", "loyalty_level_new")
+ORACLE["quantile_bins"] = _eng_subset("purchase_amount_usd_new", "loyalty_score_new")
+ORACLE["label_crosses"] = _eng_subset(
+    "season_category_new", "season_color_new", "item_category_new", "sub_freq_new", "ship_sub_new")
+ORACLE["flags"] = _eng_subset("high_review_rating_new", "promo_no_sub_new")
+ORACLE["promo_interactions"] = _eng_subset("promo_x_loyalty", "promo_x_freq")
+ORACLE["location_grouping"] = _eng_subset("location", "location_grouped_new")
+
+ORACLE["drop_leakage"] = W_ENG + """
+SELECT gender, category, total_spend_weighted_new, spend_per_purchase_new, frequency_value_new,
+       payment_type_new, age_new, purchase_amount_usd_new, loyalty_level_new, season_category_new,
+       season_color_new, item_category_new, high_review_rating_new, spend_rating_new,
+       location_grouped_new, climate_group_new, loyalty_score_new, promo_x_loyalty, promo_x_freq
+FROM eng"""
+
+ORACLE["segment_inputs_filled"] = W_ENG + """
+SELECT customer_id, coalesce(purchase_amount_usd, 0) AS purchase_amount_usd,
+       coalesce(previous_purchases, 0) AS previous_purchases,
+       coalesce(frequency_value_new, 0) AS frequency_value_new,
+       coalesce(spend_per_purchase_new, 0) AS spend_per_purchase_new,
+       coalesce(total_spend_weighted_new, 0) AS total_spend_weighted_new
+FROM eng"""
+
+ORACLE["subscribed_customers"] = W_SHOP + """
+SELECT customer_id, purchase_amount_usd FROM shop WHERE subscription_status = 'Yes'"""
+
+ORACLE["category_domain"] = W_SHOP + """
+SELECT DISTINCT category FROM shop WHERE category IS NOT NULL"""
+
+ORACLE["value_counts"] = W_SHOP + """,
+long AS (SELECT 'gender' AS column_name, gender AS value FROM shop
+         UNION ALL SELECT 'subscription_status', subscription_status FROM shop
+         UNION ALL SELECT 'size', size FROM shop
+         UNION ALL SELECT 'category', category FROM shop),
+c AS (SELECT column_name, value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT column_name, value, n, round(n * 100.0 / sum(n) OVER (PARTITION BY column_name), 6) AS pct FROM c
+"""
+
+ORACLE["top_locations"] = W_SHOP + """
+SELECT location, count(*) AS n FROM shop WHERE location IS NOT NULL
+GROUP BY location ORDER BY n DESC, location LIMIT 10"""
+
+ORACLE["contingency_discount_promo"] = W_SHOP + """,
+a AS (SELECT DISTINCT discount_applied FROM shop WHERE discount_applied IS NOT NULL AND promo_code_used IS NOT NULL),
+b AS (SELECT DISTINCT promo_code_used FROM shop WHERE discount_applied IS NOT NULL AND promo_code_used IS NOT NULL),
+c AS (SELECT discount_applied, promo_code_used, count(*) AS n FROM shop GROUP BY 1, 2)
+SELECT a.discount_applied, b.promo_code_used, coalesce(c.n, 0) AS n
+FROM a CROSS JOIN b LEFT JOIN c ON c.discount_applied = a.discount_applied AND c.promo_code_used = b.promo_code_used
+"""
+
+
+def _crosstab(a, b, names):
+    return W_SHOP + f"""
+SELECT {a},
+       round(100.0 * count(*) FILTER (WHERE {b} = 'No') / count(*), 6) AS {names[0]},
+       round(100.0 * count(*) FILTER (WHERE {b} = 'Yes') / count(*), 6) AS {names[1]}
+FROM shop WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}"""
+
+
+ORACLE["crosstab_discount_promo"] = _crosstab(
+    "discount_applied", "promo_code_used", ["promo_no_pct", "promo_yes_pct"])
+ORACLE["crosstab_promo_subscription"] = _crosstab(
+    "promo_code_used", "subscription_status", ["sub_no_pct", "sub_yes_pct"])
+ORACLE["crosstab_gender_subscription"] = _crosstab(
+    "gender", "subscription_status", ["sub_no_pct", "sub_yes_pct"])
+
+ORACLE["kpis"] = W_SHOP + """
+SELECT count(*) AS n_customers, round(avg(age), 6) AS mean_age,
+       round(avg(CASE WHEN subscription_status = 'Yes' THEN 1.0 ELSE 0.0 END) * 100, 6) AS subscription_pct,
+       round(avg(previous_purchases * purchase_amount_usd), 6) AS mean_weighted_spend,
+       round(avg(previous_purchases), 6) AS mean_previous_purchases,
+       round(avg(review_rating), 6) AS mean_rating
+FROM shop"""
+
+ORACLE["amount_density"] = W_SHOP + """,
+s AS (SELECT subscription_status AS st, count(*) AS n, stddev_samp(purchase_amount_usd) AS sd,
+             min(purchase_amount_usd) AS lo, max(purchase_amount_usd) AS hi
+      FROM shop WHERE subscription_status IS NOT NULL AND purchase_amount_usd IS NOT NULL GROUP BY 1),
+b AS (SELECT st, n, power(n, -0.2) * sd AS bw, lo, hi FROM s),
+g AS (SELECT st, n, bw, i, (lo - 3 * bw) + i * ((hi - lo + 6 * bw) / 199) AS x
+      FROM b, range(200) t(i))
+SELECT g.st AS subscription_status, CAST(g.i AS INTEGER) AS point, round(g.x, 6) AS x,
+       round(sum(exp(-0.5 * power((g.x - shop.purchase_amount_usd) / g.bw, 2))) / (any_value(g.n) * any_value(g.bw) * sqrt(2 * pi())), 12) AS density
+FROM g JOIN shop ON shop.subscription_status = g.st AND shop.purchase_amount_usd IS NOT NULL
+GROUP BY g.st, g.i, g.x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
