@@ -198,5 +198,85 @@ def q_rate_by_category_prepared(spark, sf):
         .select("category", r6("subscribed_pct").alias("subscribed_pct"))
 
 
+# ---------------------------------------------------------------- D: train-fitted
+def r9(col) -> F.Column:
+    return F.round(col, 9)
+
+
+def split_frames(spark, sf):
+    from .plans.training import split_frame
+    return split_frame(engineered(spark, sf))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    from .operators.encode import stratified_split
+    return stratified_split(engineered(spark, sf), "customer_id", "subscription_status") \
+        .select("customer_id", "subscription_status", "is_test")
+
+
+@query("conditional_probs")
+def q_conditional_probs(spark, sf):
+    from .operators import encode as en
+    train, _ = split_frames(spark, sf)
+    t = en.fit_conditional(train, "climate_group_new", "category", 1.0)
+    return en.conditional_table(t).select("climate_group_new", "category", r6("p").alias("p"))
+
+
+def encoded(spark, sf):
+    from .plans.training import add_encodings
+    train, test = split_frames(spark, sf)
+    return add_encodings(train, test)
+
+
+@query("conditional_probs_applied")
+def q_conditional_applied(spark, sf):
+    _, test = encoded(spark, sf)
+    cols = ["p_category_given_climate_new", "p_size_given_climate_new", "p_season_given_climate_new"]
+    return test.select("customer_id", *[r6(c).alias(c) for c in cols],
+                       r9("climate_item_fit_score_new").alias("climate_item_fit_score_new"))
+
+
+@query("group_mean_ratios")
+def q_group_mean_ratios(spark, sf):
+    train, test = encoded(spark, sf)
+    cols = ["rel_spend_cat_new", "purchase_amt_rel_climate_new", "rel_spend_age_new",
+            "rel_freq_climate_new"]
+    tr = train.select("customer_id", F.lit(False).alias("is_test"), *cols)
+    te = test.select("customer_id", F.lit(True).alias("is_test"), *cols)
+    both = tr.unionByName(te)
+    return both.select("customer_id", "is_test", *[r6(c).alias(c) for c in cols])
+
+
+@query("one_hot_levels")
+def q_one_hot_levels(spark, sf):
+    from .operators.encode import one_hot_levels
+    from .plans.training import categorical_columns, model_frame
+    train, _ = split_frames(spark, sf)
+    mf = model_frame(train)
+    return one_hot_levels(mf, categorical_columns(mf))
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    from .operators.encode import balanced_weights
+    train, _ = split_frames(spark, sf)
+    w = balanced_weights(train, "subscription_status")
+    return w.select("subscription_status", "n", r6("weight").alias("weight"))
+
+
+STD_COLS = ["total_spend_weighted_new", "spend_per_purchase_new", "frequency_value_new",
+            "spend_rating_new", "loyalty_score_new"]
+
+
+@query("standardized_features")
+def q_standardized(spark, sf):
+    from .operators.encode import fit_standardizer
+    train, test = split_frames(spark, sf)
+    std = fit_standardizer(train, STD_COLS)
+    z = std.transform(test, prefix="z_")
+    return z.select("customer_id", *[r6(f"z_{c}").alias(f"z_{c}") for c in STD_COLS])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

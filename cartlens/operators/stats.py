@@ -37,13 +37,20 @@ def _domain(df: DataFrame, col: str, cap: int = MAX_DOMAIN) -> list:
 
 
 # ---------------------------------------------------------------- C1
-def label_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long ``(name, value, n)`` counts for several columns in one pass."""
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
-        for c in cols])).alias("kv")).select("kv.*")
-    return stacked.where(F.col("value").isNotNull()).groupBy("name", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+def label_counts(df: DataFrame, cols: Sequence[str], with_total: bool = False) -> DataFrame:
+    """Long ``(name, value, n)`` counts for several columns in one pass.
+
+    With ``with_total`` a row ``(name=NULL, value=NULL, n=<all rows>)`` is
+    added by the same scan, so the share denominator needs no extra job.
+    """
+    items = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
+             for c in cols]
+    if with_total:
+        items.append(F.struct(F.lit(None).cast("string").alias("name"),
+                              F.lit(None).cast("string").alias("value")))
+    stacked = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+    keep = F.col("value").isNotNull() | F.col("name").isNull()
+    return stacked.where(keep).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_labels(df: DataFrame, cols: Sequence[str],
@@ -52,10 +59,13 @@ def frequent_labels(df: DataFrame, cols: Sequence[str],
 
     At most ``floor(1/min_share)`` labels per column can qualify, so the
     collected result has a proven size bound, whatever the table size.
+    One scan: label counts and the row count come from the same aggregate.
     """
-    n_rows = df.count()
-    kept = (label_counts(df, cols)
-            .where(F.col("n") >= F.lit(min_share * n_rows))
+    counts = label_counts(df, cols, with_total=True)
+    total = counts.where(F.col("name").isNull()).select(F.col("n").alias("_rows"))
+    kept = (counts.where(F.col("name").isNotNull())
+            .join(F.broadcast(total), how="inner", on=F.lit(True))  # one-row scalar
+            .where(F.col("n") / F.col("_rows") >= F.lit(min_share))
             .select("name", "value"))
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in kept.collect():

@@ -233,5 +233,106 @@ GROUP BY g.st, g.i, g.x
 """
 
 
+SPLIT = """
+cls AS (SELECT subscription_status AS c, count(*) AS nc FROM eng GROUP BY 1),
+tot AS (SELECT sum(nc) AS n, CAST(ceil(0.2 * sum(nc)) AS BIGINT) AS n_test FROM cls),
+alloc AS (SELECT c, nc, nc * (n - n_test) / n AS ex, floor(nc * (n - n_test) / n) AS fl FROM cls, tot),
+extra AS (SELECT c, row_number() OVER (ORDER BY ex - fl DESC, c) AS pos FROM alloc),
+trn AS (SELECT a.c, a.nc,
+               a.fl + CASE WHEN e.pos <= (SELECT n - n_test FROM tot) - (SELECT sum(fl) FROM alloc)
+                           THEN 1 ELSE 0 END AS n_train
+        FROM alloc a JOIN extra e ON e.c = a.c),
+ranked AS (SELECT e.*, row_number() OVER (PARTITION BY subscription_status
+             ORDER BY md5('42:' || CAST(customer_id AS VARCHAR)), customer_id) AS rk FROM eng e),
+split AS (SELECT ranked.* EXCLUDE (rk), rk <= trn.nc - trn.n_train AS is_test
+          FROM ranked JOIN trn ON trn.c = ranked.subscription_status),
+train AS (SELECT * EXCLUDE (is_test) FROM split WHERE NOT is_test),
+test AS (SELECT * EXCLUDE (is_test) FROM split WHERE is_test)"""
+
+W_SPLIT = W_ENG.rstrip() + ",\n" + SPLIT.strip() + "\n"
+
+ORACLE["stratified_split"] = W_SPLIT + "SELECT customer_id, subscription_status, is_test FROM split"
+
+ORACLE["conditional_probs"] = W_SPLIT + """,
+pc AS (SELECT climate_group_new AS g, category AS c, count(*) AS n FROM train
+       WHERE climate_group_new IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2),
+gt AS (SELECT g, sum(n) AS tot FROM pc GROUP BY g),
+k AS (SELECT count(DISTINCT c) AS k FROM pc)
+SELECT pc.g AS climate_group_new, pc.c AS category, round((n + 1.0) / (tot + 1.0 * k), 6) AS p
+FROM pc JOIN gt ON gt.g = pc.g, k"""
+
+
+def _cond(cat: str, name: str) -> str:
+    """CTEs computing P(cat | climate) for test rows, filled by the train mean."""
+    return f"""
+pc_{name} AS (SELECT climate_group_new AS g, {cat} AS c, count(*) AS n FROM train
+       WHERE climate_group_new IS NOT NULL AND {cat} IS NOT NULL GROUP BY 1, 2),
+gt_{name} AS (SELECT g, sum(n) AS tot FROM pc_{name} GROUP BY g),
+k_{name} AS (SELECT count(DISTINCT c) AS k FROM pc_{name}),
+tr_{name} AS (SELECT avg((pc.n + 1.0) / (gt.tot + k)) AS m FROM train t
+       JOIN pc_{name} pc ON pc.g = t.climate_group_new AND pc.c = t.{cat}
+       JOIN gt_{name} gt ON gt.g = t.climate_group_new, k_{name}),
+te_{name} AS (SELECT t.customer_id,
+       CASE WHEN gt.tot IS NOT NULL AND t.{cat} IN (SELECT c FROM pc_{name})
+            THEN (coalesce(pc.n, 0) + 1.0) / (gt.tot + k) ELSE (SELECT m FROM tr_{name}) END AS p
+       FROM test t LEFT JOIN pc_{name} pc ON pc.g = t.climate_group_new AND pc.c = t.{cat}
+       LEFT JOIN gt_{name} gt ON gt.g = t.climate_group_new, k_{name})"""
+
+
+ORACLE["conditional_probs_applied"] = W_SPLIT + "," + ",".join(
+    _cond(c, n) for c, n in [("category", "cat"), ("size", "size"), ("season", "season")]) + """
+SELECT a.customer_id, round(a.p, 6) AS p_category_given_climate_new,
+       round(b.p, 6) AS p_size_given_climate_new, round(c.p, 6) AS p_season_given_climate_new,
+       round(a.p * b.p * c.p, 9) AS climate_item_fit_score_new
+FROM te_cat a JOIN te_size b ON a.customer_id = b.customer_id
+JOIN te_season c ON a.customer_id = c.customer_id"""
+
+
+def _ratio(group: str, value: str, name: str) -> str:
+    return f"""
+gm_{name} AS (SELECT {group} AS g, avg({value}) AS m FROM train WHERE {group} IS NOT NULL GROUP BY 1),
+r_{name} AS (
+  SELECT s.customer_id, s.is_test,
+         CASE WHEN gm.m IS NULL AND s.is_test THEN s.{value} / (SELECT avg({value}) FROM train)
+              WHEN gm.m IS NULL OR gm.m = 0 THEN NULL
+              ELSE s.{value} / gm.m END AS v
+  FROM split s LEFT JOIN gm_{name} gm ON gm.g = s.{group})"""
+
+
+ORACLE["group_mean_ratios"] = W_SPLIT + "," + ",".join([
+    _ratio("category", "purchase_amount_usd", "a"),
+    _ratio("climate_group_new", "purchase_amount_usd", "b"),
+    _ratio("age_new", "purchase_amount_usd", "c"),
+    _ratio("climate_group_new", "frequency_value_new", "d")]) + """
+SELECT a.customer_id, a.is_test, round(a.v, 6) AS rel_spend_cat_new,
+       round(b.v, 6) AS purchase_amt_rel_climate_new, round(c.v, 6) AS rel_spend_age_new,
+       round(d.v, 6) AS rel_freq_climate_new
+FROM r_a a JOIN r_b b ON a.customer_id = b.customer_id JOIN r_c c ON a.customer_id = c.customer_id
+JOIN r_d d ON a.customer_id = d.customer_id"""
+
+_OH = ["gender", "category", "payment_type_new", "age_new", "purchase_amount_usd_new",
+       "loyalty_level_new", "season_category_new", "season_color_new", "item_category_new",
+       "location_grouped_new", "climate_group_new"]
+ORACLE["one_hot_levels"] = W_SPLIT + """,
+lv AS (""" + "\n UNION ".join(
+    f"SELECT DISTINCT '{c}' AS column_name, {c} AS level FROM train WHERE {c} IS NOT NULL" for c in _OH) + """)
+SELECT column_name, level, CAST(row_number() OVER (PARTITION BY column_name ORDER BY level) - 1 AS INTEGER) AS slot
+FROM lv"""
+
+ORACLE["class_weights"] = W_SPLIT + """
+SELECT subscription_status, count(*) AS n,
+       round((SELECT count(*) FROM train) / ((SELECT count(DISTINCT subscription_status) FROM train) * count(*)), 6) AS weight
+FROM train GROUP BY subscription_status"""
+
+_STD = ["total_spend_weighted_new", "spend_per_purchase_new", "frequency_value_new",
+        "spend_rating_new", "loyalty_score_new"]
+ORACLE["standardized_features"] = W_SPLIT + """,
+st AS (SELECT """ + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+    for c in _STD) + """ FROM train)
+SELECT customer_id, """ + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS z_{c}" for c in _STD) + """
+FROM test, st"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import features as fe
 from ..functions import lookups as L
 from ..operators import stats as st
+from ..session import materialize
 from ..sources.io import coerce_numeric
 
 
@@ -88,6 +89,12 @@ def engineer(df: DataFrame, state: Prepared | None = None) -> DataFrame:
     return df.select(*df.columns, *[e.alias(n) for n, e in cols.items()])
 
 
-def prepare(raw: DataFrame, state: Prepared | None = None) -> DataFrame:
+def prepare(raw: DataFrame, state: Prepared | None = None,
+            materialize_input: bool = True) -> DataFrame:
+    """clean + engineer. The input is materialised first (see
+    :func:`cartlens.session.materialize`) because fitting the cuts takes
+    several passes over it."""
     state = state if state is not None else Prepared()
+    if materialize_input:
+        raw = materialize(raw)
     return engineer(clean(raw, state), state)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -47,3 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used before a block of several passes over the same data (fits, cuts,
+    counts), so each pass reads the written table instead of re-running the
+    joins upstream, and a lost executor costs a re-read, not a recompute.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
