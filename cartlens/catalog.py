@@ -278,5 +278,101 @@ def q_standardized(spark, sf):
     return z.select("customer_id", *[r6(f"z_{c}").alias(f"z_{c}") for c in STD_COLS])
 
 
+# ---------------------------------------------------------------- G: evaluation
+def scored(spark, sf):
+    """Deterministic scored frame over ``shop``: a hash score and the target."""
+    df = shop(spark, sf)
+    return df.select(
+        "customer_id",
+        fe.flag_expr(F.col("subscription_status") == "Yes").alias("label"),
+        (((F.col("customer_id") * 7919) % 1000) / F.lit(1000.0)).alias("score"))
+
+
+@query("confusion_matrix")
+def q_confusion(spark, sf):
+    from .operators import evaluate as ev
+    df = scored(spark, sf).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    return ev.confusion(df)
+
+
+@query("binary_metrics")
+def q_binary_metrics(spark, sf):
+    from .operators import evaluate as ev
+    m = ev.binary_metrics(scored(spark, sf))
+    return m.select("tn", "fp", "fn", "tp",
+                    *[r6(c).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    from .operators import evaluate as ev
+    return ev.roc_auc(scored(spark, sf)).select(r6("auc").alias("auc"))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf):
+    from .operators import evaluate as ev
+    c = ev.roc_curve(scored(spark, sf))
+    return c.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query("threshold_sweep")
+def q_threshold_sweep(spark, sf):
+    from .operators import evaluate as ev
+    sw = ev.threshold_sweep(scored(spark, sf))
+    return sw.select("threshold", *[r6(c).alias(c) for c in ("precision", "recall", "f1")],
+                     "tp", "fp", "fn")
+
+
+@query("best_threshold")
+def q_best_threshold(spark, sf):
+    from .operators import evaluate as ev
+    b = ev.best_threshold(ev.threshold_sweep(scored(spark, sf)))
+    return b.select("threshold", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "found")
+
+
+@query("classification_report")
+def q_classification_report(spark, sf):
+    from .operators import evaluate as ev
+    df = scored(spark, sf)
+    thr = ev.best_threshold(ev.threshold_sweep(df)).first()["threshold"]
+    rep = ev.classification_report(df.withColumn("pred", (F.col("score") >= thr).cast("int")))
+    return rep.select("row_label", *[r6(c).alias(c) for c in ("precision", "recall", "f1_score")],
+                      "support")
+
+
+# Three rule scorers over shop columns, compared like fitted models.
+def rule_scorers():
+    return [
+    ("hash", ((F.col("customer_id") * 7919) % 1000) / F.lit(1000.0)),
+    ("promo", F.when(F.col("promo_code_used") == "Yes", 0.6).otherwise(0.3)
+     + ((F.col("customer_id") * 31) % 100) / F.lit(1000.0)),
+    ("discount", F.when(F.col("discount_applied") == "Yes", 0.55).otherwise(0.35)
+     + ((F.col("customer_id") * 17) % 100) / F.lit(1000.0)),
+    ]
+
+
+@query("model_leaders")
+def q_model_leaders(spark, sf):
+    from .operators import evaluate as ev
+    df = materialize_frame(shop(spark, sf).select(
+        fe.flag_expr(F.col("subscription_status") == "Yes").alias("label"),
+        *[e.alias(f"s_{n}") for n, e in rule_scorers()]))
+    rows = None
+    for i, (name, _) in enumerate(rule_scorers()):
+        part = df.select("label", F.col(f"s_{name}").alias("score"))
+        m = ev.binary_metrics(part).select("f1")
+        a = ev.roc_auc(part)
+        r = m.select(F.lit(name).alias("model"), F.lit(i).alias("_pos"), "f1",
+                     a.select("auc").scalar().alias("auc"))
+        rows = r if rows is None else rows.unionByName(r)
+    return ev.leaders(rows)
+
+
+def materialize_frame(df):
+    from .session import materialize
+    return materialize(df)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

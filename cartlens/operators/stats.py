@@ -62,10 +62,9 @@ def frequent_labels(df: DataFrame, cols: Sequence[str],
     One scan: label counts and the row count come from the same aggregate.
     """
     counts = label_counts(df, cols, with_total=True)
-    total = counts.where(F.col("name").isNull()).select(F.col("n").alias("_rows"))
+    rows = counts.where(F.col("name").isNull()).select("n").scalar()  # scalar subquery
     kept = (counts.where(F.col("name").isNotNull())
-            .join(F.broadcast(total), how="inner", on=F.lit(True))  # one-row scalar
-            .where(F.col("n") / F.col("_rows") >= F.lit(min_share))
+            .where(F.col("n") / rows >= F.lit(min_share))
             .select("name", "value"))
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in kept.collect():

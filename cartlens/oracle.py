@@ -334,5 +334,105 @@ SELECT customer_id, """ + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS z_{c}"
 FROM test, st"""
 
 
+SCORED = """scored AS (SELECT customer_id,
+       CASE WHEN subscription_status = 'Yes' THEN 1 ELSE 0 END AS label,
+       ((customer_id * 7919) % 1000) / 1000.0 AS score FROM shop)"""
+W_SCORED = with_ctes(SHOP, SCORED)
+
+ORACLE["confusion_matrix"] = W_SCORED + """
+SELECT count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn,
+       count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp,
+       count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn,
+       count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp FROM scored"""
+
+ORACLE["binary_metrics"] = W_SCORED + """,
+c AS (SELECT count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn,
+       count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp,
+       count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn,
+       count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp FROM scored)
+SELECT tn, fp, fn, tp,
+       round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+       round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM c"""
+
+# AUC by brute force over all (positive, negative) pairs: ties count half.
+ORACLE["roc_auc"] = W_SCORED + """
+SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END), 6) AS auc
+FROM scored p JOIN scored n ON p.label = 1 AND n.label = 0"""
+
+ORACLE["roc_curve"] = W_SCORED + """,
+d AS (SELECT DISTINCT score FROM scored),
+tot AS (SELECT sum(label) AS P, sum(1 - label) AS N FROM scored)
+SELECT CAST('Infinity' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT d.score, round(sum(1 - s.label) / any_value(N), 6), round(sum(s.label) / any_value(P), 6)
+FROM d JOIN scored s ON s.score >= d.score, tot GROUP BY d.score"""
+
+SWEEP = """sweep AS (
+  SELECT t.i * 5 / 100 AS threshold,
+         count(*) FILTER (WHERE label = 1 AND score >= t.i * 5 / 100) AS tp,
+         count(*) FILTER (WHERE label = 0 AND score >= t.i * 5 / 100) AS fp,
+         count(*) FILTER (WHERE label = 1 AND score < t.i * 5 / 100) AS fn
+  FROM range(1, 20) t(i), scored GROUP BY t.i),
+sweep_m AS (SELECT threshold, tp, fp, fn,
+         CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision,
+         CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM sweep),
+best AS (SELECT threshold, precision, recall, f1 FROM sweep_m WHERE recall >= 0.85
+         ORDER BY precision DESC, threshold LIMIT 1)"""
+W_SWEEP = with_ctes(SHOP, SCORED, SWEEP)
+
+ORACLE["threshold_sweep"] = W_SWEEP + """
+SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       tp, fp, fn FROM sweep_m"""
+
+ORACLE["best_threshold"] = W_SWEEP + """
+SELECT coalesce(b.threshold, 0.5) AS threshold, round(b.precision, 6) AS precision,
+       round(b.recall, 6) AS recall, round(b.f1, 6) AS f1, b.threshold IS NOT NULL AS found
+FROM (SELECT 1) one LEFT JOIN best b ON true"""
+
+ORACLE["classification_report"] = W_SWEEP + """,
+thr AS (SELECT coalesce((SELECT threshold FROM best), 0.5) AS t),
+c AS (SELECT count(*) FILTER (WHERE label = 0 AND score < t) AS tn,
+             count(*) FILTER (WHERE label = 0 AND score >= t) AS fp,
+             count(*) FILTER (WHERE label = 1 AND score < t) AS fn,
+             count(*) FILTER (WHERE label = 1 AND score >= t) AS tp FROM scored, thr),
+m AS (SELECT tn + fp + fn + tp AS n, tn + fp AS s0, tp + fn AS s1,
+             CASE WHEN tn + fn = 0 THEN 0 ELSE tn / (tn + fn) END AS p0,
+             CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END AS r0,
+             CASE WHEN 2 * tn + fn + fp = 0 THEN 0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f0,
+             CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p1,
+             CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r1,
+             CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+             (tp + tn) / (tn + fp + fn + tp) AS acc FROM c)
+SELECT 'No' AS row_label, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1_score, CAST(s0 AS DOUBLE) AS support FROM m
+UNION ALL SELECT 'Yes', round(p1, 6), round(r1, 6), round(f1, 6), CAST(s1 AS DOUBLE) FROM m
+UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), CAST(n AS DOUBLE) FROM m
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), CAST(n AS DOUBLE) FROM m
+UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / n, 6), round((r0 * s0 + r1 * s1) / n, 6),
+                 round((f0 * s0 + f1 * s1) / n, 6), CAST(n AS DOUBLE) FROM m"""
+
+ORACLE["model_leaders"] = W_SHOP + """,
+s AS (SELECT CASE WHEN subscription_status = 'Yes' THEN 1 ELSE 0 END AS label,
+             ((customer_id * 7919) % 1000) / 1000.0 AS s_hash,
+             CASE WHEN promo_code_used = 'Yes' THEN 0.6 ELSE 0.3 END + ((customer_id * 31) % 100) / 1000.0 AS s_promo,
+             CASE WHEN discount_applied = 'Yes' THEN 0.55 ELSE 0.35 END + ((customer_id * 17) % 100) / 1000.0 AS s_discount
+      FROM shop),
+l AS (SELECT 'hash' AS model, 0 AS pos, label, s_hash AS score FROM s
+      UNION ALL SELECT 'promo', 1, label, s_promo FROM s
+      UNION ALL SELECT 'discount', 2, label, s_discount FROM s),
+f AS (SELECT model, pos,
+             count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp,
+             count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp,
+             count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn FROM l GROUP BY model, pos),
+f1 AS (SELECT model, pos, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM f),
+auc AS (SELECT p.model, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) AS auc
+        FROM l p JOIN l n ON p.model = n.model AND p.label = 1 AND n.label = 0 GROUP BY p.model),
+r AS (SELECT f1.model, f1.pos, f1.f1, auc.auc FROM f1 JOIN auc ON auc.model = f1.model)
+SELECT (SELECT model FROM r ORDER BY f1 DESC, pos LIMIT 1) AS best_f1_model,
+       (SELECT model FROM r ORDER BY auc DESC, pos LIMIT 1) AS best_auc_model"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
