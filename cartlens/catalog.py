@@ -374,5 +374,75 @@ def materialize_frame(df):
     return materialize(df)
 
 
+# ---------------------------------------------------------------- E: segmentation
+Z_COLS = [f"z_{c}" for c in L.SEGMENT_FEATURES]
+
+
+def report_frame(spark, sf):
+    """Engineered rows with fixed clusters ``customer_id % 5`` (no fitted model)."""
+    return engineered(spark, sf).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))
+
+
+@query("segment_matrix")
+def q_segment_matrix(spark, sf):
+    from .operators.segment import segment_matrix
+    z, _ = segment_matrix(engineered(spark, sf))
+    return z.select("customer_id", *[r6(c).alias(c) for c in Z_COLS])
+
+
+@query("silhouette")
+def q_silhouette(spark, sf):
+    from .operators.segment import segment_matrix, silhouette
+    z, _ = segment_matrix(report_frame(spark, sf))
+    return silhouette(z, Z_COLS, "cluster").select(r6("silhouette").alias("silhouette"))
+
+
+PROFILE_MEANS = ["mean_age", "mean_amount", "sub_pct", "mean_prev_purchases", "mean_rating",
+                 "mean_freq", "promo_pct", "fit_score", "rel_spend", "mean_weighted_spend"]
+
+
+@query("segment_profile")
+def q_segment_profile(spark, sf):
+    from .operators.segment import label_segments, profile_segments
+    p = label_segments(profile_segments(report_frame(spark, sf)))
+    return p.select("cluster", "n", *[r6(c).alias(c) for c in PROFILE_MEANS],
+                    "top_category", "top_payment", "top_shipping", "top_climate",
+                    "segment_name", "action")
+
+
+@query("crm_summary")
+def q_crm_summary(spark, sf):
+    from .operators.segment import crm_summary
+    return crm_summary(report_frame(spark, sf))
+
+
+@query("assign_segment")
+def q_assign_segment(spark, sf):
+    from .operators.segment import assign_segment, centroids_of, segment_matrix
+    z, _ = segment_matrix(report_frame(spark, sf))
+    z = materialize_frame(z)
+    cents = centroids_of(z, Z_COLS, "cluster")
+    return assign_segment(z, Z_COLS, cents).select("customer_id", "segment")
+
+
+@query("kmeans_segments")
+def q_kmeans_segments(spark, sf):
+    from .operators.segment import assemble, kmeans_best, renumber_by, segment_matrix
+    z, _ = segment_matrix(engineered(spark, sf))
+    feats = materialize_frame(assemble(z, Z_COLS))
+    model = kmeans_best(feats, k=5, seed=42, restarts=10)
+    out = renumber_by(model.transform(feats), "raw_cluster", "total_spend_weighted_new")
+    return out.select("customer_id", "cluster")
+
+
+@query("pca_projection")
+def q_pca_projection(spark, sf):
+    from .operators.segment import assemble, project, segment_matrix
+    z, _ = segment_matrix(engineered(spark, sf))
+    proj, ratios = project(materialize_frame(assemble(z, Z_COLS)), 3)
+    return proj.select("customer_id", *[r6(f"pc{j}").alias(f"pc{j}") for j in (1, 2, 3)],
+                       *[F.lit(round(r, 6)).alias(f"var_ratio{j + 1}") for j, r in enumerate(ratios)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

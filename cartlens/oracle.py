@@ -434,5 +434,96 @@ SELECT (SELECT model FROM r ORDER BY f1 DESC, pos LIMIT 1) AS best_f1_model,
        (SELECT model FROM r ORDER BY auc DESC, pos LIMIT 1) AS best_auc_model"""
 
 
+_SEG = ["purchase_amount_usd", "previous_purchases", "frequency_value_new",
+        "spend_per_purchase_new", "total_spend_weighted_new"]
+ZMAT = """rep AS (SELECT *, CAST(customer_id % 5 AS INTEGER) AS cluster FROM eng),
+filled AS (SELECT customer_id, cluster, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _SEG) + """ FROM rep),
+zst AS (SELECT """ + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+    for c in _SEG) + """ FROM filled),
+z AS (SELECT customer_id, cluster, """ + ", ".join(f"({c} - m_{c}) / s_{c} AS z_{c}" for c in _SEG) + """
+      FROM filled, zst)"""
+W_Z = W_ENG.rstrip() + ",\n" + ZMAT + "\n"
+
+ORACLE["segment_matrix"] = W_Z + "SELECT customer_id, " + ", ".join(
+    f"round(z_{c}, 6) AS z_{c}" for c in _SEG) + " FROM z"
+
+_D2 = " + ".join(f"power(a.z_{c} - b.z_{c}, 2)" for c in _SEG)
+ORACLE["silhouette"] = W_Z + f""",
+pairs AS (SELECT a.customer_id AS i, a.cluster AS ca, b.cluster AS cb, {_D2} AS d
+          FROM z a JOIN z b ON a.customer_id <> b.customer_id),
+per AS (SELECT i, ca, cb, avg(d) AS md FROM pairs GROUP BY i, ca, cb),
+sizes AS (SELECT cluster, count(*) AS n FROM z GROUP BY cluster),
+ab AS (SELECT z.customer_id, z.cluster,
+              (SELECT md FROM per WHERE per.i = z.customer_id AND per.cb = z.cluster) AS a,
+              (SELECT min(md) FROM per WHERE per.i = z.customer_id AND per.cb <> z.cluster) AS b
+       FROM z)
+SELECT round(avg(CASE WHEN s.n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette
+FROM ab JOIN sizes s ON s.cluster = ab.cluster"""
+
+
+def _mode(col: str, name: str) -> str:
+    return f"""md_{name} AS (SELECT cluster, v FROM (
+  SELECT cluster, {col} AS v, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, {col}) AS rn
+  FROM rep WHERE {col} IS NOT NULL GROUP BY cluster, {col}) WHERE rn = 1)"""
+
+
+_NAME_CASE = ("CASE cluster WHEN 3 THEN 'VIP''e En Yakınlar' WHEN 0 THEN 'Avantaj Avcıları' "
+              "WHEN 2 THEN 'Büyük Sepetliler' WHEN 4 THEN 'Kararsızlar' WHEN 1 THEN 'Sessiz Kitle' ")
+_ACTION_CASE = ("CASE cluster WHEN 3 THEN 'Upsell / Premium' WHEN 0 THEN 'Upsell / Premium' "
+                "WHEN 2 THEN 'Nurture / Education' WHEN 4 THEN 'Winback / Aggressive Promo' "
+                "WHEN 1 THEN 'Winback / Aggressive Promo' ")
+W_REP = W_ENG.rstrip() + ",\nrep AS (SELECT *, CAST(customer_id % 5 AS INTEGER) AS cluster FROM eng)\n"
+
+ORACLE["segment_profile"] = W_REP + "," + ",".join([
+    _mode("category", "cat"), _mode("payment_method", "pay"), _mode("shipping_type", "ship"),
+    _mode("climate_group_new", "clim")]) + """,
+agg AS (SELECT cluster, count(customer_id) AS n, avg(age) AS mean_age, avg(purchase_amount_usd) AS mean_amount,
+               avg(CASE WHEN subscription_status = 'Yes' THEN 1 ELSE 0 END) * 100 AS sub_pct,
+               avg(previous_purchases) AS mean_prev_purchases, avg(review_rating) AS mean_rating,
+               avg(frequency_value_new) AS mean_freq,
+               avg(CASE WHEN promo_code_used = 'Yes' THEN 1 ELSE 0 END) * 100 AS promo_pct,
+               avg(CASE WHEN subscription_status = 'Yes' THEN 1 ELSE 0 END) AS fit_score,
+               avg(spend_per_purchase_new) AS rel_spend, avg(total_spend_weighted_new) AS mean_weighted_spend
+        FROM rep GROUP BY cluster)
+SELECT agg.cluster, n, round(mean_age, 6) AS mean_age, round(mean_amount, 6) AS mean_amount,
+       round(sub_pct, 6) AS sub_pct, round(mean_prev_purchases, 6) AS mean_prev_purchases,
+       round(mean_rating, 6) AS mean_rating, round(mean_freq, 6) AS mean_freq,
+       round(promo_pct, 6) AS promo_pct, round(fit_score, 6) AS fit_score,
+       round(rel_spend, 6) AS rel_spend, round(mean_weighted_spend, 6) AS mean_weighted_spend,
+       coalesce(c.v, 'Unknown') AS top_category, coalesce(p.v, 'Unknown') AS top_payment,
+       coalesce(s.v, 'Unknown') AS top_shipping, coalesce(k.v, 'Unknown') AS top_climate,
+       """ + _NAME_CASE.replace("cluster", "agg.cluster") + """ELSE 'Genel Segment' END AS segment_name,
+       """ + _ACTION_CASE.replace("cluster", "agg.cluster") + """ELSE 'Genel' END AS action
+FROM agg LEFT JOIN md_cat c ON c.cluster = agg.cluster LEFT JOIN md_pay p ON p.cluster = agg.cluster
+LEFT JOIN md_ship s ON s.cluster = agg.cluster LEFT JOIN md_clim k ON k.cluster = agg.cluster"""
+
+def _exact3(name: str) -> str:
+    """Half-even rounding to 3 decimals of the exact mean, by integer arithmetic
+    on values scaled by 10^4 (all inputs here have at most 4 decimals)."""
+    return (f"CAST((s_{name} // (10 * n_{name}) + CASE "
+            f"WHEN 2 * (s_{name} % (10 * n_{name})) > 10 * n_{name} THEN 1 "
+            f"WHEN 2 * (s_{name} % (10 * n_{name})) = 10 * n_{name} THEN (s_{name} // (10 * n_{name})) % 2 "
+            f"ELSE 0 END) AS DOUBLE) / 1000.0 AS {name}")
+
+
+_CRM = {"crm_target_rate": "CASE WHEN subscription_status = 'Yes' THEN 1 ELSE 0 END",
+        "avg_spend": "total_spend_weighted_new", "avg_prev_purchases": "previous_purchases",
+        "avg_freq": "frequency_value_new",
+        "promo_rate": "CASE WHEN promo_code_used = 'Yes' THEN 1 ELSE 0 END"}
+ORACLE["crm_summary"] = W_REP + """,
+s AS (SELECT cluster, count(customer_id) AS n_customers, """ + ", ".join(
+    f"sum(CAST(round(({e}) * 10000) AS HUGEINT)) AS s_{k}, count({e}) AS n_{k}" for k, e in _CRM.items()) + """
+      FROM rep GROUP BY cluster),
+r AS (SELECT cluster, n_customers, """ + ", ".join(_exact3(k) for k in _CRM) + """ FROM s)
+SELECT *, """ + _NAME_CASE + """END AS segment, round_even(crm_target_rate * 100, 1) AS subscription_pct FROM r"""
+
+_DC = " + ".join(f"power(z.z_{c} - c.z_{c}, 2)" for c in _SEG)
+ORACLE["assign_segment"] = W_Z + """,
+cents AS (SELECT cluster, """ + ", ".join(f"avg(z_{c}) AS z_{c}" for c in _SEG) + f""" FROM z GROUP BY cluster),
+d AS (SELECT z.customer_id, c.cluster, {_DC} AS dist FROM z, cents c)
+SELECT customer_id, arg_min(cluster, (dist, cluster)) AS segment FROM d GROUP BY customer_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
