@@ -444,5 +444,161 @@ def q_pca_projection(spark, sf):
                        *[F.lit(round(r, 6)).alias(f"var_ratio{j + 1}") for j, r in enumerate(ratios)])
 
 
+# ---------------------------------------------------------------- D8, F, G8-G10: models
+_MODEL_DATA: dict = {}
+
+
+def model_data(spark, sf):
+    """Split/encode/select/scale once per session and data folder; the frames
+    are materialised in the shared checkpoint folder, so later queries reuse them."""
+    from .plans import model as mo
+    key = (id(spark), sf)
+    if key not in _MODEL_DATA:
+        _MODEL_DATA[key] = mo.prepare_model_data(engineered(spark, sf))
+    return _MODEL_DATA[key]
+
+
+@query("feature_selection")
+def q_feature_selection(spark, sf):
+    p = model_data(spark, sf)
+    kept = set(p.keep)
+    rows = [(i, n, round(float(p.importances[i]), 6), i in kept) for i, n in enumerate(p.names)]
+    return spark.createDataFrame(rows, "slot int, feature string, importance double, kept boolean")
+
+
+@query("cv_logistic")
+def q_cv_logistic(spark, sf):
+    from .plans import model as mo
+    df, _ = mo.compare_cv(model_data(spark, sf), ["LogisticRegression"])
+    return df.select("model", r6("cv_auc_mean").alias("cv_auc_mean"),
+                     r6("cv_auc_std").alias("cv_auc_std"))
+
+
+def tuned_logistic(spark, sf):
+    from .plans import model as mo
+    p = model_data(spark, sf)
+    key = ("tuned", id(spark), sf)
+    if key not in _MODEL_DATA:
+        _MODEL_DATA[key] = mo.tune(p, "LogisticRegression")[0]
+    return p, _MODEL_DATA[key]
+
+
+@query("tuned_logistic_scores")
+def q_tuned_scores(spark, sf):
+    from .plans import model as mo
+    p, m = tuned_logistic(spark, sf)
+    return mo.score(m, p.test).select("customer_id", "label", r6("score").alias("score"))
+
+
+@query("coefficients_top")
+def q_coefficients(spark, sf):
+    p, m = tuned_logistic(spark, sf)
+    names = [p.names[i] for i in p.keep]
+    rows = [(n, float(c)) for n, c in zip(names, m.coefficients.toArray())]
+    df = spark.createDataFrame(rows, "feature string, coef double")
+    return (df.select("feature", r6("coef").alias("coef"), r6(F.exp("coef")).alias("odds_ratio"))
+            .orderBy(F.desc(F.abs("coef")), "feature").limit(20))
+
+
+@query("importance_top")
+def q_importance_top(spark, sf):
+    from .plans import model as mo
+    p = model_data(spark, sf)
+    rf = dict(mo.candidates(p.n_train))["RandomForest"].fit(p.train)
+    names = [p.names[i] for i in p.keep]
+    rows = [(n, float(v)) for n, v in zip(names, rf.featureImportances.toArray())]
+    df = spark.createDataFrame(rows, "feature string, importance double")
+    return df.select("feature", r6("importance").alias("importance")) \
+        .orderBy(F.desc("importance"), "feature").limit(20)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    from .operators import evaluate as ev
+    from .plans import model as mo
+    p = model_data(spark, sf)
+    out = None
+    for pos, (name, est) in enumerate(mo.candidates(p.n_train)):
+        sc = materialize_frame(mo.score(est.fit(p.train), p.test).select("label", "score"))
+        sw = ev.threshold_sweep(sc)
+        best = ev.best_threshold(sw).first()
+        thr = best["threshold"]
+        at = ev.binary_metrics(sc, threshold=thr).first()
+        d = ev.binary_metrics(sc).first()
+        auc = ev.roc_auc(sc).first()["auc"]
+        row = spark.createDataFrame(
+            [(name, pos, float(thr), d["precision"], d["recall"], d["f1"], at["precision"],
+              at["recall"], at["f1"], at["accuracy"], float(auc))],
+            "model string, position int, threshold double, precision_default double, "
+            "recall_default double, f1_default double, precision double, recall double, "
+            "f1 double, accuracy double, auc double")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# ---------------------------------------------------------------- A4, H: bundle and scoring
+def scoring_bundle(spark, sf):
+    from .operators import evaluate as ev
+    from .operators.segment import centroids_of, segment_matrix
+    from .plans import model as mo
+    from .plans.scoring import ScoringBundle
+    p, m = tuned_logistic(spark, sf)
+    sc = mo.score(m, p.test).select("label", "score")
+    thr = ev.best_threshold(ev.threshold_sweep(sc)).first()["threshold"]
+    eng = report_frame(spark, sf)
+    z, seg_scaler = segment_matrix(eng)
+    cents = centroids_of(z, Z_COLS, "cluster")
+    return ScoringBundle(m, [p.names[i] for i in p.keep], p.scaler, thr, seg_scaler, cents,
+                         dict(L.SEGMENT_NAMES))
+
+
+@query("request_features")
+def q_request_features(spark, sf):
+    from .plans.scoring import FORM_NUMERIC, request_features
+    f = request_features(shop(spark, sf))
+    return f.select("customer_id", *[r6(F.col(c).cast("double")).alias(c) for c in FORM_NUMERIC],
+                    "gender__oh_Male", "gender__oh_Female")
+
+
+@query("score_requests")
+def q_score_requests(spark, sf):
+    from .plans.scoring import score_requests
+    out = score_requests(shop(spark, sf), scoring_bundle(spark, sf))
+    return out.withColumn("probability", r6("probability"))
+
+
+@query("request_segment")
+def q_request_segment(spark, sf):
+    from .operators.segment import centroids_of, segment_matrix
+    from .plans.scoring import request_features
+    eng = report_frame(spark, sf)
+    z, seg_scaler = segment_matrix(eng)
+    cents = centroids_of(z, Z_COLS, "cluster")
+    req = request_features(shop(spark, sf))
+    zr = seg_scaler.transform(fe.fill_zero(req, L.SEGMENT_FEATURES), prefix="z_")
+    from .operators.segment import nearest_centroid
+    seg = nearest_centroid(Z_COLS, cents)
+    return zr.select("customer_id", seg.alias("segment"),
+                     fe.map_expr(seg, L.SEGMENT_NAMES, L.DEFAULT_SEGMENT_NAME).alias("segment_name"))
+
+
+@query("bundle_roundtrip")
+def q_bundle_roundtrip(spark, sf):
+    """A4: save the fitted model and lookup tables to the shared folder, load
+    them back in the same job, and score the test rows with the loaded model."""
+    import uuid
+    from pyspark.ml.classification import LogisticRegressionModel
+    from .plans import model as mo
+    from .session import scratch_path
+    p, m = tuned_logistic(spark, sf)
+    path = scratch_path(spark, f"bundle-{uuid.uuid4().hex}")
+    slots = spark.createDataFrame([(i, p.names[i]) for i in p.keep], "slot int, feature string")
+    io.save_bundle(path, {"model": m}, {"slots": slots},
+                   {"mean": p.scaler.mean, "std": p.scaler.std})
+    models, tables, meta = io.load_bundle(spark, path, {"model": LogisticRegressionModel})
+    loaded = models["model"]
+    return mo.score(loaded, p.test).select("customer_id", r6("score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

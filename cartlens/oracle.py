@@ -525,5 +525,40 @@ d AS (SELECT z.customer_id, c.cluster, {_DC} AS dist FROM z, cents c)
 SELECT customer_id, arg_min(cluster, (dist, cluster)) AS segment FROM d GROUP BY customer_id"""
 
 
+REQ = """req AS (
+  SELECT customer_id, purchase_amount_usd, previous_purchases,
+         previous_purchases * purchase_amount_usd AS total_spend_weighted_new,
+         purchase_amount_usd / (previous_purchases + 1) AS spend_per_purchase_new,
+         CAST(coalesce(CASE frequency_of_purchases WHEN 'Weekly' THEN 52 WHEN 'Bi-Weekly' THEN 26
+              WHEN 'Fortnightly' THEN 26 WHEN 'Quarterly' THEN 4 WHEN 'Annually' THEN 1
+              WHEN 'Monthly' THEN 12 WHEN 'Every 3 Months' THEN 4 END, 12) AS DOUBLE) AS frequency_value_new,
+         CASE WHEN previous_purchases < 13 THEN 1 WHEN previous_purchases < 25 THEN 2
+              WHEN previous_purchases < 38 THEN 3 ELSE 4 END AS loyalty_score_new,
+         CAST(coalesce(review_rating >= 4, false) AS INTEGER) AS high_review_rating_new,
+         purchase_amount_usd * review_rating AS spend_rating_new,
+         CASE WHEN promo_code_used = 'Yes' THEN 1 ELSE 0 END AS promo,
+         CAST(coalesce(gender = 'Male', false) AS INTEGER) AS male
+  FROM shop)"""
+
+ORACLE["request_features"] = with_ctes(SHOP, REQ) + """
+SELECT customer_id, round(total_spend_weighted_new, 6) AS total_spend_weighted_new,
+       round(spend_per_purchase_new, 6) AS spend_per_purchase_new,
+       round(frequency_value_new, 6) AS frequency_value_new,
+       CAST(loyalty_score_new AS DOUBLE) AS loyalty_score_new,
+       CAST(high_review_rating_new AS DOUBLE) AS high_review_rating_new,
+       round(spend_rating_new, 6) AS spend_rating_new,
+       CAST(promo * loyalty_score_new AS DOUBLE) AS promo_x_loyalty,
+       round(promo * frequency_value_new, 6) AS promo_x_freq,
+       male AS gender__oh_Male, 1 - male AS gender__oh_Female
+FROM req"""
+
+_DR = " + ".join(f"power((coalesce(r.{c}, 0) - zst.m_{c}) / zst.s_{c} - c.z_{c}, 2)" for c in _SEG)
+ORACLE["request_segment"] = W_Z + "," + REQ + """,
+cents AS (SELECT cluster, """ + ", ".join(f"avg(z_{c}) AS z_{c}" for c in _SEG) + f""" FROM z GROUP BY cluster),
+d AS (SELECT r.customer_id, c.cluster, {_DR} AS dist FROM req r, cents c, zst),
+best AS (SELECT customer_id, arg_min(cluster, (dist, cluster)) AS cluster FROM d GROUP BY customer_id)
+SELECT customer_id, cluster AS segment, """ + _NAME_CASE + """ELSE 'Genel Segment' END AS segment_name FROM best"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
