@@ -79,9 +79,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             buckets: int = 4096) -> DataFrame:
     """Exact ROC-AUC (ties count half): one row ``(auc)``; NULL with one class."""
     t = _score_table(df, label, score, buckets, descending=False)
-    return t.agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return t.agg(F.try_divide(
+        F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))),
+        (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
