@@ -74,91 +74,111 @@ def cut(df: DataFrame, col: str, edges, labels, out: str,
     return df.withColumn(out, cut_expr(col, edges, labels, include_lowest))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    accuracy: int = 100000) -> list[float]:
-    """Exact linear-interpolation quantiles, computed without one huge buffer.
+def exact_quantiles_multi(df: DataFrame, probs: dict[str, Sequence[float]],
+                          accuracy: int = 100000) -> dict[str, list[float]]:
+    """Exact linear-interpolation quantiles for several columns, in three scans.
 
-    ``percentile`` keeps every value of the column in one aggregation buffer,
+    ``percentile`` keeps every value of a column in one aggregation buffer,
     which does not survive 100 TB. Instead:
-      1. ``percentile_approx`` brackets the two ranks around each position
-         (rank error <= n / accuracy), widened by a safety margin;
-      2. one pass counts rows below each bracket and aggregates the distinct
-         values inside the brackets (bounded by ~2n/accuracy rows, fewer
-         with ties, since equal values collapse into one counted row);
-      3. the driver walks the small sorted (value, count) list.
-    If a bracket misses (data changed between passes), it falls back to the
-    column's full range for that probability.
+      1. one aggregate gives n/min/max and ``percentile_approx`` brackets
+         around each wanted rank (rank error <= n / accuracy, plus a margin);
+      2. one aggregate counts rows below every bracket;
+      3. one ``groupBy`` collects the distinct values inside the brackets
+         with their counts (about 2n/accuracy rows per bracket at most,
+         fewer with ties, since equal values collapse into one row);
+    the driver then walks the small sorted lists. If a bracket misses, that
+    column is resolved again over its full range.
     """
-    x = F.col(col)
-    base = df.select(x.cast("double").alias("v")).where(F.col("v").isNotNull())
+    cols = list(probs)
     margin = 2.0 / accuracy + 1e-9
-    qs = []
-    for p in probs:
-        qs += [max(0.0, p - margin), min(1.0, p + margin)]
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                     F.max("v").alias("hi"),
-                     F.percentile_approx("v", F.array(*[F.lit(q) for q in qs]),
-                                         accuracy).alias("q")).first()
-    n = stats["n"]
-    if not n:
-        return [float("nan")] * len(probs)
-    approx = stats["q"]
-    brackets = [(approx[2 * i], approx[2 * i + 1]) for i in range(len(probs))]
-
-    def resolve(brs):
-        v = F.col("v")
-        below = [F.sum(F.when(v < F.lit(a), 1).otherwise(0)).alias(f"b{i}")
-                 for i, (a, _) in enumerate(brs)]
-        counts = base.agg(*below).first()
-        inside = None
-        for a, b in brs:
-            cond = (v >= F.lit(a)) & (v <= F.lit(b))
-            inside = cond if inside is None else inside | cond
-        vals = (base.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-                .orderBy("v").collect())
-        return [counts[f"b{i}"] for i in range(len(brs))], [(r["v"], r["c"]) for r in vals]
-
-    def value_at(rank, below, vals, a, b):
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        qs = []
+        for p in probs[c]:
+            qs += [max(0.0, p - margin), min(1.0, p + margin)]
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                 F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy).alias(f"q{i}")]
+    st = df.agg(*aggs).first()
+
+    def resolve(brs):  # brs: list of (col_index, a, b)
+        below = [F.count_if(F.col(cols[i]).cast("double") < F.lit(a)).alias(f"b{j}")
+                 for j, (i, a, _) in enumerate(brs)]
+        counts = df.agg(*below).first()
+        items = [F.struct(F.lit(j).alias("j"), F.col(cols[i]).cast("double").alias("v"))
+                 for j, (i, _, _) in enumerate(brs)]
+        inside = (df.select(F.explode(F.array(*items)).alias("t")).select("t.*")
+                  .where(F.col("v").isNotNull()))
+        cond = None
+        for j, (_, a, b) in enumerate(brs):
+            e = (F.col("j") == j) & (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
+            cond = e if cond is None else cond | e
+        vals = (inside.where(cond).groupBy("j", "v").agg(F.count(F.lit(1)).alias("c"))
+                .orderBy("j", "v").collect())
+        per = {j: [] for j in range(len(brs))}
+        for r in vals:
+            per[r["j"]].append((r["v"], r["c"]))
+        return [counts[f"b{j}"] for j in range(len(brs))], per
+
+    def value_at(rank, below, vals):
         acc = below
         for v, c in vals:
-            if v < a or v > b:
-                continue
             acc += c
             if rank < acc:
                 return v
         return None
 
-    below, vals = resolve(brackets)
-    out = []
-    for i, p in enumerate(probs):
+    brs, where = [], []
+    for i, c in enumerate(cols):
+        if not st[f"n{i}"]:
+            continue
+        for k in range(len(probs[c])):
+            brs.append((i, st[f"q{i}"][2 * k], st[f"q{i}"][2 * k + 1]))
+            where.append((i, k))
+    below, per = resolve(brs) if brs else ([], {})
+    out = {c: [float("nan")] * len(probs[c]) for c in cols}
+    for j, (i, k) in enumerate(where):
+        n, p = st[f"n{i}"], probs[cols[i]][k]
         h = (n - 1) * p
         r0, r1 = int(h // 1), min(int(-(-h // 1)), n - 1)
-        a, b = brackets[i]
-        v0 = value_at(r0, below[i], vals, a, b) if below[i] <= r0 else None
-        v1 = value_at(r1, below[i], vals, a, b) if below[i] <= r1 else None
-        if v0 is None or v1 is None:  # bracket missed: exact pass over full range
-            full_below, full_vals = resolve([(stats["lo"], stats["hi"])])
-            v0 = value_at(r0, full_below[0], full_vals, stats["lo"], stats["hi"])
-            v1 = value_at(r1, full_below[0], full_vals, stats["lo"], stats["hi"])
-        out.append(v0 + (h - r0) * (v1 - v0))
+        v0 = value_at(r0, below[j], per[j]) if below[j] <= r0 else None
+        v1 = value_at(r1, below[j], per[j]) if below[j] <= r1 else None
+        if v0 is None or v1 is None:  # bracket missed: exact pass over the full range
+            fb, fv = resolve([(i, st[f"lo{i}"], st[f"hi{i}"])])
+            v0, v1 = value_at(r0, fb[0], fv[0]), value_at(r1, fb[0], fv[0])
+        out[cols[i]][k] = v0 + (h - r0) * (v1 - v0)
     return out
 
 
-def qcut_edges(df: DataFrame, col: str, q: int = 4, exact: bool = True) -> list[float]:
-    """Quantile bin edges; duplicate edges raise, as the analysed code does."""
-    probs = [i / q for i in range(q + 1)]
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
+                    accuracy: int = 100000) -> list[float]:
+    """Exact quantiles of one column (see :func:`exact_quantiles_multi`)."""
+    return exact_quantiles_multi(df, {col: list(probs)}, accuracy)[col]
+
+
+def qcut_edges_multi(df: DataFrame, cols: dict[str, int], exact: bool = True
+                     ) -> dict[str, list[float]]:
+    """Quantile bin edges for several columns in one set of scans;
+    duplicate edges raise, as the analysed code does."""
+    probs = {c: [i / q for i in range(q + 1)] for c, q in cols.items()}
     if exact:
-        edges = exact_quantiles(df, col, probs)
+        edges = exact_quantiles_multi(df, probs)
     else:
-        edges = list(df.agg(F.percentile_approx(col, F.array(*[F.lit(p) for p in probs]),
-                                                10000)).first()[0])
-    if any(e is None or e != e for e in edges):
-        raise ValueError(f"qcut: column {col} has no values")
-    if len(set(edges)) != len(edges):
-        raise ValueError(f"qcut: bin edges must be unique for {col}: {edges}")
+        row = df.agg(*[F.percentile_approx(c, F.array(*[F.lit(p) for p in ps]), 10000).alias(c)
+                       for c, ps in probs.items()]).first()
+        edges = {c: list(row[c]) if row[c] else [None] for c in probs}
+    for c, e in edges.items():
+        if any(x is None or x != x for x in e):
+            raise ValueError(f"qcut: column {c} has no values")
+        if len(set(e)) != len(e):
+            raise ValueError(f"qcut: bin edges must be unique for {c}: {e}")
     return edges
 
 
+def qcut_edges(df: DataFrame, col: str, q: int = 4, exact: bool = True) -> list[float]:
+    return qcut_edges_multi(df, {col: q}, exact)[col]
+
+
 def qcut(df: DataFrame, col: str, labels: Sequence, out: str,
          edges: Sequence[float] | None = None, exact: bool = True) -> DataFrame:
     """Quantile bins with the lowest edge included; ``edges`` reuses fitted cuts."""

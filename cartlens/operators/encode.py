@@ -70,56 +70,102 @@ def split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int
 
 
 # ---------------------------------------------------------------- D2, D3, D4
+# Fitted tables with at most this many rows are applied as literal map
+# lookups (a projection: no join, no shuffle); larger ones by a join.
+LOOKUP_ROWS = 100_000
+
+
+def _key(*cols) -> F.Column:
+    """Composite lookup key; NULL when any part is NULL."""
+    return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols]) \
+        if len(cols) > 1 else F.col(cols[0]).cast("string")
+
+
+def _lookup(mapping: dict, key: F.Column) -> F.Column:
+    if not mapping:
+        return F.lit(None)
+    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[key]
+
+
 @dataclass
 class ConditionalTable:
     """P(cat | group) with Laplace smoothing, over categories seen in train.
 
-    ``pairs`` holds observed (group, cat, n); ``groups`` holds (group, total);
-    ``n_cats`` is the number of categories seen. An unobserved pair of seen
+    ``pairs`` holds observed (group, cat, n). An unobserved pair of seen
     levels gets ``s / (total + s * n_cats)`` without materialising the grid.
+    When the pair table is under ``LOOKUP_ROWS`` rows it is also held as
+    literal maps (``pair_n``, ``group_total``) and applied without a join.
+    ``train_mean`` is the mean of P over the train rows, from the same table.
     """
     group: str
     cat: str
     pairs: DataFrame
-    groups: DataFrame
-    n_cats: int
     smoothing: float
+    n_cats: int
     cat_levels: list
+    pair_n: dict | None
+    group_total: dict | None
+    train_mean: float | None
 
 
 def fit_conditional(train: DataFrame, group: str, cat: str, smoothing: float = 1.0,
-                    max_levels: int = 100000) -> ConditionalTable:
+                    max_rows: int = LOOKUP_ROWS) -> ConditionalTable:
     seen = train.where(F.col(group).isNotNull() & F.col(cat).isNotNull())
     pairs = seen.groupBy(group, cat).agg(F.count(F.lit(1)).alias("_n"))
-    groups = pairs.groupBy(group).agg(F.sum("_n").alias("_total"))
-    levels = [r[0] for r in seen.select(cat).distinct().limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{cat} has more than {max_levels} levels")
-    return ConditionalTable(group, cat, pairs, groups, len(levels), smoothing, sorted(levels))
+    rows = pairs.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:  # too large for literals: keep the fitted table as a frame
+        levels = [r[0] for r in pairs.select(cat).distinct().collect()]
+        totals = pairs.groupBy(group).agg(F.sum("_n").alias("_total"))
+        stats = (pairs.join(totals, group)
+                 .agg(F.sum(F.col("_n") * (F.col("_n") + smoothing)
+                            / (F.col("_total") + smoothing * len(levels))).alias("num"),
+                      F.sum("_n").alias("den")).first())
+        mean = stats["num"] / stats["den"] if stats["den"] else None
+        return ConditionalTable(group, cat, pairs, smoothing, len(levels), sorted(levels),
+                                None, None, mean)
+    levels = sorted({r[cat] for r in rows})
+    pair_n, totals = {}, {}
+    for r in rows:
+        pair_n[f"{r[group]}\u0001{r[cat]}"] = r["_n"]
+        totals[str(r[group])] = totals.get(str(r[group]), 0) + r["_n"]
+    k = len(levels)
+    num = sum(r["_n"] * (r["_n"] + smoothing) / (totals[str(r[group])] + smoothing * k)
+              for r in rows)
+    den = sum(r["_n"] for r in rows)
+    return ConditionalTable(group, cat, pairs, smoothing, k, levels, pair_n, totals,
+                            num / den if den else None)
 
 
 def conditional_table(t: ConditionalTable) -> DataFrame:
     """Fitted probabilities for the observed pairs: (group, cat, p)."""
     s = t.smoothing
-    return t.pairs.join(t.groups, t.group).select(
-        t.group, t.cat,
-        ((F.col("_n") + s) / (F.col("_total") + s * t.n_cats)).alias("p"))
+    from pyspark.sql.window import Window
+    total = F.sum("_n").over(Window.partitionBy(t.group))  # per group, over the pair table
+    return t.pairs.select(t.group, t.cat,
+                          ((F.col("_n") + s) / (total + s * t.n_cats)).alias("p"))
 
 
 def apply_conditional(df: DataFrame, t: ConditionalTable, out: str) -> DataFrame:
     """Look up P(cat | group) per row; NULL where group or cat is unseen."""
     s = t.smoothing
-    x = join_small(df, t.pairs, [t.group, t.cat], "left")
-    x = join_small(x, t.groups, [t.group], "left")
     seen_cat = F.col(t.cat).isin(t.cat_levels)
+    if t.pair_n is not None:
+        n = F.coalesce(_lookup(t.pair_n, _key(t.group, t.cat)), F.lit(0))
+        total = _lookup(t.group_total, _key(t.group))
+        p = F.when(total.isNotNull() & seen_cat, (n + s) / (total + s * t.n_cats))
+        return df.withColumn(out, p)
+    totals = t.pairs.groupBy(t.group).agg(F.sum("_n").alias("_total"))
+    x = join_small(df, t.pairs, [t.group, t.cat], "left")
+    x = join_small(x, totals, [t.group], "left")
     p = F.when(F.col("_total").isNotNull() & seen_cat,
                (F.coalesce(F.col("_n"), F.lit(0)) + s) / (F.col("_total") + s * t.n_cats))
     return x.withColumn(out, p).drop("_n", "_total")
 
 
-def fill_with_train_mean(train: DataFrame, test: DataFrame, col: str) -> DataFrame:
+def fill_with_train_mean(train: DataFrame, test: DataFrame, col: str,
+                         mean: float | None = None) -> DataFrame:
     """Fill NULLs of ``col`` in test with the mean of ``col`` over train."""
-    m = train.agg(F.avg(col)).first()[0]
+    m = mean if mean is not None else train.agg(F.avg(col)).first()[0]
     return test if m is None else test.withColumn(col, F.coalesce(F.col(col), F.lit(m)))
 
 
@@ -132,31 +178,52 @@ def fit_score(df: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
 
 # ---------------------------------------------------------------- D5
 def group_mean_ratio(train: DataFrame, test: DataFrame, group: str, value: str, out: str,
-                     fallback: str = "global_mean") -> tuple[DataFrame, DataFrame]:
+                     fallback: str = "global_mean", max_rows: int = LOOKUP_ROWS
+                     ) -> tuple[DataFrame, DataFrame]:
     """``value / train mean of value in its group``.
 
-    Test rows whose ratio is NULL (unseen group, NULL value) fall back to
-    ``value / train global mean`` (``global_mean``) or to the train mean of
-    the ratio (any other ``fallback``). A zero group mean gives NULL
-    (pandas would give inf).
+    Test rows whose group is unseen fall back to ``value / train global
+    mean`` (``global_mean``) or to the train mean of the ratio (any other
+    ``fallback``). A zero group mean gives NULL (pandas would give inf).
+    One aggregate gives per-group sums and counts (NULL group included, for
+    the global mean); under ``max_rows`` groups they become literal maps.
     """
-    means = (train.where(F.col(group).isNotNull()).groupBy(group)
-             .agg(F.avg(value).alias("_gm")))
-
-    def ratio(df):
-        x = join_small(df, means, [group], "left")
-        return x.withColumn(out, F.try_divide(F.col(value), F.col("_gm")))
-
-    tr, te = ratio(train), ratio(test)
+    v = F.col(value)
+    agg = train.groupBy(group).agg(F.sum(v).alias("_s"), F.count(v).alias("_c"))
+    rows = agg.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        means = {str(r[group]): (r["_s"] / r["_c"] if r["_c"] else None)
+                 for r in rows if r[group] is not None}
+        tot_s = sum(r["_s"] or 0.0 for r in rows)
+        tot_c = sum(r["_c"] for r in rows)
+        gm = tot_s / tot_c if tot_c else None
+        gmean = _lookup({k: m for k, m in means.items() if m is not None}, _key(group))
+        seen = F.col(group).cast("string").isin([k for k, m in means.items() if m is not None])
+
+        def ratio(df):
+            return df.withColumn(out, F.try_divide(v, gmean)).withColumn("_seen", seen)
+        tr, te = ratio(train), ratio(test)
+        ratio_mean = None
+        if fallback != "global_mean":
+            ratio_mean = tr.agg(F.avg(out)).first()[0]
+    else:
+        means_df = agg.where(F.col(group).isNotNull()).select(
+            group, F.try_divide(F.col("_s"), F.col("_c")).alias("_gm"))
+        tot = agg.agg(F.sum("_s"), F.sum("_c")).first()
+        gm = tot[0] / tot[1] if tot[1] else None
+
+        def ratio(df):
+            x = join_small(df, means_df, [group], "left")
+            return (x.withColumn(out, F.try_divide(v, F.col("_gm")))
+                    .withColumn("_seen", F.col("_gm").isNotNull()).drop("_gm"))
+        tr, te = ratio(train), ratio(test)
+        ratio_mean = tr.agg(F.avg(out)).first()[0] if fallback != "global_mean" else None
     if fallback == "global_mean":
-        gm = train.agg(F.avg(value)).first()[0]
-        fill = F.try_divide(F.col(value), F.lit(gm)) if gm is not None else F.lit(None)
+        fill = F.try_divide(v, F.lit(gm)) if gm is not None else F.lit(None)
     else:
-        m = tr.agg(F.avg(out)).first()[0]
-        fill = F.lit(m)
-    te = te.withColumn(out, F.when(F.col("_gm").isNull() | F.col(out).isNull()
-                                   & (F.col("_gm") != 0), fill).otherwise(F.col(out)))
-    return tr.drop("_gm"), te.drop("_gm")
+        fill = F.lit(ratio_mean)
+    te = te.withColumn(out, F.when(~F.col("_seen"), fill).otherwise(F.col(out)))
+    return tr.drop("_seen"), te.drop("_seen")
 
 
 # ---------------------------------------------------------------- D6

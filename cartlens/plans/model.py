@@ -50,10 +50,9 @@ def encoder_pipeline(frame: DataFrame, fill_nulls: bool = True) -> tuple[Pipelin
     cats = tr.categorical_columns(frame)
     nums = tr.numeric_columns(frame)
     stages = []
-    for c in cats:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-    if cats:
+    if cats:  # one indexer for all columns: a single pass over the data
+        stages.append(StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats],
+                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cats],
                                     outputCols=[f"{c}__oh" for c in cats], dropLast=True))
     stages.append(VectorAssembler(inputCols=nums + [f"{c}__oh" for c in cats],

@@ -46,10 +46,10 @@ def engineer(df: DataFrame, state: Prepared | None = None) -> DataFrame:
     """
     state = state if state is not None else Prepared()
     df = coerce_numeric(df)
-    if not state.amount_edges:
-        state.amount_edges = fe.qcut_edges(df, "purchase_amount_usd", 4)
-    if not state.previous_edges:
-        state.previous_edges = fe.qcut_edges(df, "previous_purchases", 4)
+    if not state.amount_edges or not state.previous_edges:
+        edges = fe.qcut_edges_multi(df, {"purchase_amount_usd": 4, "previous_purchases": 4})
+        state.amount_edges = state.amount_edges or edges["purchase_amount_usd"]
+        state.previous_edges = state.previous_edges or edges["previous_purchases"]
     if not state.top_locations:
         state.top_locations = st.top_labels(df, "location", L.TOP_LOCATIONS)
 

@@ -50,7 +50,7 @@ def add_encodings(train: DataFrame, test: DataFrame, enc: Encodings | None = Non
         enc.conditionals[out] = t
         train = en.apply_conditional(train, t, out)
         test = en.apply_conditional(test, t, out)
-        test = en.fill_with_train_mean(train, test, out)
+        test = en.fill_with_train_mean(train, test, out, t.train_mean)
     cols = [c for _, c in PROB_COLUMNS]
     train = en.fit_score(train, cols, FIT_SCORE)
     test = en.fit_score(test, cols, FIT_SCORE)
