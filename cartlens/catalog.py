@@ -56,6 +56,19 @@ def q_shop_scan(spark, sf):
     return io.validate_columns(shop(spark, sf))
 
 
+@query("csv_scan")
+def q_csv_scan(spark, sf):
+    """A1-A3 on a real CSV: shop written with the original headers (numbers as
+    padded text) to the shared folder, then scanned back by ``read_customers``."""
+    import uuid
+    from .session import scratch_path
+    path = scratch_path(spark, f"customers-{uuid.uuid4().hex}.csv")
+    raw = shop(spark, sf).toDF(*RAW_HEADERS)
+    raw.write.option("header", True).csv(path)
+    df = io.read_customers(spark, path, "csv")
+    return df.select("customer_id", *[c for c in df.columns if c != "customer_id"])
+
+
 @query("header_normalize")
 def q_header_normalize(spark, sf):
     raw = shop(spark, sf).toDF(*RAW_HEADERS)

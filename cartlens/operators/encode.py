@@ -54,7 +54,8 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     partitioning or row order.
     """
     alloc = test_allocation(class_counts(df, label), test_size)
-    ranked = bucketed_rank(df, [label], hash_order(seed, key), [key], digits, "_rk")
+    ranked = bucketed_rank(df, [label], hash_order(seed, key), [key], digits, "_rk",
+                           n_strata=len(alloc))
     limit = F.create_map(*[F.lit(x) for k, v in alloc.items() if k is not None
                            for x in (k, v)])[F.col(label)]
     if None in alloc:

@@ -13,15 +13,20 @@ BROADCAST_ROWS = 2_000_000
 
 
 def join_small(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner",
-               null_safe: bool = False, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+               null_safe: bool = False, max_rows: int = BROADCAST_ROWS,
+               known_rows: int | None = None) -> DataFrame:
     """Join ``df`` with a fitted ``table`` on ``on`` columns.
 
     The table's row count is checked first (it is an aggregate, so the count
-    is cheap); only under ``max_rows`` is it broadcast. ``null_safe`` matches
+    is cheap) unless the caller passes a proven bound ``known_rows``; only
+    under ``max_rows`` is it broadcast. ``null_safe`` matches
     NULL keys to NULL keys (``<=>``), as pandas lookups do for NaN groups.
     """
     on = list(on)
-    small = table.limit(max_rows + 1).count() <= max_rows
+    if known_rows is not None:  # an upper bound proven by the caller
+        small = known_rows <= max_rows
+    else:
+        small = table.limit(max_rows + 1).count() <= max_rows
     right = F.broadcast(table) if small else table
     if not null_safe:
         return df.join(right, on, how)

@@ -102,6 +102,7 @@ W_ENG = with_ctes(SHOP, RARE, ENG.strip())
 ORACLE: dict[str, str] = {}
 
 ORACLE["shop_scan"] = W_SHOP + "SELECT * FROM shop"
+ORACLE["csv_scan"] = W_SHOP + "SELECT * FROM shop"
 ORACLE["header_normalize"] = W_SHOP + "SELECT * FROM shop"
 ORACLE["numeric_coercion"] = W_SHOP + "SELECT * FROM shop"
 ORACLE["rare_collapse"] = W_RARE + "SELECT * FROM rare"

@@ -144,7 +144,8 @@ def grid_for(name: str, est, n_train: int):
 def with_folds(df: DataFrame, key: str = "customer_id", label: str = "label",
                k: int = 5, seed: int = SEED) -> DataFrame:
     """Stratified fold id: per-class hash rank modulo k (exact, partition-free)."""
-    ranked = bucketed_rank(df, [label], hash_order(f"fold{seed}", key), [key], 3, "_r")
+    ranked = bucketed_rank(df, [label], hash_order(f"fold{seed}", key), [key], 3, "_r",
+                           n_strata=2)  # label is 0/1
     return ranked.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
