@@ -37,20 +37,18 @@ def _domain(df: DataFrame, col: str, cap: int = MAX_DOMAIN) -> list:
 
 
 # ---------------------------------------------------------------- C1
-def label_counts(df: DataFrame, cols: Sequence[str], with_total: bool = False) -> DataFrame:
+def label_counts(df: DataFrame, cols: Sequence[str], with_nulls: bool = False) -> DataFrame:
     """Long ``(name, value, n)`` counts for several columns in one pass.
 
-    With ``with_total`` a row ``(name=NULL, value=NULL, n=<all rows>)`` is
-    added by the same scan, so the share denominator needs no extra job.
+    With ``with_nulls`` the NULL label of each column is counted too, so the
+    per-column sum of ``n`` is the row count and no extra job is needed for it.
     """
     items = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
              for c in cols]
-    if with_total:
-        items.append(F.struct(F.lit(None).cast("string").alias("name"),
-                              F.lit(None).cast("string").alias("value")))
     stacked = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
-    keep = F.col("value").isNotNull() | F.col("name").isNull()
-    return stacked.where(keep).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    if not with_nulls:
+        stacked = stacked.where(F.col("value").isNotNull())
+    return stacked.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_labels(df: DataFrame, cols: Sequence[str],
@@ -59,12 +57,14 @@ def frequent_labels(df: DataFrame, cols: Sequence[str],
 
     At most ``floor(1/min_share)`` labels per column can qualify, so the
     collected result has a proven size bound, whatever the table size.
-    One scan: label counts and the row count come from the same aggregate.
+    One aggregation: the row count is the per-column sum over the count
+    table (a window partitioned by column name, over labels, not rows).
     """
-    counts = label_counts(df, cols, with_total=True)
-    rows = counts.where(F.col("name").isNull()).select("n").scalar()  # scalar subquery
-    kept = (counts.where(F.col("name").isNotNull())
-            .where(F.col("n") / rows >= F.lit(min_share))
+    from pyspark.sql.window import Window
+    counts = label_counts(df, cols, with_nulls=True)
+    rows = F.sum("n").over(Window.partitionBy("name"))
+    kept = (counts.withColumn("_rows", rows)
+            .where(F.col("value").isNotNull() & (F.col("n") / F.col("_rows") >= F.lit(min_share)))
             .select("name", "value"))
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in kept.collect():
@@ -93,11 +93,7 @@ def collapse_rare(df: DataFrame, cols: Sequence[str] | None = None,
 # ---------------------------------------------------------------- C2
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """``(value, n, pct)`` with pct the share of non-null rows, by count desc."""
-    present = df.where(F.col(col).isNotNull())
-    total = present.count()
-    counts = present.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return (counts.select(F.col(col).cast("string").alias("value"), "n",
-                          (F.col("n") * 100.0 / F.lit(float(total))).alias("pct"))
+    return (value_counts_many(df, [col]).select("value", "n", "pct")
             .orderBy(F.desc("n"), "value"))
 
 
