@@ -65,12 +65,14 @@ def _score_table(df: DataFrame, label: str, score: str, buckets: int, descending
                 F.sum(1 - F.col(label)).cast("long").alias("neg")))
     bt = per.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    wall = Window.partitionBy()  # totals over the bucket table, <= buckets rows
     off = bt.select("b", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("op"),
-                    F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("on"))
+                    F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("on"),
+                    F.sum("bp").over(wall).alias("P"), F.sum("bn").over(wall).alias("N"))
     order = F.desc("s") if descending else F.asc("s")
     ws = Window.partitionBy("b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (per.join(F.broadcast(off), "b")  # one row per bucket, bounded by ``buckets``
-            .select("s", "pos", "neg",
+            .select("s", "pos", "neg", "P", "N",
                     (F.col("op") + F.coalesce(F.sum("pos").over(ws), F.lit(0))).alias("pos_before"),
                     (F.col("on") + F.coalesce(F.sum("neg").over(ws), F.lit(0))).alias("neg_before")))
 
@@ -88,15 +90,16 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
               buckets: int = 4096) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, plus (inf, 0, 0)."""
     t = _score_table(df, label, score, buckets, descending=True)
-    P = t.agg(F.sum("pos")).scalar()  # scalar subqueries, no join
-    N = t.agg(F.sum("neg")).scalar()
-    pts = t.select(
-        F.col("s").alias("threshold"),
-        _div0(F.col("neg_before") + F.col("neg"), N).alias("fpr"),
-        _div0(F.col("pos_before") + F.col("pos"), P).alias("tpr"))
-    origin = t.limit(1).select(F.lit(float("inf")).alias("threshold"),
-                               F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return origin.unionByName(pts)
+    first = F.col("pos_before") + F.col("neg_before") == 0  # the highest score
+    pts = t.select(F.explode(F.array(
+        F.struct(F.col("s").alias("threshold"),
+                 _div0(F.col("neg_before") + F.col("neg"), F.col("N")).alias("fpr"),
+                 _div0(F.col("pos_before") + F.col("pos"), F.col("P")).alias("tpr"),
+                 F.lit(True).alias("keep")),
+        # the (inf, 0, 0) origin rides on the row of the highest score
+        F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+                 F.lit(0.0).alias("tpr"), first.alias("keep")))).alias("p"))
+    return pts.where("p.keep").select("p.threshold", "p.fpr", "p.tpr")
 
 
 # ---------------------------------------------------------------- G5, G6

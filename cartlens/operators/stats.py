@@ -163,12 +163,15 @@ def cramers_v_frame(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFr
     same |O - E|, so chi2 = (d - min(0.5, d))^2 * sum(1/E) over all 4 cells,
     where sum(1/E) = n * sum(1/R) * sum(1/C) needs only the margins.
     """
+    from pyspark.sql.window import Window
     pairs = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
              .groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
              .agg(F.count(F.lit(1)).alias("o")))
-    rows = pairs.groupBy("a").agg(F.sum("o").alias("R"), F.count(F.lit(1)).alias("ra"))
-    cols = pairs.groupBy("b").agg(F.sum("o").alias("C"), F.count(F.lit(1)).alias("cb"))
-    cells = pairs.join(rows, "a").join(cols, "b")
+    # margins by windows over the (small) pair table: the input is read once
+    wa, wb = Window.partitionBy("a"), Window.partitionBy("b")
+    cells = pairs.select("a", "b", "o",
+                         F.sum("o").over(wa).alias("R"), F.count(F.lit(1)).over(wa).alias("ra"),
+                         F.sum("o").over(wb).alias("C"), F.count(F.lit(1)).over(wb).alias("cb"))
     m = cells.agg(
         F.sum("o").alias("n"),
         F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k"),
