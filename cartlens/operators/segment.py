@@ -41,18 +41,23 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 # ---------------------------------------------------------------- E2
 def kmeans_best(df: DataFrame, k: int = 5, seed: int = 42, restarts: int = 10,
-                features: str = "features"):
+                features: str = "features", parallelism: int = 4):
     """Best of ``restarts`` k-means fits (seeds seed..seed+restarts-1) by cost.
 
-    The input should be materialised by the caller; every fit scans it.
+    The fits are independent, so up to ``parallelism`` run as concurrent Spark
+    jobs. The lowest cost wins, and the earliest seed on ties, whatever the
+    finishing order. The input should be materialised by the caller, since
+    every fit scans it.
     """
-    best = None
-    for s in range(seed, seed + restarts):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(s):
         m = KMeans(k=k, seed=s, featuresCol=features, predictionCol="raw_cluster").fit(df)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best[0]
+        return s, m, m.summary.trainingCost
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(fit, range(seed, seed + restarts)))
+    return min(fits, key=lambda t: (t[2], t[0]))[1]
 
 
 def renumber_by(df: DataFrame, cluster: str, by: str, out: str = "cluster") -> DataFrame:
