@@ -72,8 +72,10 @@ def split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int
 
 # ---------------------------------------------------------------- D2, D3, D4
 # Fitted tables with at most this many rows are applied as literal map
-# lookups (a projection: no join, no shuffle); larger ones by a join.
-LOOKUP_ROWS = 100_000
+# lookups (a projection: no join, no shuffle). A literal map lookup scans its
+# keys linearly, so larger tables go through the size-checked broadcast hash
+# join instead (constant-time probe per row).
+LOOKUP_ROWS = 1_000
 
 
 def _key(*cols) -> F.Column:
