@@ -474,7 +474,8 @@ def model_data(spark, sf):
     from .plans import model as mo
     key = (id(spark), sf)
     if key not in _MODEL_DATA:
-        _MODEL_DATA[key] = mo.prepare_model_data(engineered(spark, sf))
+        state = Prepared()
+        _MODEL_DATA[key] = mo.prepare_model_data(engineered(spark, sf, state), prep_state=state)
     return _MODEL_DATA[key]
 
 
@@ -572,6 +573,17 @@ def scoring_bundle(spark, sf):
                          dict(L.SEGMENT_NAMES))
 
 
+@query("score_trained")
+def q_score_trained(spark, sf):
+    """H1 in trained mode: every customer scored through the fitted pipeline."""
+    from .plans import model as mo
+    p, m = tuned_logistic(spark, sf)
+    b = scoring_bundle(spark, sf)
+    scored = mo.score(m, mo.transform_new(shop(spark, sf), p))
+    return scored.select("customer_id", r6("score").alias("probability"),
+                         (F.col("score") >= F.lit(b.threshold)).alias("subscribes"))
+
+
 @query("request_features")
 def q_request_features(spark, sf):
     from .plans.scoring import FORM_NUMERIC, request_features

@@ -180,53 +180,74 @@ def fit_score(df: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D5
-def group_mean_ratio(train: DataFrame, test: DataFrame, group: str, value: str, out: str,
-                     fallback: str = "global_mean", max_rows: int = LOOKUP_ROWS
-                     ) -> tuple[DataFrame, DataFrame]:
-    """``value / train mean of value in its group``.
+@dataclass
+class GroupMeans:
+    """Train means of ``value`` per ``group`` and the global train mean.
 
-    Test rows whose group is unseen fall back to ``value / train global
-    mean`` (``global_mean``) or to the train mean of the ratio (any other
-    ``fallback``). A zero group mean gives NULL (pandas would give inf).
-    One aggregate gives per-group sums and counts (NULL group included, for
-    the global mean); under ``max_rows`` groups they become literal maps.
+    ``means`` is a literal dict when there are at most ``LOOKUP_ROWS`` groups,
+    otherwise ``means_df`` holds ``(group, _gm)`` for a join.
     """
+    group: str
+    value: str
+    means: dict | None
+    means_df: DataFrame | None
+    global_mean: float | None
+
+
+def fit_group_means(train: DataFrame, group: str, value: str,
+                    max_rows: int = LOOKUP_ROWS) -> GroupMeans:
+    """One aggregate: per-group sums and counts (NULL group included, so the
+    global mean covers every row, as in the analysed code)."""
     v = F.col(value)
     agg = train.groupBy(group).agg(F.sum(v).alias("_s"), F.count(v).alias("_c"))
     rows = agg.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        means = {str(r[group]): (r["_s"] / r["_c"] if r["_c"] else None)
-                 for r in rows if r[group] is not None}
-        tot_s = sum(r["_s"] or 0.0 for r in rows)
+        means = {str(r[group]): r["_s"] / r["_c"]
+                 for r in rows if r[group] is not None and r["_c"]}
         tot_c = sum(r["_c"] for r in rows)
-        gm = tot_s / tot_c if tot_c else None
-        gmean = _lookup({k: m for k, m in means.items() if m is not None}, _key(group))
-        seen = F.col(group).cast("string").isin([k for k, m in means.items() if m is not None])
-
-        def ratio(df):
-            return df.withColumn(out, F.try_divide(v, gmean)).withColumn("_seen", seen)
-        tr, te = ratio(train), ratio(test)
-        ratio_mean = None
-        if fallback != "global_mean":
-            ratio_mean = tr.agg(F.avg(out)).first()[0]
-    else:
-        means_df = agg.where(F.col(group).isNotNull()).select(
-            group, F.try_divide(F.col("_s"), F.col("_c")).alias("_gm"))
-        tot = agg.agg(F.sum("_s"), F.sum("_c")).first()
-        gm = tot[0] / tot[1] if tot[1] else None
-
-        def ratio(df):
-            x = join_small(df, means_df, [group], "left")
-            return (x.withColumn(out, F.try_divide(v, F.col("_gm")))
-                    .withColumn("_seen", F.col("_gm").isNotNull()).drop("_gm"))
-        tr, te = ratio(train), ratio(test)
-        ratio_mean = tr.agg(F.avg(out)).first()[0] if fallback != "global_mean" else None
-    if fallback == "global_mean":
-        fill = F.try_divide(v, F.lit(gm)) if gm is not None else F.lit(None)
+        gm = sum(r["_s"] or 0.0 for r in rows) / tot_c if tot_c else None
+        return GroupMeans(group, value, means, None, gm)
+    means_df = agg.where(F.col(group).isNotNull() & (F.col("_c") > 0)).select(
+        group, (F.col("_s") / F.col("_c")).alias("_gm"))
+    tot = agg.agg(F.sum("_s"), F.sum("_c")).first()
+    return GroupMeans(group, value, None, means_df, tot[0] / tot[1] if tot[1] else None)
+
+
+def apply_group_means(df: DataFrame, gm: GroupMeans, out: str, fill_unseen: bool,
+                      fill: F.Column | None = None) -> DataFrame:
+    """``out = value / group mean``; rows of unseen groups get ``fill`` when
+    ``fill_unseen`` (default ``value / global mean``), else NULL. A zero group
+    mean gives NULL (pandas would give inf)."""
+    v = F.col(gm.value)
+    if gm.means is not None:
+        mean = _lookup(gm.means, _key(gm.group))
+        x = df.withColumn("_gm", mean)
     else:
-        fill = F.lit(ratio_mean)
-    te = te.withColumn(out, F.when(~F.col("_seen"), fill).otherwise(F.col(out)))
-    return tr.drop("_seen"), te.drop("_seen")
+        x = join_small(df, gm.means_df, [gm.group], "left")
+    ratio = F.try_divide(v, F.col("_gm"))
+    if fill_unseen:
+        if fill is None:
+            fill = (F.try_divide(v, F.lit(gm.global_mean)) if gm.global_mean is not None
+                    else F.lit(None).cast("double"))
+        ratio = F.when(F.col("_gm").isNull(), fill).otherwise(ratio)
+    return x.withColumn(out, ratio).drop("_gm")
+
+
+def group_mean_ratio(train: DataFrame, test: DataFrame, group: str, value: str, out: str,
+                     fallback: str = "global_mean", max_rows: int = LOOKUP_ROWS
+                     ) -> tuple[DataFrame, DataFrame]:
+    """``value / train mean of value in its group`` on train and test.
+
+    Test rows whose group is unseen fall back to ``value / train global
+    mean`` (``global_mean``) or to the train mean of the ratio (any other
+    ``fallback``).
+    """
+    gm = fit_group_means(train, group, value, max_rows)
+    tr = apply_group_means(train, gm, out, fill_unseen=False)
+    fill = None
+    if fallback != "global_mean":
+        fill = F.lit(tr.agg(F.avg(out)).first()[0]).cast("double")
+    return tr, apply_group_means(test, gm, out, fill_unseen=True, fill=fill)
 
 
 # ---------------------------------------------------------------- D6

@@ -73,16 +73,21 @@ def frequent_labels(df: DataFrame, cols: Sequence[str],
 
 
 def collapse_rare(df: DataFrame, cols: Sequence[str] | None = None,
-                  min_share: float = L.RARE_SHARE, label: str = L.RARE_LABEL) -> DataFrame:
+                  min_share: float = L.RARE_SHARE, label: str = L.RARE_LABEL,
+                  keep: dict[str, list] | None = None) -> DataFrame:
     """Labels with share strictly below ``min_share`` become ``label``.
 
     The share denominator is all rows, nulls included; nulls stay null.
-    Every string column is considered when ``cols`` is None.
+    Every string column is considered when ``cols`` is None. ``keep`` applies
+    frequent labels fitted earlier (new data is collapsed like training data).
     """
-    cols = list(cols) if cols is not None else string_columns(df)
-    if not cols or min_share <= 0:
+    if keep is not None:
+        cols = [c for c in keep if c in df.columns]
+    else:
+        cols = list(cols) if cols is not None else string_columns(df)
+    if not cols or (keep is None and min_share <= 0):
         return df
-    keep = frequent_labels(df, cols, min_share)
+    keep = keep if keep is not None else frequent_labels(df, cols, min_share)
     return df.withColumns({
         c: F.when(F.col(c).isNull() | F.col(c).isin(keep[c]), F.col(c))
             .otherwise(F.lit(label))

@@ -163,7 +163,9 @@ def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism
 
 # ---------------------------------------------------------------- assembled data
 @dataclass
-class Prepared:
+class ModelData:
+    """Assembled train/test frames plus every fitted piece needed to turn new
+    raw rows into the same feature vectors (see :func:`transform_new`)."""
     train: DataFrame
     test: DataFrame
     encoder: PipelineModel
@@ -172,14 +174,17 @@ class Prepared:
     importances: list
     scaler: VectorScaler
     n_train: int
-    extra: dict = field(default_factory=dict)
+    numeric: list = field(default_factory=list)
+    encodings: object = None
+    prep_state: object = None
 
 
-def prepare_model_data(eng: DataFrame, select: bool = True) -> Prepared:
+def prepare_model_data(eng: DataFrame, select: bool = True, prep_state=None) -> ModelData:
     """Split, fit encodings on train, one-hot, select, scale; both sides
     materialised once so CV and fits read written data."""
     train, test = tr.split_frame(eng)
-    train, test = tr.add_encodings(train, test)
+    encs = tr.Encodings()
+    train, test = tr.add_encodings(train, test, encs)
     mtrain, mtest = tr.model_frame(train), tr.model_frame(test)
     pipe, _, nums = encoder_pipeline(mtrain)
     mtrain, mtest = fe.fill_zero(mtrain, nums), fe.fill_zero(mtest, nums)
@@ -198,7 +203,21 @@ def prepare_model_data(eng: DataFrame, select: bool = True) -> Prepared:
     scaler = fit_vector_scaler(strain)
     ftrain = materialize(with_folds(scaler.transform(strain)))
     ftest = materialize(scaler.transform(stest))
-    return Prepared(ftrain, ftest, enc, names, keep, imp, scaler, ftrain.count())
+    return ModelData(ftrain, ftest, enc, names, keep, imp, scaler, ftrain.count(),
+                     nums, encs, prep_state)
+
+
+def transform_new(raw: DataFrame, md: ModelData) -> DataFrame:
+    """H1 in trained mode: raw customer rows -> the model's scaled feature
+    vector, reusing every fitted piece (labels, cuts, encodings, one-hot,
+    selected slots, scaler). Map-only apart from broadcast lookups."""
+    from .prepare import apply_prepared
+    eng = apply_prepared(raw, md.prep_state)
+    mf = tr.model_frame(tr.apply_encodings(eng, md.encodings))
+    mf = fe.fill_zero(mf, md.numeric)
+    a = md.encoder.transform(mf).select("customer_id", "raw")
+    sel = VectorSlicer(inputCol="raw", outputCol="sel", indices=md.keep).transform(a)
+    return md.scaler.transform(sel)
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -206,7 +225,7 @@ def score(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
 
-def compare_cv(p: Prepared, names: list[str] | None = None) -> tuple[DataFrame, str]:
+def compare_cv(p: ModelData, names: list[str] | None = None) -> tuple[DataFrame, str]:
     """F5 + F6: (model, cv_auc_mean, cv_auc_std, position) and the winner."""
     rows = []
     n_fit = max(1, round(p.n_train * 4 / 5))  # rows of each CV fit
@@ -225,7 +244,7 @@ def compare_cv(p: Prepared, names: list[str] | None = None) -> tuple[DataFrame,
     return df, best[0]
 
 
-def tune(p: Prepared, name: str):
+def tune(p: ModelData, name: str):
     """grid search by 5-fold AUC; returns the refitted best model."""
     est = dict(candidates(p.n_train))[name]
     cvm = cross_validate(p.train, est, grid_for(name, est, p.n_train))

@@ -26,12 +26,14 @@ class Prepared:
     top_locations: list[str] = field(default_factory=list)
     cramers_v: float | None = None
     dropped: list[str] = field(default_factory=list)
+    frequent: dict = field(default_factory=dict)
 
 
 def clean(raw: DataFrame, state: Prepared | None = None) -> DataFrame:
     """Collapse rare labels in every string column, then drop a redundant flag."""
     state = state if state is not None else Prepared()
-    df = st.collapse_rare(raw)
+    state.frequent = st.frequent_labels(raw, st.string_columns(raw))
+    df = st.collapse_rare(raw, keep=state.frequent)
     df, v = st.drop_redundant(df)
     state.cramers_v = v
     state.dropped = [c for c in raw.columns if c not in df.columns]
@@ -98,3 +100,11 @@ def prepare(raw: DataFrame, state: Prepared | None = None,
     if materialize_input:
         raw = materialize(raw)
     return engineer(clean(raw, state), state)
+
+
+def apply_prepared(raw: DataFrame, state: Prepared) -> DataFrame:
+    """Prepare new rows exactly like the fitted data: stored frequent labels,
+    the same dropped columns, stored cut points and top locations. No refit."""
+    df = st.collapse_rare(raw, keep=state.frequent)
+    df = df.drop(*[c for c in state.dropped if c in df.columns])
+    return engineer(df, state)

@@ -29,7 +29,9 @@ RATIOS = [("category", "purchase_amount_usd", "rel_spend_cat_new"),
 
 @dataclass
 class Encodings:
+    """Everything fitted on train: conditional tables and group means."""
     conditionals: dict = field(default_factory=dict)
+    ratios: dict = field(default_factory=dict)
 
 
 def split_frame(eng: DataFrame, seed: int = 42, test_size: float = 0.2
@@ -55,13 +57,30 @@ def add_encodings(train: DataFrame, test: DataFrame, enc: Encodings | None = Non
     train = en.fit_score(train, cols, FIT_SCORE)
     test = en.fit_score(test, cols, FIT_SCORE)
     for group, value, out in RATIOS:
-        train, test = en.group_mean_ratio(train, test, group, value, out, "global_mean")
+        gm = en.fit_group_means(train, group, value)
+        enc.ratios[out] = gm
+        train = en.apply_group_means(train, gm, out, fill_unseen=False)
+        test = en.apply_group_means(test, gm, out, fill_unseen=True)
     return train, test
 
 
+def apply_encodings(df: DataFrame, enc: Encodings) -> DataFrame:
+    """Apply fitted encodings to new rows, the way test rows get them."""
+    for _, out in PROB_COLUMNS:
+        t = enc.conditionals[out]
+        df = en.apply_conditional(df, t, out)
+        if t.train_mean is not None:
+            df = df.withColumn(out, F.coalesce(F.col(out), F.lit(t.train_mean)))
+    df = en.fit_score(df, [c for _, c in PROB_COLUMNS], FIT_SCORE)
+    for _, _, out in RATIOS:
+        df = en.apply_group_means(df, enc.ratios[out], out, fill_unseen=True)
+    return df
+
+
 def model_frame(df: DataFrame) -> DataFrame:
     """Drop raw/identifier columns and leaky features; keep the label."""
-    label = fe.flag_expr(F.col("subscription_status") == "Yes").alias("label")
+    label = (fe.flag_expr(F.col("subscription_status") == "Yes")
+             if "subscription_status" in df.columns else F.lit(0)).alias("label")
     keep = fe.drop_prefixed(fe.drop_present(df, L.MODEL_DROP_COLUMNS), L.LEAKAGE_PREFIXES)
     return df.select("customer_id", label, *keep.columns)
 

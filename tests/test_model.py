@@ -43,3 +43,16 @@ def test_save_load_equal_scores(spark, prepared, tmp_path):
     b = mo.score(models["m"], prepared.test).select("customer_id", F.col("score").alias("s2"))
     assert meta == {"k": 1}
     assert a.join(b, "customer_id").where(F.abs(F.col("score") - F.col("s2")) > 1e-12).count() == 0
+
+
+def test_trained_path_reproduces_test_scores(spark, prepared):
+    """Raw test customers scored through the stored fits equal the test split."""
+    from cartlens import catalog
+    lr = dict(mo.candidates(prepared.n_train))["LogisticRegression"].fit(prepared.train)
+    ids = prepared.test.select("customer_id")
+    raw = catalog.shop(spark, SF_CHECK).join(ids, "customer_id")
+    a = mo.score(lr, prepared.test).select("customer_id", "score")
+    b = mo.score(lr, mo.transform_new(raw, prepared)).select("customer_id", F.col("score").alias("s2"))
+    j = a.join(b, "customer_id")
+    assert j.count() == prepared.test.count()
+    assert j.where(F.abs(F.col("score") - F.col("s2")) > 1e-9).count() == 0

@@ -35,5 +35,5 @@ def test_every_query_has_oracle_or_is_model_backed():
     assert set(o) <= set(q)
     model_backed = {"kmeans_segments", "pca_projection", "feature_selection", "cv_logistic",
                     "tuned_logistic_scores", "coefficients_top", "importance_top",
-                    "model_comparison", "score_requests", "bundle_roundtrip"}
+                    "model_comparison", "score_requests", "bundle_roundtrip", "score_trained"}
     assert set(q) - set(o) == model_backed
