@@ -75,85 +75,121 @@ def cut(df: DataFrame, col: str, edges, labels, out: str,
 
 
 def exact_quantiles_multi(df: DataFrame, probs: dict[str, Sequence[float]],
-                          accuracy: int = 100000) -> dict[str, list[float]]:
-    """Exact linear-interpolation quantiles for several columns, in three scans.
+                          accuracy: int = 10000, max_collect: int = 100000
+                          ) -> dict[str, list[float]]:
+    """Exact linear-interpolation quantiles for several columns.
 
     ``percentile`` keeps every value of a column in one aggregation buffer,
-    which does not survive 100 TB. Instead:
-      1. one aggregate gives n/min/max and ``percentile_approx`` brackets
-         around each wanted rank (rank error <= n / accuracy, plus a margin);
-      2. one aggregate counts rows below every bracket;
-      3. one ``groupBy`` collects the distinct values inside the brackets
-         with their counts (about 2n/accuracy rows per bracket at most,
-         fewer with ties, since equal values collapse into one row);
-    the driver then walks the small sorted lists. If a bracket misses, that
-    column is resolved again over its full range.
+    which does not survive 100 TB. Instead, for every wanted rank r:
+      1. ``percentile_approx`` gives a value bracket [a, b] holding rank r
+         (its rank error is at most n / accuracy; a margin is added);
+      2. one aggregate counts, per bracket, the rows below a and inside [a, b];
+         a bracket still holding more than ``max_collect`` rows is narrowed by
+         another ``percentile_approx`` over the rows inside it only, and so on
+         (each round shrinks it by about accuracy / 4);
+      3. one ``groupBy(value)`` collects the values inside the final brackets
+         with their counts (ties collapse to one row), at most
+         ``max_collect`` rows per bracket, and the driver walks them.
+    Every wanted rank is checked against the counts, so the result is exact.
     """
+    from collections import defaultdict
     cols = list(probs)
     margin = 2.0 / accuracy + 1e-9
+    x = {c: F.col(c).cast("double") for c in cols}
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
         qs = []
         for p in probs[c]:
             qs += [max(0.0, p - margin), min(1.0, p + margin)]
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy).alias(f"q{i}")]
+        aggs += [F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"lo{i}"),
+                 F.max(x[c]).alias(f"hi{i}"),
+                 F.percentile_approx(x[c], F.array(*[F.lit(q) for q in qs]), accuracy)
+                 .alias(f"q{i}")]
     st = df.agg(*aggs).first()
 
-    def resolve(brs):  # brs: list of (col_index, a, b)
-        below = [F.count_if(F.col(cols[i]).cast("double") < F.lit(a)).alias(f"b{j}")
-                 for j, (i, a, _) in enumerate(brs)]
-        counts = df.agg(*below).first()
-        items = [F.struct(F.lit(j).alias("j"), F.col(cols[i]).cast("double").alias("v"))
-                 for j, (i, _, _) in enumerate(brs)]
-        inside = (df.select(F.explode(F.array(*items)).alias("t")).select("t.*")
-                  .where(F.col("v").isNotNull()))
-        cond = None
-        for j, (_, a, b) in enumerate(brs):
-            e = (F.col("j") == j) & (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
-            cond = e if cond is None else cond | e
-        vals = (inside.where(cond).groupBy("j", "v").agg(F.count(F.lit(1)).alias("c"))
-                .orderBy("j", "v").collect())
-        per = {j: [] for j in range(len(brs))}
-        for r in vals:
+    # targets: (column index, position k, rank r0, rank r1, bracket a, b)
+    targets = []
+    for i, c in enumerate(cols):
+        n = st[f"n{i}"]
+        for k, p in enumerate(probs[c]):
+            if not n:
+                continue
+            h = (n - 1) * p
+            r0, r1 = int(h // 1), min(int(-(-h // 1)), n - 1)
+            targets.append([i, k, r0, r1, st[f"q{i}"][2 * k], st[f"q{i}"][2 * k + 1], h])
+
+    def counts(ts):
+        aggs = []
+        for j, (i, _, _, _, a, b, _) in enumerate(ts):
+            v = x[cols[i]]
+            aggs += [F.count_if(v < F.lit(a)).alias(f"b{j}"),
+                     F.count_if((v >= F.lit(a)) & (v <= F.lit(b))).alias(f"m{j}")]
+        return df.agg(*aggs).first()
+
+    c = None
+    for _ in range(8):  # narrowing rounds; a handful suffice at any size
+        c = counts(targets)
+        wide = []
+        for j, t in enumerate(targets):
+            i, _, r0, r1, a, b, _ = t
+            below, inside = c[f"b{j}"], c[f"m{j}"]
+            if not (below <= r0 and r1 < below + inside):  # missed: full range
+                t[4], t[5] = st[f"lo{i}"], st[f"hi{i}"]
+                wide.append(j)
+            elif inside > max_collect:
+                wide.append(j)
+        if not wide:
+            break
+        c = counts(targets)
+        aggs = []
+        for j in wide:
+            i, _, r0, r1, a, b, _ = targets[j]
+            below, inside = c[f"b{j}"], c[f"m{j}"]
+            v = x[cols[i]]
+            lo_q = max(0.0, (r0 - below) / max(inside - 1, 1) - margin)
+            hi_q = min(1.0, (r1 - below) / max(inside - 1, 1) + margin)
+            inside_v = F.when((v >= F.lit(a)) & (v <= F.lit(b)), v)
+            aggs.append(F.percentile_approx(inside_v, F.array(F.lit(lo_q), F.lit(hi_q)),
+                                            accuracy).alias(f"w{j}"))
+        r = df.agg(*aggs).first()
+        for j in wide:
+            targets[j][4], targets[j][5] = r[f"w{j}"][0], r[f"w{j}"][1]
+        c = None
+    if c is None:
+        c = counts(targets)
+    items = [F.struct(F.lit(j).alias("j"), x[cols[i]].alias("v"))
+             for j, (i, *_rest) in enumerate(targets)]
+    cond = None
+    for j, (_, _, _, _, a, b, _) in enumerate(targets):
+        e = (F.col("j") == j) & (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
+        cond = e if cond is None else cond | e
+    per = defaultdict(list)
+    if targets:
+        inside = df.select(F.explode(F.array(*items)).alias("t")).select("t.*")
+        for r in (inside.where(cond).groupBy("j", "v").agg(F.count(F.lit(1)).alias("c"))
+                  .orderBy("j", "v").collect()):
             per[r["j"]].append((r["v"], r["c"]))
-        return [counts[f"b{j}"] for j in range(len(brs))], per
 
     def value_at(rank, below, vals):
         acc = below
-        for v, c in vals:
-            acc += c
+        for v, cnt in vals:
+            acc += cnt
             if rank < acc:
                 return v
-        return None
+        raise RuntimeError("rank outside its bracket")
 
-    brs, where = [], []
-    for i, c in enumerate(cols):
-        if not st[f"n{i}"]:
-            continue
-        for k in range(len(probs[c])):
-            brs.append((i, st[f"q{i}"][2 * k], st[f"q{i}"][2 * k + 1]))
-            where.append((i, k))
-    below, per = resolve(brs) if brs else ([], {})
     out = {c: [float("nan")] * len(probs[c]) for c in cols}
-    for j, (i, k) in enumerate(where):
-        n, p = st[f"n{i}"], probs[cols[i]][k]
-        h = (n - 1) * p
-        r0, r1 = int(h // 1), min(int(-(-h // 1)), n - 1)
-        v0 = value_at(r0, below[j], per[j]) if below[j] <= r0 else None
-        v1 = value_at(r1, below[j], per[j]) if below[j] <= r1 else None
-        if v0 is None or v1 is None:  # bracket missed: exact pass over the full range
-            fb, fv = resolve([(i, st[f"lo{i}"], st[f"hi{i}"])])
-            v0, v1 = value_at(r0, fb[0], fv[0]), value_at(r1, fb[0], fv[0])
+    for j, (i, k, r0, r1, _, _, h) in enumerate(targets):
+        below = c[f"b{j}"]
+        v0, v1 = value_at(r0, below, per[j]), value_at(r1, below, per[j])
         out[cols[i]][k] = v0 + (h - r0) * (v1 - v0)
     return out
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    accuracy: int = 100000) -> list[float]:
+                    accuracy: int = 10000, max_collect: int = 100000) -> list[float]:
     """Exact quantiles of one column (see :func:`exact_quantiles_multi`)."""
-    return exact_quantiles_multi(df, {col: list(probs)}, accuracy)[col]
+    return exact_quantiles_multi(df, {col: list(probs)}, accuracy, max_collect)[col]
 
 
 def qcut_edges_multi(df: DataFrame, cols: dict[str, int], exact: bool = True

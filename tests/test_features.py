@@ -49,9 +49,23 @@ def test_exact_quantiles_match_numpy(spark):
     import numpy as np
     vals = [float((i * 37) % 101) for i in range(997)] + [5.0] * 300
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7)
-    got = fe.exact_quantiles(df, "x", [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1], accuracy=50)
-    want = np.quantile(np.array(vals), [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1])
+    ps = [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]
+    want = np.quantile(np.array(vals), ps)
+    got = fe.exact_quantiles(df, "x", ps, accuracy=50)
     assert np.allclose(got, want, rtol=0, atol=1e-9)
+    # tiny collect cap: brackets are narrowed in rounds, still exact
+    got = fe.exact_quantiles(df, "x", ps, accuracy=20, max_collect=3)
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_exact_quantiles_continuous_narrowing(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    vals = rng.lognormal(size=20000).tolist()
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
+    ps = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = fe.exact_quantiles(df, "x", ps, accuracy=100, max_collect=50)
+    assert np.allclose(got, np.quantile(np.array(vals), ps), rtol=0, atol=1e-12)
 
 
 def test_unknown_labels(spark):
