@@ -513,12 +513,10 @@ def q_tuned_scores(spark, sf):
 
 @query("coefficients_top")
 def q_coefficients(spark, sf):
+    from .plans import model as mo
     p, m = tuned_logistic(spark, sf)
-    names = [p.names[i] for i in p.keep]
-    rows = [(n, float(c)) for n, c in zip(names, m.coefficients.toArray())]
-    df = spark.createDataFrame(rows, "feature string, coef double")
-    return (df.select("feature", r6("coef").alias("coef"), r6(F.exp("coef")).alias("odds_ratio"))
-            .orderBy(F.desc(F.abs("coef")), "feature").limit(20))
+    t = mo.top_coefficients(m, [p.names[i] for i in p.keep], 20)
+    return t.select("feature", r6("coef").alias("coef"), r6("odds_ratio").alias("odds_ratio"))
 
 
 @query("importance_top")
@@ -526,35 +524,24 @@ def q_importance_top(spark, sf):
     from .plans import model as mo
     p = model_data(spark, sf)
     rf = dict(mo.candidates(p.n_train))["RandomForest"].fit(p.train)
-    names = [p.names[i] for i in p.keep]
-    rows = [(n, float(v)) for n, v in zip(names, rf.featureImportances.toArray())]
-    df = spark.createDataFrame(rows, "feature string, importance double")
-    return df.select("feature", r6("importance").alias("importance")) \
-        .orderBy(F.desc("importance"), "feature").limit(20)
+    t = mo.top_importance(rf, [p.names[i] for i in p.keep], 20)
+    return t.select("feature", r6("importance").alias("importance"))
 
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    from .operators import evaluate as ev
     from .plans import model as mo
-    p = model_data(spark, sf)
-    out = None
-    for pos, (name, est) in enumerate(mo.candidates(p.n_train)):
-        sc = materialize_frame(mo.score(est.fit(p.train), p.test).select("label", "score"))
-        sw = ev.threshold_sweep(sc)
-        best = ev.best_threshold(sw).first()
-        thr = best["threshold"]
-        at = ev.binary_metrics(sc, threshold=thr).first()
-        d = ev.binary_metrics(sc).first()
-        auc = ev.roc_auc(sc).first()["auc"]
-        row = spark.createDataFrame(
-            [(name, pos, float(thr), d["precision"], d["recall"], d["f1"], at["precision"],
-              at["recall"], at["f1"], at["accuracy"], float(auc))],
-            "model string, position int, threshold double, precision_default double, "
-            "recall_default double, f1_default double, precision double, recall double, "
-            "f1 double, accuracy double, auc double")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return mo.compare_models(model_data(spark, sf))
+
+
+@query("cv_folds")
+def q_cv_folds(spark, sf):
+    """F5's stratified fold column over the training split (SQL-checkable)."""
+    from .plans import model as mo
+    from .plans.training import model_frame, split_frame
+    train, _ = split_frame(engineered(spark, sf))
+    return mo.with_folds(model_frame(train).select("customer_id", "label")) \
+        .select("customer_id", "label", "fold")
 
 
 # ---------------------------------------------------------------- A4, H: bundle and scoring

@@ -51,6 +51,15 @@ def climate_expr(location: str | Column) -> Column:
     return map_expr(location, mapping, default="Unknown")
 
 
+def interactions(df: DataFrame, promo: str = "promo_code_used",
+                 loyalty: str = "loyalty_score_new",
+                 frequency: str = "frequency_value_new") -> DataFrame:
+    """B11: promo flag times loyalty score and times yearly frequency."""
+    flag = F.coalesce(F.col(promo) == "Yes", F.lit(False)).cast("int")
+    return df.withColumns({"promo_x_loyalty": flag * F.col(loyalty),
+                           "promo_x_freq": flag.cast("double") * F.col(frequency)})
+
+
 # ---------------------------------------------------------------- B4-B7
 def cut_expr(col: str | Column, edges: Sequence[float], labels: Sequence,
              include_lowest: bool = False) -> Column:

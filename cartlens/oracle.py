@@ -561,5 +561,13 @@ best AS (SELECT customer_id, arg_min(cluster, (dist, cluster)) AS cluster FROM d
 SELECT customer_id, cluster AS segment, """ + _NAME_CASE + """ELSE 'Genel Segment' END AS segment_name FROM best"""
 
 
+ORACLE["cv_folds"] = W_SPLIT + """,
+lab AS (SELECT customer_id, CASE WHEN subscription_status = 'Yes' THEN 1 ELSE 0 END AS label FROM train)
+SELECT customer_id, label,
+       CAST((row_number() OVER (PARTITION BY label ORDER BY md5('fold42:' || CAST(customer_id AS VARCHAR)),
+                                customer_id) - 1) % 5 AS INTEGER) AS fold
+FROM lab"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -30,7 +30,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, Ve
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as fe
@@ -249,3 +249,49 @@ def tune(p: ModelData, name: str):
     est = dict(candidates(p.n_train))[name]
     cvm = cross_validate(p.train, est, grid_for(name, est, p.n_train))
     return cvm.bestModel, cvm
+
+
+def pick_best(cv: DataFrame) -> str:
+    """the candidate with the highest mean CV AUC; the first on ties."""
+    return (cv.orderBy(F.desc("cv_auc_mean"), F.asc("position"))
+            .select("model").first()["model"])
+
+
+def top_importance(model, names: list[str], n: int = 20) -> DataFrame:
+    """G8: feature importances of a tree model, largest first."""
+    spark = SparkSession.getActiveSession()
+    rows = [(f, float(v)) for f, v in zip(names, model.featureImportances.toArray())]
+    df = spark.createDataFrame(rows, "feature string, importance double")
+    return df.orderBy(F.desc("importance"), "feature").limit(n)
+
+
+def top_coefficients(model, names: list[str], n: int = 20) -> DataFrame:
+    """G9: coefficients with odds ratios, by absolute size."""
+    spark = SparkSession.getActiveSession()
+    rows = [(f, float(c)) for f, c in zip(names, model.coefficients.toArray())]
+    df = spark.createDataFrame(rows, "feature string, coef double")
+    return (df.withColumn("odds_ratio", F.exp("coef"))
+            .orderBy(F.desc(F.abs("coef")), "feature").limit(n))
+
+
+def compare_models(md: ModelData, names: list[str] | None = None) -> DataFrame:
+    """G10: every candidate fitted on train and scored on test; metrics at the
+    default 0.50 and at the best threshold for recall >= 0.85, and AUC."""
+    from ..operators import evaluate as ev
+    spark = md.train.sparkSession
+    rows = []
+    for pos, (name, est) in enumerate(candidates(md.n_train)):
+        if names is not None and name not in names:
+            continue
+        sc = materialize(score(est.fit(md.train), md.test).select("label", "score"))
+        thr = ev.best_threshold(ev.threshold_sweep(sc)).first()["threshold"]
+        at = ev.binary_metrics(sc, threshold=thr).first()
+        d = ev.binary_metrics(sc).first()
+        auc = ev.roc_auc(sc).first()["auc"]
+        rows.append((name, pos, float(thr), d["precision"], d["recall"], d["f1"],
+                     at["precision"], at["recall"], at["f1"], at["accuracy"],
+                     float(auc) if auc is not None else None))
+    return spark.createDataFrame(
+        rows, "model string, position int, threshold double, precision_default double, "
+              "recall_default double, f1_default double, precision double, recall double, "
+              "f1 double, accuracy double, auc double")
