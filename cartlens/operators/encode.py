@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import join_small
-from .ranking import bucketed_rank, hash_order
+from .ranking import bucket_digits, bucketed_rank, hash_order
 
 MAX_CLASSES = 10000
 
@@ -46,14 +46,17 @@ def test_allocation(counts: dict, test_size: float = 0.2) -> dict:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2,
-                     seed: int = 42, digits: int = 3) -> DataFrame:
+                     seed: int = 42, digits: int | None = None) -> DataFrame:
     """Adds ``is_test``: an exact stratified split, reproducible in SQL.
 
     Within each class, rows are ordered by ``md5('<seed>:<key>')`` and the
     first ``test[class]`` rows go to test. The result does not depend on
-    partitioning or row order.
+    partitioning or row order. The rank buckets grow with the largest class,
+    so no window partition holds more than ~200k rows.
     """
-    alloc = test_allocation(class_counts(df, label), test_size)
+    counts = class_counts(df, label)
+    digits = digits if digits is not None else bucket_digits(max(counts.values(), default=0))
+    alloc = test_allocation(counts, test_size)
     ranked = bucketed_rank(df, [label], hash_order(seed, key), [key], digits, "_rk",
                            n_strata=len(alloc))
     limit = F.create_map(*[F.lit(x) for k, v in alloc.items() if k is not None

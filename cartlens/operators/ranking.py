@@ -26,6 +26,15 @@ from pyspark.sql.window import Window
 from .joins import join_small
 
 
+def bucket_digits(largest_stratum: int, target_rows: int = 200_000, minimum: int = 3) -> int:
+    """Hex digits so that one (stratum, bucket) partition holds about
+    ``target_rows`` rows or fewer: 16**digits >= largest / target."""
+    d = minimum
+    while 16 ** d * target_rows < largest_stratum and d < 12:
+        d += 1
+    return d
+
+
 def hash_order(seed: int | str, key: str | Column) -> Column:
     """Deterministic pseudo-random order key, identical in Spark and DuckDB."""
     k = F.col(key) if isinstance(key, str) else key

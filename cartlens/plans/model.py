@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fe
 from ..operators import encode as en
-from ..operators.ranking import bucketed_rank, hash_order
+from ..operators.ranking import bucket_digits, bucketed_rank, hash_order
 from ..session import materialize
 from . import training as tr
 
@@ -142,9 +142,11 @@ def grid_for(name: str, est, n_train: int):
 
 # ---------------------------------------------------------------- F5
 def with_folds(df: DataFrame, key: str = "customer_id", label: str = "label",
-               k: int = 5, seed: int = SEED) -> DataFrame:
-    """Stratified fold id: per-class hash rank modulo k (exact, partition-free)."""
-    ranked = bucketed_rank(df, [label], hash_order(f"fold{seed}", key), [key], 3, "_r",
+               k: int = 5, seed: int = SEED, n_rows: int | None = None) -> DataFrame:
+    """Stratified fold id: per-class hash rank modulo k (exact, partition-free).
+    ``n_rows`` (if known) sizes the rank buckets."""
+    digits = bucket_digits(n_rows) if n_rows else 3
+    ranked = bucketed_rank(df, [label], hash_order(f"fold{seed}", key), [key], digits, "_r",
                            n_strata=2)  # label is 0/1
     return ranked.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
@@ -201,9 +203,10 @@ def prepare_model_data(eng: DataFrame, select: bool = True, prep_state=None) ->
     slicer = VectorSlicer(inputCol="raw", outputCol="sel", indices=keep)
     strain, stest = slicer.transform(atrain), slicer.transform(atest)
     scaler = fit_vector_scaler(strain)
-    ftrain = materialize(with_folds(scaler.transform(strain)))
+    n_train = atrain.count()  # a written table: cheap
+    ftrain = materialize(with_folds(scaler.transform(strain), n_rows=n_train))
     ftest = materialize(scaler.transform(stest))
-    return ModelData(ftrain, ftest, enc, names, keep, imp, scaler, ftrain.count(),
+    return ModelData(ftrain, ftest, enc, names, keep, imp, scaler, n_train,
                      nums, encs, prep_state)
 
 

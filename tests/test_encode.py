@@ -91,3 +91,18 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (0,)], "y int")
     w = {r.y: r.weight for r in en.balanced_weights(df, "y").collect()}
     assert w == {1: pytest.approx(4 / 6), 0: pytest.approx(2.0)}
+
+
+def test_bucket_digits_grow_with_class_size():
+    from cartlens.operators.ranking import bucket_digits
+    assert bucket_digits(1000) == 3
+    assert bucket_digits(10**10) == 4  # 65536 buckets -> ~150k rows each
+    assert 16 ** bucket_digits(10**12) * 200_000 >= 10**12
+
+
+def test_split_same_for_any_digits(spark):
+    df = _frame(spark, 3001)
+    a = en.stratified_split(df, "customer_id", "subscription_status", digits=1)
+    b = en.stratified_split(df, "customer_id", "subscription_status", digits=4)
+    key = lambda r: (r.customer_id, r.is_test)
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
