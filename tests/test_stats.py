@@ -85,3 +85,9 @@ def test_kde_integrates_to_one(spark):
         part = part.sort_values("point")
         area = ((part.density.values[1:] + part.density.values[:-1]) / 2 * part.x.diff().values[1:]).sum()
         assert area == pytest.approx(1.0, abs=0.02)
+
+
+def test_kde_skips_degenerate_group(spark):
+    df = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (2.0, "b"), (5.0, "b")], "v double, g string")
+    d = st.kde(df, "v", "g").toPandas()
+    assert set(d.g) == {"b"} and len(d) == 200
