@@ -72,11 +72,41 @@ def test_group_mean_ratio_fallbacks(spark):
     assert got["z"] is None  # zero group mean
 
 
-def test_leakage_test_labels_do_not_change_fit(spark):
-    train = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "g string, c string")
-    t1 = en.conditional_table(en.fit_conditional(train, "g", "c")).collect()
-    t2 = en.conditional_table(en.fit_conditional(train, "g", "c")).collect()
-    assert sorted(map(tuple, t1)) == sorted(map(tuple, t2))
+def test_leakage_test_rows_never_change_fits(spark):
+    """Fits read train only: scrambling every test value leaves them unchanged."""
+    from cartlens.plans import training as tr
+    rows = [(i, ["Cold", "Hot", "Cool"][i % 3], ["A", "B"][i % 2], ["S", "M"][i % 2 == 0],
+             ["Fall", "Winter"][i % 4 == 0], "18-30", float(i % 17), float(i % 5)) for i in range(300)]
+    schema = ("customer_id long, climate_group_new string, category string, size string, "
+              "season string, age_new string, purchase_amount_usd double, frequency_value_new double")
+    df = spark.createDataFrame(rows, schema)
+    train, test = df.where("customer_id % 4 != 0"), df.where("customer_id % 4 = 0")
+    scrambled = test.select("customer_id", *[F.lit("zzz").alias(c) for c in
+                            ["climate_group_new", "category", "size", "season", "age_new"]],
+                            F.lit(1e9).alias("purchase_amount_usd"), F.lit(-5.0).alias("frequency_value_new"))
+    e1, e2 = tr.Encodings(), tr.Encodings()
+    a_tr, _ = tr.add_encodings(train, test, e1)
+    b_tr, _ = tr.add_encodings(train, scrambled, e2)
+    for k in e1.conditionals:
+        assert e1.conditionals[k].pair_n == e2.conditionals[k].pair_n
+        assert e1.conditionals[k].train_mean == e2.conditionals[k].train_mean
+    for k in e1.ratios:
+        assert e1.ratios[k].means == e2.ratios[k].means
+        assert e1.ratios[k].global_mean == e2.ratios[k].global_mean
+    assert sorted(map(tuple, a_tr.collect())) == sorted(map(tuple, b_tr.collect()))
+
+
+def test_lookups_never_shuffle(spark):
+    big = spark.range(50000).select((F.col("id") % 40).cast("string").alias("g"),
+                                    (F.col("id") % 97).cast("string").alias("c"))
+    small_t = en.fit_conditional(big, "g", "c", max_rows=10**6)   # literal map
+    plan = en.apply_conditional(big, small_t, "p")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange hashpartitioning" not in plan
+    join_t = en.fit_conditional(big, "g", "c", max_rows=100)      # over the cap: joined
+    out = en.apply_conditional(big, join_t, "p")
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_constant_feature_standardizes_to_zero(spark):

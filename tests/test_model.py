@@ -56,3 +56,10 @@ def test_trained_path_reproduces_test_scores(spark, prepared):
     j = a.join(b, "customer_id")
     assert j.count() == prepared.test.count()
     assert j.where(F.abs(F.col("score") - F.col("s2")) > 1e-9).count() == 0
+
+
+def test_same_seed_same_model(spark, prepared):
+    rf = dict(mo.candidates(prepared.n_train))["RandomForest"]
+    a = rf.fit(prepared.train).featureImportances.toArray()
+    b = rf.copy().fit(prepared.train).featureImportances.toArray()
+    assert (a == b).all()
