@@ -455,6 +455,19 @@ def q_kmeans_segments(spark, sf):
     return out.select("customer_id", "cluster")
 
 
+@query("kmeans_silhouette")
+def q_kmeans_silhouette(spark, sf):
+    """E2 + E3: silhouette of the fitted segments (best of 10 restarts)."""
+    from .operators.segment import assemble, kmeans_best, renumber_by, segment_matrix, silhouette
+    z, _ = segment_matrix(engineered(spark, sf))
+    feats = materialize_frame(assemble(z, Z_COLS))
+    model = kmeans_best(feats, k=5, seed=42, restarts=10)
+    seg = renumber_by(model.transform(feats), "raw_cluster", "total_spend_weighted_new")
+    return silhouette(seg, Z_COLS, "cluster").select(
+        F.lit(5).alias("k"), r6("silhouette").alias("silhouette"),
+        F.lit(round(model.summary.trainingCost, 6)).alias("training_cost"))
+
+
 @query("pca_projection")
 def q_pca_projection(spark, sf):
     from .operators.segment import assemble, project, segment_matrix
