@@ -485,7 +485,7 @@ def model_data(spark, sf):
     """Split/encode/select/scale once per session and data folder; the frames
     are materialised in the shared checkpoint folder, so later queries reuse them."""
     from .plans import model as mo
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)  # unique per running context
     if key not in _MODEL_DATA:
         state = Prepared()
         _MODEL_DATA[key] = mo.prepare_model_data(engineered(spark, sf, state), prep_state=state)
@@ -511,7 +511,7 @@ def q_cv_logistic(spark, sf):
 def tuned_logistic(spark, sf):
     from .plans import model as mo
     p = model_data(spark, sf)
-    key = ("tuned", id(spark), sf)
+    key = ("tuned", spark.sparkContext.applicationId, sf)
     if key not in _MODEL_DATA:
         _MODEL_DATA[key] = mo.tune(p, "LogisticRegression")[0]
     return p, _MODEL_DATA[key]
