@@ -51,25 +51,52 @@ def label_counts(df: DataFrame, cols: Sequence[str], with_nulls: bool = False) -
     return stacked.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequent_labels(df: DataFrame, cols: Sequence[str],
-                    min_share: float = L.RARE_SHARE) -> dict[str, list[str]]:
-    """Labels whose share of all rows is at least ``min_share``.
-
-    At most ``floor(1/min_share)`` labels per column can qualify, so the
-    collected result has a proven size bound, whatever the table size.
-    One aggregation: the row count is the per-column sum over the count
-    table (a window partitioned by column name, over labels, not rows).
+def frequent_label_counts(df: DataFrame, cols: Sequence[str],
+                          min_share: float = L.RARE_SHARE
+                          ) -> tuple[dict[str, dict], dict[str, int]]:
+    """Counts of the labels whose share of all rows is at least ``min_share``,
+    and per column the number of non-null rows whose label is rarer.
+
+    At most ``floor(1/min_share)`` labels per column can qualify, so what is
+    collected has a proven size bound, whatever the table size. One
+    aggregation: the row count is the per-column sum over the count table (a
+    window partitioned by column name, over labels, not rows).
     """
     from pyspark.sql.window import Window
     counts = label_counts(df, cols, with_nulls=True)
-    rows = F.sum("n").over(Window.partitionBy("name"))
-    kept = (counts.withColumn("_rows", rows)
-            .where(F.col("value").isNotNull() & (F.col("n") / F.col("_rows") >= F.lit(min_share)))
-            .select("name", "value"))
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in kept.collect():
-        out[r["name"]].append(r["value"])
-    return out
+    by_col = Window.partitionBy("name")
+    x = (counts.withColumn("_rows", F.sum("n").over(by_col))
+         .withColumn("_f", F.col("value").isNotNull()
+                     & (F.col("n") / F.col("_rows") >= F.lit(min_share))))
+    x = (x.withColumn("_rare", F.sum(F.when(F.col("value").isNotNull() & ~F.col("_f"), F.col("n"))
+                                     .otherwise(0)).over(by_col))
+         .withColumn("_rn", F.row_number().over(by_col.orderBy("value"))))
+    # frequent labels, plus one row per column to carry its rare total
+    rows = (x.where(F.col("_f") | (F.col("_rn") == 1))
+            .select("name", "value", "n", "_rare", "_f").collect())
+    kept: dict[str, dict] = {c: {} for c in cols}
+    rare: dict[str, int] = {c: 0 for c in cols}
+    for r in rows:
+        rare[r["name"]] = r["_rare"]
+        if r["_f"]:
+            kept[r["name"]][r["value"]] = r["n"]
+    return kept, rare
+
+
+def frequent_labels(df: DataFrame, cols: Sequence[str],
+                    min_share: float = L.RARE_SHARE) -> dict[str, list[str]]:
+    """Labels whose share of all rows is at least ``min_share`` (see
+    :func:`frequent_label_counts`)."""
+    kept, _ = frequent_label_counts(df, cols, min_share)
+    return {c: list(v) for c, v in kept.items()}
+
+
+def top_after_collapse(kept: dict, rare: int, n: int, label: str = L.RARE_LABEL) -> list:
+    """Top-n labels of a column after rare collapse, from its collapse counts."""
+    cands = dict(kept)
+    if rare:
+        cands[label] = cands.get(label, 0) + rare
+    return [v for v, _ in sorted(cands.items(), key=lambda kv: (-kv[1], kv[0]))[:n]]
 
 
 def collapse_rare(df: DataFrame, cols: Sequence[str] | None = None,

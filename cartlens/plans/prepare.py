@@ -32,7 +32,12 @@ class Prepared:
 def clean(raw: DataFrame, state: Prepared | None = None) -> DataFrame:
     """Collapse rare labels in every string column, then drop a redundant flag."""
     state = state if state is not None else Prepared()
-    state.frequent = st.frequent_labels(raw, st.string_columns(raw))
+    kept, rare = st.frequent_label_counts(raw, st.string_columns(raw))
+    state.frequent = {c: list(v) for c, v in kept.items()}
+    if "location" in kept and not state.top_locations:
+        # top locations of the collapsed column come from the same counts
+        state.top_locations = st.top_after_collapse(kept["location"], rare["location"],
+                                                    L.TOP_LOCATIONS)
     df = st.collapse_rare(raw, keep=state.frequent)
     df, v = st.drop_redundant(df)
     state.cramers_v = v

@@ -91,3 +91,12 @@ def test_kde_skips_degenerate_group(spark):
     df = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (2.0, "b"), (5.0, "b")], "v double, g string")
     d = st.kde(df, "v", "g").toPandas()
     assert set(d.g) == {"b"} and len(d) == 200
+
+
+def test_top_after_collapse_equals_recount(spark):
+    rows = [(f"s{i % 37}",) for i in range(2000)] + [(f"r{i}",) for i in range(300)] + [(None,)] * 50
+    df = spark.createDataFrame(rows, "x string").repartition(5)
+    kept, rare = st.frequent_label_counts(df, ["x"])
+    direct = st.top_labels(st.collapse_rare(df, ["x"]), "x", 10)
+    assert st.top_after_collapse(kept["x"], rare["x"], 10) == direct
+    assert rare["x"] == 300
