@@ -210,15 +210,21 @@ def prepare_model_data(eng: DataFrame, select: bool = True, prep_state=None) ->
                      nums, encs, prep_state)
 
 
-def transform_new(raw: DataFrame, md: ModelData) -> DataFrame:
+def transform_new(raw: DataFrame, md: ModelData, carry: tuple = ()) -> DataFrame:
     """H1 in trained mode: raw customer rows -> the model's scaled feature
     vector, reusing every fitted piece (labels, cuts, encodings, one-hot,
-    selected slots, scaler). Map-only apart from broadcast lookups."""
+    selected slots, scaler). Map-only apart from broadcast lookups.
+    ``carry`` keeps named raw columns alongside the vector. They are taken
+    from ``raw`` before any relabelling."""
     from .prepare import apply_prepared
-    eng = apply_prepared(raw, md.prep_state)
-    mf = tr.model_frame(tr.apply_encodings(eng, md.encodings))
+    carry = tuple(carry)
+    src = raw.withColumns({f"__carry_{c}": F.col(c) for c in carry}) if carry else raw
+    eng = apply_prepared(src, md.prep_state)
+    mf = tr.model_frame(tr.apply_encodings(eng, md.encodings),
+                        carry=tuple(f"__carry_{c}" for c in carry))
     mf = fe.fill_zero(mf, md.numeric)
-    a = md.encoder.transform(mf).select("customer_id", "raw")
+    a = md.encoder.transform(mf).select(
+        "customer_id", "raw", *[F.col(f"__carry_{c}").alias(c) for c in carry])
     sel = VectorSlicer(inputCol="raw", outputCol="sel", indices=md.keep).transform(a)
     return md.scaler.transform(sel)
 

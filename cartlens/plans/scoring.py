@@ -82,10 +82,26 @@ class ScoringBundle:
     names: dict
 
 
-def score_requests(df: DataFrame, b: ScoringBundle) -> DataFrame:
-    """H3 + H4: probability, decision and segment for every request row."""
-    feats = request_features(df)
-    scored = score(b.model, b.scaler.transform(align(feats, b.slots)))
+def score_requests(df: DataFrame, b: ScoringBundle, mode: str = "form",
+                   model_data=None) -> DataFrame:
+    """H3 + H4: probability, decision and segment for every request row.
+
+    ``mode="form"`` builds the form's features (parity with the analysed
+    simulator). ``mode="trained"`` sends full customer rows through every
+    stored fit (:func:`cartlens.plans.model.transform_new`); recommended.
+    """
+    if mode == "trained":
+        from .model import transform_new
+        if model_data is None:
+            raise ValueError("mode='trained' needs the fitted model data")
+        carry = ("purchase_amount_usd", "previous_purchases", "frequency_of_purchases",
+                 "review_rating", "promo_code_used", "gender")
+        vec = transform_new(df, model_data, carry=carry)  # one map-only pass, no join
+        scored = score(b.model, request_features(vec))
+    elif mode == "form":
+        scored = score(b.model, b.scaler.transform(align(request_features(df), b.slots)))
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
     z = b.seg_scaler.transform(scored.withColumns({
         c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in L.SEGMENT_FEATURES}),
         prefix="z_")

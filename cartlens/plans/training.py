@@ -77,12 +77,14 @@ def apply_encodings(df: DataFrame, enc: Encodings) -> DataFrame:
     return df
 
 
-def model_frame(df: DataFrame) -> DataFrame:
-    """Drop raw/identifier columns and leaky features; keep the label."""
+def model_frame(df: DataFrame, carry: tuple = ()) -> DataFrame:
+    """Drop raw/identifier columns and leaky features; keep the label.
+    ``carry`` passes named raw columns through untouched (for scoring)."""
     label = (fe.flag_expr(F.col("subscription_status") == "Yes")
              if "subscription_status" in df.columns else F.lit(0)).alias("label")
     keep = fe.drop_prefixed(fe.drop_present(df, L.MODEL_DROP_COLUMNS), L.LEAKAGE_PREFIXES)
-    return df.select("customer_id", label, *keep.columns)
+    extra = [c for c in carry if c not in keep.columns and c in df.columns]
+    return df.select("customer_id", label, *keep.columns, *extra)
 
 
 def categorical_columns(df: DataFrame) -> list[str]:

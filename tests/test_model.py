@@ -63,3 +63,14 @@ def test_same_seed_same_model(spark, prepared):
     a = rf.fit(prepared.train).featureImportances.toArray()
     b = rf.copy().fit(prepared.train).featureImportances.toArray()
     assert (a == b).all()
+
+
+def test_score_requests_modes(spark, prepared):
+    from cartlens import catalog
+    from cartlens.plans.scoring import score_requests
+    b = catalog.scoring_bundle(spark, SF_CHECK)
+    req = catalog.shop(spark, SF_CHECK).limit(50)
+    form = score_requests(req, b, "form").collect()
+    trained = score_requests(req, b, "trained", prepared).collect()
+    assert len(form) == len(trained) == 50
+    assert all(0.0 <= r.probability <= 1.0 for r in trained)
