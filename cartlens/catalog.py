@@ -588,7 +588,8 @@ def q_score_trained(spark, sf):
 def q_request_features(spark, sf):
     from .plans.scoring import FORM_NUMERIC, request_features
     f = request_features(shop(spark, sf))
-    return f.select("customer_id", *[r6(F.col(c).cast("double")).alias(c) for c in FORM_NUMERIC],
+    # row-level IEEE arithmetic: identical in both engines, so no rounding
+    return f.select("customer_id", *[F.col(c).cast("double").alias(c) for c in FORM_NUMERIC],
                     "gender__oh_Male", "gender__oh_Female")
 
 

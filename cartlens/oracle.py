@@ -542,14 +542,12 @@ REQ = """req AS (
   FROM shop)"""
 
 ORACLE["request_features"] = with_ctes(SHOP, REQ) + """
-SELECT customer_id, round(total_spend_weighted_new, 6) AS total_spend_weighted_new,
-       round(spend_per_purchase_new, 6) AS spend_per_purchase_new,
-       round(frequency_value_new, 6) AS frequency_value_new,
+SELECT customer_id, total_spend_weighted_new, spend_per_purchase_new, frequency_value_new,
        CAST(loyalty_score_new AS DOUBLE) AS loyalty_score_new,
        CAST(high_review_rating_new AS DOUBLE) AS high_review_rating_new,
-       round(spend_rating_new, 6) AS spend_rating_new,
+       spend_rating_new,
        CAST(promo * loyalty_score_new AS DOUBLE) AS promo_x_loyalty,
-       round(promo * frequency_value_new, 6) AS promo_x_freq,
+       promo * frequency_value_new AS promo_x_freq,
        male AS gender__oh_Male, 1 - male AS gender__oh_Female
 FROM req"""
 
