@@ -73,8 +73,11 @@ def select_features(train: DataFrame, names: list[str], label: str = "label",
                     trees: int = 200) -> tuple[list[int], list[float]]:
     """Indices of slots whose forest importance is at least ``min_importance``."""
     weighted = train if "w" in train.columns else en.with_weights(train, label, "w")
+    # node-id caching (checkpointed to the shared folder) avoids re-sending
+    # the growing trees at every level; the fitted forest is identical
     rf = RandomForestClassifier(featuresCol="raw", labelCol=label, weightCol="w",
-                                numTrees=trees, seed=SEED, maxDepth=15)
+                                numTrees=trees, seed=SEED, maxDepth=15,
+                                cacheNodeIds=True, checkpointInterval=10)
     imp = rf.fit(weighted).featureImportances.toArray().tolist()
     keep = [i for i, v in enumerate(imp) if v >= min_importance]
     if not keep and fallback:
@@ -113,7 +116,7 @@ def candidates(n_train: int, label: str = "label", weight: str = "w") -> list[tu
             elasticNetParam=0.0, standardization=False)),
         ("RandomForest", RandomForestClassifier(
             featuresCol="features", labelCol=label, weightCol=weight, numTrees=100,
-            maxDepth=15, seed=SEED)),
+            maxDepth=15, seed=SEED, cacheNodeIds=True, checkpointInterval=10)),
         ("BoostedDepthwise", GBTClassifier(
             featuresCol="features", labelCol=label, maxIter=100, maxDepth=6, stepSize=0.3,
             seed=SEED)),
