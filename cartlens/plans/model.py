@@ -256,10 +256,21 @@ def compare_cv(p: ModelData, names: list[str] | None = None) -> tuple[DataFrame,
     return df, best[0]
 
 
-def tune(p: ModelData, name: str):
-    """grid search by 5-fold AUC; returns the refitted best model."""
+def tune(p: ModelData, name: str, grid: dict | None = None):
+    """grid search by 5-fold AUC; returns the refitted best model.
+
+    ``grid`` maps parameter names to value lists and replaces the default grid
+    of the candidate (for example a 2-point grid in tests).
+    """
     est = dict(candidates(p.n_train))[name]
-    cvm = cross_validate(p.train, est, grid_for(name, est, p.n_train))
+    if grid is None:
+        maps = grid_for(name, est, p.n_train)
+    else:
+        b = ParamGridBuilder()
+        for param, values in grid.items():
+            b = b.addGrid(est.getParam(param), list(values))
+        maps = b.build()
+    cvm = cross_validate(p.train, est, maps)
     return cvm.bestModel, cvm
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "cartlens") -> SparkSession:
+                  app: str = "cartlens", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, AQE on, UTC)."""
+    builder = SparkSession.builder
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -30,6 +33,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def event_log_conf(directory: str | None) -> dict:
+    """Spark event-log settings (stage and task times without the UI)."""
+    if not directory:
+        return {}
+    os.makedirs(directory, exist_ok=True)
+    return {"spark.eventLog.enabled": "true", "spark.eventLog.dir": directory}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 

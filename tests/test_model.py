@@ -74,3 +74,17 @@ def test_score_requests_modes(spark, prepared):
     trained = score_requests(req, b, "trained", prepared).collect()
     assert len(form) == len(trained) == 50
     assert all(0.0 <= r.probability <= 1.0 for r in trained)
+
+
+def test_tune_forest_small_grid(spark, prepared):
+    best, cvm = mo.tune(prepared, "RandomForest", {"numTrees": [5, 10]})
+    assert len(cvm.avgMetrics) == 2
+    assert best.getNumTrees in (5, 10)
+    assert max(cvm.avgMetrics) == cvm.avgMetrics[[5, 10].index(best.getNumTrees)]
+
+
+def test_default_grids_match_workflow_sizes(spark, prepared):
+    sizes = {name: len(mo.grid_for(name, est, prepared.n_train))
+             for name, est in mo.candidates(prepared.n_train)}
+    assert sizes == {"LogisticRegression": 3, "RandomForest": 12,
+                     "BoostedDepthwise": 18, "BoostedLeafwise": 18}
