@@ -142,6 +142,43 @@ def fit_conditional(train: DataFrame, group: str, cat: str, smoothing: float = 1
                             num / den if den else None)
 
 
+def fit_conditionals(train: DataFrame, group: str, cats: Sequence[str],
+                     smoothing: float = 1.0, max_rows: int = LOOKUP_ROWS
+                     ) -> dict[str, ConditionalTable]:
+    """Several P(cat | group) tables from ONE scan: the (cat, group, level)
+    pairs are stacked with ``explode`` and counted together. A table over the
+    literal-map cap is refitted on its own (it is then applied by a join)."""
+    items = [F.struct(F.lit(c).alias("name"), F.col(group).cast("string").alias("g"),
+                      F.col(c).cast("string").alias("c")) for c in cats]
+    stacked = (train.select(F.explode(F.array(*items)).alias("t")).select("t.*")
+               .where(F.col("g").isNotNull() & F.col("c").isNotNull()))
+    counts = stacked.groupBy("name", "g", "c").agg(F.count(F.lit(1)).alias("_n"))
+    limit = max_rows * len(cats) + 1
+    rows = counts.limit(limit).collect()
+    per: dict[str, list] = {c: [] for c in cats}
+    for r in rows:
+        per[r["name"]].append(r)
+    out = {}
+    for c in cats:
+        rs = per[c]
+        if len(rows) >= limit or len(rs) > max_rows:
+            out[c] = fit_conditional(train, group, c, smoothing, max_rows)
+            continue
+        levels = sorted({r["c"] for r in rs})
+        pair_n, totals = {}, {}
+        for r in rs:
+            pair_n[f"{r['g']}\u0001{r['c']}"] = r["_n"]
+            totals[r["g"]] = totals.get(r["g"], 0) + r["_n"]
+        k = len(levels)
+        num = sum(r["_n"] * (r["_n"] + smoothing) / (totals[r["g"]] + smoothing * k) for r in rs)
+        den = sum(r["_n"] for r in rs)
+        pairs = counts.where(F.col("name") == c).select(
+            F.col("g").alias(group), F.col("c").alias(c), "_n")
+        out[c] = ConditionalTable(group, c, pairs, smoothing, k, levels, pair_n, totals,
+                                  num / den if den else None)
+    return out
+
+
 def conditional_table(t: ConditionalTable) -> DataFrame:
     """Fitted probabilities for the observed pairs: (group, cat, p)."""
     s = t.smoothing
@@ -216,6 +253,32 @@ def fit_group_means(train: DataFrame, group: str, value: str,
     return GroupMeans(group, value, None, means_df, tot[0] / tot[1] if tot[1] else None)
 
 
+def fit_group_means_many(train: DataFrame, specs: Sequence[tuple[str, str]],
+                         max_rows: int = LOOKUP_ROWS) -> list[GroupMeans]:
+    """Several (group, value) mean tables from ONE scan (stacked by
+    ``explode``); a table over the literal-map cap is refitted on its own."""
+    items = [F.struct(F.lit(i).alias("k"), F.col(g).cast("string").alias("g"),
+                      F.col(v).cast("double").alias("v")) for i, (g, v) in enumerate(specs)]
+    stacked = train.select(F.explode(F.array(*items)).alias("t")).select("t.*")
+    agg = stacked.groupBy("k", "g").agg(F.sum("v").alias("_s"), F.count("v").alias("_c"))
+    limit = max_rows * len(specs) + 1
+    rows = agg.limit(limit).collect()
+    per: dict[int, list] = {i: [] for i in range(len(specs))}
+    for r in rows:
+        per[r["k"]].append(r)
+    out = []
+    for i, (g, v) in enumerate(specs):
+        rs = per[i]
+        if len(rows) >= limit or len(rs) > max_rows:
+            out.append(fit_group_means(train, g, v, max_rows))
+            continue
+        means = {r["g"]: r["_s"] / r["_c"] for r in rs if r["g"] is not None and r["_c"]}
+        tot_c = sum(r["_c"] for r in rs)
+        gm = sum(r["_s"] or 0.0 for r in rs) / tot_c if tot_c else None
+        out.append(GroupMeans(g, v, means, None, gm))
+    return out
+
+
 def apply_group_means(df: DataFrame, gm: GroupMeans, out: str, fill_unseen: bool,
                       fill: F.Column | None = None) -> DataFrame:
     """``out = value / group mean``; rows of unseen groups get ``fill`` when

@@ -47,8 +47,12 @@ def split_frame(eng: DataFrame, seed: int = 42, test_size: float = 0.2
 def add_encodings(train: DataFrame, test: DataFrame, enc: Encodings | None = None
                   ) -> tuple[DataFrame, DataFrame]:
     enc = enc if enc is not None else Encodings()
+    # all fits read train once per family: one scan for the three conditional
+    # tables, one for the four group-mean tables
+    tables = en.fit_conditionals(train, "climate_group_new", [c for c, _ in PROB_COLUMNS], 1.0)
+    means = en.fit_group_means_many(train, [(g, v) for g, v, _ in RATIOS])
     for cat, out in PROB_COLUMNS:
-        t = en.fit_conditional(train, "climate_group_new", cat, 1.0)
+        t = tables[cat]
         enc.conditionals[out] = t
         train = en.apply_conditional(train, t, out)
         test = en.apply_conditional(test, t, out)
@@ -56,8 +60,7 @@ def add_encodings(train: DataFrame, test: DataFrame, enc: Encodings | None = Non
     cols = [c for _, c in PROB_COLUMNS]
     train = en.fit_score(train, cols, FIT_SCORE)
     test = en.fit_score(test, cols, FIT_SCORE)
-    for group, value, out in RATIOS:
-        gm = en.fit_group_means(train, group, value)
+    for (group, value, out), gm in zip(RATIOS, means):
         enc.ratios[out] = gm
         train = en.apply_group_means(train, gm, out, fill_unseen=False)
         test = en.apply_group_means(test, gm, out, fill_unseen=True)

@@ -136,3 +136,21 @@ def test_split_same_for_any_digits(spark):
     b = en.stratified_split(df, "customer_id", "subscription_status", digits=4)
     key = lambda r: (r.customer_id, r.is_test)
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def test_batched_fits_equal_single_fits(spark):
+    df = spark.range(3000).select(
+        (F.col("id") % 6).cast("string").alias("g"), (F.col("id") % 7).cast("string").alias("a"),
+        (F.col("id") % 3).cast("string").alias("b"), (F.col("id") % 11).cast("double").alias("v"),
+        F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 4).cast("string")).alias("h"))
+    many = en.fit_conditionals(df, "g", ["a", "b"])
+    for c in ["a", "b"]:
+        one = en.fit_conditional(df, "g", c)
+        assert many[c].pair_n == one.pair_n and many[c].group_total == one.group_total
+        assert many[c].train_mean == pytest.approx(one.train_mean)
+    gms = en.fit_group_means_many(df, [("g", "v"), ("h", "v")])
+    for gm, (g, v) in zip(gms, [("g", "v"), ("h", "v")]):
+        one = en.fit_group_means(df, g, v)
+        assert gm.means.keys() == one.means.keys()
+        assert all(gm.means[k] == pytest.approx(one.means[k]) for k in gm.means)
+        assert gm.global_mean == pytest.approx(one.global_mean)
