@@ -508,6 +508,16 @@ def q_cv_logistic(spark, sf):
                      r6("cv_auc_std").alias("cv_auc_std"))
 
 
+@query("cv_model_comparison")
+def q_cv_model_comparison(spark, sf):
+    """F1-F6: all four candidates by 5-fold AUC, run as concurrent jobs; winner flagged."""
+    from .plans import model as mo
+    df, best = mo.compare_cv(model_data(spark, sf))
+    return df.select("model", "position", r6("cv_auc_mean").alias("cv_auc_mean"),
+                     r6("cv_auc_std").alias("cv_auc_std"),
+                     (F.col("model") == F.lit(best)).alias("is_best"))
+
+
 def tuned_logistic(spark, sf):
     from .plans import model as mo
     p = model_data(spark, sf)

@@ -33,7 +33,7 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_model_backed():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    model_backed = {"kmeans_segments", "kmeans_silhouette", "pca_projection", "feature_selection", "cv_logistic",
+    model_backed = {"kmeans_segments", "kmeans_silhouette", "cv_model_comparison", "pca_projection", "feature_selection", "cv_logistic",
                     "tuned_logistic_scores", "coefficients_top", "importance_top",
                     "model_comparison", "score_requests", "bundle_roundtrip", "score_trained"}
     assert set(q) - set(o) == model_backed
