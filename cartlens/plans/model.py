@@ -310,20 +310,26 @@ def top_coefficients(model, names: list[str], n: int = 20) -> DataFrame:
 def compare_models(md: ModelData, names: list[str] | None = None) -> DataFrame:
     """G10: every candidate fitted on train and scored on test; metrics at the
     default 0.50 and at the best threshold for recall >= 0.85, and AUC."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from ..operators import evaluate as ev
     spark = md.train.sparkSession
-    rows = []
-    for pos, (name, est) in enumerate(candidates(md.n_train)):
-        if names is not None and name not in names:
-            continue
+    chosen = [(pos, name, est) for pos, (name, est) in enumerate(candidates(md.n_train))
+              if names is None or name in names]
+
+    def run(item):  # one candidate: fit, score, metrics (independent Spark jobs)
+        pos, name, est = item
         sc = materialize(score(est.fit(md.train), md.test).select("label", "score"))
         thr = ev.best_threshold(ev.threshold_sweep(sc)).first()["threshold"]
         at = ev.binary_metrics(sc, threshold=thr).first()
         d = ev.binary_metrics(sc).first()
         auc = ev.roc_auc(sc).first()["auc"]
-        rows.append((name, pos, float(thr), d["precision"], d["recall"], d["f1"],
-                     at["precision"], at["recall"], at["f1"], at["accuracy"],
-                     float(auc) if auc is not None else None))
+        return (name, pos, float(thr), d["precision"], d["recall"], d["f1"],
+                at["precision"], at["recall"], at["f1"], at["accuracy"],
+                float(auc) if auc is not None else None)
+
+    with ThreadPoolExecutor(max_workers=max(1, len(chosen))) as pool:
+        rows = sorted(pool.map(run, chosen), key=lambda r: r[1])
     return spark.createDataFrame(
         rows, "model string, position int, threshold double, precision_default double, "
               "recall_default double, f1_default double, precision double, recall double, "
