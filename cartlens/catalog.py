@@ -627,20 +627,20 @@ def q_request_segment(spark, sf):
 
 @query("bundle_roundtrip")
 def q_bundle_roundtrip(spark, sf):
-    """A4: save the fitted model and lookup tables to the shared folder, load
-    them back in the same job, and score the test rows with the loaded model."""
+    """A4 + H: save the whole scoring state (stages, fitted tables, cuts,
+    scaler, threshold, segments) to the shared folder, load it back into fresh
+    objects, and score every customer in trained mode with what was loaded."""
     import uuid
-    from pyspark.ml.classification import LogisticRegressionModel
-    from .plans import model as mo
+    from .plans.bundle import load_scoring_state, save_scoring_state
+    from .plans.scoring import score_requests
     from .session import scratch_path
-    p, m = tuned_logistic(spark, sf)
+    p, _ = tuned_logistic(spark, sf)
     path = scratch_path(spark, f"bundle-{uuid.uuid4().hex}")
-    slots = spark.createDataFrame([(i, p.names[i]) for i in p.keep], "slot int, feature string")
-    io.save_bundle(path, {"model": m}, {"slots": slots},
-                   {"mean": p.scaler.mean, "std": p.scaler.std})
-    models, tables, meta = io.load_bundle(spark, path, {"model": LogisticRegressionModel})
-    loaded = models["model"]
-    return mo.score(loaded, p.test).select("customer_id", r6("score").alias("score"))
+    save_scoring_state(path, p, scoring_bundle(spark, sf))
+    md, bundle = load_scoring_state(spark, path)
+    out = score_requests(shop(spark, sf), bundle, "trained", md)
+    return out.select("customer_id", r6("probability").alias("probability"), "subscribes",
+                      "segment", "segment_name")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

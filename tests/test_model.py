@@ -88,3 +88,37 @@ def test_default_grids_match_workflow_sizes(spark, prepared):
              for name, est in mo.candidates(prepared.n_train)}
     assert sizes == {"LogisticRegression": 3, "RandomForest": 12,
                      "BoostedDepthwise": 18, "BoostedLeafwise": 18}
+
+
+def test_train_then_score_in_fresh_session(spark, prepared, tmp_path):
+    """SURVEY 7.7: the saved scoring state scores identically in a new process."""
+    import subprocess
+    import sys
+
+    from cartlens import catalog
+    from cartlens.plans.bundle import save_scoring_state
+    from cartlens.plans.scoring import score_requests
+    b = catalog.scoring_bundle(spark, SF_CHECK)
+    bundle_path, req_path, out_path = (str(tmp_path / n) for n in ("bundle", "req", "out"))
+    save_scoring_state(bundle_path, prepared, b)
+    req = catalog.shop(spark, SF_CHECK)
+    req.write.parquet(req_path)
+    repo = __import__("os").path.dirname(__import__("os").path.dirname(__file__))
+    script = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from cartlens.session import local_session\n"
+        "from cartlens.plans.bundle import load_scoring_state\n"
+        "from cartlens.plans.scoring import score_requests\n"
+        "spark = local_session(app='fresh')\n"
+        "md, bundle = load_scoring_state(spark, %r)\n"
+        "score_requests(spark.read.parquet(%r), bundle, 'trained', md).write.parquet(%r)\n"
+    ) % (repo, bundle_path, req_path, out_path)
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=600,
+                   capture_output=True)
+    got = spark.read.parquet(out_path)
+    want = score_requests(req, b, "trained", prepared)
+    j = got.alias("g").join(want.alias("w"), "customer_id")
+    assert j.count() == req.count()
+    bad = j.where((F.abs(F.col("g.probability") - F.col("w.probability")) > 1e-12)
+                  | (F.col("g.segment") != F.col("w.segment")))
+    assert bad.count() == 0
