@@ -92,13 +92,14 @@ def exact_quantiles_multi(df: DataFrame, probs: dict[str, Sequence[float]],
     which does not survive 100 TB. Instead, for every wanted rank r:
       1. ``percentile_approx`` gives a value bracket [a, b] holding rank r
          (its rank error is at most n / accuracy; a margin is added);
-      2. one aggregate counts, per bracket, the rows below a and inside [a, b];
-         a bracket still holding more than ``max_collect`` rows is narrowed by
-         another ``percentile_approx`` over the rows inside it only, and so on
-         (each round shrinks it by about accuracy / 4);
-      3. one ``groupBy(value)`` collects the values inside the final brackets
-         with their counts (ties collapse to one row), at most
-         ``max_collect`` rows per bracket, and the driver walks them.
+      2. one aggregate counts, per bracket, the rows below a and inside [a, b]
+         and estimates the distinct values inside; a bracket with more than
+         ``max_collect`` distinct values is narrowed by another
+         ``percentile_approx`` over the rows inside it only, and so on (each
+         round shrinks it by about accuracy / 4);
+      3. one ``groupBy(value)`` collects the distinct values inside the final
+         brackets with their counts (ties collapse to one row), about
+         ``max_collect`` rows per bracket at most, and the driver walks them.
     Every wanted rank is checked against the counts, so the result is exact.
     """
     from collections import defaultdict
@@ -131,8 +132,12 @@ def exact_quantiles_multi(df: DataFrame, probs: dict[str, Sequence[float]],
         aggs = []
         for j, (i, _, _, _, a, b, _) in enumerate(ts):
             v = x[cols[i]]
+            inside = (v >= F.lit(a)) & (v <= F.lit(b))
             aggs += [F.count_if(v < F.lit(a)).alias(f"b{j}"),
-                     F.count_if((v >= F.lit(a)) & (v <= F.lit(b))).alias(f"m{j}")]
+                     F.count_if(inside).alias(f"m{j}"),
+                     # the final collect collapses ties: its size is the number
+                     # of distinct values inside, estimated here (HLL, ~2%)
+                     F.approx_count_distinct(F.when(inside, v), 0.02).alias(f"d{j}")]
         return df.agg(*aggs).first()
 
     c = None
@@ -145,8 +150,8 @@ def exact_quantiles_multi(df: DataFrame, probs: dict[str, Sequence[float]],
             if not (below <= r0 and r1 < below + inside):  # missed: full range
                 t[4], t[5] = st[f"lo{i}"], st[f"hi{i}"]
                 wide.append(j)
-            elif inside > max_collect:
-                wide.append(j)
+            elif inside > max_collect and c[f"d{j}"] > max_collect * 0.9:
+                wide.append(j)  # too many distinct values to collect: narrow
         if not wide:
             break
         c = counts(targets)

@@ -86,3 +86,11 @@ def test_fixed_values_complete():
     states = [s for _, group in L.CLIMATE_GROUPS for s in group]
     assert len(states) == 50 == len(set(states))
     assert set(L.SEGMENT_NAMES) == set(L.SEGMENT_ACTIONS) == {0, 1, 2, 3, 4}
+
+
+def test_exact_quantiles_heavy_ties_need_no_narrowing(spark):
+    import numpy as np
+    vals = [float(i % 7) for i in range(5000)]  # 5000 rows, 7 distinct values
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = fe.exact_quantiles(df, "x", [0, 0.25, 0.5, 0.75, 1], accuracy=100, max_collect=50)
+    assert np.allclose(got, np.quantile(np.array(vals), [0, 0.25, 0.5, 0.75, 1]))
