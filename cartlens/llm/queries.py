@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, simhash
+from . import decontaminate, packing, sharding, simhash, token_shards
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked, name = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
@@ -16,6 +23,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per sequence, read back from the shard files."""
+    import public_tokenizers
+
+    path = token_shards.materialise(table(spark, sf_dir, "documents"),
+                                    tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_shards.read_slots(spark, path).select(
+        "slot", "sequence_id", "shard", "byte_offset", "n_tokens",
+        F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"),
+                        with_ids=False)
+
+
 def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.assign(table(spark, sf_dir, "documents"))
             .withColumn("law", F.lit("bytes"))
@@ -27,4 +50,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_lpt_sharding, op8_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op3_training_order, op4_curve_packing, op5_lpt_sharding, op8_simhash)}
