@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, simhash, token_shards
+from . import decontaminate, language_id, packing, sharding, simhash, token_shards
 from .common import table
 
 
@@ -46,9 +46,21 @@ def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judge = language_id.fit(docs)
+    marked, name = language_id.identify(docs.select("doc_id", "text"), judge)
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % language_id.FOLDS
+    c = F.col(name)
+    return marked.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+                         c["lang_pred"].alias("lang_pred"), c["score"].alias("score"),
+                         c["rejected"].alias("rejected"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_training_order, op4_curve_packing, op5_lpt_sharding, op8_simhash)}
+    op1_decontaminate, op3_training_order, op4_curve_packing, op5_lpt_sharding, op7_language_id,
+    op8_simhash)}
