@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, sharding, simhash, token_shards
+from . import decontaminate, html_text, language_id, packing, sharding, simhash, token_shards
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op3_training_order, op4_curve_packing, op5_lpt_sharding, op7_language_id,
-    op8_simhash)}
+    op8_simhash, op9_html_extraction)}
