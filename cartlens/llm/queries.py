@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, packing, sharding, simhash, token_shards
+from . import decontaminate, embedding_join, html_text, language_id, packing, sharding, simhash, token_shards
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judge = language_id.fit(docs)
@@ -66,5 +70,6 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_training_order, op4_curve_packing, op5_lpt_sharding, op7_language_id,
+    op1_decontaminate, op3_training_order, op4_curve_packing, op5_lpt_sharding,
+    op6_embedding_near_dedup, op7_language_id,
     op8_simhash, op9_html_extraction)}
