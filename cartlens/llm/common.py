@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -23,17 +24,28 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: later passes read columns of a finished table, and a lost
-    executor costs a re-read only.
+    executor costs a re-read only. ``level``: of the Zstandard compression.
     """
     path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", "zstd")
+     .option("parquet.compression.codec.zstd.level", str(level)).parquet(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to let go of finished jobs.
+
+    Spark deletes shuffle files once the driver has collected the plans that
+    wrote them; by itself that may be long after a stage's result was stored.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, with underscores added until no frame has such a column."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_join, html_text, language_id, packing, sharding, simhash, token_shards
+from . import (
+    decontaminate,
+    embedding_join,
+    html_text,
+    language_id,
+    line_dedup,
+    packing,
+    sharding,
+    simhash,
+    token_shards,
+)
 from .common import table
 
 
@@ -23,6 +33,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned, name = line_dedup.dedup(docs)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return cleaned.select("doc_id", F.col(name)["n_lines"].alias("n_lines"),
+                          F.col(name)["n_removed"].alias("n_removed"),
+                          F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sequence, read back from the shard files."""
     import public_tokenizers
@@ -70,6 +89,5 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_training_order, op4_curve_packing, op5_lpt_sharding,
-    op6_embedding_near_dedup, op7_language_id,
-    op8_simhash, op9_html_extraction)}
+    op1_decontaminate, op2_line_dedup, op3_training_order, op4_curve_packing, op5_lpt_sharding,
+    op6_embedding_near_dedup, op7_language_id, op8_simhash, op9_html_extraction)}
