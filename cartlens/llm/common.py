@@ -54,6 +54,20 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def with_row(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a unique long column that every scan gives alike; its name.
+
+    That is the id itself if it is an integer, unique and never null; otherwise
+    the rows are stored once with a number.
+    """
+    name = fresh("row", docs)
+    if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+        ids = docs.groupBy(F.col(id_col).alias("i")).count()
+        if not ids.where("i is null or count > 1").head(1):
+            return docs.withColumn(name, F.col(id_col).cast("long")), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

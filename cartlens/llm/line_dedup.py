@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, stored
+from .common import fresh, release, stored, with_row
 
 EDITS = 2
 #: lines of fewer characters must be equal to go
@@ -195,13 +195,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", edits:
     Null texts stay null, a text that loses all lines is empty, repeated rows
     lose what the first of them keeps, and an empty table stays empty.
     """
-    row, drop = fresh("row", docs), fresh("drop", docs)
-    ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count()
-    if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") and not ids.where(
-            "i is null or count > 1").head(1):
-        docs = docs.withColumn(row, F.col(id_col).cast("long"))
-    else:
-        docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    docs, row = with_row(docs, id_col)
+    drop = fresh("drop", docs)
     gone = decided(docs, row, text=text, edits=edits, min_chars=min_chars).select(
         F.col("row").alias(row), F.col("drop").alias(drop))
     lines = F.split(F.col(text), "\n")

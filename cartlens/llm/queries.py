@@ -12,6 +12,7 @@ from . import (
     language_id,
     line_dedup,
     packing,
+    repeat_index,
     sharding,
     simhash,
     token_shards,
@@ -88,6 +89,17 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked, name = repeat_index.remove(docs)
+    c = F.col(name)
+    return marked.select("doc_id", c["n_bytes"].alias("n_bytes"),
+                         c["n_removed"].alias("n_removed"),
+                         F.size(c["spans"]).cast("long").alias("n_spans"),
+                         F.sha2(c["kept"], 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_line_dedup, op3_training_order, op4_curve_packing, op5_lpt_sharding,
-    op6_embedding_near_dedup, op7_language_id, op8_simhash, op9_html_extraction)}
+    op6_embedding_near_dedup, op7_language_id, op8_simhash, op9_html_extraction,
+    op10_repeat_removal)}
