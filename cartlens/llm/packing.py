@@ -60,10 +60,10 @@ class Curve:
         self.directions = np.random.default_rng(seed).standard_normal((HASHED, dims))
 
     def key(self, bags: list[np.ndarray]) -> np.ndarray:
-        vectors = np.zeros((len(bags), HASHED))
+        vectors = np.empty((len(bags), HASHED))
         for row, ids in zip(vectors, bags, strict=True):
             h = ids.astype(np.uint32) * np.uint32(2654435761)
-            row += np.bincount(h >> np.uint32(24), minlength=HASHED)[:HASHED]
+            row[:] = np.bincount(h >> np.uint32(24), minlength=HASHED)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True).clip(1e-12)
         # most of every vector is what all texts have in common: look around it
         flat = (vectors - 1 / np.sqrt(HASHED)) @ self.directions
@@ -88,13 +88,15 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text: str =
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = started()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = e.encode(part.column(2).to_pylist(), end)
-                bags = [np.frombuffer(x, kind) for x in ids]
+            for part in tokens.by_size(batch, 2):
+                ids, ends = e.encode(part.column(2), end)
+                bags = np.split(ids, ends[1:-1])
+                width = ids.itemsize
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(curve.key(bags), pa.int64()),
-                     pa.array([len(b) for b in bags], pa.int64()), pa.array(ids, pa.binary())],
+                     pa.array(np.diff(ends).astype(np.int64)), pa.Array.from_buffers(
+                        pa.binary(), len(bags), [None, pa.py_buffer(ends * np.int32(width)),
+                                                 pa.py_buffer(ids)])],
                     ["row", "doc_id", "key", "doc_tokens", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"),

@@ -4,6 +4,8 @@ import zlib
 
 import cases
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from cases import SF_SMALL
@@ -35,8 +37,17 @@ def test_words_encode_as_whole_texts(plain):
     odd += cases.texts()
     e = tokens.WordEncoder(tokens.read(PATH))
     e.start()
-    for text, raw in zip(odd, e.encode(odd, 1), strict=True):
-        assert np.frombuffer(raw, e.kind).tolist() == [*plain(text), 1]
+    odd += ["Word, word. WORD!!! x%%%y %% can't, o'clock's İx. ß, ﬁx, 'Σ', a\u0301b. naïve?!", "x,",
+            "<|endoftext|>, <|startoftext|>a <|endoftext|>", "...", ",", "日本語。", "٣٤ x²."]
+    ids, ends = e.encode(pa.array(odd), 1)
+    for text, a, b in zip(odd, ends, ends[1:], strict=False):
+        assert ids[a:b].tolist() == [*plain(text), 1]
+    docs = pq.read_table(f"{SF_SMALL}/documents.parquet").column("text").combine_chunks()
+    ids, ends = e.encode(docs.slice(3), 1)
+    for text, a, b in zip(docs.to_pylist()[3:], ends, ends[1:], strict=False):
+        assert ids[a:b].tolist() == [*plain(text), 1]
+    ids, ends = e.encode(pa.array([], pa.string()), 1)
+    assert len(ids) == 0 and ends.tolist() == [0]
 
 
 def check(rows, texts, plain, length):
