@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def materialise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text"
                                                   "place": places, "n": counts, "ids": ids})
 
     coded = stored(docs.select(text).mapInArrow(
-        encode, "pid int, place long, n long, ids binary"), "coded")
+        encode, "pid int, place long, n long, ids binary"), "coded", level=6)
     sums = coded.groupBy("pid").agg(F.sum("n").alias("n"))
     earlier = stored(sums.select("pid", "n", F.coalesce(F.sum("n").over(
         Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -106,6 +107,7 @@ def materialise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text"
     order = Order(count, key) if count else None
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress  # ids are dense: denser in the shuffle
         for batch in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             sequence, offset, piece = [], [], []
             for place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
@@ -115,46 +117,48 @@ def materialise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text"
                     s, o = divmod(place + at, length)
                     sequence.append(s)
                     offset.append(o)
-                    piece.append(ids[at:at + length - o].tobytes())
+                    piece.append(press(ids[at:at + length - o].tobytes()))
                     at += length - o
-            slot = order.slot(sequence)
-            yield pa.RecordBatch.from_pydict({
-                "shard": slot // records, "slot": slot, "offset": pa.array(offset, pa.int64()),
+            yield pa.RecordBatch.from_pydict({  # at: place in training order
+                "at": order.slot(sequence) * length + np.array(offset, np.int64),
                 "piece": pa.array(piece, pa.binary())})
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, shard, parts = None, None, []
+        slot, parts = None, []
         width = length * np.dtype(kind).itemsize
         pad = np.full(length, end, kind).tobytes()
+        unpress = zstandard.ZstdDecompressor().decompress
+        schema = pa.schema([("record", pa.binary()), ("shard", pa.int64()), ("slot", pa.int64())])
 
-        def record():
-            return (b"".join(parts) + pad)[:width]
+        def records_of(done):
+            return pa.RecordBatch.from_pydict({
+                "record": [x for _, x in done], "shard": [s // records for s, _ in done],
+                "slot": [s for s, _ in done]}, schema)
 
         for batch in batches:
             done: list[tuple[int, bytes]] = []
-            for k, s, piece in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)),
-                                   strict=True):
+            for s, piece in zip((batch.column(0).to_numpy() // length).tolist(),
+                                batch.column(1).to_pylist(), strict=True):
                 if s != slot:
                     if slot is not None:
-                        done.append((shard, record()))
-                    slot, shard, parts = s, k, []
-                parts.append(piece)
-            yield pa.RecordBatch.from_pydict({
-                "record": pa.array([x for _, x in done], pa.binary()),
-                "shard": pa.array([x for x, _ in done], pa.int64())})
+                        done.append((slot, (b"".join(parts) + pad)[:width]))
+                    slot, parts = s, []
+                parts.append(unpress(piece))
+            yield records_of(done)
         if slot is not None:
-            yield pa.RecordBatch.from_pydict({
-                "record": pa.array([record()], pa.binary()),
-                "shard": pa.array([shard], pa.int64())})
+            yield records_of([(slot, (b"".join(parts) + pad)[:width])])
 
     if count:
         shards = -(-count // records)
+        parts = min(shards, partitions(spark) * 4)
         pieces = (coded.join(F.broadcast(earlier), "pid")
                   .select((F.col("before") + F.col("place")).alias("place"), "ids")
-                  .mapInArrow(cut, "shard long, slot long, offset long, piece binary"))
-        (pieces.repartitionByRange(min(shards, partitions(spark) * 4), "shard")
-         .sortWithinPartitions("shard", "slot", "offset")
-         .mapInArrow(assemble, "record binary, shard long")
+                  .mapInArrow(cut, "at long, piece binary"))
+        # ranges of slots: whole shards, as many to each partition
+        to = F.expr(f"int(at div {length * records} * {parts} div {shards})")
+        (pieces.repartitionById(parts, to).sortWithinPartitions("at")
+         .mapInArrow(assemble, "record binary, shard long, slot long")
+         .sortWithinPartitions("shard", "slot")  # as stated, for the writer keeps a stated order
          .select(F.col("record").cast("string"), "shard")
          .write.partitionBy("shard").option("compression", "none").text(f"{path}/shards"))
     layout = {"sequences": count, "tokens": total, "length": length, "records": records,
