@@ -65,13 +65,26 @@ def q_shop_scan(spark, sf):
 
 @query("csv_scan")
 def q_csv_scan(spark, sf):
-    """A1-A3 on a real CSV: shop written with the original headers (numbers as
-    padded text) to the shared folder, then scanned back by ``read_customers``."""
-    import uuid
-    from .session import scratch_path
-    path = scratch_path(spark, f"customers-{uuid.uuid4().hex}.csv")
-    raw = shop(spark, sf).toDF(*RAW_HEADERS)
-    raw.write.option("header", True).csv(path)
+    """A1-A3 on a real CSV: shop written with the original headers to the shared
+    folder, with padded and bad numbers, quotes, commas and line ends inside cells
+    and missing-value tokens, then scanned back by ``read_customers``."""
+    from .session import scratch_table
+    path = scratch_table(spark, "customers-csv")
+    every = lambda n, then, c: F.when(F.col("customer_id") % n == 0, then).otherwise(
+        F.col(c).cast("string"))
+    raw = shop(spark, sf).withColumns({
+        "item_purchased": every(7, F.concat(F.lit('say "x", '), "item_purchased"),
+                                "item_purchased"),
+        "color": every(5, F.concat("color", F.lit("\nside, two")), "color"),
+        "category": every(11, F.lit("n/a"), "category"),
+        "size": every(19, F.lit("<NA>"), "size"),
+        "age": every(13, F.lit("x"), "age"),
+        "previous_purchases": every(17, F.lit("12d"), "previous_purchases"),
+        "review_rating": every(3, F.concat(F.lit(" "), "review_rating", F.lit(" ")),
+                               "review_rating")}).toDF(*RAW_HEADERS)
+    (raw.write.option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
     df = io.read_customers(spark, path, "csv")
     return df.select("customer_id", *[c for c in df.columns if c != "customer_id"])
 
@@ -630,12 +643,11 @@ def q_bundle_roundtrip(spark, sf):
     """A4 + H: save the whole scoring state (stages, fitted tables, cuts,
     scaler, threshold, segments) to the shared folder, load it back into fresh
     objects, and score every customer in trained mode with what was loaded."""
-    import uuid
     from .plans.bundle import load_scoring_state, save_scoring_state
     from .plans.scoring import score_requests
-    from .session import scratch_path
+    from .session import scratch_table
     p, _ = tuned_logistic(spark, sf)
-    path = scratch_path(spark, f"bundle-{uuid.uuid4().hex}")
+    path = scratch_table(spark, "bundle")
     save_scoring_state(path, p, scoring_bundle(spark, sf))
     md, bundle = load_scoring_state(spark, path)
     out = score_requests(shop(spark, sf), bundle, "trained", md)

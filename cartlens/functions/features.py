@@ -39,12 +39,6 @@ def map_expr(col: str | Column, mapping: Mapping, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
-def map_values(df: DataFrame, col: str, mapping: Mapping, out: str,
-               default=None, cast: str | None = None) -> DataFrame:
-    e = map_expr(col, mapping, default)
-    return df.withColumn(out, e.cast(cast) if cast else e)
-
-
 def climate_expr(location: str | Column) -> Column:
     """State to climate group; anything else (incl. ``Rare``, NULL) is Unknown."""
     mapping = {s: g for g, states in L.CLIMATE_GROUPS for s in states}
@@ -78,111 +72,105 @@ def cut_expr(col: str | Column, edges: Sequence[float], labels: Sequence,
     return expr
 
 
-def cut(df: DataFrame, col: str, edges, labels, out: str,
-        include_lowest: bool = False) -> DataFrame:
-    return df.withColumn(out, cut_expr(col, edges, labels, include_lowest))
-
-
 def exact_quantiles_multi(df: DataFrame, probs: dict[str, Sequence[float]],
                           accuracy: int = 10000, max_collect: int = 100000
                           ) -> dict[str, list[float]]:
     """Exact linear-interpolation quantiles for several columns.
 
     ``percentile`` keeps every value of a column in one aggregation buffer,
-    which does not survive 100 TB. Instead, for every wanted rank r:
-      1. ``percentile_approx`` gives a value bracket [a, b] holding rank r
-         (its rank error is at most n / accuracy; a margin is added);
-      2. one aggregate counts, per bracket, the rows below a and inside [a, b]
-         and estimates the distinct values inside; a bracket with more than
-         ``max_collect`` distinct values is narrowed by another
-         ``percentile_approx`` over the rows inside it only, and so on (each
-         round shrinks it by about accuracy / 4);
+    which does not survive 100 TB. Instead:
+      1. one scan gives each column's row count, ends and distinct estimate, and
+         with ``percentile_approx`` a value bracket [a, b] around every wanted
+         rank (its rank error is at most n / accuracy; a margin is added). The
+         first and last rank are the ends themselves;
+      2. while a bracket may hold more than ``max_collect`` distinct values, one
+         scan counts the rows below and inside it and another narrows it by
+         ``percentile_approx`` over the rows inside only (each round shrinks it
+         about accuracy / 4-fold);
       3. one ``groupBy(value)`` collects the distinct values inside the final
-         brackets with their counts (ties collapse to one row), about
-         ``max_collect`` rows per bracket at most, and the driver walks them.
+         brackets with their counts, about ``max_collect`` rows per bracket at
+         most, and the driver walks them.
     Every wanted rank is checked against the counts, so the result is exact.
     """
-    from collections import defaultdict
     cols = list(probs)
     margin = 2.0 / accuracy + 1e-9
     x = {c: F.col(c).cast("double") for c in cols}
     aggs = []
     for i, c in enumerate(cols):
-        qs = []
-        for p in probs[c]:
-            qs += [max(0.0, p - margin), min(1.0, p + margin)]
+        qs = [q for p in probs[c] for q in (max(0.0, p - margin), min(1.0, p + margin))]
         aggs += [F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"lo{i}"),
-                 F.max(x[c]).alias(f"hi{i}"),
+                 F.max(x[c]).alias(f"hi{i}"), F.approx_count_distinct(x[c], 0.05).alias(f"d{i}"),
                  F.percentile_approx(x[c], F.array(*[F.lit(q) for q in qs]), accuracy)
                  .alias(f"q{i}")]
     st = df.agg(*aggs).first()
 
-    # targets: (column index, position k, rank r0, rank r1, bracket a, b)
-    targets = []
+    out = {c: [float("nan")] * len(probs[c]) for c in cols}
+    whole, targets = {}, []  # few distinct values: the whole column is one bracket
     for i, c in enumerate(cols):
         n = st[f"n{i}"]
         for k, p in enumerate(probs[c]):
             if not n:
                 continue
             h = (n - 1) * p
-            r0, r1 = int(h // 1), min(int(-(-h // 1)), n - 1)
-            targets.append([i, k, r0, r1, st[f"q{i}"][2 * k], st[f"q{i}"][2 * k + 1], h])
-
-    def counts(ts):
+            t = {"col": c, "k": k, "h": h, "r0": int(h // 1), "r1": min(int(-(-h // 1)), n - 1),
+                 "lo": st[f"lo{i}"], "hi": st[f"hi{i}"]}
+            if t["r1"] == 0:
+                out[c][k] = st[f"lo{i}"]
+            elif t["r0"] == n - 1:
+                out[c][k] = st[f"hi{i}"]
+            elif st[f"d{i}"] <= 0.8 * max_collect:
+                t |= {"a": t["lo"], "b": t["hi"], "below": 0}
+                whole.setdefault(c, []).append(t)
+            else:
+                t |= {"a": st[f"q{i}"][2 * k], "b": st[f"q{i}"][2 * k + 1]}
+                targets.append(t)
+
+    def inside(t):
+        return (x[t["col"]] >= F.lit(t["a"])) & (x[t["col"]] <= F.lit(t["b"]))
+
+    open_ = targets
+    while open_:
         aggs = []
-        for j, (i, _, _, _, a, b, _) in enumerate(ts):
-            v = x[cols[i]]
-            inside = (v >= F.lit(a)) & (v <= F.lit(b))
-            aggs += [F.count_if(v < F.lit(a)).alias(f"b{j}"),
-                     F.count_if(inside).alias(f"m{j}"),
-                     # the final collect collapses ties: its size is the number
-                     # of distinct values inside, estimated here (HLL, ~5%)
-                     F.approx_count_distinct(F.when(inside, v), 0.05).alias(f"d{j}")]
-        return df.agg(*aggs).first()
-
-    c = None
-    for _ in range(8):  # narrowing rounds; a handful suffice at any size
-        c = counts(targets)
-        wide = []
-        for j, t in enumerate(targets):
-            i, _, r0, r1, a, b, _ = t
-            below, inside = c[f"b{j}"], c[f"m{j}"]
-            if not (below <= r0 and r1 < below + inside):  # missed: full range
-                t[4], t[5] = st[f"lo{i}"], st[f"hi{i}"]
-                wide.append(j)
-            elif inside > max_collect and c[f"d{j}"] > max_collect * 0.8:
-                wide.append(j)  # too many distinct values to collect: narrow
-        if not wide:
-            break
-        c = counts(targets)
-        aggs = []
-        for j in wide:
-            i, _, r0, r1, a, b, _ = targets[j]
-            below, inside = c[f"b{j}"], c[f"m{j}"]
-            v = x[cols[i]]
-            lo_q = max(0.0, (r0 - below) / max(inside - 1, 1) - margin)
-            hi_q = min(1.0, (r1 - below) / max(inside - 1, 1) + margin)
-            inside_v = F.when((v >= F.lit(a)) & (v <= F.lit(b)), v)
-            aggs.append(F.percentile_approx(inside_v, F.array(F.lit(lo_q), F.lit(hi_q)),
-                                            accuracy).alias(f"w{j}"))
-        r = df.agg(*aggs).first()
-        for j in wide:
-            targets[j][4], targets[j][5] = r[f"w{j}"][0], r[f"w{j}"][1]
-        c = None
-    if c is None:
-        c = counts(targets)
-    items = [F.struct(F.lit(j).alias("j"), x[cols[i]].alias("v"))
-             for j, (i, *_rest) in enumerate(targets)]
-    cond = None
-    for j, (_, _, _, _, a, b, _) in enumerate(targets):
-        e = (F.col("j") == j) & (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
-        cond = e if cond is None else cond | e
-    per = defaultdict(list)
-    if targets:
-        inside = df.select(F.explode(F.array(*items)).alias("t")).select("t.*")
-        for r in (inside.where(cond).groupBy("j", "v").agg(F.count(F.lit(1)).alias("c"))
-                  .orderBy("j", "v").collect()):
-            per[r["j"]].append((r["v"], r["c"]))
+        for j, t in enumerate(open_):
+            v = x[t["col"]]
+            aggs += [F.count_if(v < F.lit(t["a"])).alias(f"b{j}"),
+                     F.count_if(inside(t)).alias(f"m{j}"),
+                     F.approx_count_distinct(F.when(inside(t), v), 0.05).alias(f"d{j}")]
+        c = df.agg(*aggs).first()
+        wide, aggs = [], []
+        for j, t in enumerate(open_):
+            t["below"], rows = c[f"b{j}"], c[f"m{j}"]
+            if not (t["below"] <= t["r0"] and t["r1"] < t["below"] + rows):  # missed: start over
+                t |= {"a": t["lo"], "b": t["hi"]}
+                wide.append(t)
+            elif c[f"d{j}"] > 0.8 * max_collect:
+                lo_q = max(0.0, (t["r0"] - t["below"]) / max(rows - 1, 1) - margin)
+                hi_q = min(1.0, (t["r1"] - t["below"]) / max(rows - 1, 1) + margin)
+                t["narrow"] = len(aggs)
+                aggs.append(F.percentile_approx(F.when(inside(t), x[t["col"]]), F.array(
+                    F.lit(lo_q), F.lit(hi_q)), accuracy).alias(f"w{len(aggs)}"))
+                wide.append(t)
+        r = df.agg(*aggs).first() if aggs else None
+        for t in wide:
+            if (j := t.pop("narrow", None)) is not None:
+                if r[f"w{j}"] == [t["a"], t["b"]]:
+                    raise RuntimeError(f"quantile bracket of {t['col']} cannot be narrowed")
+                t["a"], t["b"] = r[f"w{j}"]
+        open_ = wide
+
+    brackets = [(c, ts[0]["a"], ts[0]["b"], ts) for c, ts in whole.items()]
+    brackets += [(t["col"], t["a"], t["b"], [t]) for t in targets]
+    if not brackets:
+        return out
+    # each row meets the few brackets it lies in
+    hits = F.filter(F.array(*[
+        F.when((x[c] >= F.lit(a)) & (x[c] <= F.lit(b)),
+               F.struct(F.lit(j).alias("j"), x[c].alias("v")))
+        for j, (c, a, b, _) in enumerate(brackets)]), lambda e: e.isNotNull())
+    values: dict[int, list] = {}
+    for r in (df.select(F.explode(hits).alias("t")).groupBy("t.j", "t.v")
+              .agg(F.count(F.lit(1)).alias("c")).collect()):
+        values.setdefault(r["j"], []).append((r["v"], r["c"]))
 
     def value_at(rank, below, vals):
         acc = below
@@ -192,11 +180,11 @@ def exact_quantiles_multi(df: DataFrame, probs: dict[str, Sequence[float]],
                 return v
         raise RuntimeError("rank outside its bracket")
 
-    out = {c: [float("nan")] * len(probs[c]) for c in cols}
-    for j, (i, k, r0, r1, _, _, h) in enumerate(targets):
-        below = c[f"b{j}"]
-        v0, v1 = value_at(r0, below, per[j]), value_at(r1, below, per[j])
-        out[cols[i]][k] = v0 + (h - r0) * (v1 - v0)
+    for j, (c, _, _, ts) in enumerate(brackets):
+        vals = sorted(values[j])
+        for t in ts:
+            v0, v1 = (value_at(t[r], t["below"], vals) for r in ("r0", "r1"))
+            out[c][t["k"]] = v0 + (t["h"] - t["r0"]) * (v1 - v0)
     return out
 
 
@@ -229,13 +217,6 @@ def qcut_edges(df: DataFrame, col: str, q: int = 4, exact: bool = True) -> list[
     return qcut_edges_multi(df, {col: q}, exact)[col]
 
 
-def qcut(df: DataFrame, col: str, labels: Sequence, out: str,
-         edges: Sequence[float] | None = None, exact: bool = True) -> DataFrame:
-    """Quantile bins with the lowest edge included; ``edges`` reuses fitted cuts."""
-    edges = list(edges) if edges is not None else qcut_edges(df, col, len(labels), exact)
-    return df.withColumn(out, cut_expr(col, edges, labels, include_lowest=True))
-
-
 # ---------------------------------------------------------------- B8, B9
 def as_label(col: str | Column) -> Column:
     """Text form of a value; NULL prints as ``nan`` like the analysed code."""
@@ -251,10 +232,6 @@ def flag_expr(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("int")
 
 
-def flag(df: DataFrame, cond: Column, out: str) -> DataFrame:
-    return df.withColumn(out, flag_expr(cond))
-
-
 def target_expr(df: DataFrame, col: str = "subscription_status") -> Column:
     """Yes/No target to 1/0 (other labels NULL); 0 for all rows if absent."""
     if col not in df.columns:

@@ -2,8 +2,8 @@
 group-mean ratios, one-hot levels, class weights and standardisation.
 
 Everything is fitted on the training rows only and applied to both sides;
-fitted tables are aggregates (one row per group or per observed pair) and
-are joined back with a size-checked broadcast.
+fitted tables are aggregates (one row per group or per observed pair) that
+stay frames and are joined back; the planner broadcasts them by their size.
 """
 
 from __future__ import annotations
@@ -12,37 +12,31 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .joins import join_small
-from .ranking import bucket_digits, bucketed_rank, hash_order
-
-MAX_CLASSES = 10000
+from ..session import materialize
+from .joins import attach
+from .ranking import bucket_digits, hash_order
 
 
 # ---------------------------------------------------------------- D1
-def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return {r[label]: r["n"] for r in rows}
-
-
-def test_allocation(counts: dict, test_size: float = 0.2) -> dict:
-    """Test rows per class: ``n_test = ceil(test_size * n)``; the train share
-    ``n - n_test`` is spread over classes by largest remainder (ties by
-    class label), and each class's test count is what remains."""
-    n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    n_train = n - n_test
-    keys = sorted(counts, key=lambda k: (k is None, str(k)))
-    exact = {k: counts[k] * n_train / n for k in keys}
-    train = {k: math.floor(exact[k]) for k in keys}
-    need = n_train - sum(train.values())
-    for k in sorted(keys, key=lambda k: -(exact[k] - train[k]))[:need]:
-        train[k] += 1
-    return {k: counts[k] - train[k] for k in keys}
+def test_allocation(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
+    """(label, n, n_test) per class: ``ceil(test_size * rows)`` test rows in all;
+    the train share is spread over classes by largest remainder (ties by class
+    label), and each class's test count is what remains."""
+    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    rows = classes.agg(F.sum("n")).first()[0] or 0
+    n_train = rows - math.ceil(test_size * rows)
+    exact = F.col("n") * F.lit(n_train) / F.lit(max(rows, 1))
+    shares = classes.withColumns({"_low": F.floor(exact), "_rest": exact - F.floor(exact)})
+    need = n_train - (shares.agg(F.sum("_low")).first()[0] or 0)  # below the class count
+    up = (shares.orderBy(F.desc("_rest"), F.col(label).cast("string").asc_nulls_last())
+          .limit(need).select(F.col(label).alias("_up"), F.lit(1).alias("_more")))
+    x = shares.join(up, F.col(label).eqNullSafe(F.col("_up")), "left")
+    return x.select(label, "n", (F.col("n") - F.col("_low")
+                                 - F.coalesce("_more", F.lit(0))).alias("n_test"))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2,
@@ -50,20 +44,36 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     """Adds ``is_test``: an exact stratified split, reproducible in SQL.
 
     Within each class, rows are ordered by ``md5('<seed>:<key>')`` and the
-    first ``test[class]`` rows go to test. The result does not depend on
-    partitioning or row order. The rank buckets grow with the largest class,
-    so no window partition holds more than ~200k rows.
+    first ``n_test`` rows of the class go to test. Only counts per class and
+    hash bucket are shuffled, and the rows of the one bucket per class in which
+    the cut falls; every row is then compared with its class's cut, so whole
+    rows never move. The result does not depend on partitioning or row order.
     """
-    counts = class_counts(df, label)
-    digits = digits if digits is not None else bucket_digits(max(counts.values(), default=0))
-    alloc = test_allocation(counts, test_size)
-    ranked = bucketed_rank(df, [label], hash_order(seed, key), [key], digits, "_rk",
-                           n_strata=len(alloc))
-    limit = F.create_map(*[F.lit(x) for k, v in alloc.items() if k is not None
-                           for x in (k, v)])[F.col(label)]
-    if None in alloc:
-        limit = F.when(F.col(label).isNull(), F.lit(alloc[None])).otherwise(limit)
-    return ranked.withColumn("is_test", F.col("_rk") <= limit).drop("_rk")
+    alloc = materialize(test_allocation(df, label, test_size))
+    if digits is None:
+        digits = bucket_digits(alloc.agg(F.max("n")).first()[0] or 0)
+    order = hash_order(seed, key)
+    keyed = df.select(F.col(label).alias("_c"), F.col(key).alias("_key"), order.alias("_h"),
+                      F.substring(order, 1, digits).alias("_b"))
+    counts = keyed.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_c").orderBy("_b"))  # 16**digits rows a class
+    wanted = alloc.select(F.col(label).alias("_l"), "n_test")
+    cut_bucket = (counts.withColumn("_upto", upto)
+                  .join(wanted, F.col("_c").eqNullSafe(F.col("_l")))
+                  .where((F.col("_upto") >= F.col("n_test"))
+                         & (F.col("_upto") - F.col("_n") < F.col("n_test")))
+                  .select(F.col("_l"), F.col("_b").alias("_cb"),
+                          (F.col("n_test") - F.col("_upto") + F.col("_n")).alias("_nth")))
+    inside = keyed.join(cut_bucket, F.col("_c").eqNullSafe(F.col("_l"))
+                        & (F.col("_b") == F.col("_cb")))
+    nth = F.row_number().over(Window.partitionBy("_l", "_cb").orderBy("_h", "_key"))
+    cuts = materialize(inside.withColumn("_rn", nth).where("_rn = _nth").select(
+        "_l", F.col("_h").alias("_cut"), F.col("_key").alias("_cut_key")))
+    met = df.join(cuts, F.col(label).eqNullSafe(F.col("_l")), "left")  # one row per class
+    test = (order < F.col("_cut")) | ((order == F.col("_cut"))
+                                      & (F.col(key) <= F.col("_cut_key")))
+    return met.withColumn("is_test", F.coalesce(test, F.lit(False))).drop(
+        "_l", "_cut", "_cut_key")
 
 
 def split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42
@@ -74,135 +84,68 @@ def split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int
 
 
 # ---------------------------------------------------------------- D2, D3, D4
-# Fitted tables with at most this many rows are applied as literal map
-# lookups (a projection: no join, no shuffle). A literal map lookup scans its
-# keys linearly, so larger tables go through the size-checked broadcast hash
-# join instead (constant-time probe per row).
-LOOKUP_ROWS = 1_000
-
-
-def _key(*cols) -> F.Column:
-    """Composite lookup key; NULL when any part is NULL."""
-    return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols]) \
-        if len(cols) > 1 else F.col(cols[0]).cast("string")
-
-
-def _lookup(mapping: dict, key: F.Column) -> F.Column:
-    if not mapping:
-        return F.lit(None)
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[key]
-
-
 @dataclass
 class ConditionalTable:
     """P(cat | group) with Laplace smoothing, over categories seen in train.
 
-    ``pairs`` holds observed (group, cat, n). An unobserved pair of seen
+    ``counts`` holds the observed pairs ``(g, c, n)``, with group and category
+    in Spark's string form whatever their type. An unobserved pair of seen
     levels gets ``s / (total + s * n_cats)`` without materialising the grid.
-    When the pair table is under ``LOOKUP_ROWS`` rows it is also held as
-    literal maps (``pair_n``, ``group_total``) and applied without a join.
     ``train_mean`` is the mean of P over the train rows, from the same table.
     """
     group: str
     cat: str
-    pairs: DataFrame
+    counts: DataFrame
     smoothing: float
     n_cats: int
-    cat_levels: list
-    pair_n: dict | None
-    group_total: dict | None
     train_mean: float | None
 
 
-def fit_conditional(train: DataFrame, group: str, cat: str, smoothing: float = 1.0,
-                    max_rows: int = LOOKUP_ROWS) -> ConditionalTable:
-    seen = train.where(F.col(group).isNotNull() & F.col(cat).isNotNull())
-    pairs = seen.groupBy(group, cat).agg(F.count(F.lit(1)).alias("_n"))
-    rows = pairs.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:  # too large for literals: keep the fitted table as a frame
-        levels = [r[0] for r in pairs.select(cat).distinct().collect()]
-        totals = pairs.groupBy(group).agg(F.sum("_n").alias("_total"))
-        stats = (pairs.join(totals, group)
-                 .agg(F.sum(F.col("_n") * (F.col("_n") + smoothing)
-                            / (F.col("_total") + smoothing * len(levels))).alias("num"),
-                      F.sum("_n").alias("den")).first())
-        mean = stats["num"] / stats["den"] if stats["den"] else None
-        return ConditionalTable(group, cat, pairs, smoothing, len(levels), sorted(levels),
-                                None, None, mean)
-    levels = sorted({r[cat] for r in rows})
-    pair_n, totals = {}, {}
-    for r in rows:
-        pair_n[f"{r[group]}\u0001{r[cat]}"] = r["_n"]
-        totals[str(r[group])] = totals.get(str(r[group]), 0) + r["_n"]
-    k = len(levels)
-    num = sum(r["_n"] * (r["_n"] + smoothing) / (totals[str(r[group])] + smoothing * k)
-              for r in rows)
-    den = sum(r["_n"] for r in rows)
-    return ConditionalTable(group, cat, pairs, smoothing, k, levels, pair_n, totals,
-                            num / den if den else None)
-
-
 def fit_conditionals(train: DataFrame, group: str, cats: Sequence[str],
-                     smoothing: float = 1.0, max_rows: int = LOOKUP_ROWS
-                     ) -> dict[str, ConditionalTable]:
+                     smoothing: float = 1.0) -> dict[str, ConditionalTable]:
     """Several P(cat | group) tables from ONE scan: the (cat, group, level)
-    pairs are stacked with ``explode`` and counted together. A table over the
-    literal-map cap is refitted on its own (it is then applied by a join)."""
+    pairs are stacked with ``explode`` and counted together. The fitted tables
+    stay frames; one row per category column reaches the driver."""
     items = [F.struct(F.lit(c).alias("name"), F.col(group).cast("string").alias("g"),
                       F.col(c).cast("string").alias("c")) for c in cats]
     stacked = (train.select(F.explode(F.array(*items)).alias("t")).select("t.*")
                .where(F.col("g").isNotNull() & F.col("c").isNotNull()))
-    counts = stacked.groupBy("name", "g", "c").agg(F.count(F.lit(1)).alias("_n"))
-    limit = max_rows * len(cats) + 1
-    rows = counts.limit(limit).collect()
-    per: dict[str, list] = {c: [] for c in cats}
-    for r in rows:
-        per[r["name"]].append(r)
-    out = {}
-    for c in cats:
-        rs = per[c]
-        if len(rows) >= limit or len(rs) > max_rows:
-            out[c] = fit_conditional(train, group, c, smoothing, max_rows)
-            continue
-        levels = sorted({r["c"] for r in rs})
-        pair_n, totals = {}, {}
-        for r in rs:
-            pair_n[f"{r['g']}\u0001{r['c']}"] = r["_n"]
-            totals[r["g"]] = totals.get(r["g"], 0) + r["_n"]
-        k = len(levels)
-        num = sum(r["_n"] * (r["_n"] + smoothing) / (totals[r["g"]] + smoothing * k) for r in rs)
-        den = sum(r["_n"] for r in rs)
-        pairs = counts.where(F.col("name") == c).select(
-            F.col("g").alias(group), F.col("c").alias(c), "_n")
-        out[c] = ConditionalTable(group, c, pairs, smoothing, k, levels, pair_n, totals,
-                                  num / den if den else None)
-    return out
+    counts = materialize(stacked.groupBy("name", "g", "c").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("name", "g").agg(F.sum("n").alias("total"))
+    levels = counts.groupBy("name").agg(F.count_distinct("c").alias("k"))
+    p = (F.col("n") + smoothing) / (F.col("total") + smoothing * F.col("k"))
+    stats = (counts.join(totals, ["name", "g"]).join(levels, "name").groupBy("name")
+             .agg(F.max("k").alias("k"), (F.sum(F.col("n") * p) / F.sum("n")).alias("mean")))
+    by = {r["name"]: r for r in stats.collect()}
+    return {c: ConditionalTable(group, c, counts.where(F.col("name") == c).select("g", "c", "n"),
+                                smoothing, by[c]["k"] if c in by else 0,
+                                by[c]["mean"] if c in by else None) for c in cats}
+
+
+def fit_conditional(train: DataFrame, group: str, cat: str, smoothing: float = 1.0
+                    ) -> ConditionalTable:
+    return fit_conditionals(train, group, [cat], smoothing)[cat]
 
 
 def conditional_table(t: ConditionalTable) -> DataFrame:
     """Fitted probabilities for the observed pairs: (group, cat, p)."""
     s = t.smoothing
-    from pyspark.sql.window import Window
-    total = F.sum("_n").over(Window.partitionBy(t.group))  # per group, over the pair table
-    return t.pairs.select(t.group, t.cat,
-                          ((F.col("_n") + s) / (total + s * t.n_cats)).alias("p"))
+    totals = t.counts.groupBy("g").agg(F.sum("n").alias("total"))
+    p = (F.col("n") + s) / (F.col("total") + s * t.n_cats)
+    return t.counts.join(totals, "g").select(F.col("g").alias(t.group), F.col("c").alias(t.cat),
+                                             p.alias("p"))
 
 
 def apply_conditional(df: DataFrame, t: ConditionalTable, out: str) -> DataFrame:
     """Look up P(cat | group) per row; NULL where group or cat is unseen."""
     s = t.smoothing
-    seen_cat = F.col(t.cat).isin(t.cat_levels)
-    if t.pair_n is not None:
-        n = F.coalesce(_lookup(t.pair_n, _key(t.group, t.cat)), F.lit(0))
-        total = _lookup(t.group_total, _key(t.group))
-        p = F.when(total.isNotNull() & seen_cat, (n + s) / (total + s * t.n_cats))
-        return df.withColumn(out, p)
-    totals = t.pairs.groupBy(t.group).agg(F.sum("_n").alias("_total"))
-    x = join_small(df, t.pairs, [t.group, t.cat], "left")
-    x = join_small(x, totals, [t.group], "left")
-    p = F.when(F.col("_total").isNotNull() & seen_cat,
+    g, c = F.col(t.group).cast("string"), F.col(t.cat).cast("string")
+    x = attach(df, t.counts.groupBy("g").agg(F.sum("n").alias("_total")), {"g": g})
+    x = attach(x, t.counts.select("c").distinct().withColumn("_seen", F.lit(True)), {"c": c})
+    x = attach(x, t.counts.withColumnRenamed("n", "_n"), {"g": g, "c": c})
+    p = F.when(F.col("_total").isNotNull() & F.col("_seen"),
                (F.coalesce(F.col("_n"), F.lit(0)) + s) / (F.col("_total") + s * t.n_cats))
-    return x.withColumn(out, p).drop("_n", "_total")
+    return x.withColumn(out, p).drop("_n", "_total", "_seen")
 
 
 def fill_with_train_mean(train: DataFrame, test: DataFrame, col: str,
@@ -222,93 +165,63 @@ def fit_score(df: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
 # ---------------------------------------------------------------- D5
 @dataclass
 class GroupMeans:
-    """Train means of ``value`` per ``group`` and the global train mean.
-
-    ``means`` is a literal dict when there are at most ``LOOKUP_ROWS`` groups,
-    otherwise ``means_df`` holds ``(group, _gm)`` for a join.
-    """
+    """Train means of ``value`` per ``group``: ``table`` is ``(g, mean)`` with the
+    group in Spark's string form; ``global_mean`` covers every train row."""
     group: str
     value: str
-    means: dict | None
-    means_df: DataFrame | None
+    table: DataFrame
     global_mean: float | None
 
 
-def fit_group_means(train: DataFrame, group: str, value: str,
-                    max_rows: int = LOOKUP_ROWS) -> GroupMeans:
-    """One aggregate: per-group sums and counts (NULL group included, so the
-    global mean covers every row, as in the analysed code)."""
-    v = F.col(value)
-    agg = train.groupBy(group).agg(F.sum(v).alias("_s"), F.count(v).alias("_c"))
-    rows = agg.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        means = {str(r[group]): r["_s"] / r["_c"]
-                 for r in rows if r[group] is not None and r["_c"]}
-        tot_c = sum(r["_c"] for r in rows)
-        gm = sum(r["_s"] or 0.0 for r in rows) / tot_c if tot_c else None
-        return GroupMeans(group, value, means, None, gm)
-    means_df = agg.where(F.col(group).isNotNull() & (F.col("_c") > 0)).select(
-        group, (F.col("_s") / F.col("_c")).alias("_gm"))
-    tot = agg.agg(F.sum("_s"), F.sum("_c")).first()
-    return GroupMeans(group, value, None, means_df, tot[0] / tot[1] if tot[1] else None)
-
-
-def fit_group_means_many(train: DataFrame, specs: Sequence[tuple[str, str]],
-                         max_rows: int = LOOKUP_ROWS) -> list[GroupMeans]:
-    """Several (group, value) mean tables from ONE scan (stacked by
-    ``explode``); a table over the literal-map cap is refitted on its own."""
+def fit_group_means_many(train: DataFrame, specs: Sequence[tuple[str, str]]) -> list[GroupMeans]:
+    """Several (group, value) mean tables from ONE scan, stacked by ``explode``.
+    The NULL group counts towards the global mean, as in the analysed code."""
     items = [F.struct(F.lit(i).alias("k"), F.col(g).cast("string").alias("g"),
                       F.col(v).cast("double").alias("v")) for i, (g, v) in enumerate(specs)]
     stacked = train.select(F.explode(F.array(*items)).alias("t")).select("t.*")
-    agg = stacked.groupBy("k", "g").agg(F.sum("v").alias("_s"), F.count("v").alias("_c"))
-    limit = max_rows * len(specs) + 1
-    rows = agg.limit(limit).collect()
-    per: dict[int, list] = {i: [] for i in range(len(specs))}
-    for r in rows:
-        per[r["k"]].append(r)
-    out = []
-    for i, (g, v) in enumerate(specs):
-        rs = per[i]
-        if len(rows) >= limit or len(rs) > max_rows:
-            out.append(fit_group_means(train, g, v, max_rows))
-            continue
-        means = {r["g"]: r["_s"] / r["_c"] for r in rs if r["g"] is not None and r["_c"]}
-        tot_c = sum(r["_c"] for r in rs)
-        gm = sum(r["_s"] or 0.0 for r in rs) / tot_c if tot_c else None
-        out.append(GroupMeans(g, v, means, None, gm))
-    return out
+    sums = materialize(stacked.groupBy("k", "g").agg(F.sum("v").alias("s"),
+                                                     F.count("v").alias("c")))
+    whole = sums.groupBy("k").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean"))
+    means = {r["k"]: r["mean"] for r in whole.collect()}  # one row per spec
+    seen = sums.where("g is not null and c > 0")
+    return [GroupMeans(g, v, seen.where(F.col("k") == i).select(
+        "g", (F.col("s") / F.col("c")).alias("mean")), means.get(i))
+        for i, (g, v) in enumerate(specs)]
+
+
+def fit_group_means(train: DataFrame, group: str, value: str) -> GroupMeans:
+    return fit_group_means_many(train, [(group, value)])[0]
 
 
 def apply_group_means(df: DataFrame, gm: GroupMeans, out: str, fill_unseen: bool,
-                      fill: F.Column | None = None) -> DataFrame:
-    """``out = value / group mean``; rows of unseen groups get ``fill`` when
-    ``fill_unseen`` (default ``value / global mean``), else NULL. A zero group
-    mean gives NULL (pandas would give inf)."""
+                      fill: Column | None = None) -> DataFrame:
+    """``out = value / group mean``, NULL for an unseen group and a zero mean
+    (where pandas gives inf). With ``fill_unseen`` the rows of unseen groups get
+    ``value / global mean``; with ``fill`` too, every ratio that has no value
+    (unseen group, NULL value, zero over zero) gets ``fill`` instead."""
     v = F.col(gm.value)
-    if gm.means is not None:
-        mean = _lookup(gm.means, _key(gm.group))
-        x = df.withColumn("_gm", mean)
-    else:
-        x = join_small(df, gm.means_df, [gm.group], "left")
-    ratio = F.try_divide(v, F.col("_gm"))
-    if fill_unseen:
-        if fill is None:
-            fill = (F.try_divide(v, F.lit(gm.global_mean)) if gm.global_mean is not None
-                    else F.lit(None).cast("double"))
-        ratio = F.when(F.col("_gm").isNull(), fill).otherwise(ratio)
+    x = attach(df, gm.table.withColumnRenamed("mean", "_gm"),
+               {"g": F.col(gm.group).cast("string")})
+    mean = F.col("_gm")
+    ratio = F.try_divide(v, mean)
+    if fill_unseen and fill is not None:
+        missing = mean.isNull() | v.isNull() | ((mean == 0) & (v == 0))
+        ratio = F.when(missing, fill).otherwise(ratio)
+    elif fill_unseen:
+        ratio = F.when(mean.isNull(), F.try_divide(v, F.lit(gm.global_mean).cast("double"))
+                       ).otherwise(ratio)
     return x.withColumn(out, ratio).drop("_gm")
 
 
 def group_mean_ratio(train: DataFrame, test: DataFrame, group: str, value: str, out: str,
-                     fallback: str = "global_mean", max_rows: int = LOOKUP_ROWS
-                     ) -> tuple[DataFrame, DataFrame]:
+                     fallback: str = "global_mean") -> tuple[DataFrame, DataFrame]:
     """``value / train mean of value in its group`` on train and test.
 
     Test rows whose group is unseen fall back to ``value / train global
-    mean`` (``global_mean``) or to the train mean of the ratio (any other
-    ``fallback``).
+    mean`` (``global_mean``); with any other ``fallback``, every test ratio
+    without a value becomes the train mean of the ratio.
     """
-    gm = fit_group_means(train, group, value, max_rows)
+    gm = fit_group_means(train, group, value)
     tr = apply_group_means(train, gm, out, fill_unseen=False)
     fill = None
     if fallback != "global_mean":
@@ -324,7 +237,6 @@ def one_hot_levels(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     followed by ``OneHotEncoder``; test values outside it get all zeros.
     """
     from .stats import label_counts
-    from pyspark.sql.window import Window
     lv = label_counts(train, cols).select(F.col("name").alias("column_name"),
                                           F.col("value").alias("level"))
     w = Window.partitionBy("column_name").orderBy("level")  # per column, over levels
@@ -341,7 +253,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     w = balanced_weights(df, label).select(label, F.col("weight").alias(out))
-    return join_small(df, w, [label], "left")
+    return attach(df, w, {label: F.col(label)})
 
 
 # ---------------------------------------------------------------- D9

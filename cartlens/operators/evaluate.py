@@ -3,9 +3,9 @@ threshold metrics, exact ROC-AUC and ROC points, threshold sweep and choice,
 classification report and leaders.
 
 All of it is aggregation. Anything cumulative over scores (AUC, ROC) uses
-score-range buckets: distinct scores are counted per bucket, bucket offsets
-come from a window over at most ``buckets`` rows, and the running sums run
-in windows partitioned by bucket -- never one window over all scores.
+score ranges cut where the data has its scores: distinct scores are counted and
+range-partitioned, offsets come from a window over at most ``buckets`` rows, and
+the running sums run inside one range each -- never one window over all scores.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lookups as L
+from ..session import materialize
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -54,40 +55,41 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score",
 def _score_table(df: DataFrame, label: str, score: str, buckets: int, descending: bool
                  ) -> DataFrame:
     """Per distinct score: positives, negatives, and the counts strictly
-    before it in the chosen order, computed bucket-wise."""
+    before it in the chosen order, computed range by range.
+
+    The ranges come from Spark's range partitioning of the distinct scores, so
+    each has about as many of them however the scores are spread."""
     s = F.col(score)
-    b = F.least(F.greatest(F.floor(s * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    if descending:
-        b = F.lit(buckets - 1) - b
-    per = (df.where(s.isNotNull() & F.col(label).isNotNull())
-           .groupBy(s.alias("s"), b.alias("b"))
-           .agg(F.sum(F.col(label)).cast("long").alias("pos"),
-                F.sum(1 - F.col(label)).cast("long").alias("neg")))
+    order = F.desc("s") if descending else F.asc("s")
+    per = materialize(
+        df.where(s.isNotNull() & F.col(label).isNotNull()).groupBy(s.alias("s"))
+        .agg(F.sum(F.col(label)).cast("long").alias("pos"),
+             F.sum(1 - F.col(label)).cast("long").alias("neg"))
+        .repartitionByRange(buckets, order).withColumn("b", F.spark_partition_id()))
     bt = per.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
     wall = Window.partitionBy()  # totals over the bucket table, <= buckets rows
     off = bt.select("b", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("op"),
                     F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("on"),
                     F.sum("bp").over(wall).alias("P"), F.sum("bn").over(wall).alias("N"))
-    order = F.desc("s") if descending else F.asc("s")
     ws = Window.partitionBy("b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (per.join(F.broadcast(off), "b")  # one row per bucket, bounded by ``buckets``
-            .select("s", "pos", "neg", "P", "N",
+            .select("s", "b", "pos", "neg", "P", "N",
                     (F.col("op") + F.coalesce(F.sum("pos").over(ws), F.lit(0))).alias("pos_before"),
                     (F.col("on") + F.coalesce(F.sum("neg").over(ws), F.lit(0))).alias("neg_before")))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = 4096) -> DataFrame:
+            buckets: int = 256) -> DataFrame:
     """Exact ROC-AUC (ties count half): one row ``(auc)``; NULL with one class."""
     t = _score_table(df, label, score, buckets, descending=False)
     return t.agg(F.try_divide(
-        F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))),
-        (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+        F.sum(F.col("pos").cast("double") * (F.col("neg_before") + 0.5 * F.col("neg"))),
+        F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
-              buckets: int = 4096) -> DataFrame:
+              buckets: int = 256) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, plus (inf, 0, 0)."""
     t = _score_table(df, label, score, buckets, descending=True)
     first = F.col("pos_before") + F.col("neg_before") == 0  # the highest score

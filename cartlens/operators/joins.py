@@ -1,39 +1,26 @@
-"""Lookup joins against fitted tables, broadcast only behind a size check."""
+"""Joins against fitted tables."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A fitted lookup with at most this many rows is broadcast; larger ones go
-# through a regular shuffle join chosen (and skew-split) by AQE.
-BROADCAST_ROWS = 2_000_000
 
+def attach(df: DataFrame, table: DataFrame, keys: Mapping[str, Column],
+           null_safe: bool = False) -> DataFrame:
+    """Left join: the other columns of ``table``, whose columns ``keys`` are
+    unique together, for the rows of ``df`` that give these values.
 
-def join_small(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner",
-               null_safe: bool = False, max_rows: int = BROADCAST_ROWS,
-               known_rows: int | None = None) -> DataFrame:
-    """Join ``df`` with a fitted ``table`` on ``on`` columns.
-
-    The table's row count is checked first (it is an aggregate, so the count
-    is cheap) unless the caller passes a proven bound ``known_rows``; only
-    under ``max_rows`` is it broadcast. ``null_safe`` matches
-    NULL keys to NULL keys (``<=>``), as pandas lookups do for NaN groups.
+    The planner chooses: a table that is small at run time is broadcast, a
+    larger one is shuffled and its skewed keys are split. ``null_safe`` matches
+    NULL to NULL.
     """
-    on = list(on)
-    if known_rows is not None:  # an upper bound proven by the caller
-        small = known_rows <= max_rows
-    else:
-        small = table.limit(max_rows + 1).count() <= max_rows
-    right = F.broadcast(table) if small else table
-    if not null_safe:
-        return df.join(right, on, how)
-    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on],
-                     *[c for c in table.columns if c not in on])
-    cond = None
-    for c in on:
-        e = df[c].eqNullSafe(r[f"_r_{c}"])
-        cond = e if cond is None else cond & e
-    return df.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+    named = {c: f"_key_{c}" for c in keys}
+    right = table.withColumnsRenamed(named)
+    on = [e.eqNullSafe(F.col(named[c])) if null_safe else e == F.col(named[c])
+          for c, e in keys.items()]
+    return df.join(right, reduce(and_, on), "left").drop(*named.values())

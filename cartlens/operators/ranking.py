@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import join_small
+from .joins import attach
 
 
 def bucket_digits(largest_stratum: int, target_rows: int = 200_000, minimum: int = 3) -> int:
@@ -43,21 +43,16 @@ def hash_order(seed: int | str, key: str | Column) -> Column:
 
 def bucketed_rank(df: DataFrame, strata: Sequence[str], order: Column,
                   tiebreak: Sequence[str] = (), digits: int = 3,
-                  out: str = "rank", n_strata: int | None = None) -> DataFrame:
-    """1-based rank of each row inside its stratum by the hex string ``order``.
-
-    With ``n_strata`` known, the offset table has at most
-    ``n_strata * 16**digits`` rows, a proven bound for the broadcast check.
-    """
+                  out: str = "rank") -> DataFrame:
+    """1-based rank of each row inside its stratum by the hex string ``order``."""
     strata = list(strata)
     b = df.withColumn("_ord", order).withColumn("_bkt", F.substring("_ord", 1, digits))
     counts = b.groupBy(*strata, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*strata).orderBy("_bkt")
     offsets = counts.select(*strata, "_bkt",
                             (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    # at most (#strata values) x 16**digits rows: broadcast when checked small
-    bound = n_strata * 16 ** digits if n_strata is not None else None
-    ranked = join_small(b, offsets, [*strata, "_bkt"], null_safe=True, known_rows=bound)
+    keys = [*strata, "_bkt"]  # at most (strata values) x 16**digits rows
+    ranked = attach(b, offsets, {c: F.col(c) for c in keys}, null_safe=True)
     w2 = Window.partitionBy(*strata, "_bkt").orderBy("_ord", *tiebreak)
     return (ranked.withColumn(out, F.col("_off") + F.row_number().over(w2))
             .drop("_ord", "_bkt", "_off"))

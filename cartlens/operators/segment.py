@@ -17,12 +17,12 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import features as fe
 from ..functions import lookups as L
 from .encode import Standardizer, fit_standardizer
-
-MAX_CLUSTERS = 1000
+from .joins import attach
 
 
 # ---------------------------------------------------------------- E1
@@ -46,17 +46,24 @@ def kmeans_best(df: DataFrame, k: int = 5, seed: int = 42, restarts: int = 10,
 
     The fits are independent, so up to ``parallelism`` run as concurrent Spark
     jobs. The lowest cost wins, and the earliest seed on ties, whatever the
-    finishing order. The input should be materialised by the caller, since
-    every fit scans it.
+    finishing order. All fits share one persisted copy of the features; without
+    it each would keep its own.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    from pyspark import StorageLevel
+
+    held = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+
     def fit(s):
-        m = KMeans(k=k, seed=s, featuresCol=features, predictionCol="raw_cluster").fit(df)
+        m = KMeans(k=k, seed=s, featuresCol=features, predictionCol="raw_cluster").fit(held)
         return s, m, m.summary.trainingCost
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(fit, range(seed, seed + restarts)))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            fits = list(pool.map(fit, range(seed, seed + restarts)))
+    finally:
+        held.unpersist()
     return min(fits, key=lambda t: (t[2], t[0]))[1]
 
 
@@ -66,12 +73,10 @@ def renumber_by(df: DataFrame, cluster: str, by: str, out: str = "cluster") -> D
     Raw k-means ids depend on seed and library; ranks of a business measure
     do not, so names and actions attach to ranks.
     """
-    means = (df.groupBy(cluster).agg(F.avg(by).alias("_m"))
-             .orderBy("_m", cluster).limit(MAX_CLUSTERS + 1).collect())
-    if len(means) > MAX_CLUSTERS:
-        raise ValueError("too many clusters")
-    mapping = {r[cluster]: i for i, r in enumerate(means)}
-    return df.withColumn(out, fe.map_expr(cluster, mapping).cast("int"))
+    means = df.groupBy(cluster).agg(F.avg(by).alias("_m"))
+    ranks = means.select(F.col(cluster).alias("_c"), (F.row_number().over(
+        Window.orderBy("_m", cluster)) - 1).cast("int").alias("_rank"))  # one row per cluster
+    return attach(df, ranks, {"_c": F.col(cluster)}).withColumn(out, F.col("_rank")).drop("_rank")
 
 
 # ---------------------------------------------------------------- E3
@@ -81,16 +86,15 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") ->
     For row i and cluster c: sum_j |x_i - x_j|^2 = n_c |x_i|^2 + Q_c - 2 x_i . S_c
     with n_c, S_c (vector sum) and Q_c (sum of squared norms) per cluster.
     a(i) divides its own cluster's sum by n_c - 1, b(i) is the smallest mean
-    over the other clusters, s(i) = (b - a) / max(a, b), and 0 in a singleton.
+    over the other clusters, s(i) = (b - a) / max(a, b), and 0 in a singleton and
+    where both are 0 (coincident points).
     """
     x = [F.col(c) for c in cols]
     sq = sum((v * v for v in x[1:]), x[0] * x[0])
     stats = (df.groupBy(cluster)
              .agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"),
                   *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
-             .orderBy(cluster).limit(MAX_CLUSTERS + 1).collect())
-    if len(stats) > MAX_CLUSTERS:
-        raise ValueError("too many clusters")
+             .orderBy(cluster).collect())  # one row per cluster
     own = F.col(cluster)
     totals = {}
     for r in stats:
@@ -103,7 +107,8 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") ->
     others = [F.when(own != F.lit(cid), tot / F.lit(n)) for cid, (n, tot) in totals.items()]
     b = F.least(*others) if len(others) > 1 else others[0]
     n_own = fe.map_expr(cluster, {cid: n for cid, (n, _) in totals.items()})
-    s = F.when(n_own > 1, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0))
+    s = F.when(n_own > 1, F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
+               ).otherwise(F.lit(0.0))
     if len(totals) < 2:
         s = F.lit(None).cast("double")
     return df.agg(F.avg(s).alias("silhouette"))
@@ -177,9 +182,10 @@ def crm_summary(df: DataFrame, cluster: str = "cluster", names: dict | None = No
     names = names if names is not None else L.SEGMENT_NAMES
 
     def mean3(c):
-        # exact decimal mean, then half-even: the tie rule applies to the true mean
+        # decimal mean, then half-even: the tie rule applies to the true mean; 12
+        # decimals leave 26 digits for the sum
         x = F.col(c) if isinstance(c, str) else c
-        return F.bround(F.avg(x.cast("decimal(38,4)")), 3).cast("double")
+        return F.bround(F.avg(x.cast("decimal(38,12)")), 3).cast("double")
 
     s = df.groupBy(cluster).agg(
         F.count("customer_id").alias("n_customers"),
@@ -196,10 +202,7 @@ def crm_summary(df: DataFrame, cluster: str = "cluster", names: dict | None = No
 
 # ---------------------------------------------------------------- E8
 def centroids_of(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> dict:
-    rows = (df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in cols])
-            .limit(MAX_CLUSTERS + 1).collect())
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError("too many clusters")
+    rows = df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in cols]).collect()
     return {r[cluster]: [r[c] for c in cols] for r in rows}
 
 

@@ -6,9 +6,8 @@ Scale notes
   a label holding a third of all rows costs one row per map task.
 * What reaches the driver is bounded by construction: labels with a share of
   at least ``min_share`` (at most ``1/min_share`` per column), the top-n
-  labels, pivot domains (checked against a cap), and scalars.
-* Zero cells of a table are produced by ``pivot`` over a known domain plus
-  ``unpivot``, never by a cross join of domains.
+  labels, the column names of a wide table, and scalars.
+* No window holds the labels of a column: totals are aggregates joined back.
 """
 
 from __future__ import annotations
@@ -21,20 +20,18 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions.features import map_expr
-
-MAX_DOMAIN = 10000  # largest label domain we pivot or collect
+from ..session import materialize
+from .joins import attach
 
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
 
 
-def _domain(df: DataFrame, col: str, cap: int = MAX_DOMAIN) -> list:
-    vals = (df.select(col).where(F.col(col).isNotNull()).distinct()
-            .orderBy(col).limit(cap + 1).collect())
-    if len(vals) > cap:
-        raise ValueError(f"column {col} has more than {cap} labels; not a category")
-    return [r[0] for r in vals]
+def _domain(df: DataFrame, col: str) -> list:
+    """Sorted labels, for a wide table's column names."""
+    return [r[0] for r in
+            df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
 # ---------------------------------------------------------------- C1
@@ -59,28 +56,20 @@ def frequent_label_counts(df: DataFrame, cols: Sequence[str],
     and per column the number of non-null rows whose label is rarer.
 
     At most ``floor(1/min_share)`` labels per column can qualify, so what is
-    collected has a proven size bound, whatever the table size. One
-    aggregation: the row count is the per-column sum over the count table (a
-    window partitioned by column name, over labels, not rows).
+    collected has a proven size bound, whatever the table size. The input is
+    read once; the count table is written, and every column counts all rows.
     """
-    from pyspark.sql.window import Window
-    counts = label_counts(df, cols, with_nulls=True)
-    by_col = Window.partitionBy("name")
-    x = (counts.withColumn("_rows", F.sum("n").over(by_col))
-         .withColumn("_f", F.col("value").isNotNull()
-                     & (F.col("n") / F.col("_rows") >= F.lit(min_share))))
-    x = (x.withColumn("_rare", F.sum(F.when(F.col("value").isNotNull() & ~F.col("_f"), F.col("n"))
-                                     .otherwise(0)).over(by_col))
-         .withColumn("_rn", F.row_number().over(by_col.orderBy("value"))))
-    # frequent labels, plus one row per column to carry its rare total
-    rows = (x.where(F.col("_f") | (F.col("_rn") == 1))
-            .select("name", "value", "n", "_rare", "_f").collect())
+    counts = materialize(label_counts(df, cols, with_nulls=True))
+    known = F.col("value").isNotNull()
+    totals = {r["name"]: r for r in counts.groupBy("name").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(known, F.col("n"))).alias("known")).collect()}
+    n_rows = max((r["rows"] for r in totals.values()), default=0)
     kept: dict[str, dict] = {c: {} for c in cols}
-    rare: dict[str, int] = {c: 0 for c in cols}
-    for r in rows:
-        rare[r["name"]] = r["_rare"]
-        if r["_f"]:
-            kept[r["name"]][r["value"]] = r["n"]
+    for r in counts.where(known & (F.col("n") / F.lit(max(n_rows, 1)) >= F.lit(min_share))
+                          ).collect():
+        kept[r["name"]][r["value"]] = r["n"]
+    rare = {c: ((totals[c]["known"] or 0) if c in totals else 0) - sum(kept[c].values())
+            for c in cols}
     return kept, rare
 
 
@@ -133,14 +122,14 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def value_counts_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column_name, value, n, pct)`` for several columns in one scan.
 
-    The per-column total is a window partitioned by column name over the
-    small count table, never over rows.
+    The totals are a second aggregate over the same counts (the planner reuses
+    their shuffle), joined back: one row per column.
     """
-    from pyspark.sql.window import Window
     counts = label_counts(df, cols)
-    total = F.sum("n").over(Window.partitionBy("name"))
-    return counts.select(F.col("name").alias("column_name"), "value", "n",
-                         (F.col("n") * 100.0 / total).alias("pct"))
+    x = attach(counts, counts.groupBy("name").agg(F.sum("n").alias("_all")),
+               {"name": F.col("name")})
+    return x.select(F.col("name").alias("column_name"), "value", "n",
+                    (F.col("n") * 100.0 / F.col("_all")).alias("pct"))
 
 
 # ---------------------------------------------------------------- C3
@@ -160,13 +149,22 @@ def keep_top(df: DataFrame, col: str, out: str, n: int = L.TOP_LOCATIONS,
 
 # ---------------------------------------------------------------- C4, C5
 def contingency(df: DataFrame, a: str, b: str, b_levels: Sequence | None = None) -> DataFrame:
-    """Long ``(a, b, n)`` counts including zero cells; null rows dropped."""
-    b_levels = list(b_levels) if b_levels is not None else _domain(df.where(F.col(a).isNotNull()), b)
-    wide = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-            .groupBy(a).pivot(b, b_levels).agg(F.count(F.lit(1))))
-    names = [str(v) for v in b_levels]
-    wide = wide.na.fill(0, subset=names)
-    return wide.unpivot([a], names, b, "n").withColumn("n", F.col("n").cast("long"))
+    """Long ``(a, b, n)`` counts including zero cells; null rows dropped.
+
+    The cells of a level of ``a`` are the levels of ``b``, taken from one array
+    value, so the table stays long at any number of levels. ``b`` is text.
+    """
+    pairs = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+             .select(F.col(a).alias("_a"), F.col(b).cast("string").alias("_b"))
+             .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    if b_levels is not None:
+        levels = F.array(*[F.lit(str(v)) for v in b_levels])
+    else:
+        levels = pairs.agg(F.array_sort(F.collect_set("_b"))).scalar()
+    cells = pairs.select("_a").distinct().select(
+        F.col("_a").alias(a), F.explode(levels).alias(b))
+    x = attach(cells, pairs, {"_a": F.col(a), "_b": F.col(b)})
+    return x.select(a, b, F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
 def crosstab_pct(df: DataFrame, a: str, b: str, b_levels: Sequence | None = None,
@@ -195,15 +193,13 @@ def cramers_v_frame(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFr
     same |O - E|, so chi2 = (d - min(0.5, d))^2 * sum(1/E) over all 4 cells,
     where sum(1/E) = n * sum(1/R) * sum(1/C) needs only the margins.
     """
-    from pyspark.sql.window import Window
     pairs = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
              .groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
-             .agg(F.count(F.lit(1)).alias("o")))
-    # margins by windows over the (small) pair table: the input is read once
-    wa, wb = Window.partitionBy("a"), Window.partitionBy("b")
-    cells = pairs.select("a", "b", "o",
-                         F.sum("o").over(wa).alias("R"), F.count(F.lit(1)).over(wa).alias("ra"),
-                         F.sum("o").over(wb).alias("C"), F.count(F.lit(1)).over(wb).alias("cb"))
+             .agg(F.count(F.lit(1)).cast("double").alias("o")))  # doubles: products of counts
+    # margins are aggregates of the pair table, whose shuffle the planner reuses
+    rows = pairs.groupBy("a").agg(F.sum("o").alias("R"), F.count(F.lit(1)).alias("ra"))
+    columns = pairs.groupBy("b").agg(F.sum("o").alias("C"), F.count(F.lit(1)).alias("cb"))
+    cells = pairs.join(rows, "a").join(columns, "b")
     m = cells.agg(
         F.sum("o").alias("n"),
         F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k"),
@@ -211,7 +207,7 @@ def cramers_v_frame(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFr
         F.sum(1.0 / (F.col("R") * F.col("ra"))).alias("inv_r"),
         F.sum(1.0 / (F.col("C") * F.col("cb"))).alias("inv_c"),
         F.first("o").alias("o1"), F.first("R").alias("r1"), F.first("C").alias("c1"))
-    n = F.col("n").cast("double")
+    n = F.col("n")
     plain = n * F.col("s") - n
     d = F.abs(F.col("o1") - F.col("r1") * F.col("c1") / n)
     corrected = F.pow(d - F.least(F.lit(0.5), d), 2) * n * F.col("inv_r") * F.col("inv_c")
@@ -219,7 +215,7 @@ def cramers_v_frame(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFr
     chi2 = F.when(F.lit(yates) & is2x2, corrected).otherwise(plain)
     v = F.when((F.col("r") < 2) | (F.col("k") < 2), F.lit(0.0)).otherwise(
         F.sqrt(F.greatest(chi2, F.lit(0.0)) / (n * (F.least("r", "k") - 1))))
-    return m.select(chi2.alias("chi2"), F.col("n"), F.col("r"), F.col("k"), v.alias("cramers_v"))
+    return m.select(chi2.alias("chi2"), n.cast("long").alias("n"), F.col("r"), F.col("k"), v.alias("cramers_v"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str, yates: bool = True) -> float:
@@ -287,7 +283,7 @@ def kde(df: DataFrame, value: str, group: str, grid: int = 200, cut: float = 3.0
     reach = F.lit(40.0) * F.col("bw")
     lo = F.greatest(F.lit(0), F.ceil((F.col("x") - reach - F.col("g0")) / F.col("step")) - 1)
     hi = F.least(F.lit(grid - 1), F.floor((F.col("x") + reach - F.col("g0")) / F.col("step")) + 1)
-    pts = (distinct.join(F.broadcast(support), group)  # one row per group
+    pts = (distinct.join(support, group)  # one row per group
            .withColumn("_lo", lo.cast("int")).withColumn("_hi", hi.cast("int"))
            .where(F.col("_lo") <= F.col("_hi"))
            .select(group, "x", "w", "n", "bw", "g0", "step",

@@ -102,7 +102,15 @@ W_ENG = with_ctes(SHOP, RARE, ENG.strip())
 ORACLE: dict[str, str] = {}
 
 ORACLE["shop_scan"] = W_SHOP + "SELECT * FROM shop"
-ORACLE["csv_scan"] = W_SHOP + "SELECT * FROM shop"
+ORACLE["csv_scan"] = W_SHOP + """SELECT * REPLACE (
+  CASE WHEN customer_id % 7 = 0 THEN 'say "x", ' || item_purchased ELSE item_purchased END
+    AS item_purchased,
+  CASE WHEN customer_id % 5 = 0 THEN color || chr(10) || 'side, two' ELSE color END AS color,
+  CASE WHEN customer_id % 11 = 0 THEN NULL ELSE category END AS category,
+  CASE WHEN customer_id % 19 = 0 THEN NULL ELSE size END AS size,
+  CASE WHEN customer_id % 13 = 0 THEN NULL ELSE age END AS age,
+  CASE WHEN customer_id % 17 = 0 THEN NULL ELSE previous_purchases END AS previous_purchases)
+FROM shop"""
 ORACLE["header_normalize"] = W_SHOP + "SELECT * FROM shop"
 ORACLE["numeric_coercion"] = W_SHOP + "SELECT * FROM shop"
 ORACLE["rare_collapse"] = W_RARE + "SELECT * FROM rare"

@@ -3,10 +3,10 @@
 Saved under one folder (on shared storage, e.g. under ``spark.checkpoint.dir``):
   models/encoder   the fitted one-hot + assembler ``PipelineModel``
   models/model     the fitted classifier
-  tables/...       fitted lookup tables too large for literal maps (parquet)
+  tables/...       conditional counts and group means (parquet)
   meta             JSON: frequent labels, cut points, top locations, dropped
-                   columns, conditional and group-mean maps, kept slots,
-                   scaler, threshold, segment scaler and centroids
+                   columns, kept slots, scaler, threshold, segment scaler and
+                   centroids
 Loading gives a :class:`~cartlens.plans.model.ModelData` (without the
 training frames) for :func:`~cartlens.plans.model.transform_new` and a
 :class:`~cartlens.plans.scoring.ScoringBundle` for ``score_requests``.
@@ -17,7 +17,8 @@ from __future__ import annotations
 from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressionModel,
+                                       RandomForestClassificationModel)
 from pyspark.sql import SparkSession
 
 from ..operators.encode import ConditionalTable, GroupMeans, Standardizer
@@ -28,19 +29,20 @@ from .prepare import Prepared
 from .scoring import ScoringBundle
 
 
+# the fitted form of every candidate
+MODEL_CLASSES = {c.__name__: c for c in (LogisticRegressionModel, RandomForestClassificationModel,
+                                         GBTClassificationModel)}
+
+
 def save_scoring_state(path: str, md: ModelData, bundle: ScoringBundle) -> None:
     tables, conds, ratios = {}, {}, {}
     for out, t in md.encodings.conditionals.items():
         conds[out] = {"group": t.group, "cat": t.cat, "smoothing": t.smoothing,
-                      "n_cats": t.n_cats, "cat_levels": t.cat_levels, "pair_n": t.pair_n,
-                      "group_total": t.group_total, "train_mean": t.train_mean}
-        if t.pair_n is None:
-            tables[f"cond__{out}"] = t.pairs
+                      "n_cats": t.n_cats, "train_mean": t.train_mean}
+        tables[f"cond__{out}"] = t.counts
     for out, g in md.encodings.ratios.items():
-        ratios[out] = {"group": g.group, "value": g.value, "means": g.means,
-                       "global_mean": g.global_mean}
-        if g.means is None:
-            tables[f"ratio__{out}"] = g.means_df
+        ratios[out] = {"group": g.group, "value": g.value, "global_mean": g.global_mean}
+        tables[f"ratio__{out}"] = g.table
     meta = {
         "prep_state": asdict(md.prep_state),
         "conditionals": conds, "ratios": ratios,
@@ -52,21 +54,21 @@ def save_scoring_state(path: str, md: ModelData, bundle: ScoringBundle) -> None:
         "centroids": {str(k): v for k, v in bundle.centroids.items()},
         "segment_names": {str(k): v for k, v in bundle.names.items()},
     }
+    meta["model_class"] = type(bundle.model).__name__
     io.save_bundle(path, {"encoder": md.encoder, "model": bundle.model}, tables, meta)
 
 
 def load_scoring_state(spark: SparkSession, path: str) -> tuple[ModelData, ScoringBundle]:
-    models, tables, meta = io.load_bundle(
-        spark, path, {"encoder": PipelineModel, "model": LogisticRegressionModel})
+    models, tables, meta = io.load_bundle(spark, path, lambda meta: {
+        "encoder": PipelineModel, "model": MODEL_CLASSES[meta["model_class"]]})
     enc = tr.Encodings()
     for out, c in meta["conditionals"].items():
-        pairs = tables.get(f"cond__{out}")
         enc.conditionals[out] = ConditionalTable(
-            c["group"], c["cat"], pairs, c["smoothing"], c["n_cats"], c["cat_levels"],
-            c["pair_n"], c["group_total"], c["train_mean"])
+            c["group"], c["cat"], tables[f"cond__{out}"], c["smoothing"], c["n_cats"],
+            c["train_mean"])
     for out, g in meta["ratios"].items():
-        enc.ratios[out] = GroupMeans(g["group"], g["value"], g["means"],
-                                     tables.get(f"ratio__{out}"), g["global_mean"])
+        enc.ratios[out] = GroupMeans(g["group"], g["value"], tables[f"ratio__{out}"],
+                                     g["global_mean"])
     scaler = VectorScaler(meta["scaler"]["mean"], meta["scaler"]["std"])
     md = ModelData(None, None, models["encoder"], meta["names"], meta["keep"], [], scaler, 0,
                    meta["numeric"], enc, Prepared(**meta["prep_state"]))

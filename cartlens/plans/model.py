@@ -20,6 +20,7 @@ names and metric rows.
 from __future__ import annotations
 
 import math
+import statistics
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -29,7 +30,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,8 +150,7 @@ def with_folds(df: DataFrame, key: str = "customer_id", label: str = "label",
     """Stratified fold id: per-class hash rank modulo k (exact, partition-free).
     ``n_rows`` (if known) sizes the rank buckets."""
     digits = bucket_digits(n_rows) if n_rows else 3
-    ranked = bucketed_rank(df, [label], hash_order(f"fold{seed}", key), [key], digits, "_r",
-                           n_strata=2)  # label is 0/1
+    ranked = bucketed_rank(df, [label], hash_order(f"fold{seed}", key), [key], digits, "_r")
     return ranked.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
@@ -159,11 +159,32 @@ def auc_evaluator(label: str = "label") -> BinaryClassificationEvaluator:
                                          metricName="areaUnderROC", numBins=0)
 
 
-def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism: int = 4):
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid or [{}],
-                        evaluator=auc_evaluator(), foldCol="fold", numFolds=folds,
-                        parallelism=parallelism, seed=SEED)
-    return cv.fit(train)
+@dataclass
+class CvScores:
+    """Per parameter map: mean and population standard deviation of the AUC."""
+    avgMetrics: list
+    stdMetrics: list
+
+
+def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism: int = 5
+                   ) -> CvScores:
+    """AUC on every stored fold of a model fitted on the others. The fits are
+    independent, so up to ``parallelism`` run as concurrent Spark jobs; nothing is
+    refitted on all rows here."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    maps = grid or [{}]
+
+    def run(item):
+        fold, params = item
+        model = est.fit(train.where(F.col("fold") != fold), params)
+        return auc_evaluator().evaluate(model.transform(train.where(F.col("fold") == fold)))
+
+    jobs = [(f, m) for m in maps for f in range(folds)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        auc = list(pool.map(run, jobs))
+    per = [auc[i * folds:(i + 1) * folds] for i in range(len(maps))]
+    return CvScores([statistics.fmean(x) for x in per], [statistics.pstdev(x) for x in per])
 
 
 # ---------------------------------------------------------------- assembled data
@@ -213,21 +234,19 @@ def prepare_model_data(eng: DataFrame, select: bool = True, prep_state=None) ->
                      nums, encs, prep_state)
 
 
-def transform_new(raw: DataFrame, md: ModelData, carry: tuple = ()) -> DataFrame:
+def transform_new(raw: DataFrame, md: ModelData, features: tuple = ()) -> DataFrame:
     """H1 in trained mode: raw customer rows -> the model's scaled feature
     vector, reusing every fitted piece (labels, cuts, encodings, one-hot,
-    selected slots, scaler). Map-only apart from broadcast lookups.
-    ``carry`` keeps named raw columns alongside the vector. They are taken
-    from ``raw`` before any relabelling."""
+    selected slots, scaler). Row-wise apart from the fitted-table lookups.
+    ``features`` names prepared columns to keep alongside the vector."""
     from .prepare import apply_prepared
-    carry = tuple(carry)
-    src = raw.withColumns({f"__carry_{c}": F.col(c) for c in carry}) if carry else raw
-    eng = apply_prepared(src, md.prep_state)
+    eng = apply_prepared(raw, md.prep_state)
+    eng = eng.withColumns({f"__keep_{c}": F.col(c) for c in features}) if features else eng
     mf = tr.model_frame(tr.apply_encodings(eng, md.encodings),
-                        carry=tuple(f"__carry_{c}" for c in carry))
+                        carry=tuple(f"__keep_{c}" for c in features))
     mf = fe.fill_zero(mf, md.numeric)
     a = md.encoder.transform(mf).select(
-        "customer_id", "raw", *[F.col(f"__carry_{c}").alias(c) for c in carry])
+        "customer_id", "raw", *[F.col(f"__keep_{c}").alias(c) for c in features])
     sel = VectorSlicer(inputCol="raw", outputCol="sel", indices=md.keep).transform(a)
     return md.scaler.transform(sel)
 
@@ -241,8 +260,8 @@ def compare_cv(p: ModelData, names: list[str] | None = None, parallel: int = 4
                ) -> tuple[DataFrame, str]:
     """F5 + F6: (model, cv_auc_mean, cv_auc_std, position) and the winner.
 
-    Candidates are cross-validated as concurrent Spark jobs (each with its
-    folds in parallel too); the winner is the highest mean, first on ties.
+    Candidates are cross-validated as concurrent Spark jobs, each with its folds
+    as concurrent jobs too; the winner is the highest mean, first on ties.
     """
     from concurrent.futures import ThreadPoolExecutor
     n_fit = max(1, round(p.n_train * 4 / 5))  # rows of each CV fit
@@ -251,37 +270,39 @@ def compare_cv(p: ModelData, names: list[str] | None = None, parallel: int = 4
 
     def run(item):
         i, name, est = item
-        cvm = cross_validate(p.train, est, parallelism=5)
+        cvm = cross_validate(p.train, est)
         return (name, float(cvm.avgMetrics[0]), float(cvm.stdMetrics[0]), i)
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(chosen)))) as pool:
         rows = sorted(pool.map(run, chosen), key=lambda r: r[3])
-    best = None
-    for r in rows:  # strict '>' keeps the first on ties
-        if best is None or r[1] > best[1]:
-            best = r
     spark = p.train.sparkSession
     df = spark.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, "
                                      "position int")
-    return df, best[0]
+    return df, pick_best(df)
 
 
 def tune(p: ModelData, name: str, grid: dict | None = None):
-    """grid search by 5-fold AUC; returns the refitted best model.
+    """grid search by 5-fold AUC; returns the best model, refitted on all of
+    train, and the scores of the grid.
 
     ``grid`` maps parameter names to value lists and replaces the default grid
-    of the candidate (for example a 2-point grid in tests).
+    of the candidate (for example a 2-point grid in tests). The default grid's
+    regularisation stands for a C over the rows of a fit, so it is built once for
+    the rows of a fold's fit and once for all of train.
     """
-    est = dict(candidates(p.n_train))[name]
-    if grid is None:
-        maps = grid_for(name, est, p.n_train)
-    else:
+    def build(rows):
+        est = dict(candidates(rows))[name]
+        if grid is None:
+            return est, grid_for(name, est, rows)
         b = ParamGridBuilder()
         for param, values in grid.items():
             b = b.addGrid(est.getParam(param), list(values))
-        maps = b.build()
-    cvm = cross_validate(p.train, est, maps)
-    return cvm.bestModel, cvm
+        return est, b.build()
+
+    scores = cross_validate(p.train, *build(max(1, round(p.n_train * 4 / 5))))
+    best = max(range(len(scores.avgMetrics)), key=lambda i: (scores.avgMetrics[i], -i))
+    est, maps = build(p.n_train)
+    return est.fit(p.train, maps[best]), scores
 
 
 def pick_best(cv: DataFrame) -> str:

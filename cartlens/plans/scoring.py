@@ -7,15 +7,14 @@
                       the request cannot fill are 0 *before* scaling.
 ``score_requests``    H3 + H4: probability, decision at the saved threshold,
                       nearest segment and its name.
-All per-row work is native expressions on a map-only plan; the model is a
-saved ``LogisticRegressionModel`` applied by ``transform``.
+All per-row work is native expressions; the model is any fitted candidate,
+applied by ``transform``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ def request_features(df: DataFrame) -> DataFrame:
     male = fe.flag_expr(F.col("gender") == "Male")
     return df.withColumns({
         "total_spend_weighted_new": prev * spend,
-        "spend_per_purchase_new": spend / (prev + F.lit(1)),
+        "spend_per_purchase_new": F.try_divide(spend, prev + F.lit(1)),
         "frequency_value_new": freq,
         "loyalty_score_new": loyalty,
         "high_review_rating_new": fe.flag_expr(rating >= 4),
@@ -73,7 +72,7 @@ def align(df: DataFrame, slots: list[str], out: str = "sel") -> DataFrame:
 
 @dataclass
 class ScoringBundle:
-    model: LogisticRegressionModel
+    model: object          # any fitted candidate
     slots: list            # kept slot names, in model order
     scaler: VectorScaler
     threshold: float
@@ -94,10 +93,8 @@ def score_requests(df: DataFrame, b: ScoringBundle, mode: str = "form",
         from .model import transform_new
         if model_data is None:
             raise ValueError("mode='trained' needs the fitted model data")
-        carry = ("purchase_amount_usd", "previous_purchases", "frequency_of_purchases",
-                 "review_rating", "promo_code_used", "gender")
-        vec = transform_new(df, model_data, carry=carry)  # one map-only pass, no join
-        scored = score(b.model, request_features(vec))
+        # segments see the features that training saw, not the form's
+        scored = score(b.model, transform_new(df, model_data, features=L.SEGMENT_FEATURES))
     elif mode == "form":
         scored = score(b.model, b.scaler.transform(align(request_features(df), b.slots)))
     else:

@@ -65,8 +65,13 @@ def analyse(raw: DataFrame, out: str, candidates: list[str] | None = None,
     summary["silhouette"] = sg.silhouette(seg, zc, "cluster").first()["silhouette"]
     _write(sg.label_segments(sg.profile_segments(seg)), out, "segment_profile")
     _write(sg.crm_summary(seg), out, "crm_summary")
-    proj, ratios = sg.project(feats, 2)
-    summary["pca_explained"] = ratios
+    _write(sg.label_segments(seg).select("customer_id", "cluster", "segment_name", "action"),
+           out, "customer_segments")
+    for k in (2, 3):
+        proj, ratios = sg.project(seg, k)
+        _write(proj.select("customer_id", "cluster", *[f"pc{i + 1}" for i in range(k)]), out,
+               f"projection_{k}d")
+        summary[f"pca_explained_{k}d"] = ratios
     centroids = sg.centroids_of(seg, zc, "cluster")
 
     # models
@@ -91,11 +96,13 @@ def analyse(raw: DataFrame, out: str, candidates: list[str] | None = None,
     elif hasattr(model, "featureImportances"):
         _write(mo.top_importance(model, names), out, "top_importance")
 
-    # scoring state (only a logistic model is supported by the bundle loader)
-    if best == "LogisticRegression":
-        bundle = ScoringBundle(model, names, md.scaler, thr, seg_scaler, centroids,
-                               dict(L.SEGMENT_NAMES))
-        save_scoring_state(os.path.join(out, "scoring_state"), md, bundle)
+    compared = materialize(mo.compare_models(md, candidates))
+    _write(compared, out, "model_comparison")
+    _write(ev.leaders(compared.withColumn("_pos", F.col("position"))), out, "model_leaders")
+
+    bundle = ScoringBundle(model, names, md.scaler, thr, seg_scaler, centroids,
+                           dict(L.SEGMENT_NAMES))
+    save_scoring_state(os.path.join(out, "scoring_state"), md, bundle)
     return summary
 
 

@@ -14,15 +14,6 @@ from pyspark.sql import types as T
 
 from .shop import NUMERIC_COLUMNS, SHOP_COLUMNS
 
-# Declared schema of a raw customer file: ids are integers, the four
-# measures are read as text and coerced, so bad cells become NULL instead of
-# failing the whole read.
-RAW_SCHEMA = T.StructType(
-    [T.StructField("customer_id", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in SHOP_COLUMNS[1:]]
-    + [T.StructField("_corrupt_record", T.StringType())]
-)
-
 
 def normalize_header(name: str) -> str:
     """Upper-case, spaces to ``_``, then strip (so ``' b '`` becomes ``_B_``)."""
@@ -43,35 +34,68 @@ def normalize_headers(df: DataFrame, snake: bool = True) -> DataFrame:
     return df.toDF(*names)
 
 
+# What counts as a number in text: Java's own parser would also take the type
+# suffixes of its literals (12d, 7f).
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+
+# The cells that a CSV reader of data frames takes as missing.
+NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+             "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def to_double(col: str | Column) -> Column:
-    """Text or number to double; unparseable and NaN become NULL."""
+    """Text to double; what is not a number, and NaN, become NULL."""
     c = F.col(col) if isinstance(col, str) else col
-    x = F.trim(c.cast("string")).try_cast("double")
+    x = F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
-    """Coerce named columns to double; columns that are absent are skipped."""
-    return df.withColumns({c: to_double(c) for c in cols if c in df.columns})
+    """Coerce named columns to double; numbers are only cast, and columns that
+    are absent are skipped."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({
+        c: to_double(c) if kinds[c] == "string"
+        else F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        for c in cols if c in kinds})
+
+
+def read_csv(spark: SparkSession, path: str, na_values: Sequence[str] = NA_VALUES,
+             bad_rows: str | None = None) -> DataFrame:
+    """A CSV with a header as text columns, quoted as data-frame readers expect:
+    a doubled quote is a quote, and quoted cells may hold commas and line ends.
+
+    A row with another number of cells than the header fails the read; with
+    ``bad_rows`` it is kept, and the column of that name has its text (NULL for
+    sound rows).
+    """
+    reader = (spark.read.option("header", True).option("multiLine", True)
+              .option("quote", '"').option("escape", '"').option("inferSchema", False)
+              .option("columnPruning", False))  # else a wrong count of cells goes unseen
+    names = reader.csv(path).columns
+    fields = [T.StructField(c, T.StringType()) for c in names]
+    if bad_rows:
+        fields.append(T.StructField(bad_rows, T.StringType()))
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_rows)
+    else:
+        reader = reader.option("mode", "FAILFAST")
+    df = reader.schema(T.StructType(fields)).csv(path)
+    return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(list(na_values)), F.col(f"`{c}`"))
+                           for c in names})
 
 
 def read_customers(spark: SparkSession, path: str, fmt: str = "csv",
-                   na_values: Sequence[str] = ("NA", "N/A", "null", "None", "nan", "NaN", "")
+                   na_values: Sequence[str] = NA_VALUES, bad_rows: str | None = None
                    ) -> DataFrame:
     """Scan a customer table (CSV with header, or parquet) into snake-case columns.
 
-    CSV is read with headers then normalised, in PERMISSIVE mode so a bad
-    line becomes NULLs rather than a failed job; the usual NA tokens become
-    NULL. Parquet keeps its own types. Numbers are coerced in both cases.
+    CSV goes through :func:`read_csv`. Parquet keeps its own types. Numbers are
+    coerced in both cases.
     """
     if fmt == "csv":
-        df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .option("inferSchema", False).csv(path))
-        df = normalize_headers(df)
-        na = list(na_values)
-        df = df.withColumns({
-            c: F.when(F.trim(F.col(c)).isin(na), F.lit(None)).otherwise(F.col(c))
-            for c in df.columns})
+        df = read_csv(spark, path, na_values, bad_rows)
+        df = df.toDF(*[c if c == bad_rows else snake_name(normalize_header(c))
+                       for c in df.columns])
     else:
         df = normalize_headers(spark.read.format(fmt).load(path))
     if "customer_id" in df.columns:
@@ -102,10 +126,12 @@ def save_bundle(path: str, models: dict, tables: dict[str, DataFrame], meta: dic
         .write.mode("overwrite").text(os.path.join(path, "meta"))
 
 
-def load_bundle(spark: SparkSession, path: str, model_types: dict) -> tuple[dict, dict, dict]:
-    models = {name: cls.load(os.path.join(path, "models", name))
-              for name, cls in model_types.items()}
+def load_bundle(spark: SparkSession, path: str, model_types) -> tuple[dict, dict, dict]:
+    """Models, tables and metadata; ``model_types`` maps a model's name to its
+    class, or is a function of the metadata that gives such a map."""
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
+    types = model_types(meta) if callable(model_types) else model_types
+    models = {name: cls.load(os.path.join(path, "models", name)) for name, cls in types.items()}
     tables = {name: spark.read.parquet(os.path.join(path, "tables", name))
               for name in meta.pop("_tables", [])}
     return models, tables, meta

@@ -32,12 +32,55 @@ def test_split_exact_disjoint_complete_stable(spark):
     assert t1 == t2
     assert s1.count() == 2003 and len(t1) == 401  # ceil(0.2 * 2003)
     counts = {r[0]: r[1] for r in s1.where("is_test").groupBy("subscription_status").count().collect()}
-    assert counts == en.test_allocation({"Yes": 668, "No": 1335})
-
-
-def test_allocation_largest_remainder():
-    alloc = en.test_allocation({"a": 5, "b": 5, "c": 1}, 0.2)
-    assert sum(alloc.values()) == 3
+    alloc = en.test_allocation(df, "subscription_status").collect()
+    assert counts == {r.subscription_status: r.n_test for r in alloc}
+
+
+def test_allocation_largest_remainder(spark):
+    df = spark.createDataFrame([(x,) for x in "aaaaabbbbbc"] + [(None,)] * 4, "y string")
+    alloc = {r.y: r.n_test for r in en.test_allocation(df, "y", 0.2).collect()}
+    assert sum(alloc.values()) == 3  # ceil(0.2 * 15)
+    # train shares 4, 4, 0.8, 3.2: the largest remainder is that of c
+    assert alloc == {"a": 1, "b": 1, "c": 0, None: 1}
+
+
+def test_split_of_a_null_class_and_tiny_classes(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "a" if i % 4 < 3 else f"k{i}")
+                                for i in range(200)], "customer_id long, y string")
+    out = en.stratified_split(df, "customer_id", "y").collect()
+    assert len(out) == 200 and sum(r.is_test for r in out) == 40
+    alloc = {r.y: r.n_test for r in en.test_allocation(df, "y").collect()}
+    for y, n in alloc.items():
+        assert sum(r.is_test for r in out if r.y == y) == n
+
+
+@pytest.mark.parametrize("kind", ["boolean", "double", "string"])
+def test_fitted_tables_match_keys_of_any_type(spark, kind):
+    def key(i):
+        return None if i % 7 == 0 else {"boolean": i % 2 == 0, "double": 1e7 * (i % 3),
+                                        "string": "abc"[i % 3]}[kind]
+
+    rows = [(key(i), float(i % 5), None if i % 11 == 0 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, f"g {kind}, c double, v double")
+    t = en.fit_conditional(df, "g", "c")
+    for r in en.apply_conditional(df, t, "p").collect():
+        same = [x for x in rows if x[0] == r.g and r.g is not None]
+        want = (sum(x[1] == r.c for x in same) + 1) / (len(same) + 5) if same else None
+        assert r.p == (None if want is None else pytest.approx(want))
+    _, out = en.group_mean_ratio(df, df, "g", "v", "r")
+    every = [v for _, _, v in rows if v is not None]
+    for r in out.collect():
+        same = [v for g, _, v in rows if g == r.g and v is not None and g is not None]
+        mean = sum(same) / len(same) if same else sum(every) / len(every)
+        assert r.r == (None if r.v is None else pytest.approx(r.v / mean))
+
+
+def test_other_fallback_fills_every_missing_ratio(spark):
+    train = spark.createDataFrame([("a", 2.0), ("a", 4.0), ("b", 3.0)], "g string, v double")
+    test = spark.createDataFrame([("a", None), ("new", 5.0), ("a", 6.0)], "g string, v double")
+    _, te = en.group_mean_ratio(train, test, "g", "v", "r", fallback="mean_ratio")
+    assert sorted(r.r for r in te.collect()) == [pytest.approx(1.0), pytest.approx(1.0),
+                                                 pytest.approx(2.0)]
 
 
 def test_conditional_probs_sum_to_one(spark):
@@ -88,22 +131,19 @@ def test_leakage_test_rows_never_change_fits(spark):
     a_tr, _ = tr.add_encodings(train, test, e1)
     b_tr, _ = tr.add_encodings(train, scrambled, e2)
     for k in e1.conditionals:
-        assert e1.conditionals[k].pair_n == e2.conditionals[k].pair_n
+        assert (sorted(e1.conditionals[k].counts.collect())
+                == sorted(e2.conditionals[k].counts.collect()))
         assert e1.conditionals[k].train_mean == e2.conditionals[k].train_mean
     for k in e1.ratios:
-        assert e1.ratios[k].means == e2.ratios[k].means
+        assert (sorted(e1.ratios[k].table.collect()) == sorted(e2.ratios[k].table.collect()))
         assert e1.ratios[k].global_mean == e2.ratios[k].global_mean
     assert sorted(map(tuple, a_tr.collect())) == sorted(map(tuple, b_tr.collect()))
 
 
-def test_lookups_never_shuffle(spark):
+def test_small_tables_are_broadcast_by_the_planner(spark):
     big = spark.range(50000).select((F.col("id") % 40).cast("string").alias("g"),
                                     (F.col("id") % 97).cast("string").alias("c"))
-    small_t = en.fit_conditional(big, "g", "c", max_rows=10**6)   # literal map
-    plan = en.apply_conditional(big, small_t, "p")._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "Exchange hashpartitioning" not in plan
-    join_t = en.fit_conditional(big, "g", "c", max_rows=100)      # over the cap: joined
-    out = en.apply_conditional(big, join_t, "p")
+    out = en.apply_conditional(big, en.fit_conditional(big, "g", "c"), "p")
     out.write.format("noop").mode("overwrite").save()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
@@ -146,11 +186,9 @@ def test_batched_fits_equal_single_fits(spark):
     many = en.fit_conditionals(df, "g", ["a", "b"])
     for c in ["a", "b"]:
         one = en.fit_conditional(df, "g", c)
-        assert many[c].pair_n == one.pair_n and many[c].group_total == one.group_total
+        assert sorted(many[c].counts.collect()) == sorted(one.counts.collect())
         assert many[c].train_mean == pytest.approx(one.train_mean)
-    gms = en.fit_group_means_many(df, [("g", "v"), ("h", "v")])
-    for gm, (g, v) in zip(gms, [("g", "v"), ("h", "v")]):
-        one = en.fit_group_means(df, g, v)
-        assert gm.means.keys() == one.means.keys()
-        assert all(gm.means[k] == pytest.approx(one.means[k]) for k in gm.means)
+    for gm in en.fit_group_means_many(df, [("g", "v"), ("h", "v")]):
+        one = en.fit_group_means(df, gm.group, "v")
+        assert sorted(gm.table.collect()) == sorted(one.table.collect())
         assert gm.global_mean == pytest.approx(one.global_mean)

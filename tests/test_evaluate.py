@@ -60,3 +60,23 @@ def test_classification_report_rows(spark):
     rep = {r.row_label: r for r in ev.classification_report(df).collect()}
     assert rep["Yes"].recall == pytest.approx(0.5) and rep["No"].precision == pytest.approx(2 / 3)
     assert rep["accuracy"].precision == pytest.approx(0.75)
+
+
+def test_crowded_scores_are_split(spark):
+    """Nearly all scores below 0.0002: no range holds over a hundredth of them."""
+    from cartlens.operators.evaluate import _score_table
+    df = spark.range(100_000).select((F.col("id") % 3 == 0).cast("int").alias("label"),
+                                     (F.col("id") * 2e-9).alias("score"))
+    df = df.union(spark.createDataFrame([(1, 0.9), (0, -4.0), (1, 7.0)], "label int, score double"))
+    t = _score_table(df, "label", "score", 256, False)
+    sizes = [r["count"] for r in t.groupBy("b").count().collect()]
+    assert sum(sizes) == 100_003 and max(sizes) <= 1_500
+
+
+def test_auc_of_counts_beyond_long(spark):
+    from unittest import mock
+    t = spark.createDataFrame([(0.5, 4 * 10**9, 4 * 10**9, 0, 0, 1, 1, 0)],
+                              "s double, pos long, neg long, pos_before long, neg_before long, "
+                              "P long, N long, b int")
+    with mock.patch("cartlens.operators.evaluate._score_table", return_value=t):
+        assert ev.roc_auc(None).first()["auc"] == 0.5

@@ -94,3 +94,34 @@ def test_exact_quantiles_heavy_ties_need_no_narrowing(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = fe.exact_quantiles(df, "x", [0, 0.25, 0.5, 0.75, 1], accuracy=100, max_collect=50)
     assert np.allclose(got, np.quantile(np.array(vals), [0, 0.25, 0.5, 0.75, 1]))
+
+
+def test_csv_is_read_like_a_data_frame(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('Customer ID,Age,Color\n1,20,"say ""hi"", ok"\n2,12d,"two\nlines"\n'
+                 '3,1e3,n/a\n4, 7 ,NULL\n5,30,red,extra\n6,.5,"a"\n')
+    got = {r.customer_id: r for r in io.read_customers(spark, str(p), "csv",
+                                                       bad_rows="_corrupt").collect()}
+    assert got[1].color == 'say "hi", ok' and got[2].color == "two\nlines"
+    assert (got[1].age, got[2].age, got[3].age, got[4].age, got[6].age) == (20, None, 1000, 7, 0.5)
+    assert got[3].color is None and got[4].color is None
+    assert "extra" in got[5]._corrupt
+    assert [k for k, r in got.items() if r._corrupt is not None] == [5]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.read_customers(spark, str(p), "csv").collect()
+
+
+def test_numbers_keep_their_value(spark):
+    df = spark.createDataFrame([(1, 2.5, float("nan"))], "a int, b double, c double")
+    r = io.coerce_numeric(df, ["a", "b", "c", "gone"]).first()
+    assert (r.a, r.b, r.c) == (1.0, 2.5, None)
+
+
+def test_quantile_paths_agree(spark):
+    """The whole-column bracket and the narrowed ones give the same quantiles."""
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003).cast("double").alias("x"))
+    probs = {"x": [0, 0.1, 0.25, 0.5, 0.9, 1]}
+    want = fe.exact_quantiles_multi(df, probs)
+    assert fe.exact_quantiles_multi(df, probs, accuracy=50, max_collect=20) == want
+    row = df.agg(*[F.percentile("x", p).alias(f"p{i}") for i, p in enumerate(probs["x"])]).first()
+    assert want["x"] == pytest.approx(list(row))

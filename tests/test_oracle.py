@@ -6,6 +6,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
+from cartlens import oracle
 
 TABLES = ["customer", "orders", "lineitem", "part"]
 
@@ -27,9 +28,9 @@ def _norm(df):
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     got = entry.queries()[name](spark, SF_SMALL).toPandas()
-    want = con.sql(entry.oracle_sql()[name]).df()
+    want = con.sql(oracle.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(_norm(got), _norm(want))

@@ -3,7 +3,7 @@
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
-from cartlens import catalog
+from cartlens import catalog, oracle
 from cartlens.sources.shop import build_shop
 
 
@@ -31,8 +31,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_model_backed():
-    q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
+    q, o = catalog.queries(), oracle.oracle_sql()
+    assert set(o) <= set(q) <= set(entry.queries())
     model_backed = {"kmeans_segments", "kmeans_silhouette", "cv_model_comparison", "pca_projection", "feature_selection", "cv_logistic",
                     "tuned_logistic_scores", "coefficients_top", "importance_top",
                     "model_comparison", "score_requests", "bundle_roundtrip", "score_trained"}

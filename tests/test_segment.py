@@ -53,3 +53,18 @@ def test_renumber_by_mean(spark):
     df = spark.createDataFrame([(7, 10.0), (7, 12.0), (2, 1.0)], "raw int, v double")
     got = {r.raw: r.cluster for r in sg.renumber_by(df, "raw", "v").collect()}
     assert got == {2: 0, 7: 1}
+
+
+def test_silhouette_of_coincident_points(spark):
+    df = spark.createDataFrame([(1.0, 0), (1.0, 0), (1.0, 1), (1.0, 1)], "x double, cluster int")
+    assert sg.silhouette(df, ["x"]).first()["silhouette"] == 0.0
+
+
+def test_crm_means_use_all_decimals(spark):
+    df = spark.createDataFrame([(1, 0.00049, "Yes", "No", 1.0, 2.0)] * 3, (
+        "customer_id int, total_spend_weighted_new double, subscription_status string, "
+        "promo_code_used string, previous_purchases double, frequency_value_new double")
+        ).withColumn("cluster", F.lit(0))
+    assert sg.crm_summary(df).first()["avg_spend"] == 0.0
+    df = df.withColumn("total_spend_weighted_new", F.lit(0.00051))
+    assert sg.crm_summary(df).first()["avg_spend"] == 0.001

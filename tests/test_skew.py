@@ -46,7 +46,7 @@ def test_rank_spreads_dominant_class(spark):
     df = spark.range(n).select(F.col("id").alias("k"),
                                F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("c"))
     order = hash_order(7, "k")
-    r = bucketed_rank(df, ["c"], order, ["k"], digits=2, out="r", n_strata=2)
+    r = bucketed_rank(df, ["c"], order, ["k"], digits=2, out="r")
     pdf = r.toPandas()
     for c, part in pdf.groupby("c"):
         assert sorted(part.r) == list(range(1, len(part) + 1))

@@ -100,3 +100,18 @@ def test_top_after_collapse_equals_recount(spark):
     direct = st.top_labels(st.collapse_rare(df, ["x"]), "x", 10)
     assert st.top_after_collapse(kept["x"], rare["x"], 10) == direct
     assert rare["x"] == 300
+
+
+def test_cramers_v_of_huge_counts(spark):
+    """Counts are doubles, so that their products leave the long range."""
+    df = spark.createDataFrame([("x", "p"), ("y", "q")], "a string, b string")
+    rows = spark.createDataFrame([("x", "p", 4.0e9), ("y", "q", 4.0e9)], "a string, b string, o double")
+    assert rows.select(F.sum(F.col("o") * F.col("o"))).first()[0] == 3.2e19
+    assert st.cramers_v(df, "a", "b", yates=False) == pytest.approx(1.0)
+
+
+def test_contingency_of_many_levels_stays_long(spark):
+    df = spark.range(300).select((F.col("id") % 150).cast("string").alias("a"),
+                                 (F.col("id") % 100).cast("string").alias("b"))
+    t = st.contingency(df, "a", "b")
+    assert t.count() == 150 * 100 and t.agg(F.sum("n")).first()[0] == 300

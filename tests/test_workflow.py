@@ -20,6 +20,8 @@ def test_analyse_end_to_end(spark, tmp_path):
     assert os.path.isdir(os.path.join(out, "scoring_state"))
     assert 0.0 < summary["auc"] <= 1.0 and -1.0 <= summary["silhouette"] <= 1.0
     for name in ["kpis", "value_counts", "segment_profile", "crm_summary", "cv_results",
-                 "threshold_sweep", "classification_report", "roc_curve", "amount_density"]:
+                 "threshold_sweep", "classification_report", "roc_curve", "amount_density",
+                 "customer_segments", "projection_2d", "projection_3d", "model_comparison",
+                 "model_leaders"]:
         assert spark.read.parquet(os.path.join(out, name)).count() > 0, name
     assert spark.read.parquet(os.path.join(out, "threshold_sweep")).count() == 19
