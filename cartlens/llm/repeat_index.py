@@ -29,7 +29,7 @@ from .run_index import RunLengthIndex
 WIDTH = 200
 SEED = 64
 #: bytes of text that one index is meant to hold
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 17
 #: stretches of one anchor that may share an index
 EDGES = 2_000
 _CHUNK = 1 << 18
@@ -190,6 +190,7 @@ def repeated(docs: DataFrame, row: str, *, text: str = "text", width: int = WIDT
     asked = (kinds.join(open_, "h", "left_semi")
              .select("h", "body", (F.col("n") == 1).alias("edge"), "example"))
     asked = (met.join(asked, ["h", "body"]).where("row = example")
+             .dropDuplicates(["h", "body"])  # a row may hold its example more than once
              .groupBy("row").agg(F.collect_list(F.struct("h", "first", "last", "anchor", "edge"))
                                  .alias("asked")))
     pieces = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(asked, "row")

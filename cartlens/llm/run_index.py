@@ -6,46 +6,63 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes of a byte array in their order, by prefix
-    doubling from seven bytes on (nine bits each: the end sorts below any byte)."""
-    n = len(text)
-    padded = np.zeros(n + 7, np.int64)
-    padded[:n] = text
-    padded[:n] += 1
-    key = np.zeros(n, np.int64)
-    for i in range(7):
-        key = key << 9 | padded[i:i + n]
-    reach = 7
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        if reach >= n or rank[order[-1]] == n - 1:
-            return order
-        after = np.zeros(n, np.int64)  # 0 behind the end, below any rank
-        after[:n - reach] = rank[reach:] + 1
-        key = rank * (n + 1) + after
-        reach *= 2
+class Suffixes:
+    """The suffixes of a byte array in order, by prefix doubling.
 
+    First by as many symbols as fit 63 bits (the end sorts below any symbol),
+    then again and again by twice as many, but only those suffixes that still
+    share a rank. A rank is the first place of its group; the ranks of every
+    round are kept, for they tell how far two suffixes agree.
+    """
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common prefixes of the suffixes at a and b."""
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    word = np.zeros(n + 1, np.uint64)
-    for i in range(8):
-        word[:n] |= padded[i:i + n] << np.uint64(8 * i)
-    out, left = np.zeros(len(a), np.int64), n - np.maximum(a, b)
-    live = np.arange(len(a))
-    while len(live):
-        x = word[np.minimum(a[live] + out[live], n)] ^ word[np.minimum(b[live] + out[live], n)]
-        low = x & (~x + np.uint64(1))  # the lowest bit in which the words differ
-        same = np.where(x == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) // 8)
-        out[live] += same
-        live = live[(same == 8) & (out[live] < left[live])]
-    return np.minimum(out, left)
+    def __init__(self, text: np.ndarray):
+        n = self.size = len(text)
+        symbols = np.flatnonzero(np.bincount(text, minlength=256))
+        self.bits = int(len(symbols)).bit_length()
+        code = np.zeros(256, np.int64)
+        code[symbols] = np.arange(1, len(symbols) + 1)
+        self.reach = reach = 63 // self.bits
+        padded = np.concatenate((code[text], np.zeros(reach, np.int64)))
+        key = np.zeros(n, np.int64)
+        for i in range(reach):
+            key = key << self.bits | padded[i:i + n]
+        self.start = np.append(key, 0)  # the first symbols of each suffix
+        self.rounds: list[tuple[int, np.ndarray]] = []
+        place = np.arange(n)  # suffixes that share a rank, and the ranks of all
+        rank = np.zeros(n, np.int64)
+        while True:
+            order = np.argsort(key)
+            place, key = place[order], key[order]
+            old = rank[place]
+            slots = np.arange(len(place))
+            group = np.maximum.accumulate(np.where(np.diff(old, prepend=-1) != 0, slots, 0))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (old[1:] != old[:-1])))
+            first = np.maximum.accumulate(np.where(new, slots, 0))
+            rank[place] = old + first - group
+            shared = ~(new & np.append(new[1:], True))
+            place = place[shared]
+            if not len(place):
+                break
+            self.rounds.append((reach, np.append(rank, -1)))
+            behind = place + reach
+            after = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+            key = rank[place] * (n + 1) + after
+            reach *= 2
+        self.order = np.empty(n, np.int64)
+        self.order[rank] = np.arange(n)
+
+    def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common prefixes of different suffixes."""
+        out, end = np.zeros(len(a), np.int64), self.size
+        for reach, rank in reversed(self.rounds):
+            same = rank[np.minimum(a + out, end)] == rank[np.minimum(b + out, end)]
+            out += np.where(same, reach, 0)
+        x = self.start[np.minimum(a + out, end)] ^ self.start[np.minimum(b + out, end)]
+        high = x >> 32  # a float holds either half exactly
+        length = np.where(high > 0, 32 + np.frexp(high.astype(float))[1],
+                          np.frexp((x & 0xFFFFFFFF).astype(float))[1])
+        out += (self.bits * self.reach - length) // self.bits
+        return np.minimum(out, end - np.maximum(a, b))
 
 
 class RunLengthIndex:
@@ -54,23 +71,24 @@ class RunLengthIndex:
     common prefix they share with the suffix before or after."""
 
     def __init__(self, text: np.ndarray):
-        order = suffix_array(text)
+        sorted_ = Suffixes(text)
+        order = sorted_.order
         last = np.where(order == 0, -1, text[order - 1].astype(np.int16))  # -1: nothing before it
         change = np.flatnonzero(last[1:] != last[:-1]) + 1
         first = np.concatenate(([0], change))
         end = np.concatenate((change - 1, [len(text) - 1]))
         self.size, self.symbols, self.lengths = len(text), last[first], end - first + 1
-        self.heads, self.head_match = self._sample(text, order, first, -1)
-        self.tails, self.tail_match = self._sample(text, order, end, 1)
+        self.heads, self.head_match = self._sample(sorted_, first, -1)
+        self.tails, self.tail_match = self._sample(sorted_, end, 1)
 
     @staticmethod
-    def _sample(text, order, at, side):
+    def _sample(sorted_: Suffixes, at: np.ndarray, side: int):
         """The suffixes at places ``at``, in text order, and their match with the
         suffix on that side."""
-        other = at + side
+        order, other = sorted_.order, at + side
         inside = (other >= 0) & (other < len(order))
         match = np.zeros(len(at), np.int64)
-        match[inside] = common_prefix(text, order[at[inside]], order[other[inside]])
+        match[inside] = sorted_.common_prefix(order[at[inside]], order[other[inside]])
         by = np.argsort(order[at])
         return order[at][by], match[by]
 

@@ -27,7 +27,7 @@ def longest(t):
 
 def test_against_plain():
     for t in texts():
-        order = op.suffix_array(t)
+        order = op.Suffixes(t).order
         assert list(order) == sorted(range(len(t)), key=lambda i, t=t: bytes(t[i:]))
         index = op.RunLengthIndex(t)
         assert list(index.matching_statistics()) == longest(t)
