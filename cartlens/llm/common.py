@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import pickle
+import time
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +43,27 @@ def release(spark: SparkSession) -> None:
     """Ask the driver to let go of finished jobs.
 
     Spark deletes shuffle files once the driver has collected the plans that
-    wrote them; by itself that may be long after a stage's result was stored.
+    wrote them; by itself that may be long after a stage's result was stored. A
+    plan's Python handle goes first, what it held in the JVM the next time.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def share(spark: SparkSession, value):
+    """A function for workers that gives ``value``, sent once to each executor.
+
+    The value travels with the code of its classes, as the functions do."""
+    packed, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not held:
+            held.append(pickle.loads(packed.value))
+        return held[0]
+
+    return get
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

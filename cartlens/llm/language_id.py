@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, with_column
+from .common import fresh, share, with_column
 
 ORDER = 4
 FOLDS = 5
@@ -29,7 +29,7 @@ MAX_GRAMS = 4_000_000
 #: labelled texts a language that calibrate the rejection, at most
 CALIBRATION = 2_000
 #: a text is rejected beyond this many times the farthest calibration text
-SLACK = 1.25
+SLACK = 2.5
 #: sharpness of the score
 SHARP = 8.0
 UNKNOWN = "und"
@@ -252,15 +252,15 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: st
 
 def _calibrated(labelled: DataFrame, model: Model, sizes: dict, most: int) -> dict:
     spark = labelled.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
     n = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
+    portion = F.lit(0.0)
     for name in sizes:  # by hash of the text, so a rerun takes the same ones
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, most / n[name]))).otherwise(share)
+        portion = F.when(F.col("lang") == name, F.lit(min(1.0, most / n[name]))).otherwise(portion)
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, letters = shared.value, alphabet()
+        m, letters = shared(), alphabet()
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
@@ -279,7 +279,7 @@ def _calibrated(labelled: DataFrame, model: Model, sizes: dict, most: int) -> di
                 preserve_index=False)
 
     # about ``most`` rows a language, a copied text at most as often as it is copied
-    rows = (labelled.where(draw < share).dropDuplicates(["lang", "text"])
+    rows = (labelled.where(draw < portion).dropDuplicates(["lang", "text"])
             .mapInArrow(score, "lang string, entropy double, spread double, n long").toPandas())
     limits = {}
     for name, part in rows.groupby("lang"):
@@ -298,14 +298,14 @@ def identify(docs: DataFrame, judge: Judge, *, text: str = "text") -> tuple[Data
     (per symbol; null for ``und``) and ``rejected``.
     """
     name, where = fresh("language", docs), docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(judge)
+    shared = share(docs.sparkSession, judge)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()),
                       ("entropy", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [dict(zip(("lang_pred", "score", "entropy", "rejected"),
-                              shared.value.predict(t), strict=True))
+                              shared().predict(t), strict=True))
                      for t in batch.column(where).to_pylist()]
             yield with_column(batch, name, pa.array(found, kind))
 

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import share
+
 def gather(codes: np.ndarray, starts: np.ndarray, pick: np.ndarray) -> tuple:
     """The slices ``pick`` of a ragged array (codes, starts) one after the other."""
     sizes = (starts[1:] - starts[:-1])[pick]
@@ -161,10 +163,10 @@ def read(path: str) -> bytes:
 
 def on_workers(spark, encoder) -> Callable:
     """A function for workers that gives the started encoder."""
-    shared = spark.sparkContext.broadcast(encoder)
+    shared = share(spark, encoder)
 
     def started():
-        e = shared.value
+        e = shared()
         if e.engine is None:
             e.start()
         return e
