@@ -1,3 +1,47 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+import string
+
+_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', "
+          rf"'{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op1_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+item_grams AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+        FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item_grams),
+doc_grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM d JOIN sizes ON len(w) >= n)),
+hits AS (SELECT doc_id, item, i, n FROM doc_grams JOIN item_grams USING (n, gram)),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+          FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLE_SQL["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN component c ON c.a = e.vec_id LEFT JOIN degree g ON g.a = e.vec_id"""
