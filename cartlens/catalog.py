@@ -570,6 +570,53 @@ def q_model_comparison(spark, sf):
     return mo.compare_models(model_data(spark, sf))
 
 
+@query("cv_winner")
+def q_cv_winner(spark, sf):
+    """F6 on a table of fold scores: the rule scorers' accuracy per fold."""
+    from .plans import model as mo
+    long = shop(spark, sf).select(
+        (F.col("customer_id") % 5).alias("fold"),
+        fe.flag_expr(F.col("subscription_status") == "Yes").alias("label"),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("position"),
+                                    e.alias("score")) for i, (n, e) in enumerate(rule_scorers())])))
+    right = F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double"))
+    folds = long.groupBy("model", "position", "fold").agg(right.alias("accuracy"))
+    return mo.winner(folds.groupBy("model", "position").agg(
+        F.round(F.avg("accuracy"), 9).alias("cv_auc_mean")))
+
+
+#: a model with given coefficients, so that its decisions can be checked in SQL
+FIXED_SLOTS = [("total_spend_weighted_new", 500.0, 400.0, 0.3), ("loyalty_score_new", 2.0, 1.0, -0.2),
+               ("gender__oh_Male", 0.5, 0.5, 0.1), ("not_in_a_request", 0.0, 1.0, 0.7),
+               ("promo_x_freq", 5.0, 10.0, 0.4), ("spend_rating_new", 100.0, 80.0, -0.5)]
+FIXED_INTERCEPT, FIXED_THRESHOLD = -0.1, 0.4
+FIXED_SCALE = [(250.0, 100.0), (40.0, 15.0), (15.0, 12.0), (8.0, 5.0), (9000.0, 4000.0)]
+FIXED_CENTROIDS = {0: [-1.0, -1.0, 0.0, 0.5, -1.0], 1: [0.5, 0.0, -0.5, 0.0, 0.5],
+                   2: [1.0, 1.0, 1.0, -0.5, 1.5]}
+
+
+@query("score_aligned")
+def q_score_aligned(spark, sf):
+    """H2, H3, F8: requests aligned to stored slots, decided by a given model."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Vectors
+
+    from .operators.encode import Standardizer
+    from .plans.model import VectorScaler
+    from .plans.scoring import ScoringBundle, score_requests
+    names, means, stds, weights = zip(*FIXED_SLOTS)
+    model = LogisticRegressionModel(
+        spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+            "given", _py2java(spark.sparkContext, Vectors.dense(weights)), FIXED_INTERCEPT))
+    segments = Standardizer(list(L.SEGMENT_FEATURES),
+                            dict(zip(L.SEGMENT_FEATURES, [m for m, _ in FIXED_SCALE])),
+                            dict(zip(L.SEGMENT_FEATURES, [s for _, s in FIXED_SCALE])))
+    bundle = ScoringBundle(model, list(names), VectorScaler(list(means), list(stds)),
+                           FIXED_THRESHOLD, segments, FIXED_CENTROIDS, dict(L.SEGMENT_NAMES))
+    return score_requests(shop(spark, sf), bundle).withColumn("probability", r6("probability"))
+
+
 @query("cv_folds")
 def q_cv_folds(spark, sf):
     """F5's stratified fold column over the training split (SQL-checkable)."""

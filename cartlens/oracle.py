@@ -559,6 +559,41 @@ SELECT customer_id, total_spend_weighted_new, spend_per_purchase_new, frequency_
        male AS gender__oh_Male, 1 - male AS gender__oh_Female
 FROM req"""
 
+ORACLE["cv_winner"] = W_SHOP + """,
+s AS (SELECT customer_id % 5 AS fold, CASE WHEN subscription_status = 'Yes' THEN 1 ELSE 0 END AS label,
+             ((customer_id * 7919) % 1000) / 1000.0 AS s_hash,
+             CASE WHEN promo_code_used = 'Yes' THEN 0.6 ELSE 0.3 END + ((customer_id * 31) % 100) / 1000.0 AS s_promo,
+             CASE WHEN discount_applied = 'Yes' THEN 0.55 ELSE 0.35 END + ((customer_id * 17) % 100) / 1000.0 AS s_discount
+      FROM shop),
+l AS (SELECT 'hash' AS model, 0 AS pos, fold, label, s_hash AS score FROM s
+      UNION ALL SELECT 'promo', 1, fold, label, s_promo FROM s
+      UNION ALL SELECT 'discount', 2, fold, label, s_discount FROM s),
+f AS (SELECT model, pos, fold, avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS a
+      FROM l GROUP BY ALL),
+m AS (SELECT model, pos, round(avg(a), 9) AS mean FROM f GROUP BY ALL)
+SELECT model FROM m ORDER BY mean DESC, pos LIMIT 1"""
+
+_SEG_OF = {"purchase_amount_usd": (250, 100), "previous_purchases": (40, 15),
+           "frequency_value_new": (15, 12), "spend_per_purchase_new": (8, 5),
+           "total_spend_weighted_new": (9000, 4000)}
+_GIVEN_CENTROIDS = {0: (-1.0, -1.0, 0.0, 0.5, -1.0), 1: (0.5, 0.0, -0.5, 0.0, 0.5),
+                    2: (1.0, 1.0, 1.0, -0.5, 1.5)}
+_GIVEN_DISTANCE = {k: " + ".join(f"power((coalesce({c}, 0) - {m}) / {s} - ({v}), 2)"
+                                 for (c, (m, s)), v in zip(_SEG_OF.items(), centre))
+                   for k, centre in _GIVEN_CENTROIDS.items()}
+ORACLE["score_aligned"] = with_ctes(SHOP, REQ) + """,
+p AS (SELECT *, 1 / (1 + exp(-(-0.1
+        + 0.3 * (coalesce(total_spend_weighted_new, 0) - 500) / 400
+        - 0.2 * (loyalty_score_new - 2) / 1 + 0.1 * (male - 0.5) / 0.5 + 0.7 * 0
+        + 0.4 * (promo * frequency_value_new - 5) / 10
+        - 0.5 * (coalesce(spend_rating_new, 0) - 100) / 80))) AS probability FROM req),
+d AS (SELECT customer_id, probability, """ + ", ".join(
+    f"{e} AS d{k}" for k, e in _GIVEN_DISTANCE.items()) + """ FROM p),
+n AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS segment
+      FROM d)
+SELECT n.customer_id, round(probability, 6) AS probability, probability >= 0.4 AS subscribes,
+       segment, """ + _NAME_CASE.replace("cluster", "segment") + """END AS segment_name FROM n"""
+
 _DR = " + ".join(f"power((coalesce(r.{c}, 0) - zst.m_{c}) / zst.s_{c} - c.z_{c}, 2)" for c in _SEG)
 ORACLE["request_segment"] = W_Z + "," + REQ + """,
 cents AS (SELECT cluster, """ + ", ".join(f"avg(z_{c}) AS z_{c}" for c in _SEG) + f""" FROM z GROUP BY cluster),

@@ -305,10 +305,14 @@ def tune(p: ModelData, name: str, grid: dict | None = None):
     return est.fit(p.train, maps[best]), scores
 
 
+def winner(cv: DataFrame) -> DataFrame:
+    """the candidate with the highest mean CV AUC, the first on ties; one row."""
+    return cv.agg(F.min_by("model", F.struct(-F.col("cv_auc_mean"), F.col("position")))
+                  .alias("model"))
+
+
 def pick_best(cv: DataFrame) -> str:
-    """the candidate with the highest mean CV AUC; the first on ties."""
-    return (cv.orderBy(F.desc("cv_auc_mean"), F.asc("position"))
-            .select("model").first()["model"])
+    return winner(cv).first()["model"]
 
 
 def top_importance(model, names: list[str], n: int = 20) -> DataFrame:
