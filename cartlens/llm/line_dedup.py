@@ -17,60 +17,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, stored, with_row
+from .common import fresh, partitions, release, stored, with_row
 
 EDITS = 2
 #: lines of fewer characters must be equal to go
 MIN_CHARS = 24
-#: letters counted to discard false meetings (one byte each in a long)
-_COUNTED = "etanirso"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, size) of each of the edits + 1 segments of a line, from 0; the
+def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
+    """(start, size) of segment i of the edits + 1 segments of a line, from 0; the
     later ones take what is left over."""
     parts = edits + 1
-    short = (length / parts).cast("int")
-    left = length - short * parts
-    out, start = [], F.lit(0)
-    for i in range(parts):
-        size = short + F.when(F.lit(parts - i) <= left, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+    short = F.floor(length / parts).cast("int")
+    plain = parts - (length - short * parts)  # segments without an extra character
+    return (i * short + F.greatest(i - plain, F.lit(0)),
+            short + F.when(i >= plain, 1).otherwise(0))
 
 
 def lookups(edits: int) -> list[tuple[int, int, int]]:
     """(characters shorter, segment, shift) of the substrings that a line looks
-    up besides its own segments. A match of segment i has at most i edits before
+    up; its own segments come first. A match of segment i has at most i edits before
     it and edits - i behind it, and the lines' lengths fix their difference."""
-    found = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            found += [(less, i, shift) for shift in range(low, high + 1) if (less, shift) != (0, 0)]
-    return found
+    own = [(0, i, 0) for i in range(edits + 1)]
+    found = [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
+             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return own + [x for x in found if x not in own]
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether ``a`` and ``b``, lengths at most ``edits`` apart, are within
-    ``edits`` edits.
+    """Whether the character arrays ``a`` and ``b`` are within ``edits`` edits.
 
     Bit d of word r: the first j characters of b are within r edits of the first
     j + d - edits of a. Reading a character keeps a bit whose diagonal matches;
     an edit moves it along the band.
     """
-    x = F.concat(F.array_repeat(F.lit(""), edits), F.split(a, ""),
-                 F.array_repeat(F.lit(""), 2 * edits + 1))
-    y = F.split(b, "")
     width = 2 * edits + 1
     full = (1 << width) - 1
 
     def equal(c: Column, j: Column) -> Column:
-        bits = F.lit(0)
+        bits = F.lit(0)  # outside of a there is nothing to match
         for d in range(width):
-            bits = bits.bitwiseOR(F.when(F.get(x, j + d) == c, 1 << d).otherwise(0))
+            bits = bits.bitwiseOR(F.when(F.get(a, j + (d - edits)) == c, 1 << d).otherwise(0))
         return bits
 
     start = F.array(*[F.lit(((1 << (r + 1)) - 1) << edits & full) for r in range(edits + 1)])
@@ -84,10 +72,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
                          .bitwiseOR(F.shiftleft(after[-1], 1).bitwiseAND(F.lit(full))))
         return F.array(*after)
 
-    last = F.aggregate(F.transform(y, equal), start, read)
-    diagonal = F.char_length(a) - F.char_length(b) + edits
-    end = F.call_function("shiftleft", F.lit(1), diagonal)
-    return F.get(last, F.lit(edits)).bitwiseAND(end) != 0
+    last = F.aggregate(F.transform(b, equal), start, read)
+    shorter = F.size(b) - F.size(a)
+    end = F.call_function("shiftleft", F.lit(1), F.lit(edits) - shorter)
+    return F.when(F.abs(shorter) <= edits, F.get(last, F.lit(edits)).bitwiseAND(end) != 0
+                  ).otherwise(False)
 
 
 def _lines(docs: DataFrame, row: str, text: str) -> DataFrame:
@@ -97,59 +86,94 @@ def _lines(docs: DataFrame, row: str, text: str) -> DataFrame:
 
 
 def _counts(line: Column) -> Column:
-    bits = F.lit(0).cast("long")
-    for i, c in enumerate(_COUNTED):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))
-        bits = bits.bitwiseOR(F.shiftleft(F.least(n, F.lit(127 if i == 7 else 255)).cast("long"),
-                                          8 * i))
-    return bits
+    """How often each letter occurs, modulo 4, as two bits of Gray code: bits in
+    which two lines differ are at most the sum of differences of their counts."""
+    every = F.octet_length(line)
 
+    def gray(n: Column) -> Column:
+        return n.bitwiseXOR(F.shiftright(n, 1))
 
-def _apart(a: Column, b: Column) -> Column:
-    """Sum of differences of the letter counts; an edit changes it by 2 at most."""
-    total = F.lit(0)
-    for i in range(len(_COUNTED)):
-        total = total + F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255))
-                              - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
-    return total
+    return F.aggregate(
+        F.array(*map(F.lit, _LETTERS)), F.lit(0).cast("long"),
+        lambda bits, c: bits * 4 + gray((every - F.octet_length(F.replace(line, c))) % 4))
+
+
+def _pieces_agree(u: Column, v: Column, edits: int, pieces: int = 8) -> Column:
+    """Whether all but ``edits`` of the pieces of u are in v, near their place: an
+    edit spoils one piece and shifts what follows by one."""
+    n = (F.octet_length(u) / (4 * pieces)).cast("int")
+
+    def cut(text: Column, start: Column) -> Column:
+        return F.call_function("substring", text, 4 * start + 1, 4 * n)
+
+    def found(i: Column) -> Column:
+        return F.exists(F.sequence(F.lit(-edits), F.lit(edits)), lambda shift: (
+            n * i + shift >= 0) & (cut(v, n * i + shift) == cut(u, n * i)))
+
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: ~found(i))) <= edits
+
+
+def _keyed(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int, min_chars: int
+           ) -> DataFrame:
+    """``lines`` (id, size, u and others) with ``key`` for each wanted substring;
+    ``u`` has four bytes a character, so a piece is cut without reading up to it."""
+    each = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(
+        ("less", "i", "shift"), x, strict=True)]) for x in wanted])
+    length = F.col("size") - F.col("less")
+    start, n = segment(length, F.col("i"), edits)
+    start = start + F.col("shift")
+    inside = (length >= min_chars) & (start >= 0) & (start + n <= F.col("size"))
+    piece = F.call_function("substring", F.col("u"), 4 * start + 1, 4 * n)
+    # equal keys stand for equal pieces; a chance meeting fails the verification
+    return lines.select("*", F.inline(each)).where(inside).select(
+        *[c for c in lines.columns if c not in ("size", "u")],
+        (F.col("less") > 0).alias("longer"), F.xxhash64(length, F.col("i"), piece).alias("key"))
 
 
 def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, other) once for each pair of lines of ``distinct`` (id, line, size)
-    within ``edits`` edits, both of at least ``min_chars`` characters."""
+    within ``edits`` edits, both of at least ``min_chars`` characters.
+
+    A first pass over all lines only finds those that meet any other in the
+    index; the few that do are joined, filtered and verified.
+    """
+    spark, wanted = distinct.sparkSession, lookups(edits)
+    own = wanted[:edits + 1]
     long = distinct.where(F.col("size") >= max(min_chars, edits + 1))
-    line, size = F.col("line"), F.col("size")
-
-    def key(length: Column, i: int, start: Column, n: Column) -> Column:
-        # equal keys stand for equal pieces; a chance meeting fails the verification
-        return F.xxhash64(length, F.lit(i), line.substr(start + 1, n))
-
-    own = F.array(*[key(size, i, s, n) for i, (s, n) in enumerate(segments(size, edits))])
-    other = []
-    for less, i, shift in lookups(edits):
-        s, n = segments(size - less, edits)[i]
-        inside = (s + shift >= 0) & (s + shift + n <= size) & (size - less >= min_chars)
-        other.append(F.when(inside, key(size - less, i, s + shift, n)))
-    base = long.select("id", "line", "size", _counts(line).alias("c"))
-    index = base.select("id", "c", F.explode(own).alias("key"))
-    probes = base.select("id", "c", F.explode(F.array_compact(F.array(*other))).alias("key"))
-    left = index.select(F.col("id").alias("other"), F.col("c").alias("d"), "key")
-    close = _apart(F.col("c"), F.col("d")) <= 2 * edits
-    met = (index.join(left, "key").where((F.col("id") < F.col("other")) & close)
-           .select("id", "other")
-           .union(probes.join(left, "key").where((F.col("id") != F.col("other")) & close)
-                  .select(F.least("id", "other").alias("id"),
-                          F.greatest("id", "other").alias("other"))).distinct())
-    pairs = stored(met, "line-pairs")
-    release(distinct.sparkSession)
-    # the texts of lines in pairs are few: fetched once, joined twice
-    wanted = pairs.select("id").union(pairs.select("other")).distinct()
-    texts = stored(distinct.select("id", "line").join(wanted, "id", "left_semi"), "line-texts")
-    release(distinct.sparkSession)
-    a = texts.withColumnRenamed("line", "a")
-    b = texts.select(F.col("id").alias("other"), F.col("line").alias("b"))
-    near = F.abs(F.char_length("a") - F.char_length("b")) <= edits
-    return (pairs.join(a, "id").join(b, "other").where(near)
+    wide = F.encode("line", "UTF-32").alias("u")
+    every = long.select("id", "size", wide)
+    asks = _keyed(every, wanted, edits, min_chars).drop("longer")
+    has = _keyed(every, own, edits, min_chars).select(F.col("id").alias("other"),
+                                                      F.col("key").alias("its_key"))
+    meet = (F.col("key") == F.col("its_key")) & (F.col("id") != F.col("other"))
+    met = stored(asks.join(has, meet, "left_semi").select("id")
+                 .union(has.join(asks, meet, "left_semi").select("other")).distinct(), "met-lines")
+    release(spark)
+    texts = stored(distinct.join(met, "id", "left_semi").select(
+        "id", "size", "line", _counts(F.col("line")).alias("counts")), "line-texts")
+    release(spark)
+    few = texts.select("id", "size", "counts", wide)
+    index = _keyed(few, own, edits, min_chars).select(
+        F.col("id").alias("other"), F.col("counts").alias("theirs"), "key")
+    # of two lines of one length the later id asks; an edit changes the letter
+    # counts by 2 in all at most
+    apart = F.bit_count(F.col("counts").bitwiseXOR(F.col("theirs")))
+    pairs = (_keyed(few, wanted, edits, min_chars).join(index, "key")
+             .where((F.col("longer") | (F.col("id") > F.col("other")))
+                    & (F.col("id") != F.col("other")) & (apart <= 2 * edits))
+             .select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+             .distinct())
+    texts = texts.select("id", F.col("line").alias("a"))
+    other_text = texts.select(F.col("id").alias("other"), F.col("a").alias("b"))
+    # few bytes, much work: spread over all cores
+    both = (pairs.repartition(2 * partitions(distinct.sparkSession), "id", "other")
+            .join(texts, "id").join(other_text, "other"))
+    likely = stored(both.withColumn("u", F.encode("a", "UTF-32"))
+                    .withColumn("v", F.encode("b", "UTF-32"))
+                    .where(_pieces_agree(F.col("u"), F.col("v"), edits))
+                    .select("id", "other", F.split("a", "").alias("a"),
+                            F.split("b", "").alias("b")), "likely-pairs")
+    return (likely.repartition(2 * partitions(distinct.sparkSession))
             .where(within(F.col("a"), F.col("b"), edits)).select("id", "other"))
 
 
