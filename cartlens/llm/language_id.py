@@ -34,6 +34,7 @@ SLACK = 2.5
 SHARP = 8.0
 UNKNOWN = "und"
 _BLANK, _ASTRAL = 32, 0xFFFE
+_PIECE = 1 << 18
 _BITS = np.uint64(16)
 
 
@@ -62,9 +63,16 @@ def symbols(text: str | None, letters: np.ndarray) -> np.ndarray:
     return np.concatenate((np.array([_BLANK], np.uint64), x)) if len(x) > 1 else x[:0]
 
 
-def grams(x: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The packed grams of a symbol sequence, padded with blanks in front."""
+def pieces(x: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
+    """A symbol sequence, padded with blanks in front, in pieces that overlap so
+    that each symbol ends one gram (the first symbol, a blank, ends none)."""
     x = np.concatenate((np.full(order - 2, _BLANK, np.uint64), x))
+    for at in range(0, max(len(x) - order + 1, 0), _PIECE):
+        yield x[at:at + _PIECE + order - 1]
+
+
+def grams(x: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The packed grams of a piece."""
     key = np.zeros(len(x) - order + 1, np.uint64)
     for i in range(order):
         key = key << _BITS | x[i:len(x) - order + 1 + i]
@@ -142,12 +150,15 @@ class Model:
     def cross_entropy(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         """Mean surprise per symbol under each language, and its spread under
         the best one."""
-        keys, n = np.unique(grams(x, self.order), return_counts=True)
-        surprise = -self.log_probability(keys)
-        share = n / n.sum()
-        mean = share @ surprise
-        best = surprise[:, mean.argmin()]
-        return mean, float(share @ (best - mean.min()) ** 2)
+        total = square = 0.0
+        for part in pieces(x, self.order):
+            keys, n = np.unique(grams(part, self.order), return_counts=True)
+            surprise = -self.log_probability(keys)
+            total, square = total + n @ surprise, square + n @ surprise**2
+        count = len(x) - 1
+        mean = total / count
+        best = mean.argmin()
+        return mean, float(max(square[best] / count - mean[best] ** 2, 0.0))
 
 
 class Judge:
@@ -194,17 +205,28 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
             keys, at = np.unique(keys, return_inverse=True)
             return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fresh_keys: dict[str, list] = defaultdict(list)
-            for lang, text in zip(langs, texts, strict=True):
-                x = symbols(text, letters)
-                if len(x):
-                    fresh_keys[lang].append(grams(x, order))
-            for lang, parts in fresh_keys.items():
+        new: dict[str, list] = defaultdict(list)
+        size = 0
+
+        def settle():
+            for lang, parts in new.items():
                 held[lang].append(np.unique(np.concatenate(parts), return_counts=True))
                 if len(held[lang]) > 8:
                     held[lang] = [merged(held[lang])]
+            new.clear()
+
+        for batch in batches:
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(),
+                                      strict=True):
+                    x = symbols(text, letters)
+                    for piece in pieces(x, order) if len(x) else ():
+                        new[lang].append(grams(piece, order))
+                        size += len(new[lang][-1])
+                        if size > 4 * _PIECE:
+                            settle()
+                            size = 0
+        settle()
         for lang, parts in held.items():
             keys, n = merged(parts)
             for at in range(0, len(keys), 100_000):

@@ -14,7 +14,7 @@ LETTERS = op.alphabet()
 
 
 def counted(texts):
-    keys = np.concatenate([op.grams(op.symbols(t, LETTERS)) for t in texts])
+    keys = np.concatenate([op.grams(p) for t in texts for p in op.pieces(op.symbols(t, LETTERS))])
     return np.unique(keys, return_counts=True)
 
 
@@ -34,7 +34,6 @@ def test_probabilities_sum_to_one():
                       "b": counted(["der hund und der ball"])})
     vocabulary = model.keys[1]
     for context in (" th", " de", "zzz", "cat", "  x"):
-        head = op.grams(np.array([ord(c) for c in context], np.uint64), 3)[-1]
         head = np.uint64(sum(ord(c) << 16 * (2 - i) for i, c in enumerate(context)))
         p = np.exp(model.log_probability(head << np.uint64(16) | vocabulary)).sum(0)
         unseen = np.exp(model.log_probability(
@@ -52,10 +51,23 @@ def test_by_hand():
     p2 = (1 - d) + d * p1
     p3 = (1 - d) + d * p2
     p4 = (1 - d) + d * p3
-    key = op.grams(op.symbols("ab", LETTERS))[0]
+    key = counted(["ab"])[0][0]
     assert np.exp(model.log_probability(np.array([key])))[0, 0] == pytest.approx(p4)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    text = cases.prose(3, 3000)
+    x = op.symbols(text, LETTERS)
+    model = op.Model({"a": counted([text[:5000]]), "b": counted([cases.prose(9, 900)])})
+    whole = model.cross_entropy(x)
+    keys = counted([text])
+    assert keys[1].sum() == len(x) - 1
+    monkeypatch.setattr(op, "_PIECE", 1000)
+    assert [k.tolist() for k in counted([text])] == [k.tolist() for k in keys]
+    assert model.cross_entropy(x)[0] == pytest.approx(whole[0])
+    assert model.cross_entropy(x)[1] == pytest.approx(whole[1])
+
+
 def test_held_out_accuracy(spark):
     sf = SF_SMALL.replace("0.001", "0.01")
     rows = {r.doc_id: r for r in queries.op7_language_id(spark, sf).collect()}
