@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import features as fe
 from .functions import lookups as L
 from .operators import stats as st
-from .plans.prepare import Prepared, clean, engineer, prepare
+from .plans.prepare import Prepared, prepare
 from .sources import io
 from .sources.shop import NUMERIC_COLUMNS, build_shop
 

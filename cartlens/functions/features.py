@@ -18,19 +18,6 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# ---------------------------------------------------------------- B1, B11
-def spend_features(df: DataFrame, amount: str = "purchase_amount_usd",
-                   previous: str = "previous_purchases",
-                   rating: str = "review_rating") -> DataFrame:
-    """Weighted spend, spend per purchase and spend times rating."""
-    a, p, r = F.col(amount), F.col(previous), F.col(rating)
-    return df.withColumns({
-        "total_spend_weighted_new": p * a,
-        "spend_per_purchase_new": F.try_divide(a, p + F.lit(1)),
-        "spend_rating_new": a * r,
-    })
-
-
 # ---------------------------------------------------------------- B2, B3, B10
 def map_expr(col: str | Column, mapping: Mapping, default=None) -> Column:
     """Literal map lookup; keys absent from the map give ``default`` (NULL)."""
@@ -45,15 +32,6 @@ def climate_expr(location: str | Column) -> Column:
     return map_expr(location, mapping, default="Unknown")
 
 
-def interactions(df: DataFrame, promo: str = "promo_code_used",
-                 loyalty: str = "loyalty_score_new",
-                 frequency: str = "frequency_value_new") -> DataFrame:
-    """B11: promo flag times loyalty score and times yearly frequency."""
-    flag = F.coalesce(F.col(promo) == "Yes", F.lit(False)).cast("int")
-    return df.withColumns({"promo_x_loyalty": flag * F.col(loyalty),
-                           "promo_x_freq": flag.cast("double") * F.col(frequency)})
-
-
 # ---------------------------------------------------------------- B4-B7
 def cut_expr(col: str | Column, edges: Sequence[float], labels: Sequence,
              include_lowest: bool = False) -> Column:
@@ -223,10 +201,6 @@ def as_label(col: str | Column) -> Column:
     return F.coalesce(_c(col).cast("string"), F.lit("nan"))
 
 
-def cross_label(df: DataFrame, a: str | Column, b: str | Column, out: str) -> DataFrame:
-    return df.withColumn(out, F.concat(as_label(a), F.lit("_"), as_label(b)))
-
-
 def flag_expr(cond: Column) -> Column:
     """Boolean to 0/1 where NULL counts as false."""
     return F.coalesce(cond, F.lit(False)).cast("int")
