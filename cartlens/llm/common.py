@@ -27,15 +27,17 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+def stored(df: DataFrame, name: str, level: int = 3, page: int = 1 << 20) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: later passes read columns of a finished table, and a lost
-    executor costs a re-read only. ``level``: of the Zstandard compression.
+    executor costs a re-read only. ``level``: of the Zstandard compression;
+    ``page``: bytes compressed together.
     """
     path = folder(df.sparkSession, name)
     (df.write.option("compression", "zstd")
-     .option("parquet.compression.codec.zstd.level", str(level)).parquet(path))
+     .option("parquet.compression.codec.zstd.level", str(level))
+     .option("parquet.page.size", str(page)).parquet(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

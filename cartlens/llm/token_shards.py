@@ -97,7 +97,7 @@ def materialise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text"
                                                   "place": places, "n": counts, "ids": ids})
 
     coded = stored(docs.select(text).mapInArrow(
-        encode, "pid int, place long, n long, ids binary"), "coded", level=6)
+        encode, "pid int, place long, n long, ids binary"), "coded", level=9, page=8 << 20)
     sums = coded.groupBy("pid").agg(F.sum("n").alias("n"))
     earlier = stored(sums.select("pid", "n", F.coalesce(F.sum("n").over(
         Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
