@@ -2,10 +2,12 @@
 
 Counts of all character grams of the labelled training texts are gathered with
 one shuffle. Per language an interpolated Kneser-Ney model of order ``ORDER`` is
-computed from them and kept in sorted arrays: a gram's hash is its symbols, 16
+computed from them in Spark, over all grams: a gram's hash is its symbols, 16
 bits each, so grams never collide and the shorter ones are found by shifting.
-Every text is scored whole under every language; the lowest cross-entropy per
-character wins. A text is rejected when it has no letter, or when its
+A log-probability is a sum of one weight for each gram and each context that the
+language has seen, so the weights can be dealt over any number of broadcast
+blocks of bounded size. Every text is scored whole under every language; the
+lowest cross-entropy per character wins. A text is rejected when it has no letter, or when its
 cross-entropy lies beyond what the winner's own labelled texts reach.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, share, with_column
+from .common import fresh, stored, with_column
 
 ORDER = 4
 FOLDS = 5
-#: grams a language keeps at most; beyond it the rarest counts go
-MAX_GRAMS = 4_000_000
+#: weights in one broadcast block (20 bytes each); a worker keeps the first
+#: blocks up to this many weights and reads the others once for each stretch of text
+BLOCK = 1_000_000
+#: grams x languages that are scored at a time
+CELLS = 1 << 20
 #: labelled texts a language that calibrate the rejection, at most
 CALIBRATION = 2_000
 #: a text is rejected beyond this many times the farthest calibration text
@@ -33,6 +39,8 @@ SLACK = 2.5
 #: sharpness of the score
 SHARP = 8.0
 UNKNOWN = "und"
+#: rows whose sums are held at a time
+ROWS = 1024
 _BLANK, _ASTRAL = 32, 0xFFFE
 _PIECE = 1 << 18
 _BITS = np.uint64(16)
@@ -63,12 +71,12 @@ def symbols(text: str | None, letters: np.ndarray) -> np.ndarray:
     return np.concatenate((np.array([_BLANK], np.uint64), x)) if len(x) > 1 else x[:0]
 
 
-def pieces(x: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
+def pieces(x: np.ndarray, order: int = ORDER, size: int | None = None) -> Iterator[np.ndarray]:
     """A symbol sequence, padded with blanks in front, in pieces that overlap so
     that each symbol ends one gram (the first symbol, a blank, ends none)."""
-    x = np.concatenate((np.full(order - 2, _BLANK, np.uint64), x))
-    for at in range(0, max(len(x) - order + 1, 0), _PIECE):
-        yield x[at:at + _PIECE + order - 1]
+    x, size = np.concatenate((np.full(order - 2, _BLANK, np.uint64), x)), size or _PIECE
+    for at in range(0, max(len(x) - order + 1, 0), size):
+        yield x[at:at + size + order - 1]
 
 
 def grams(x: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -84,7 +92,8 @@ def _low(order: int) -> np.uint64:
 
 
 class Model:
-    """Log-probabilities of grams under each language.
+    """Log-probabilities of grams under each language, in memory: the plain form
+    of what ``weights`` computes in Spark.
 
     ``counts``: language -> (sorted packed grams, counts). For each order,
     ``keys`` holds the grams any language has seen and ``logs`` their
@@ -161,31 +170,109 @@ class Model:
         return mean, float(max(square[best] / count - mean[best] ** 2, 0.0))
 
 
+class Scorer:
+    """Scores texts under all languages from broadcast blocks of weights.
+
+    ``blocks``: (kind, number of weights, broadcast bytes) as ``packed`` cuts them.
+    Beside the blocks it keeps, a worker holds one block at a time.
+    """
+
+    def __init__(self, languages: list[str], floor: float, blocks: list, order: int = ORDER):
+        self.languages, self.floor, self.blocks, self.order = languages, floor, blocks, order
+        sizes = np.cumsum([n for _, n, _ in blocks])
+        self.kept, self.held, self.letters = int((sizes <= BLOCK).sum()), {}, None
+        self.piece = max(1, min(_PIECE, CELLS // len(languages)))
+
+    def _block(self, i: int):
+        if i in self.held:
+            return self.held[i]
+        _, n, block = self.blocks[i]
+        raw = block.value
+        if hasattr(block, "_value"):
+            del block._value  # or a worker would keep every block
+        found = (np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.float64, n, 8 * n),
+                 np.frombuffer(raw, np.int32, n, 16 * n))
+        if i < self.kept:
+            self.held[i] = found
+        return found
+
+    def log_probability(self, keys: np.ndarray) -> np.ndarray:
+        """(grams, languages) for packed grams of length ``order``."""
+        out = np.full((len(keys), len(self.languages)), self.floor)
+        for i, (kind, _, _) in enumerate(self.blocks):
+            known, weight, lang = self._block(i)
+            part = keys & _low(kind) if kind > 0 else keys >> _BITS & _low(-kind - 1)
+            at = np.flatnonzero((part >= known[0]) & (part <= known[-1]))
+            first = np.searchsorted(known, part[at])
+            n = np.searchsorted(known, part[at], "right") - first
+            row = np.repeat(at, n)
+            entry = np.arange(len(row)) + np.repeat(first - np.cumsum(n) + n, n)
+            out[row, lang[entry]] += weight[entry]
+        return out
+
+    def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: mean surprise per symbol under each language, its spread under
+        the best one, and the number of symbols (0 without letters)."""
+        if self.letters is None:
+            self.letters = alphabet()
+        total = np.zeros((len(texts), len(self.languages)))
+        square, size = np.zeros_like(total), np.zeros(len(texts), np.int64)
+        rows, parts, held = [], [], 0
+
+        def settle():
+            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+            surprise = -self.log_probability(keys)[at]
+            starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+            np.add.at(total, rows, np.add.reduceat(surprise, starts))
+            np.add.at(square, rows, np.add.reduceat(surprise**2, starts))
+            rows.clear()
+            parts.clear()
+
+        for i, text in enumerate(texts):
+            x = symbols(text, self.letters)
+            size[i] = len(x)
+            for piece in pieces(x, self.order, self.piece) if len(x) else ():
+                if held + len(piece) > self.piece and parts:
+                    settle()
+                    held = 0
+                rows.append(i)
+                parts.append(grams(piece, self.order))
+                held += len(parts[-1])
+        if parts:
+            settle()
+        count = np.maximum(size - 1, 1)
+        mean = total / count[:, None]
+        best = mean.argmin(1)
+        each = np.arange(len(texts))
+        return mean, np.maximum(square[each, best] / count - mean[each, best] ** 2, 0.0), size
+
+
 class Judge:
-    """A model with its calibrated limits: language -> (mean, between, within, limit)."""
+    """A scorer with its calibrated limits: language -> (mean, between, within, limit)."""
 
-    def __init__(self, model: Model | None, limits: dict | None = None):
-        self.model, self.limits, self.letters = model, limits or {}, None
+    def __init__(self, scorer: Scorer | None, limits: dict | None = None):
+        self.scorer, self.limits = scorer, limits or {}
 
     def distance(self, lang: str, entropy: float, n: int) -> float:
         mean, between, within, _ = self.limits[lang]
         return (entropy - mean) / np.sqrt(between + within / n)
 
-    def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """(language, score, cross-entropy, rejected)."""
-        if self.letters is None:
-            self.letters = alphabet()
-        x = symbols(text, self.letters)
-        if not len(x):
-            return UNKNOWN, 0.0, None, True
-        if self.model is None:
-            return UNKNOWN, 0.0, None, False
-        entropy, _ = self.model.cross_entropy(x)
-        j = int(entropy.argmin())
-        lang, low = self.model.languages[j], float(entropy[j])
-        score = float(1 / np.exp(-SHARP * (entropy - low)).sum())
-        beyond = lang in self.limits and self.distance(lang, low, len(x)) > self.limits[lang][3]
-        return lang, score, low, bool(beyond)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """(language, score, cross-entropy, rejected) of each text."""
+        if self.scorer is None:
+            letters = alphabet()
+            return [(UNKNOWN, 0.0, None, not len(symbols(t, letters))) for t in texts]
+        found = []
+        for entropy, n in zip(*self.scorer.cross_entropy(texts)[::2], strict=True):
+            if not n:
+                found.append((UNKNOWN, 0.0, None, True))
+                continue
+            j = int(entropy.argmin())
+            lang, low = self.scorer.languages[j], float(entropy[j])
+            score = float(1 / np.exp(-SHARP * (entropy - low)).sum())
+            beyond = lang in self.limits and self.distance(lang, low, n) > self.limits[lang][3]
+            found.append((lang, score, low, bool(beyond)))
+        return found
 
 
 def _training(docs: DataFrame, id_col: str, text: str, lang: str, folds: int) -> DataFrame:
@@ -239,66 +326,129 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
+def weights(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
+    """(kind, key, lang, weight) over all grams of ``counts`` (lang, gram, n), and
+    the log-probability of a symbol that nothing is known of.
+
+    Kind k is a gram of k symbols: its log-probability less what backing off would
+    give. Kind -k is a context of k - 1 symbols: its log back-off weight. The
+    log-probability of a gram is the floor plus the weights of its endings and
+    their contexts, as far as the language has seen them.
+    """
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):  # how many different symbols precede each shorter gram
+        levels[k] = stored(
+            levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_low(k))))
+                                  .alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+    floor = -float(np.log(levels[1].select("gram").distinct().count() + 1))
+    out, lower = [], None
+    for k in range(1, order + 1):
+        rows = levels[k].withColumn("head", F.shiftrightunsigned("gram", 16))
+        once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        share = once / F.greatest(once + 2 * twice, F.lit(1))
+        discounts = levels[k].groupBy("lang").agg(  # one row a language
+            F.least(F.greatest(share, F.lit(0.1)), F.lit(0.9)).alias("d"))
+        heads = stored(
+            rows.groupBy("lang", "head").agg(F.sum("n").alias("total"),
+                                             F.count(F.lit(1)).alias("kinds"))
+            .join(F.broadcast(discounts), "lang")
+            .select("lang", "head", "total", "d",
+                    F.log(F.col("d") * F.col("kinds") / F.col("total")).alias("back")), "heads")
+        rows = rows.join(heads, ["lang", "head"])
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(floor))
+        else:
+            rows = (rows.withColumn("tail", F.col("gram").bitwiseAND(F.lit(int(_low(k - 1)))))
+                    .join(lower, ["lang", "tail"]))
+        rest = F.col("back") + F.col("below")
+        log = F.log((F.col("n") - F.col("d")) / F.col("total") + F.exp(rest))
+        own = stored(rows.select("lang", "gram", log.alias("log"),
+                                 (log - rest).alias("weight")), "weights")
+        lower = own.select("lang", F.col("gram").alias("tail"), F.col("log").alias("below"))
+        out += [own.select(F.lit(k).alias("kind"), F.col("gram").alias("key"), "lang", "weight"),
+                heads.select(F.lit(-k).alias("kind"), F.col("head").alias("key"), "lang",
+                             F.col("back").alias("weight"))]
+    return reduce(DataFrame.union, out), floor
+
+
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """(kind, n, block): the weights as sorted arrays, ``most`` in a block at most."""
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now = [], 0, None
+
+        def block():
+            key, lang, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+            at = np.argsort(key.view(np.uint64), kind="stable")
+            raw = key[at].tobytes() + weight[at].tobytes() + lang[at].tobytes()
+            return pa.RecordBatch.from_pydict(
+                {"kind": pa.array([now], pa.int32()), "n": pa.array([size], pa.int64()),
+                 "block": pa.array([raw], pa.binary())})
+
+        for batch in batches:
+            kind, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero(np.diff(kind)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(kind)], strict=True):
+                while lo < hi:
+                    if held and (kind[lo] != now or size == most):
+                        yield block()
+                        held, size = [], 0
+                    now, end = int(kind[lo]), int(min(hi, lo + most - size))
+                    held.append([c[lo:end] for c in columns])
+                    size, lo = size + end - int(lo), end
+        if held:
+            yield block()
+
+    parts = max(1, -(-rows.count() // most))
+    return (rows.repartitionByRange(parts, "kind", "key").sortWithinPartitions("kind", "key")
+            .select("kind", "key", "lang", "weight")
+            .mapInArrow(pack, "kind int, n long, block binary"))
+
+
+def learn(counts: DataFrame, order: int = ORDER) -> Scorer | None:
+    """The scorer of all grams of ``counts`` (lang, gram, n); None without any."""
+    spark = counts.sparkSession
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not languages:
+        return None
+    ids = spark.createDataFrame(list(enumerate(languages)), "id int, lang string")
+    numbered = stored(counts.join(F.broadcast(ids), "lang")
+                      .select(F.col("id").alias("lang"), "gram", "n"), "grams")
+    rows, floor = weights(numbered, order)
+    blocks = stored(packed(rows, BLOCK), "blocks")
+    # one partition, so a few blocks, on the driver at a time
+    found = [(r.kind, r.n, spark.sparkContext.broadcast(bytes(r.block)))
+             for r in blocks.toLocalIterator()]
+    return Scorer(languages, floor, sorted(found, key=lambda b: (b[1] > BLOCK // 2, abs(b[0]))),
+                  order)
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
-        folds: int = FOLDS, order: int = ORDER, max_grams: int = MAX_GRAMS,
-        calibration: int = CALIBRATION) -> Judge:
+        folds: int = FOLDS, order: int = ORDER, calibration: int = CALIBRATION) -> Judge:
     """A judge learned from the rows whose crc32(id as text) mod ``folds`` is not
     0 and whose language and text are not null. Without such rows it knows no
-    language. Counts cover all these rows; only the grams kept per language
-    (``max_grams``) and the calibration texts (``calibration``) are bounded."""
+    language. The model covers all grams of all these rows; only the calibration
+    texts (``calibration``) are bounded."""
     labelled = _training(docs, id_col, text, lang, folds)
-    counts = gram_counts(labelled, order).cache()
-    try:
-        sizes = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}
-        kept = counts
-        for name, size in sizes.items():
-            if size > max_grams:  # the count above which at most max_grams are left
-                spread = (counts.where(F.col("lang") == name).groupBy("n").count()
-                          .orderBy(F.desc("n")).limit(max_grams).toPandas())
-                most = int(spread.n[spread["count"].cumsum() > max_grams].iloc[0])
-                kept = kept.where((F.col("lang") != name) | (F.col("n") > most))
-        # at most max_grams a language
-        table = kept.toPandas()
-    finally:
-        counts.unpersist()
-    if table.empty:
-        return Judge(None)
-    found = {}
-    for name, part in table.groupby("lang"):
-        keys = part.gram.to_numpy().view(np.uint64)
-        order_of = np.argsort(keys)
-        found[name] = keys[order_of], part.n.to_numpy(np.int64)[order_of]
-    model = Model(found, order)
-    return Judge(model, _calibrated(labelled, model, sizes, calibration))
-
-
-def _calibrated(labelled: DataFrame, model: Model, sizes: dict, most: int) -> dict:
-    spark = labelled.sparkSession
-    shared = share(spark, model)
+    scorer = learn(stored(gram_counts(labelled, order), "grams"), order)
+    return Judge(scorer, _calibrated(labelled, scorer, calibration) if scorer else None)
+
+
+def _calibrated(labelled: DataFrame, scorer: Scorer, most: int) -> dict:
     n = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     portion = F.lit(0.0)
-    for name in sizes:  # by hash of the text, so a rerun takes the same ones
+    for name in scorer.languages:  # by hash of the text, so a rerun takes the same ones
         portion = F.when(F.col("lang") == name, F.lit(min(1.0, most / n[name]))).otherwise(portion)
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, letters = shared(), alphabet()
         for batch in batches:
-            rows = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                  strict=True):
-                x = symbols(text, letters)
-                if len(x):
-                    entropy, spread = m.cross_entropy(x)
-                    j = int(entropy.argmin())
-                    if m.languages[j] == lang:
-                        rows.append((lang, float(entropy[j]), spread, len(x)))
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame(rows, columns=["lang", "entropy", "spread", "n"]).astype(
-                    {"entropy": float, "spread": float, "n": "int64"}),
-                schema=pa.schema([("lang", pa.string()), ("entropy", pa.float64()),
-                                  ("spread", pa.float64()), ("n", pa.int64())]),
-                preserve_index=False)
+            for part in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                entropy, spread, n = scorer.cross_entropy(part.column(1).to_pylist())
+                own = np.array([scorer.languages[j] for j in entropy.argmin(1)], object)
+                own = (own == np.array(part.column(0).to_pylist(), object)) & (n > 0)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": part.column(0).filter(pa.array(own)),
+                    "entropy": entropy.min(1)[own], "spread": spread[own], "n": n[own]})
 
     # about ``most`` rows a language, a copied text at most as often as it is copied
     rows = (labelled.where(draw < portion).dropDuplicates(["lang", "text"])
@@ -320,16 +470,15 @@ def identify(docs: DataFrame, judge: Judge, *, text: str = "text") -> tuple[Data
     (per symbol; null for ``und``) and ``rejected``.
     """
     name, where = fresh("language", docs), docs.columns.index(text)
-    shared = share(docs.sparkSession, judge)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()),
                       ("entropy", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [dict(zip(("lang_pred", "score", "entropy", "rejected"),
-                              shared().predict(t), strict=True))
-                     for t in batch.column(where).to_pylist()]
-            yield with_column(batch, name, pa.array(found, kind))
+            for part in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                found = [dict(zip(("lang_pred", "score", "entropy", "rejected"), f, strict=True))
+                         for f in judge.predict(part.column(where).to_pylist())]
+                yield with_column(part, name, pa.array(found, kind))
 
     schema = docs.withColumn(name, F.lit(None).cast(
         "struct<lang_pred:string,score:double,entropy:double,rejected:boolean>")).schema

@@ -107,3 +107,45 @@ def test_odd_rows_and_rejection(spark):
                                   "doc_id long, text string")
     out, name = op.identify(alien, op.fit(train))
     assert all(r[name].rejected for r in out.collect())
+
+
+@pytest.mark.parametrize("block", [op.BLOCK, 700])
+def test_weights_in_blocks_equal_the_model_in_memory(spark, monkeypatch, block):
+    monkeypatch.setattr(op, "BLOCK", block)
+    texts = {"a": [cases.prose(1, 300), "the cat"], "b": [cases.prose(2, 50), "漢字 \U00020000 가나"]}
+    model = op.Model({k: counted(v) for k, v in texts.items()})
+    labelled = spark.createDataFrame([(k, t) for k, v in texts.items() for t in v],
+                                     "lang string, text string")
+    scorer = op.learn(op.gram_counts(labelled))
+    sizes = [n for _, n, _ in scorer.blocks]
+    assert max(sizes) <= block and (len(sizes) > 10 or block == op.BLOCK)
+    assert sum(n for kind, n, _ in scorer.blocks if kind == 4) == sum(
+        len(counted(v)[0]) for v in texts.values())
+    wanted = [cases.prose(1, 20), cases.prose(3, 2000), "漢字 zq", "", "x"]
+
+    def score(batches):
+        for b in batches:
+            mean, spread, n = scorer.cross_entropy(b["text"].tolist())
+            yield b.assign(a=mean[:, 0], b=mean[:, 1], spread=spread, n=n)
+
+    got = (spark.createDataFrame([(t,) for t in wanted], "text string").coalesce(1)
+           .mapInPandas(score, "text string, a double, b double, spread double, n long").collect())
+    for r in got:
+        x = op.symbols(r.text, LETTERS)
+        assert r.n == len(x)
+        if len(x):
+            mean, spread = model.cross_entropy(x)
+            assert [r.a, r.b] == pytest.approx(mean.tolist(), rel=1e-9)
+            assert r.spread == pytest.approx(spread, rel=1e-6)
+
+
+def test_more_than_four_million_grams_that_are_seen_once(spark):
+    """All of them are kept, so the language is still predicted."""
+    r = np.random.default_rng(1)
+    rows = [(i, "".join(map(chr, r.integers(0x4E00, 0x9FA5, 100_000))), "zh") for i in range(52)]
+    rows += [(100 + i, cases.prose(i, 100), "en") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [i for i, _, lang in rows if lang == "zh" and zlib.crc32(str(i).encode()) % 5]
+    assert len(learned) > 40
+    out, name = op.identify(docs.withColumn("text", op.F.substring("text", 1, 500)), op.fit(docs))
+    assert all(row[name].lang_pred == row.lang for row in out.collect())
