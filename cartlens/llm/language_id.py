@@ -7,18 +7,19 @@ bits each, so grams never collide and the shorter ones are found by shifting.
 A log-probability is a sum of one weight for each gram and each context that the
 language has seen, so the weights can be dealt over any number of broadcast
 blocks of bounded size. Every text is scored whole under every language; the
-lowest cross-entropy per character wins. A text is rejected when it has no letter, or when its
-cross-entropy lies beyond what the winner's own labelled texts reach.
+lowest cross-entropy per character wins. A text is rejected when it has no
+letter, or when its cross-entropy lies beyond what the winner's labelled texts
+reach under a model that has not seen them.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,13 @@ FOLDS = 5
 BLOCK = 1_000_000
 #: grams x languages that are scored at a time
 CELLS = 1 << 20
-#: labelled texts a language that calibrate the rejection, at most
-CALIBRATION = 2_000
-#: a text is rejected beyond this many times the farthest calibration text
-SLACK = 2.5
+#: a text is rejected beyond the distance that one in this many unseen texts would
+#: exceed, if the tail fell off exponentially from the median through the 0.9
+#: quantile (odd texts below a tenth do not move those)
+RARE = 1_000_000
+#: unseen texts that show a language's scale, and the tail of all languages; a
+#: language with fewer has no limit, and without a tail none has
+SCALE, TAIL = 8, 32
 #: sharpness of the score
 SHARP = 8.0
 UNKNOWN = "und"
@@ -423,23 +427,24 @@ def learn(counts: DataFrame, order: int = ORDER) -> Scorer | None:
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
-        folds: int = FOLDS, order: int = ORDER, calibration: int = CALIBRATION) -> Judge:
+        folds: int = FOLDS, order: int = ORDER) -> Judge:
     """A judge learned from the rows whose crc32(id as text) mod ``folds`` is not
     0 and whose language and text are not null. Without such rows it knows no
-    language. The model covers all grams of all these rows; only the calibration
-    texts (``calibration``) are bounded."""
+    language. The model covers all grams of all these rows. For the limits the
+    texts are halved by hash, copies together, and every text of a half is scored
+    by a model of the other half."""
     labelled = _training(docs, id_col, text, lang, folds)
-    scorer = learn(stored(gram_counts(labelled, order), "grams"), order)
-    return Judge(scorer, _calibrated(labelled, scorer, calibration) if scorer else None)
+    halves = [labelled.where(F.pmod(F.xxhash64("text"), F.lit(2)) == h) for h in (0, 1)]
+    counts = [stored(gram_counts(half, order), "grams") for half in halves]
+    whole = counts[0].union(counts[1]).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    with ThreadPoolExecutor(3) as pool:  # many small jobs, so side by side
+        scorer, *others = pool.map(lambda c: learn(c, order), (whole, counts[1], counts[0]))
+    scored = [_scored(half, other) for half, other in zip(halves, others, strict=True) if other]
+    return Judge(scorer, _limits(reduce(DataFrame.union, scored)) if scored else None)
 
 
-def _calibrated(labelled: DataFrame, scorer: Scorer, most: int) -> dict:
-    n = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    portion = F.lit(0.0)
-    for name in scorer.languages:  # by hash of the text, so a rerun takes the same ones
-        portion = F.when(F.col("lang") == name, F.lit(min(1.0, most / n[name]))).otherwise(portion)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-
+def _scored(labelled: DataFrame, scorer: Scorer) -> DataFrame:
+    """(lang, entropy, spread, n) of the different texts that get their own label."""
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
@@ -448,18 +453,35 @@ def _calibrated(labelled: DataFrame, scorer: Scorer, most: int) -> dict:
                 own = (own == np.array(part.column(0).to_pylist(), object)) & (n > 0)
                 yield pa.RecordBatch.from_pydict({
                     "lang": part.column(0).filter(pa.array(own)),
-                    "entropy": entropy.min(1)[own], "spread": spread[own], "n": n[own]})
-
-    # about ``most`` rows a language, a copied text at most as often as it is copied
-    rows = (labelled.where(draw < portion).dropDuplicates(["lang", "text"])
-            .mapInArrow(score, "lang string, entropy double, spread double, n long").toPandas())
-    limits = {}
-    for name, part in rows.groupby("lang"):
-        mean, between = part.entropy.median(), max(part.entropy.var(ddof=0), 1e-4)
-        within = max(part.spread.median(), 1e-4)
-        far = ((part.entropy - mean) / np.sqrt(between + within / part.n)).max()
-        limits[name] = (mean, between, within, SLACK * max(far, 8.0))
-    return limits
+                    "entropy": entropy.min(1)[own], "spread": spread[own], "n": n[own],
+                    "copy": part.column(2).filter(pa.array(own))})
+
+    return (labelled.withColumn("copy", F.xxhash64("text"))
+            .mapInArrow(score, "lang string, entropy double, spread double, n long, copy long")
+            .dropDuplicates(["lang", "copy"]).drop("copy"))
+
+
+def _limits(scored: DataFrame) -> dict:
+    """language -> (mean, between, within, limit), from all rows of ``scored``."""
+    def at(column, *shares):
+        return F.percentile_approx(column, F.array(*map(F.lit, shares)), F.lit(10_000))
+
+    rows = stored(scored, "scored")
+    quarter = at("entropy", 0.25, 0.5, 0.75)
+    scale = stored(rows.groupBy("lang").agg(
+        quarter[1].alias("mean"),
+        F.greatest(F.pow((quarter[2] - quarter[0]) / 1.349, 2), F.lit(1e-4)).alias("between"),
+        F.greatest(at("spread", 0.5)[0], F.lit(1e-4)).alias("within"),
+        F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SCALE), "scale")
+    far = (F.col("entropy") - F.col("mean")) / F.sqrt(
+        F.col("between") + F.col("within") / F.col("n"))
+    tail = (rows.join(F.broadcast(scale), "lang")  # the scales: one row a language
+            .agg(F.count(F.lit(1)).alias("texts"), at(far, 0.5, 0.9).alias("far")).head())
+    if tail.texts < TAIL:
+        return {}
+    middle, high = tail.far
+    limit = middle + (high - middle) * float(np.log(RARE / 2) / np.log(5))
+    return {r.lang: (r["mean"], r.between, r.within, limit) for r in scale.collect()}
 
 
 def identify(docs: DataFrame, judge: Judge, *, text: str = "text") -> tuple[DataFrame, str]:

@@ -149,3 +149,22 @@ def test_more_than_four_million_grams_that_are_seen_once(spark):
     assert len(learned) > 40
     out, name = op.identify(docs.withColumn("text", op.F.substring("text", 1, 500)), op.fit(docs))
     assert all(row[name].lang_pred == row.lang for row in out.collect())
+
+
+def test_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet")
+    judge = op.fit(docs.where("lang <> 'en'"))
+    assert sorted(judge.limits) == ["de", "es", "fr"]
+    assert all(0 < limit < 12 for *_, limit in judge.limits.values())
+    out, name = op.identify(docs, judge)
+    rows = out.collect()
+    assert all(r[name].rejected for r in rows if r.lang == "en" and len(r.text) > 200)
+    assert not any(r[name].rejected for r in rows if r.lang != "en")
+
+
+def test_one_odd_text_does_not_move_a_limit(spark):
+    rows = [("a", 2.0 + i % 20 / 100, 1.0, 500) for i in range(200)]
+    limits = [op._limits(spark.createDataFrame(
+        rows + odd, "lang string, entropy double, spread double, n long"))["a"][3]
+        for odd in ([], [("a", 60.0, 1.0, 500)])]
+    assert limits[1] == pytest.approx(limits[0], rel=0.1)
