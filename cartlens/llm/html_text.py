@@ -5,6 +5,8 @@ holds it (menus, footers, adverts and the like are out), the share of its
 characters inside links, its length and the share of stop words. Short blocks
 without links, and middling ones, stay undecided; pass two gives each of them
 the label of the nearest decided block, inside the article if there is one.
+A mark by class, id or role does not count on the page itself, on a main element,
+or on what is wrapped around the article that has the fewest such marks.
 Pages are independent, so this is one map without a shuffle.
 """
 
@@ -45,6 +47,8 @@ _RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "
         "math", "select", "head"}
 _OUT = {"nav", "footer", "aside", "form", "header", "menu", "button", "dialog", "fieldset"}
 _MAIN = {"article", "main"}
+#: tags that no class, id or role marks as not the article
+_NEVER = {"html", "body", "main"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLOCK = _OUT | _MAIN | _HEADING | {
     "address", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt",
@@ -92,13 +96,76 @@ class Block:
         return True if share >= DENSE else None if share >= THIN else False
 
 
-def _marked(attributes: str) -> bool:
+def _named(attributes: str) -> bool:
+    """Whether a class, id or role marks an element as not the article."""
     if not attributes:
         return False
     names = " ".join(_NAMES.findall(attributes)).replace("'", " ").replace('"', " ")
     split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()
-    return any(x in _BOILERPLATE for x in re.split(r"[^a-z]+", split)) or bool(
-        _HIDDEN.search(attributes))
+    return any(x in _BOILERPLATE for x in re.split(r"[^a-z]+", split))
+
+
+def _hidden(attributes: str) -> bool:
+    return bool(_HIDDEN.search(attributes))
+
+
+def _tokens(page: str) -> Iterator[tuple[int, str | None, str, bool, str]]:
+    """(place, text, tag, whether it closes, attributes) of all runs of text and tags."""
+    lower = page.lower()
+    at, size = 0, len(page)
+    while at < size:
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        if m.group(7) is not None:
+            yield m.start(), m.group(7), "", False, ""
+            continue
+        name = (m.group(2) or m.group(5) or "").lower()
+        if not name:
+            continue
+        closing = bool(m.group(1) or m.group(4))
+        attributes = m.group(3) or m.group(6) or ""
+        if name in _RAW and not closing:
+            if name != "head" or "</head" in lower[at:at + 200_000]:
+                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                if not attributes.endswith("/"):
+                    at = end.end() if end else size if name in ("script", "style") else at
+            continue
+        yield m.start(), None, name, closing, attributes
+
+
+def _wrappers(page: str) -> set[int]:
+    """Places of the elements that are marked by a name but hold the article.
+
+    That is an article or main element under the fewest marks; deeper marks and
+    marked elements without an article stay out. Empty if an article has no mark.
+    """
+    stack: list[tuple[str, int, int, bool]] = []  # tag, place, marks so far, never text
+    depth: dict[int, int] = {}  # of marked elements that hold an article
+    least, seen = None, 0  # ``seen``: open elements that are known to hold one
+    for place, _, name, closing, attributes in _tokens(page):
+        if name not in _BLOCK or name in _EMPTY:
+            continue
+        if closing:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    del stack[i:]
+                    break
+            seen = min(seen, len(stack))
+            continue
+        if stack and stack[-1][0] in ("p", *_HEADING):
+            stack.pop()
+            seen = min(seen, len(stack))
+        _, _, marks, never = stack[-1] if stack else ("", 0, 0, False)
+        named = name not in _NEVER and _named(attributes)
+        never = never or _hidden(attributes) or name in _OUT
+        stack.append((name, place, marks + named, never))
+        if name in _MAIN and not never:
+            least = marks + named if least is None else min(least, marks + named)
+            for i in range(seen, len(stack)):
+                if stack[i][2] > (stack[i - 1][2] if i else 0):
+                    depth[stack[i][1]] = stack[i][2]
+            seen = len(stack)
+    return {place for place, marks in depth.items() if marks <= least}
 
 
 def blocks(page: str) -> list[Block]:
@@ -107,6 +174,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # open blocks: tag, out, main
     lower = page.lower()
     unclosed: dict[str, bool] = {}
+    wrappers: set[int] | None = None
     now: Block | None = None
     link = 0
 
@@ -116,32 +184,18 @@ def blocks(page: str) -> list[Block]:
             unclosed[name] = lower.count(f"</{name}") >= len(re.findall(rf"<{name}[\s>/]", lower))
         return unclosed[name]
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m.group(7) is not None:
+    for place, run, name, closing, attributes in _tokens(page):
+        if run is not None:
             if now is None:
                 out, main = stack[-1][1:] if stack else (False, False)
                 tag = next((t for t, _, _ in reversed(stack) if t in _HEADING or t in _BLOCK), "")
                 now = Block(out, main, tag in _HEADING)
                 found.append(now)
-            run = html.unescape(m.group(7))
+            run = html.unescape(run)
             now.parts.append(run)
             if link:
                 now.linked += len(run.strip())
-            continue
-        name = (m.group(2) or m.group(5) or "").lower()
-        if not name:
-            continue
-        closing = bool(m.group(1) or m.group(4))
-        if name in _RAW and not closing:
-            if name != "head" or "</head" in lower[at:at + 200_000]:
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                if not (m.group(3) or m.group(6) or "").endswith("/"):
-                    at = end.end() if end else size if name in ("script", "style") else at
-            continue
-        if name == "a":
+        elif name == "a":
             link = 0 if closing else 1
         elif name == "br":
             if now is not None:
@@ -156,7 +210,12 @@ def blocks(page: str) -> list[Block]:
             elif name not in _EMPTY:
                 if stack and stack[-1][0] in ("p", *_HEADING):
                     stack.pop()
-                marked = _marked(m.group(3) or m.group(6) or "")
+                marked = name not in _NEVER and _named(attributes)
+                if marked:
+                    if wrappers is None:
+                        wrappers = _wrappers(page)
+                    marked = place not in wrappers
+                marked = marked or _hidden(attributes)
                 if name in _MAIN and not marked:
                     # an element that is never closed ends where the article starts
                     while stack and stack[-1][1] and not ends(stack[-1][0]):

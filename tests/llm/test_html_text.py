@@ -78,3 +78,16 @@ def test_long_pages_and_odd_rows(spark):
         [(1, "u", body, len(body))] * 2 + [(2, None, LONG, len(LONG)), (None, "u", "", 0),
                                            (3, "u", "", 0)], key=str)
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    f"<html class='no-sidebar'><body class='has-sidebar'><article><p>{LONG}</p></article>",
+    f"<div id=content class='with-sidebar'><article><p>{LONG}</p></article>"
+    f"<div class=comments><article class=comment><p>{LONG2}</p></article></div></div>",
+    f"<main class=search><p>{LONG}</p><div class=ad><p>{LONG2}</p></div></main>",
+    f"<article class='post-with-comments'><p>{LONG}</p></article>",
+    f"<body class=has-sidebar><p>{LONG}</p></body>",
+    f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG2}</p></article></div>",
+])
+def test_marked_wrappers_keep_their_article(page):
+    assert html_text.main_text(page) == LONG
