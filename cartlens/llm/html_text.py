@@ -5,6 +5,8 @@ holds it (menus, footers, adverts and the like are out), the share of its
 characters inside links, its length and the share of stop words. Short blocks
 without links, and middling ones, stay undecided; pass two gives each of them
 the label of the nearest decided block, inside the article if there is one.
+The stop words are English, German, French and Spanish; on a page where no block
+reaches their share, long blocks are decided by length and links alone.
 A mark by class, id or role does not count on the page itself, on a main element,
 or on what is wrapped around the article that has the fewest such marks.
 Pages are independent, so this is one map without a shuffle.
@@ -80,8 +82,8 @@ class Block:
     linked: int = 0
     text: str = ""
 
-    def label(self) -> bool | None:
-        """Pass one: text, not text, or undecided."""
+    def label(self, words: bool = True) -> bool | None:
+        """Pass one: text, not text, or undecided; ``words``: by stop words too."""
         if self.out:
             return False
         n = len(self.text)
@@ -92,6 +94,8 @@ class Block:
         if self.main:
             return True
         w = _LETTERS.findall(self.text.lower())
+        if not words:
+            return bool(w)
         share = sum(x in STOP_WORDS for x in w) / max(1, len(w))
         return True if share >= DENSE else None if share >= THIN else False
 
@@ -239,6 +243,8 @@ def main_text(page: str | None) -> str:
     else:
         own = all_blocks
     labels = [b.label() for b in own]
+    if True not in labels:
+        labels = [b.label(words=False) for b in own]
     before, after, last = [], [], None
     for i, x in enumerate(labels):
         last = (i, x) if x is not None else last

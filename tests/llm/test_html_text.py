@@ -91,3 +91,12 @@ def test_long_pages_and_odd_rows(spark):
 ])
 def test_marked_wrappers_keep_their_article(page):
     assert html_text.main_text(page) == LONG
+
+
+@pytest.mark.parametrize("long", ["Это длинный абзац на языке, слов которого в списке нет. " * 3,
+                                  "这是一个很长的段落，其中没有列表中的任何单词。" * 5])
+def test_languages_without_stop_words(long):
+    long = long.strip()
+    page = (f"<nav><a href=1>{long}</a></nav><p><a href=2>{long}</a></p><p>{long}</p>"
+            f"<footer>{long}</footer>")
+    assert html_text.main_text(page) == long
