@@ -168,3 +168,18 @@ def test_one_odd_text_does_not_move_a_limit(spark):
         rows + odd, "lang string, entropy double, spread double, n long"))["a"][3]
         for odd in ([], [("a", 60.0, 1.0, 500)])]
     assert limits[1] == pytest.approx(limits[0], rel=0.1)
+
+
+def test_grams_do_not_reach_the_driver_as_rows(spark, monkeypatch):
+    frame, seen = type(spark.range(1)), []
+    for name in ("collect", "toPandas"):
+        def fetch(self, plain=getattr(frame, name)):
+            rows = plain(self)
+            seen.append(len(rows))
+            return rows
+        monkeypatch.setattr(frame, name, fetch)
+    rows = [(f"l{i}", cases.prose(i, 30)) for i in range(40)]
+    scorer = op.learn(op.gram_counts(spark.createDataFrame(rows, "lang string, text string")))
+    assert len(scorer.languages) == 40 and max(seen) <= 40
+    assert sum(n for kind, n, _ in scorer.blocks if kind == 4) == sum(
+        len(counted([t])[0]) for _, t in rows)
