@@ -45,3 +45,15 @@ component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN component c ON c.a = e.vec_id LEFT JOIN degree g ON g.a = e.vec_id"""
+
+ORACLE_SQL["op13_exact_topk"] = """
+WITH v AS (SELECT vec_id, len(embedding) AS size,
+    list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.size = c.size AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM scored) WHERE rank <= 5"""

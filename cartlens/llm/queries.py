@@ -15,7 +15,10 @@ from . import (
     repeat_index,
     sharding,
     simhash,
+    spelling,
     token_shards,
+    topk,
+    whitening,
 )
 from .common import table
 
@@ -99,7 +102,21 @@ def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(c["kept"], 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as a long; null where a table is so large that it needs more."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_line_dedup, op3_training_order, op4_curve_packing, op5_lpt_sharding,
     op6_embedding_near_dedup, op7_language_id, op8_simhash, op9_html_extraction,
-    op10_repeat_removal)}
+    op10_repeat_removal, op11_spelling_variants, op12_whitening, op13_exact_topk)}
