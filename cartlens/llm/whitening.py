@@ -23,9 +23,9 @@ from .topk import matrix, valid
 
 SCALE, SHIFT, COMPONENTS = 1024, 100_000, 8
 #: largest integer entry, and MINRES steps in a round
-MOST, STEPS = 1 << 52, 5
+MOST, STEPS = 1 << 52, 3
 #: the subspace is cut back beyond this many columns a wanted component
-SPACE = 5
+SPACE = 8
 #: rows that are centred at a time
 ROWS = 1 << 14
 EPS = float(np.finfo(np.float64).eps)
