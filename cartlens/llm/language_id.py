@@ -16,18 +16,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, with_column
+from .common import fresh, release, stored, with_column
 
 ORDER = 4
 FOLDS = 5
+#: learned from the first half of the texts, the second, and all
+FITS = (0, 1, 2)
 #: weights in one broadcast block (20 bytes each); a worker keeps the first
 #: blocks up to this many weights and reads the others once for each stretch of text
 BLOCK = 1_000_000
@@ -37,9 +38,9 @@ CELLS = 1 << 20
 #: exceed, if the tail fell off exponentially from the median through the 0.9
 #: quantile (odd texts below a tenth do not move those)
 RARE = 1_000_000
-#: unseen texts that show a language's scale, and the tail of all languages; a
-#: language with fewer has no limit, and without a tail none has
-SCALE, TAIL = 8, 32
+#: weight, in texts, of what is assumed before any text is seen: of the scale that
+#: all languages share, and of the tail's median and 0.9 quantile
+SCALE, TAIL, ASSUMED = 8, 32, (1.0, 3.0)
 #: sharpness of the score
 SHARP = 8.0
 UNKNOWN = "und"
@@ -61,12 +62,10 @@ def symbols(text: str | None, letters: np.ndarray) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint64)
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    if code.max() >= 1 << 16:
-        code = np.array([c if c < 1 << 16 else _ASTRAL if chr(c).isalpha() else _BLANK
-                         for c in code.tolist()], np.uint32)
-        x = np.where(code == _ASTRAL, np.uint64(_ASTRAL), letters[code])
-    else:
-        x = letters[code]
+    x = letters[np.minimum(code, (1 << 16) - 1)]
+    far = np.flatnonzero(code >= 1 << 16)
+    if len(far):
+        x[far] = [_ASTRAL if chr(c).isalpha() else _BLANK for c in code[far].tolist()]
     blank = x == _BLANK
     x = np.concatenate((x[~(blank & np.concatenate(([True], blank[:-1])))],
                         np.array([_BLANK], np.uint64)))
@@ -280,103 +279,130 @@ class Judge:
 
 
 def _training(docs: DataFrame, id_col: str, text: str, lang: str, folds: int) -> DataFrame:
+    """(lang, half, text): the texts to learn from, copies in the same half."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     return docs.where((fold != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"))
+        F.col(lang).alias("lang"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half"),
+        F.col(text).alias("text"))
 
 
 def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all of ``labelled`` (lang, text)."""
+    """(lang, gram, n0, n1, n2) over all of ``labelled`` (lang, half, text): the
+    occurrences in each half and in both."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = alphabet()
-        held: dict[str, list] = defaultdict(list)
+        held: dict[tuple, list] = defaultdict(list)
 
         def merged(parts):
             keys = np.concatenate([k for k, _ in parts])
             keys, at = np.unique(keys, return_inverse=True)
             return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-        new: dict[str, list] = defaultdict(list)
+        new: dict[tuple, list] = defaultdict(list)
         size = 0
 
         def settle():
-            for lang, parts in new.items():
-                held[lang].append(np.unique(np.concatenate(parts), return_counts=True))
-                if len(held[lang]) > 8:
-                    held[lang] = [merged(held[lang])]
+            for key, parts in new.items():
+                held[key].append(np.unique(np.concatenate(parts), return_counts=True))
+                if len(held[key]) > 8:
+                    held[key] = [merged(held[key])]
             new.clear()
 
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(),
-                                      strict=True):
+                for *key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     x = symbols(text, letters)
                     for piece in pieces(x, order) if len(x) else ():
-                        new[lang].append(grams(piece, order))
-                        size += len(new[lang][-1])
+                        new[tuple(key)].append(grams(piece, order))
+                        size += len(piece)
                         if size > 4 * _PIECE:
                             settle()
                             size = 0
         settle()
-        for lang, parts in held.items():
+        for (lang, half), parts in held.items():
             keys, n = merged(parts)
             for at in range(0, len(keys), 100_000):
                 part = keys[at:at + 100_000].view(np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([lang] * len(part)), "gram": part,
+                    "lang": pa.array([lang] * len(part)),
+                    "half": pa.array([half] * len(part), pa.int32()), "gram": part,
                     "n": n[at:at + 100_000]})
 
-    return (labelled.mapInArrow(count, "lang string, gram long, n long")
-            .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    def of(half):
+        return F.sum(F.when(F.col("half") == half, F.col("n")).otherwise(0))
 
+    return (labelled.mapInArrow(count, "lang string, half int, gram long, n long")
+            .groupBy("lang", "gram").agg(of(0).alias("n0"), of(1).alias("n1"),
+                                         F.sum("n").alias("n2")))
 
-def weights(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """(kind, key, lang, weight) over all grams of ``counts`` (lang, gram, n), and
-    the log-probability of a symbol that nothing is known of.
 
+def weights(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[float]]:
+    """(fit, kind, key, lang, weight) over all grams of ``counts`` (lang, gram, n0, n1,
+    n2), and the log-probability of a symbol that nothing is known of, per fit.
+
+    Fits 0 and 1 are learned from a half, fit 2 from both; a row carries all three.
     Kind k is a gram of k symbols: its log-probability less what backing off would
     give. Kind -k is a context of k - 1 symbols: its log back-off weight. The
     log-probability of a gram is the floor plus the weights of its endings and
     their contexts, as far as the language has seen them.
     """
     levels = {order: counts}
+    seen = [F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in FITS]
     for k in range(order - 1, 0, -1):  # how many different symbols precede each shorter gram
         levels[k] = stored(
             levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_low(k))))
-                                  .alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
-    floor = -float(np.log(levels[1].select("gram").distinct().count() + 1))
+                                  .alias("gram")).agg(*seen), "grams")
+    symbols_seen = levels[1].groupBy("gram").agg(*[F.max(f"n{f}").alias(f"n{f}") for f in FITS])
+    floors = [-float(np.log(n + 1)) for n in symbols_seen.agg(*seen).head()]
+
+    def discount(f):
+        once, twice = F.count_if(F.col(f"n{f}") == 1), F.count_if(F.col(f"n{f}") == 2)
+        share = once / F.greatest(once + 2 * twice, F.lit(1))
+        return F.least(F.greatest(share, F.lit(0.1)), F.lit(0.9)).alias(f"d{f}")
+
+    discounts = stored(reduce(DataFrame.union, [  # one row a language and order
+        levels[k].groupBy("lang").agg(*map(discount, FITS))
+        .select(F.lit(k).alias("order"), "*") for k in levels]), "discounts")
     out, lower = [], None
     for k in range(1, order + 1):
-        rows = levels[k].withColumn("head", F.shiftrightunsigned("gram", 16))
-        once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-        share = once / F.greatest(once + 2 * twice, F.lit(1))
-        discounts = levels[k].groupBy("lang").agg(  # one row a language
-            F.least(F.greatest(share, F.lit(0.1)), F.lit(0.9)).alias("d"))
-        heads = stored(
-            rows.groupBy("lang", "head").agg(F.sum("n").alias("total"),
-                                             F.count(F.lit(1)).alias("kinds"))
-            .join(F.broadcast(discounts), "lang")
-            .select("lang", "head", "total", "d",
-                    F.log(F.col("d") * F.col("kinds") / F.col("total")).alias("back")), "heads")
-        rows = rows.join(heads, ["lang", "head"])
-        if lower is None:
-            rows = rows.withColumn("below", F.lit(floor))
-        else:
+        after = Window.partitionBy("lang", "head")  # at most one row a symbol
+        rows = (levels[k].withColumn("head", F.shiftrightunsigned("gram", 16))
+                .select("*", *[F.sum(f"n{f}").over(after).alias(f"total{f}") for f in FITS],
+                        *[F.count_if(F.col(f"n{f}") > 0).over(after).alias(f"kinds{f}")
+                          for f in FITS])
+                .join(F.broadcast(discounts.where(F.col("order") == k)), "lang"))
+        if lower is not None:
             rows = (rows.withColumn("tail", F.col("gram").bitwiseAND(F.lit(int(_low(k - 1)))))
                     .join(lower, ["lang", "tail"]))
-        rest = F.col("back") + F.col("below")
-        log = F.log((F.col("n") - F.col("d")) / F.col("total") + F.exp(rest))
-        own = stored(rows.select("lang", "gram", log.alias("log"),
-                                 (log - rest).alias("weight")), "weights")
-        lower = own.select("lang", F.col("gram").alias("tail"), F.col("log").alias("below"))
-        out += [own.select(F.lit(k).alias("kind"), F.col("gram").alias("key"), "lang", "weight"),
-                heads.select(F.lit(-k).alias("kind"), F.col("head").alias("key"), "lang",
-                             F.col("back").alias("weight"))]
-    return reduce(DataFrame.union, out), floor
+        columns = []
+        for f in FITS:
+            n, d, total = F.col(f"n{f}"), F.col(f"d{f}"), F.col(f"total{f}")
+            known = F.when(total > 0, total)
+            back = F.log(d * F.col(f"kinds{f}") / known)
+            rest = back + (F.lit(floors[f]) if lower is None else F.col(f"below{f}"))
+            log = F.when(n > 0, F.log((n - d) / known + F.exp(rest)))
+            columns += [back.alias(f"back{f}"), log.alias(f"log{f}"),
+                        (log - rest).alias(f"weight{f}")]
+        own = stored(rows.select("lang", "gram", "head", *columns), "weights")
+        lower = own.select("lang", F.col("gram").alias("tail"),
+                           *[F.col(f"log{f}").alias(f"below{f}") for f in FITS])
+        heads = own.groupBy("lang", "head").agg(
+            *[F.max(f"back{f}").alias(f"back{f}") for f in FITS])
+        out += [_by_fit(own, k, "gram", "weight"), _by_fit(heads, -k, "head", "back")]
+        release(counts.sparkSession)
+    return reduce(DataFrame.union, out), floors
+
+
+def _by_fit(rows: DataFrame, kind: int, key: str, weight: str) -> DataFrame:
+    """(fit, kind, key, lang, weight): the weights that each fit has."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fit"), F.col(f"{weight}{f}").alias("w"))
+                               for f in FITS])).alias("c")
+    return rows.select(F.col(key).alias("key"), "lang", each).where("c.w is not null").select(
+        "c.fit", F.lit(kind).alias("kind"), "key", "lang", F.col("c.w").alias("weight"))
 
 
 def packed(rows: DataFrame, most: int) -> DataFrame:
-    """(kind, n, block): the weights as sorted arrays, ``most`` in a block at most."""
+    """(fit, kind, n, block): the weights as sorted arrays, ``most`` in a block at most."""
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, now = [], 0, None
 
@@ -385,45 +411,50 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
             at = np.argsort(key.view(np.uint64), kind="stable")
             raw = key[at].tobytes() + weight[at].tobytes() + lang[at].tobytes()
             return pa.RecordBatch.from_pydict(
-                {"kind": pa.array([now], pa.int32()), "n": pa.array([size], pa.int64()),
-                 "block": pa.array([raw], pa.binary())})
+                {"fit": pa.array([now[0]], pa.int32()), "kind": pa.array([now[1]], pa.int32()),
+                 "n": pa.array([size], pa.int64()), "block": pa.array([raw], pa.binary())})
 
         for batch in batches:
-            kind, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cuts = np.flatnonzero(np.diff(kind)) + 1
+            fit, kind, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero(np.diff(kind) | np.diff(fit)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(kind)], strict=True):
                 while lo < hi:
-                    if held and (kind[lo] != now or size == most):
+                    here = (int(fit[lo]), int(kind[lo]))
+                    if held and (here != now or size == most):
                         yield block()
                         held, size = [], 0
-                    now, end = int(kind[lo]), int(min(hi, lo + most - size))
+                    now, end = here, int(min(hi, lo + most - size))
                     held.append([c[lo:end] for c in columns])
                     size, lo = size + end - int(lo), end
         if held:
             yield block()
 
     parts = max(1, -(-rows.count() // most))
-    return (rows.repartitionByRange(parts, "kind", "key").sortWithinPartitions("kind", "key")
-            .select("kind", "key", "lang", "weight")
-            .mapInArrow(pack, "kind int, n long, block binary"))
+    order = ("fit", "kind", "key")
+    return (rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+            .select("fit", "kind", "key", "lang", "weight")
+            .mapInArrow(pack, "fit int, kind int, n long, block binary"))
 
 
-def learn(counts: DataFrame, order: int = ORDER) -> Scorer | None:
-    """The scorer of all grams of ``counts`` (lang, gram, n); None without any."""
+def learn(counts: DataFrame, order: int = ORDER) -> list[Scorer]:
+    """The scorers of the three fits of ``counts`` (lang, gram, n0, n1, n2), from one
+    series of jobs; none without grams."""
     spark = counts.sparkSession
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not languages:
-        return None
+        return []
     ids = spark.createDataFrame(list(enumerate(languages)), "id int, lang string")
     numbered = stored(counts.join(F.broadcast(ids), "lang")
-                      .select(F.col("id").alias("lang"), "gram", "n"), "grams")
-    rows, floor = weights(numbered, order)
-    blocks = stored(packed(rows, BLOCK), "blocks")
+                      .select(F.col("id").alias("lang"), "gram", "n0", "n1", "n2"), "grams")
+    rows, floors = weights(numbered, order)
+    blocks = stored(packed(stored(rows, "weights"), BLOCK), "blocks")
     # one partition, so a few blocks, on the driver at a time
-    found = [(r.kind, r.n, spark.sparkContext.broadcast(bytes(r.block)))
+    found = [(r.fit, r.kind, r.n, spark.sparkContext.broadcast(bytes(r.block)))
              for r in blocks.toLocalIterator()]
-    return Scorer(languages, floor, sorted(found, key=lambda b: (b[1] > BLOCK // 2, abs(b[0]))),
-                  order)
+    release(spark)
+    return [Scorer(languages, floors[f], sorted(
+        [b[1:] for b in found if b[0] == f], key=lambda b: (b[1] > BLOCK // 2, abs(b[0]))), order)
+        for f in FITS]
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -434,54 +465,76 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: st
     texts are halved by hash, copies together, and every text of a half is scored
     by a model of the other half."""
     labelled = _training(docs, id_col, text, lang, folds)
-    halves = [labelled.where(F.pmod(F.xxhash64("text"), F.lit(2)) == h) for h in (0, 1)]
-    counts = [stored(gram_counts(half, order), "grams") for half in halves]
-    whole = counts[0].union(counts[1]).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    with ThreadPoolExecutor(3) as pool:  # many small jobs, so side by side
-        scorer, *others = pool.map(lambda c: learn(c, order), (whole, counts[1], counts[0]))
-    scored = [_scored(half, other) for half, other in zip(halves, others, strict=True) if other]
-    return Judge(scorer, _limits(reduce(DataFrame.union, scored)) if scored else None)
+    scorers = learn(stored(gram_counts(labelled, order), "grams"), order)
+    if not scorers:
+        return Judge(None)
+    *halves, scorer = scorers
+    return Judge(scorer, _limits(_scored(labelled, halves), scorer))
 
 
-def _scored(labelled: DataFrame, scorer: Scorer) -> DataFrame:
-    """(lang, entropy, spread, n) of the different texts that get their own label."""
+def _scored(labelled: DataFrame, halves: list[Scorer]) -> DataFrame:
+    """(lang, entropy, spread, n) of the different texts that get their own label from
+    the fit that has not seen them."""
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
-                entropy, spread, n = scorer.cross_entropy(part.column(1).to_pylist())
-                own = np.array([scorer.languages[j] for j in entropy.argmin(1)], object)
-                own = (own == np.array(part.column(0).to_pylist(), object)) & (n > 0)
-                yield pa.RecordBatch.from_pydict({
-                    "lang": part.column(0).filter(pa.array(own)),
-                    "entropy": entropy.min(1)[own], "spread": spread[own], "n": n[own],
-                    "copy": part.column(2).filter(pa.array(own))})
+                half = part.column(1).to_numpy()
+                for h in (0, 1):
+                    rows, scorer = part.filter(pa.array(half == h)), halves[1 - h]
+                    if not rows.num_rows or not scorer.blocks:
+                        continue
+                    entropy, spread, n = scorer.cross_entropy(rows.column(2).to_pylist())
+                    own = np.array([scorer.languages[j] for j in entropy.argmin(1)], object)
+                    own = (own == np.array(rows.column(0).to_pylist(), object)) & (n > 0)
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": rows.column(0).filter(pa.array(own)),
+                        "entropy": entropy.min(1)[own], "spread": spread[own], "n": n[own],
+                        "copy": rows.column(3).filter(pa.array(own))})
 
     return (labelled.withColumn("copy", F.xxhash64("text"))
             .mapInArrow(score, "lang string, entropy double, spread double, n long, copy long")
             .dropDuplicates(["lang", "copy"]).drop("copy"))
 
 
-def _limits(scored: DataFrame) -> dict:
-    """language -> (mean, between, within, limit), from all rows of ``scored``."""
+def _limits(scored: DataFrame, scorer: Scorer) -> dict:
+    """language -> (mean, between, within, limit), from all rows of ``scored``.
+
+    A language's scale is that of its texts and of ``SCALE`` texts more on the scale
+    of all languages, which in turn starts from ``SCALE`` texts of a corpus of which
+    nothing is known: as many nats as letters nobody has seen, and spread as widely.
+    The tail starts from ``TAIL`` texts of the ``ASSUMED`` one. So few texts give
+    wide limits, and more texts narrow them step by step.
+    """
     def at(column, *shares):
         return F.percentile_approx(column, F.array(*map(F.lit, shares)), F.lit(10_000))
 
     rows = stored(scored, "scored")
     quarter = at("entropy", 0.25, 0.5, 0.75)
-    scale = stored(rows.groupBy("lang").agg(
-        quarter[1].alias("mean"),
-        F.greatest(F.pow((quarter[2] - quarter[0]) / 1.349, 2), F.lit(1e-4)).alias("between"),
-        F.greatest(at("spread", 0.5)[0], F.lit(1e-4)).alias("within"),
-        F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SCALE), "scale")
+    scale = [quarter[1].alias("mean"),
+             F.greatest(F.pow((quarter[2] - quarter[0]) / 1.349, 2), F.lit(1e-4)).alias("between"),
+             F.greatest(at("spread", 0.5)[0], F.lit(1e-4)).alias("within"),
+             F.count(F.lit(1)).alias("texts")]
+
+    def mixed(row, base, weight):
+        n = row.texts if row is not None else 0
+        return [b if not n else (n * x + weight * b) / (n + weight)
+                for x, b in zip(row[-4:-1] if n else base, base, strict=True)]
+
+    nats = -scorer.floor
+    shared = mixed(rows.agg(*scale).head(), [nats, nats**2, nats**2], SCALE)
+    own = {r.lang: r for r in rows.groupBy("lang").agg(*scale).collect()}
+    scales = {lang: mixed(own.get(lang), shared, SCALE) for lang in scorer.languages}
+    frame = rows.sparkSession.createDataFrame(
+        [(lang, *s) for lang, s in scales.items()],
+        "lang string, mean double, between double, within double")
     far = (F.col("entropy") - F.col("mean")) / F.sqrt(
         F.col("between") + F.col("within") / F.col("n"))
-    tail = (rows.join(F.broadcast(scale), "lang")  # the scales: one row a language
+    tail = (rows.join(F.broadcast(frame), "lang")  # the scales: one row a language
             .agg(F.count(F.lit(1)).alias("texts"), at(far, 0.5, 0.9).alias("far")).head())
-    if tail.texts < TAIL:
-        return {}
-    middle, high = tail.far
+    middle, high = ((tail.texts * x + TAIL * a) / (tail.texts + TAIL)
+                    for x, a in zip(tail.far or ASSUMED, ASSUMED, strict=True))
     limit = middle + (high - middle) * float(np.log(RARE / 2) / np.log(5))
-    return {r.lang: (r["mean"], r.between, r.within, limit) for r in scale.collect()}
+    return {lang: (*s, limit) for lang, s in scales.items()}
 
 
 def identify(docs: DataFrame, judge: Judge, *, text: str = "text") -> tuple[DataFrame, str]:
@@ -489,7 +542,11 @@ def identify(docs: DataFrame, judge: Judge, *, text: str = "text") -> tuple[Data
 
     The struct has ``lang_pred`` (``und`` for null texts and texts without a
     letter, or if no language was learned), ``score`` (0 to 1), ``entropy``
-    (per symbol; null for ``und``) and ``rejected``.
+    (per symbol; null for ``und``) and ``rejected`` (true for texts without a
+    letter). Languages of equal cross-entropy: the first by name. Repeated rows are
+    judged alike, each on its own. An empty table gives no rows. A text of any length
+    is scored whole, in stretches of bounded size. The struct's name takes
+    underscores until no column of ``docs`` has it; no other column is read.
     """
     name, where = fresh("language", docs), docs.columns.index(text)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()),

@@ -1,6 +1,7 @@
 """Language models: the probabilities, held-out accuracy, rejection."""
 
 import zlib
+from types import SimpleNamespace
 
 import cases
 import numpy as np
@@ -27,6 +28,9 @@ def test_symbols():
     assert [seen(t) for t in (None, "", "12 !?", " ")] == [""] * 4
     assert seen("a\U0001F600b") == " a b "
     assert len(op.symbols("\U00020000", LETTERS)) == 3
+    # U+FFFE is no letter, beside other characters beyond the basic plane too
+    assert [seen(t) for t in ("\uFFFE", "\uFFFE\U0001F600", "\uFFFF\U0001F600")] == [""] * 3
+    assert seen("a\uFFFE\U0001F600b") == " a b "
 
 
 def test_probabilities_sum_to_one():
@@ -112,31 +116,37 @@ def test_odd_rows_and_rejection(spark):
 @pytest.mark.parametrize("block", [op.BLOCK, 700])
 def test_weights_in_blocks_equal_the_model_in_memory(spark, monkeypatch, block):
     monkeypatch.setattr(op, "BLOCK", block)
-    texts = {"a": [cases.prose(1, 300), "the cat"], "b": [cases.prose(2, 50), "漢字 \U00020000 가나"]}
-    model = op.Model({k: counted(v) for k, v in texts.items()})
-    labelled = spark.createDataFrame([(k, t) for k, v in texts.items() for t in v],
-                                     "lang string, text string")
-    scorer = op.learn(op.gram_counts(labelled))
-    sizes = [n for _, n, _ in scorer.blocks]
-    assert max(sizes) <= block and (len(sizes) > 10 or block == op.BLOCK)
-    assert sum(n for kind, n, _ in scorer.blocks if kind == 4) == sum(
-        len(counted(v)[0]) for v in texts.values())
+    texts = {"a": [cases.prose(1, 300), "the cat"], "b": [cases.prose(2, 50), "漢字 \U00020000 가나"],
+             "c": [cases.prose(7, 40)]}  # c: nothing in the second half
+    halves = [{k: v[i:i + 1] for k, v in texts.items() if v[i:i + 1]} for i in (0, 1)]
+    labelled = spark.createDataFrame([(k, i, t) for k, v in texts.items()
+                                      for i, t in enumerate(v)], "lang string, half int, text string")
+    scorers = op.learn(op.gram_counts(labelled))
     wanted = [cases.prose(1, 20), cases.prose(3, 2000), "漢字 zq", "", "x"]
-
-    def score(batches):
-        for b in batches:
-            mean, spread, n = scorer.cross_entropy(b["text"].tolist())
-            yield b.assign(a=mean[:, 0], b=mean[:, 1], spread=spread, n=n)
-
-    got = (spark.createDataFrame([(t,) for t in wanted], "text string").coalesce(1)
-           .mapInPandas(score, "text string, a double, b double, spread double, n long").collect())
-    for r in got:
-        x = op.symbols(r.text, LETTERS)
-        assert r.n == len(x)
-        if len(x):
-            mean, spread = model.cross_entropy(x)
-            assert [r.a, r.b] == pytest.approx(mean.tolist(), rel=1e-9)
-            assert r.spread == pytest.approx(spread, rel=1e-6)
+    for scorer, known in zip(scorers, (*halves, texts), strict=True):
+        model = op.Model({k: counted(v) for k, v in known.items()})
+        sizes = [n for _, n, _ in scorer.blocks]
+        assert max(sizes) <= block and (len(sizes) > 3 or block == op.BLOCK)
+        assert sum(n for kind, n, _ in scorer.blocks if kind == 4) == sum(
+            len(counted(v)[0]) for v in known.values())
+
+        def score(batches, scorer=scorer):
+            for b in batches:
+                mean, spread, n = scorer.cross_entropy(b["text"].tolist())
+                yield b.assign(mean=mean.tolist(), spread=spread, n=n)
+
+        got = (spark.createDataFrame([(t,) for t in wanted], "text string").coalesce(1)
+               .mapInPandas(score, "text string, mean array<double>, spread double, n long")
+               .collect())
+        for r in got:
+            x = op.symbols(r.text, LETTERS)
+            assert r.n == len(x)
+            if len(x):
+                mean, spread = model.cross_entropy(x)
+                at = [scorer.languages.index(k) for k in model.languages]
+                assert [r["mean"][j] for j in at] == pytest.approx(mean.tolist(), rel=1e-9)
+                if min(r["mean"]) == min(mean):
+                    assert r.spread == pytest.approx(spread, rel=1e-6)
 
 
 def test_more_than_four_million_grams_that_are_seen_once(spark):
@@ -165,8 +175,8 @@ def test_language_left_out_is_rejected(spark):
 def test_one_odd_text_does_not_move_a_limit(spark):
     rows = [("a", 2.0 + i % 20 / 100, 1.0, 500) for i in range(200)]
     limits = [op._limits(spark.createDataFrame(
-        rows + odd, "lang string, entropy double, spread double, n long"))["a"][3]
-        for odd in ([], [("a", 60.0, 1.0, 500)])]
+        rows + odd, "lang string, entropy double, spread double, n long"),
+        SimpleNamespace(floor=-4.0, languages=["a"]))["a"][3] for odd in ([], [("a", 60.0, 1.0, 500)])]
     assert limits[1] == pytest.approx(limits[0], rel=0.1)
 
 
@@ -179,7 +189,41 @@ def test_grams_do_not_reach_the_driver_as_rows(spark, monkeypatch):
             return rows
         monkeypatch.setattr(frame, name, fetch)
     rows = [(f"l{i}", cases.prose(i, 30)) for i in range(40)]
-    scorer = op.learn(op.gram_counts(spark.createDataFrame(rows, "lang string, text string")))
+    labelled = spark.createDataFrame([(k, i % 2, t) for i, (k, t) in enumerate(rows)],
+                                     "lang string, half int, text string")
+    scorer = op.learn(op.gram_counts(labelled))[2]
     assert len(scorer.languages) == 40 and max(seen) <= 40
     assert sum(n for kind, n, _ in scorer.blocks if kind == 4) == sum(
         len(counted([t])[0]) for _, t in rows)
+
+
+@pytest.mark.parametrize("few", [0, 1, 7, 8, 9, 31, 32, 33])
+def test_limits_of_few_texts_are_wide_and_narrow_step_by_step(spark, few):
+    schema = "lang string, entropy double, spread double, n long"
+    many = [("a", 2.0 + i % 20 / 100, 1.0, 500) for i in range(400)]
+    scorer = SimpleNamespace(floor=-4.0, languages=["a", "b"])
+
+    def reach(rows):
+        mean, between, within, limit = op._limits(spark.createDataFrame(rows, schema), scorer)["b"]
+        return mean + limit * np.sqrt(between + within / 500)
+
+    own = [("b", 2.5 + i % 20 / 100, 1.0, 500) for i in range(few + 1)]
+    beside, alone = [reach(many + own[:n]) for n in (few, few + 1)], [
+        reach(own[:n]) for n in (few, few + 1)]
+    assert all(2.7 < x < 80 for x in beside + alone)
+    # one text more never switches the rejection on or off
+    assert all(0.5 < b / a < 1.5 for a, b in (beside, alone))
+    assert few < 8 or alone[0] < reach([]) / 1.5
+
+
+def test_ties_repeated_rows_and_clashing_names(spark):
+    same = [(i, "ein satz mit worten", lang, 1) for i, lang in enumerate(["x", "w", "x", "w"] * 8)]
+    docs = spark.createDataFrame(same + same[:3], "doc_id long, text string, lang string, language int")
+    learned = {lang: [i for i, _, k, _ in same if k == lang and zlib.crc32(str(i).encode()) % 5]
+               for lang in "wx"}
+    train = docs.where(docs.doc_id.isin(learned["w"][:6] + learned["x"][:6]))
+    train = train.dropDuplicates(["doc_id"])
+    out, name = op.identify(docs, op.fit(train))
+    assert name == "language_" and out.columns == [*docs.columns, name]
+    found = out.collect()
+    assert len(found) == len(same) + 3 and {r[name].lang_pred for r in found} == {"w"}
