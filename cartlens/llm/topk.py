@@ -81,7 +81,8 @@ def unpacked(size: int, n: int, ids: bytes, x: bytes) -> tuple[np.ndarray, np.nd
 
 def _rest(x: np.ndarray) -> np.ndarray:
     """(steps + 1, n): the length of each column from each block of dimensions on."""
-    mass = np.add.reduceat(x * x, np.arange(0, len(x), DIMS), axis=0)
+    with np.errstate(over="ignore"):  # endless mass prunes nothing
+        mass = np.add.reduceat(x * x, np.arange(0, len(x), DIMS), axis=0)
     left = np.cumsum(mass[::-1], axis=0)[::-1]
     return np.sqrt(np.concatenate((left, np.zeros((1, x.shape[1])))))
 
@@ -107,7 +108,8 @@ class Search:
             whole = np.array([[int(v) for v in row] for row in x], object)
             for i, q in enumerate(self.q):
                 own = ids == self.ids[i]
-                self._take(i, (np.array([int(v) for v in q], object) @ whole)[~own], ids[~own])
+                score = (np.array([int(v) for v in q], object) @ whole)[~own]
+                self._take(i, np.clip(score, -(1 << 63), (1 << 63) - 1), ids[~own])
             return
         rest = _rest(x)
         for lo in range(0, len(self.q), ROWS):
@@ -140,7 +142,7 @@ class Search:
     def rows(self) -> Iterator[tuple[int, int, int]]:
         for query, best in zip(self.ids.tolist(), self.best, strict=True):
             for less, vec in best:
-                yield query, vec, max(-(1 << 63), min((1 << 63) - 1, -less))
+                yield query, vec, -less
 
 
 def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding",
@@ -154,8 +156,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embeddin
     are compared with those of their own number of dimensions. Every repeated row of
     an id is a candidate; a repeated query is answered once, and queries of one id with
     different vectors share one answer. A score
-    beyond a long is ranked exactly and given as the nearest long. Other columns are
-    not read. An empty table, or one without queries, gives no rows.
+    beyond a long counts as the nearest long. Other columns are not read. An empty table, or one without queries, gives no rows.
 
     Queries go out in blocks of ``QUERY_CELLS`` numbers; each block is one pass over
     the packed candidates, which keeps ``k`` rows a query in every task.
