@@ -173,8 +173,10 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embeddin
     blocks = stored(packed(fine.withColumn("long", -length).repartitionByRange(parts, *order)
                            .sortWithinPartitions(*order).select("id", "size", "vector"),
                            scale, CELLS), "vectors")
-    asked = (fine.where(F.col("id") % every == 0).dropDuplicates(["id", "vector"])
-             .repartitionByRange("size", "id").sortWithinPartitions("size", "id"))
+    asked = stored(fine.where(F.col("id") % every == 0).dropDuplicates(["id", "vector"]), "asked")
+    cells = asked.agg(F.sum(F.col("size").cast("long"))).head()[0] or 0
+    # full blocks, however many partitions the session shuffles into
+    asked = asked.coalesce(max(1, -(-cells // QUERY_CELLS))).sortWithinPartitions("size", "id")
     path = folder(spark, "best")
     schema = "query_id long, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(path)

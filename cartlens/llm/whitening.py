@@ -161,7 +161,7 @@ def eigenpairs(times: Callable[[np.ndarray], np.ndarray], size: int, want: int,
     """The ``want`` largest eigenvalues of a symmetric positive matrix of ``size``
     rows, falling, and their unit eigenvectors as columns. ``times`` multiplies the
     matrix with columns. Ends when every residual is within rounding of the largest
-    eigenvalue, or stays there for three rounds."""
+    eigenvalue, or no longer falls."""
     want = min(want, size)
     space = _orthonormal(np.random.default_rng(7).standard_normal((size, want)))
     image, locked = times(space), space[:, :0]
@@ -181,7 +181,7 @@ def eigenpairs(times: Callable[[np.ndarray], np.ndarray], size: int, want: int,
         stuck = 0 if error.max() < least / 2 else stuck + 1
         least = min(least, error.max())
         fine = error <= 2 * EPS * np.sqrt(size) * top
-        if full or (stuck > 2 and least <= 1e-12 * top):
+        if full or (stuck > 3 and least <= 1e-13 * top) or stuck > 12:
             fine[:] = True
         done = need if fine.all() else int(fine.argmin())
         locked = np.column_stack((locked, space[:, :done]))
