@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import csv_records
 from .shop import NUMERIC_COLUMNS, SHOP_COLUMNS
 
 
@@ -61,25 +62,28 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS) -> Data
 
 
 def read_csv(spark: SparkSession, path: str, na_values: Sequence[str] = NA_VALUES,
-             bad_rows: str | None = None) -> DataFrame:
+             bad_rows: str | None = None, line_end: str = "\n") -> DataFrame:
     """A CSV with a header as text columns, quoted as data-frame readers expect:
     a doubled quote is a quote, and quoted cells may hold commas and line ends.
+    One file is read by as many tasks as it has ranges.
 
     A row with another number of cells than the header fails the read; with
     ``bad_rows`` it is kept, and the column of that name has its text (NULL for
     sound rows).
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("inferSchema", False)
-              .option("columnPruning", False))  # else a wrong count of cells goes unseen
-    names = reader.csv(path).columns
+    options = {"multiLine": "true", "quote": '"', "escape": '"', "inferSchema": "false",
+               "columnPruning": "false"}  # else a wrong count of cells goes unseen
+    names = spark.read.options(header="true", **options).csv(path).columns
     fields = [T.StructField(c, T.StringType()) for c in names]
     if bad_rows:
         fields.append(T.StructField(bad_rows, T.StringType()))
-        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_rows)
+        options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad_rows}
     else:
-        reader = reader.option("mode", "FAILFAST")
-    df = reader.schema(T.StructType(fields)).csv(path)
+        options["mode"] = "FAILFAST"
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in fields)
+    cells = F.from_csv("record", schema, options).alias("cells")
+    df = (csv_records.records(spark, path, line_end).where(~F.col("header"))
+          .select(cells).select("cells.*"))
     return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(list(na_values)), F.col(f"`{c}`"))
                            for c in names})
 
