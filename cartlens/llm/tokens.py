@@ -10,6 +10,7 @@ import base64
 import itertools
 import os
 import string
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -80,6 +81,13 @@ class WordEncoder:
         (two units, or one), or anything else (encoded as it is)."""
         core = pc.ascii_lower(pc.utf8_rtrim(words, characters=string.punctuation))
         letters = pc.utf8_is_alpha(core)
+        # some letters turn into a letter and a mark, which joins the punctuation after it
+        far = np.flatnonzero(pc.and_not(letters, pc.string_is_ascii(core)))
+        if len(far):
+            whole = letters.to_numpy(zero_copy_only=False).copy()
+            whole[far] = [unicodedata.normalize("NFC", w).lower().isalpha()
+                          for w in core.take(pa.array(far)).to_pylist()]
+            letters = pa.array(whole)
         units = core.filter(letters).dictionary_encode()
         others = words.filter(pc.invert(letters)).to_pylist()
         plain = letters.to_numpy(zero_copy_only=False)

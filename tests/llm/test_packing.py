@@ -50,6 +50,20 @@ def test_words_encode_as_whole_texts(plain):
     assert len(ids) == 0 and ends.tolist() == [0]
 
 
+def test_every_letter_before_punctuation(plain):
+    """Letters that normalisation takes apart join the punctuation behind them."""
+    e = tokens.WordEncoder(tokens.read(PATH))
+    e.start()
+    odd = ["İ. end", "क़ . क़.", "য়, য়"]
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha()
+               and not "\u4e00" <= c <= "\u9fff" and not "\uac00" <= c <= "\ud7a3"
+               and not c >= "\U00020000"]
+    odd += [" ".join(f"ab{c}. {c}!" for c in letters[i:i + 50]) for i in range(0, len(letters), 50)]
+    ids, ends = e.encode(pa.array(odd), 1)
+    for text, a, b in zip(odd, ends, ends[1:], strict=False):
+        assert ids[a:b].tolist() == [*plain(text), 1]
+
+
 def check(rows, texts, plain, length):
     want = sorted(tuple(plain(t)) + (1,) for t in texts)
     by_sequence, by_doc = {}, {}
