@@ -478,7 +478,7 @@ def q_kmeans_silhouette(spark, sf):
     seg = renumber_by(model.transform(feats), "raw_cluster", "total_spend_weighted_new")
     return silhouette(seg, Z_COLS, "cluster").select(
         F.lit(5).alias("k"), r6("silhouette").alias("silhouette"),
-        F.lit(round(model.summary.trainingCost, 6)).alias("training_cost"))
+        F.lit(round(model.cost, 6)).alias("training_cost"))
 
 
 @query("pca_projection")

@@ -4,8 +4,8 @@ classification report and leaders.
 
 All of it is aggregation. Anything cumulative over scores (AUC, ROC) uses
 score ranges cut where the data has its scores: distinct scores are counted and
-range-partitioned, offsets come from a window over at most ``buckets`` rows, and
-the running sums run inside one range each -- never one window over all scores.
+range-partitioned, offsets come from a window with one row a range, and the
+running sums run inside one range each -- never one window over all scores.
 """
 
 from __future__ import annotations
@@ -52,44 +52,47 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score",
 
 
 # ---------------------------------------------------------------- G3, G4
-def _score_table(df: DataFrame, label: str, score: str, buckets: int, descending: bool
-                 ) -> DataFrame:
-    """Per distinct score: positives, negatives, and the counts strictly
-    before it in the chosen order, computed range by range.
-
-    The ranges come from Spark's range partitioning of the distinct scores, so
-    each has about as many of them however the scores are spread."""
+def _score_table(df: DataFrame, label: str, score: str, buckets: int | None,
+                 descending: bool, by: Sequence[str] = ()) -> DataFrame:
+    """Per distinct score (of each group of ``by``): positives, negatives, and the
+    counts strictly before it in the chosen order, computed range by range.
+
+    The ranges come from Spark's range partitioning of the groups' distinct scores,
+    so each has about as many of them however the scores are spread; few scores
+    make few ranges unless ``buckets`` sets their number."""
     s = F.col(score)
     order = F.desc("s") if descending else F.asc("s")
     per = materialize(
-        df.where(s.isNotNull() & F.col(label).isNotNull()).groupBy(s.alias("s"))
+        df.where(s.isNotNull() & F.col(label).isNotNull()).groupBy(*by, s.alias("s"))
         .agg(F.sum(F.col(label)).cast("long").alias("pos"),
              F.sum(1 - F.col(label)).cast("long").alias("neg"))
-        .repartitionByRange(buckets, order).withColumn("b", F.spark_partition_id()))
-    bt = per.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
-    wall = Window.partitionBy()  # totals over the bucket table, <= buckets rows
-    off = bt.select("b", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("op"),
+        .repartitionByRange(*([buckets] if buckets else []), *by, order).withColumn("b", F.spark_partition_id()))
+    bt = per.groupBy(*by, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    # a group has a row a range at most
+    wb = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*by)
+    off = bt.select(*by, "b", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("op"),
                     F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("on"),
                     F.sum("bp").over(wall).alias("P"), F.sum("bn").over(wall).alias("N"))
-    ws = Window.partitionBy("b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (per.join(F.broadcast(off), "b")  # one row per bucket, bounded by ``buckets``
-            .select("s", "b", "pos", "neg", "P", "N",
+    ws = Window.partitionBy(*by, "b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (per.join(off, [*by, "b"])
+            .select(*by, "s", "b", "pos", "neg", "P", "N",
                     (F.col("op") + F.coalesce(F.sum("pos").over(ws), F.lit(0))).alias("pos_before"),
                     (F.col("on") + F.coalesce(F.sum("neg").over(ws), F.lit(0))).alias("neg_before")))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = 256) -> DataFrame:
-    """Exact ROC-AUC (ties count half): one row ``(auc)``; NULL with one class."""
-    t = _score_table(df, label, score, buckets, descending=False)
-    return t.agg(F.try_divide(
+            buckets: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Exact ROC-AUC (ties count half): one row ``(auc)``, or one per group of ``by``;
+    NULL with one class."""
+    t = _score_table(df, label, score, buckets, descending=False, by=by)
+    return t.groupBy(*by).agg(F.try_divide(
         F.sum(F.col("pos").cast("double") * (F.col("neg_before") + 0.5 * F.col("neg"))),
         F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
-              buckets: int = 256) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, plus (inf, 0, 0)."""
     t = _score_table(df, label, score, buckets, descending=True)
     first = F.col("pos_before") + F.col("neg_before") == 0  # the highest score

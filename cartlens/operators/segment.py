@@ -10,9 +10,10 @@ and come back as literals in expressions, so no join is needed per row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions import features as fe
 from ..functions import lookups as L
+from ..session import materialize
 from .encode import Standardizer, fit_standardizer
 from .joins import attach
 
@@ -40,31 +42,93 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 # ---------------------------------------------------------------- E2
-def kmeans_best(df: DataFrame, k: int = 5, seed: int = 42, restarts: int = 10,
-                features: str = "features", parallelism: int = 4):
-    """Best of ``restarts`` k-means fits (seeds seed..seed+restarts-1) by cost.
-
-    The fits are independent, so up to ``parallelism`` run as concurrent Spark
-    jobs. The lowest cost wins, and the earliest seed on ties, whatever the
-    finishing order. All fits share one persisted copy of the features; without
-    it each would keep its own.
+@dataclass(frozen=True)
+class Segments:
+    """A k-means result: its centers, cost (sum of squared distances) and seed."""
+    centers: list
+    cost: float
+    seed: int
+    features: str = "features"
+
+    def transform(self, df: DataFrame, out: str = "raw_cluster") -> DataFrame:
+        """Each row's nearest center; ties go to the smallest id."""
+        x = [f"_x{i}" for i in range(len(self.centers[0]))]
+        arr = vector_to_array(self.features)
+        wide = df.withColumns({c: arr[i] for i, c in enumerate(x)})
+        return wide.withColumn(out, nearest_centroid(x, dict(enumerate(self.centers)))).drop(*x)
+
+
+def kmeans_restarts(df: DataFrame, k: int = 5, seeds: Sequence[int] = range(42, 52),
+                    features: str = "features", max_iter: int = 20, tol: float = 1e-4
+                    ) -> list[Segments]:
+    """One k-means fit per seed, all from the same scans.
+
+    The starts are k-means++ draws: a row wins with a chance proportional to its
+    squared distance from the centers drawn so far (exponential clocks: the least
+    -ln(u) / distance, with u a hash of row and seed), so one aggregate draws the next
+    center of every seed. Then one aggregate per step gives every cluster sum of every
+    seed whose centers still moved by more than ``tol``. A cluster without rows keeps
+    its center; fewer than k different rows give fewer than k centers. Rows that are
+    equal in all columns have one clock together.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark import StorageLevel
-
-    held = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+    seeds = list(seeds)
+    names = [c for c in df.columns if c != features]
+    arr = vector_to_array(features)
+    first = df.select(F.size(arr)).head()
+    if first is None:
+        raise ValueError("k-means needs rows")
+    x = [f"x{i}" for i in range(first[0])]
+    rows = materialize(df.select(
+        F.xxhash64(*[F.col(f"`{c}`") for c in names], arr).alias("row"),
+        *[arr[i].alias(c) for i, c in enumerate(x)]))
+    starts = {s: [] for s in seeds}
+    for turn in range(k):
+        draws = []
+        for s in seeds:
+            u = (F.shiftrightunsigned(F.xxhash64(F.col("row"), F.lit(s), F.lit(turn)), 11)
+                 .cast("double") + 0.5) / float(1 << 53)
+            far = (nearest_center(x, dict(enumerate(starts[s])))["d"]
+                   if starts[s] else F.lit(1.0))
+            clock = F.when(far > 0, -F.log(u) / far)
+            draws.append(F.min(F.when(clock.isNotNull(), F.struct(
+                clock.alias("t"), "row", F.array(*x).alias("x")))).alias(f"s{s}"))
+        drawn = rows.agg(*draws).head()
+        for s in seeds:
+            if drawn[f"s{s}"] is not None:
+                starts[s].append(list(drawn[f"s{s}"].x))
+    return lloyd(rows, x, starts, features, max_iter, tol)
+
+
+def lloyd(rows: DataFrame, x: Sequence[str], starts: dict, features: str = "features",
+          max_iter: int = 20, tol: float = 1e-4) -> list[Segments]:
+    """Lloyd's steps from ``starts`` (seed -> centers) for all seeds at once."""
+    centers, open_ = dict(starts), list(starts)
+    for _ in range(max_iter):
+        picks = F.explode(F.array(*[F.struct(
+            F.lit(s).alias("seed"), nearest_center(x, dict(enumerate(centers[s])))["id"].alias("c"))
+            for s in open_]))
+        sums = (rows.select(*x, picks.alias("p")).groupBy("p.seed", "p.c")
+                .agg(*[F.avg(c).alias(c) for c in x]).collect())  # seeds x k rows
+        moved = {s: 0.0 for s in open_}
+        new = {s: [list(c) for c in centers[s]] for s in open_}
+        for r in sums:
+            new[r.seed][r.c] = [r[c] for c in x]
+            moved[r.seed] = max(moved[r.seed], math.dist(new[r.seed][r.c], centers[r.seed][r.c]))
+        centers |= new
+        open_ = [s for s in open_ if moved[s] > tol]
+        if not open_:
+            break
+    costs = rows.agg(*[F.sum(nearest_center(x, dict(enumerate(c)))["d"]).alias(f"s{s}")
+                       for s, c in centers.items()]).head()
+    return [Segments(c, costs[f"s{s}"], s, features) for s, c in centers.items()]
 
-    def fit(s):
-        m = KMeans(k=k, seed=s, featuresCol=features, predictionCol="raw_cluster").fit(held)
-        return s, m, m.summary.trainingCost
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            fits = list(pool.map(fit, range(seed, seed + restarts)))
-    finally:
-        held.unpersist()
-    return min(fits, key=lambda t: (t[2], t[0]))[1]
+def kmeans_best(df: DataFrame, k: int = 5, seed: int = 42, restarts: int = 10,
+                features: str = "features") -> Segments:
+    """Best of ``restarts`` k-means fits (seeds seed..seed+restarts-1) by cost, the
+    earliest seed on ties; the fits share every scan."""
+    fits = kmeans_restarts(df, k, range(seed, seed + restarts), features)
+    return min(fits, key=lambda f: (f.cost, f.seed))
 
 
 def renumber_by(df: DataFrame, cluster: str, by: str, out: str = "cluster") -> DataFrame:
@@ -132,26 +196,36 @@ def project(df: DataFrame, k: int, features: str = "features") -> tuple[DataFram
 
 
 # ---------------------------------------------------------------- E5, E6
+def modes(df: DataFrame, group: str, cols: dict[str, str]) -> DataFrame:
+    """Per group and entry of ``cols`` (name -> column): the most frequent value that
+    is not NULL, the smallest on ties, as text; NULL without any.
+
+    Counts per (group, column, value) come first and one aggregate picks the winners,
+    so no buffer holds a group's values."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"),
+                                        F.col(c).cast("string").alias("value"))
+                               for name, c in cols.items()]))
+    counts = (df.select(F.col(group), each.alias("v")).groupBy(group, "v.name", "v.value")
+              .agg(F.count("v.value").alias("n")))
+    return counts.groupBy(group).agg(*[
+        F.min(F.when((F.col("name") == name) & (F.col("n") > 0),
+                     F.struct((-F.col("n")).alias("less"), "value")))["value"].alias(name)
+        for name in cols])
+
+
 def profile_segments(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Per cluster: size, means, modes (ties: smallest; all NULL: Unknown), rates x100."""
-    def mode(c):
-        return F.coalesce(F.mode(c, deterministic=True), F.lit("Unknown"))
-
     sub = fe.flag_expr(F.col("subscription_status") == "Yes")
     promo = fe.flag_expr(F.col("promo_code_used") == "Yes")
     climate = "climate_group_new" if "climate_group_new" in df.columns else "location"
     fit = ("climate_item_fit_score_new" if "climate_item_fit_score_new" in df.columns else None)
     rel = "rel_spend_cat_new" if "rel_spend_cat_new" in df.columns else "spend_per_purchase_new"
-    return df.groupBy(cluster).agg(
+    found = df.groupBy(cluster).agg(
         F.count("customer_id").alias("n"),
         F.avg("age").alias("mean_age"),
         F.avg("purchase_amount_usd").alias("mean_amount"),
         (F.avg(sub) * 100).alias("sub_pct"),
         F.avg("previous_purchases").alias("mean_prev_purchases"),
-        mode("category").alias("top_category"),
-        mode("payment_method").alias("top_payment"),
-        mode("shipping_type").alias("top_shipping"),
-        mode(climate).alias("top_climate"),
         F.avg("review_rating").alias("mean_rating"),
         F.avg("frequency_value_new").alias("mean_freq"),
         (F.avg(promo) * 100).alias("promo_pct"),
@@ -159,6 +233,11 @@ def profile_segments(df: DataFrame, cluster: str = "cluster") -> DataFrame:
         F.avg(rel).alias("rel_spend"),
         F.avg("total_spend_weighted_new").alias("mean_weighted_spend"),
     )
+    tops = modes(df, cluster, {"top_category": "category", "top_payment": "payment_method",
+                               "top_shipping": "shipping_type", "top_climate": climate})
+    tops = tops.select(F.col(cluster).alias("_c"), *[
+        F.coalesce(c, F.lit("Unknown")).alias(c) for c in tops.columns if c != cluster])
+    return attach(found, tops, {"_c": F.col(cluster)})
 
 
 def label_segments(df: DataFrame, cluster: str = "cluster",
@@ -206,14 +285,19 @@ def centroids_of(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -
     return {r[cluster]: [r[c] for c in cols] for r in rows}
 
 
-def nearest_centroid(cols: Sequence[str], centroids: dict) -> Column:
-    """Id of the nearest centroid by squared distance; ties go to the smallest id."""
+def nearest_center(cols: Sequence[str], centroids: dict) -> Column:
+    """(d, id): the smallest squared distance and its center, the smallest id on ties."""
     cands = []
     for cid, ctr in sorted(centroids.items()):
         d = sum(((F.col(c) - F.lit(v)) ** 2 for c, v in zip(cols[1:], ctr[1:])),
                 (F.col(cols[0]) - F.lit(ctr[0])) ** 2)
         cands.append(F.struct(d.alias("d"), F.lit(cid).alias("id")))
-    return F.array_min(F.array(*cands))["id"]
+    return F.array_min(F.array(*cands))
+
+
+def nearest_centroid(cols: Sequence[str], centroids: dict) -> Column:
+    """Id of the nearest centroid by squared distance; ties go to the smallest id."""
+    return nearest_center(cols, centroids)["id"]
 
 
 def assign_segment(df: DataFrame, cols: Sequence[str], centroids: dict,

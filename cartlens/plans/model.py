@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fe
 from ..operators import encode as en
+from ..operators import evaluate as ev
 from ..operators.ranking import bucket_digits, bucketed_rank, hash_order
 from ..session import materialize
+from . import logistic
 from . import training as tr
 
 SEED = 42
@@ -168,12 +170,16 @@ class CvScores:
 
 def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism: int = 5
                    ) -> CvScores:
-    """AUC on every stored fold of a model fitted on the others. The fits are
-    independent, so up to ``parallelism`` run as concurrent Spark jobs; nothing is
-    refitted on all rows here."""
+    """AUC on every stored fold of a model fitted on the others; nothing is refitted
+    on all rows here. Ridge logistic regressions of all folds and penalties share
+    every scan, unless they have too many features for that. Other fits are
+    independent, so up to ``parallelism`` run as concurrent Spark jobs."""
     from concurrent.futures import ThreadPoolExecutor
 
     maps = grid or [{}]
+    if (penalties := _ridge(est, maps)) and logistic.fits_together(
+            train.first()[est.getFeaturesCol()].size, folds * len(maps)):
+        return _cross_validate_logistic(train, est, penalties, folds)
 
     def run(item):
         fold, params = item
@@ -187,6 +193,29 @@ def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism
     return CvScores([statistics.fmean(x) for x in per], [statistics.pstdev(x) for x in per])
 
 
+def _ridge(est, maps: list) -> list[float] | None:
+    """The penalty of every parameter map, if only ridge logistic regressions differ by it."""
+    if not isinstance(est, LogisticRegression) or est.isSet(est.weightCol) or (
+            est.getStandardization() or est.getElasticNetParam() or not est.getFitIntercept()):
+        return None
+    if any(p.name != "regParam" for m in maps for p in m):
+        return None
+    return [float(m.get(est.regParam, est.getRegParam())) for m in maps]
+
+
+def _cross_validate_logistic(train: DataFrame, est, penalties: list[float], folds: int
+                             ) -> CvScores:
+    fits = [logistic.Fit(f, c) for c in penalties for f in range(folds)]
+    features, label = est.getFeaturesCol(), est.getLabelCol()
+    beta = logistic.fit_all(train, fits, features, label)
+    scored = materialize(logistic.margins(
+        train.select(features, label, "fold"), beta, fits, features).select(
+            "fit", F.col(label).alias("label"), F.col("margin").alias("score")))
+    auc = {r.fit: r.auc for r in ev.roc_auc(scored, by=["fit"]).collect()}  # one row a fit
+    per = [[auc.get(j) or 0.0 for j in range(i, i + folds)] for i in range(0, len(fits), folds)]
+    return CvScores([statistics.fmean(x) for x in per], [statistics.pstdev(x) for x in per])
+
+
 # ---------------------------------------------------------------- assembled data
 @dataclass
 class ModelData:

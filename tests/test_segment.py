@@ -38,15 +38,54 @@ def test_nearest_centroid_tie_smallest(spark):
     assert got == [0, 0]
 
 
-def test_kmeans_best_of_restarts(spark):
-    from pyspark.ml.clustering import KMeans
-    rng = np.random.default_rng(0)
-    pts = np.vstack([rng.normal(c, 0.3, size=(40, 2)) for c in (0, 3, 6)])
-    df = sg.assemble(spark.createDataFrame([tuple(map(float, p)) for p in pts], "a double, b double"), ["a", "b"])
-    best = sg.kmeans_best(df, k=3, seed=42, restarts=3)
-    for s in range(42, 45):
-        single = KMeans(k=3, seed=s).fit(df).summary.trainingCost
-        assert best.summary.trainingCost <= single + 1e-9
+def _points(spark, seed=0):
+    rng = np.random.default_rng(seed)
+    pts = np.vstack([rng.normal(c, 0.6, size=(60, 2)) for c in (0, 2, 5, 9)])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(pts)]
+    return pts, sg.assemble(spark.createDataFrame(rows, "id int, a double, b double"), ["a", "b"])
+
+
+def test_restarts_together_equal_separate_runs(spark):
+    pts, df = _points(spark)
+    fits = sg.kmeans_restarts(df, k=4, seeds=range(42, 47))
+    for f in fits:
+        (alone,) = sg.kmeans_restarts(df, k=4, seeds=[f.seed])
+        assert np.allclose(alone.centers, f.centers, rtol=1e-12)
+        assert alone.cost == pytest.approx(f.cost, rel=1e-12)
+        d = ((pts[:, None] - np.array(f.centers)[None]) ** 2).sum(2)
+        assert f.cost == pytest.approx(d.min(1).sum())
+        got = {r.id: r.raw_cluster for r in f.transform(df).collect()}
+        assert [got[i] for i in range(len(pts))] == d.argmin(1).tolist()
+    best = sg.kmeans_best(df, k=4, seed=42, restarts=5)
+    assert best.cost == min(f.cost for f in fits)
+    assert best.seed == min(f.seed for f in fits if f.cost == best.cost)
+
+
+def test_lloyd_steps_equal_numpy(spark):
+    pts, df = _points(spark, 3)
+    rows = df.select(F.col("a").alias("x0"), F.col("b").alias("x1"))
+    starts = {7: pts[:4].tolist(), 8: pts[100:104].tolist(), 9: [[0.0, 0.0], [99.0, 99.0]]}
+    for f in sg.lloyd(rows, ["x0", "x1"], starts, max_iter=6, tol=1e-9):
+        c = np.array(starts[f.seed])
+        for _ in range(6):
+            own = ((pts[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([pts[own == j].mean(0) if (own == j).any() else c[j]
+                          for j in range(len(c))])
+        assert np.allclose(f.centers, c, atol=1e-9)
+
+
+def test_kmeans_of_few_different_rows(spark):
+    df = sg.assemble(spark.createDataFrame([(1.0,), (1.0,), (3.0,)], "a double"), ["a"])
+    best = sg.kmeans_best(df, k=3, restarts=2)
+    assert sorted(best.centers) == [[1.0], [3.0]] and best.cost == 0.0
+
+
+def test_modes(spark):
+    df = spark.createDataFrame([(1, "b", None), (1, "a", None), (1, None, None), (2, "z", "q"),
+                                (2, "z", "p"), (2, "y", "p")], "g int, u string, v string")
+    frame = sg.modes(df, "g", {"mu": "u", "mv": "v"})
+    assert {tuple(r) for r in frame.collect()} == {(1, "a", None), (2, "z", "p")}
+    assert "ObjectHashAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_renumber_by_mean(spark):
