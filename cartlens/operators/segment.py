@@ -11,9 +11,11 @@ and come back as literals in expressions, so no join is needed per row.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -74,53 +76,108 @@ def kmeans_restarts(df: DataFrame, k: int = 5, seeds: Sequence[int] = range(42,
     seeds = list(seeds)
     names = [c for c in df.columns if c != features]
     arr = vector_to_array(features)
-    first = df.select(F.size(arr)).head()
-    if first is None:
+    rows = materialize(df.select(F.xxhash64(*[F.col(f"`{c}`") for c in names], arr).alias("row"),
+                                 arr.alias("x")))
+    if rows.head() is None:
         raise ValueError("k-means needs rows")
-    x = [f"x{i}" for i in range(first[0])]
-    rows = materialize(df.select(
-        F.xxhash64(*[F.col(f"`{c}`") for c in names], arr).alias("row"),
-        *[arr[i].alias(c) for i, c in enumerate(x)]))
     starts = {s: [] for s in seeds}
     for turn in range(k):
-        draws = []
-        for s in seeds:
-            u = (F.shiftrightunsigned(F.xxhash64(F.col("row"), F.lit(s), F.lit(turn)), 11)
-                 .cast("double") + 0.5) / float(1 << 53)
-            far = (nearest_center(x, dict(enumerate(starts[s])))["d"]
-                   if starts[s] else F.lit(1.0))
-            clock = F.when(far > 0, -F.log(u) / far)
-            draws.append(F.min(F.when(clock.isNotNull(), F.struct(
-                clock.alias("t"), "row", F.array(*x).alias("x")))).alias(f"s{s}"))
-        drawn = rows.agg(*draws).head()
-        for s in seeds:
-            if drawn[f"s{s}"] is not None:
-                starts[s].append(list(drawn[f"s{s}"].x))
-    return lloyd(rows, x, starts, features, max_iter, tol)
-
-
-def lloyd(rows: DataFrame, x: Sequence[str], starts: dict, features: str = "features",
+        drawn = _drawn(rows, starts, turn)
+        for s, x in drawn.items():
+            starts[s].append(x)
+    return lloyd(rows, starts, features, max_iter, tol)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, centers: Sequence) -> np.ndarray:
+    """(rows, centers): squared distances."""
+    return np.stack([((x - np.array(c)) ** 2).sum(1) for c in centers], axis=1)
+
+
+def _uniform(rows: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each row hash, seed and turn (a 64-bit mixer)."""
+    z = rows.view(np.uint64) + np.uint64((seed * 1_000_003 + turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2.0**-54
+
+
+def _drawn(rows: DataFrame, starts: dict, turn: int) -> dict:
+    """seed -> the next center, for the seeds that have a row away from their centers."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            seeds, clocks, at = [], [], []
+            for s, centers in starts.items():
+                far = _distances(x, centers).min(1) if centers else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    t = np.where(far > 0, -np.log(_uniform(ids, s, turn)) / far, np.inf)
+                i = np.lexsort((ids, t))[0]
+                if np.isfinite(t[i]):
+                    seeds, clocks, at = [*seeds, s], [*clocks, t[i]], [*at, i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seeds, pa.int32()), pa.array(clocks, pa.float64()),
+                 pa.array(ids[at], pa.int64()),
+                 pa.array(x[at].tolist(), pa.list_(pa.float64()))], ["seed", "t", "row", "x"])
+
+    found = rows.select("row", "x").mapInArrow(run, "seed int, t double, row long, x array<double>")
+    best = F.min(F.struct("t", "row", "x")).alias("best")
+    return {r.seed: list(r.best.x) for r in found.groupBy("seed").agg(best).collect()}
+
+
+def lloyd(rows: DataFrame, starts: dict, features: str = "features",
           max_iter: int = 20, tol: float = 1e-4) -> list[Segments]:
-    """Lloyd's steps from ``starts`` (seed -> centers) for all seeds at once."""
+    """Lloyd's steps over the arrays ``x`` of ``rows`` from ``starts`` (seed -> centers),
+    for all seeds at once."""
     centers, open_ = dict(starts), list(starts)
     for _ in range(max_iter):
-        picks = F.explode(F.array(*[F.struct(
-            F.lit(s).alias("seed"), nearest_center(x, dict(enumerate(centers[s])))["id"].alias("c"))
-            for s in open_]))
-        sums = (rows.select(*x, picks.alias("p")).groupBy("p.seed", "p.c")
-                .agg(*[F.avg(c).alias(c) for c in x]).collect())  # seeds x k rows
+        sums = _cluster_sums(rows, {s: centers[s] for s in open_})
         moved = {s: 0.0 for s in open_}
         new = {s: [list(c) for c in centers[s]] for s in open_}
         for r in sums:
-            new[r.seed][r.c] = [r[c] for c in x]
+            new[r.seed][r.c] = [v / r.n for v in r.x]
             moved[r.seed] = max(moved[r.seed], math.dist(new[r.seed][r.c], centers[r.seed][r.c]))
         centers |= new
         open_ = [s for s in open_ if moved[s] > tol]
         if not open_:
             break
-    costs = rows.agg(*[F.sum(nearest_center(x, dict(enumerate(c)))["d"]).alias(f"s{s}")
-                       for s, c in centers.items()]).head()
-    return [Segments(c, costs[f"s{s}"], s, features) for s, c in centers.items()]
+    cost = dict.fromkeys(centers, 0.0)
+    for r in _cluster_sums(rows, centers):
+        cost[r.seed] += r.cost
+    return [Segments(c, cost[s], s, features) for s, c in centers.items()]
+
+
+def _cluster_sums(rows: DataFrame, centers: dict) -> list:
+    """(seed, c, n, cost, x) per cluster of every seed: its rows, the sum of their
+    squared distances and of their vectors; added up in tasks first."""
+    size = len(next(iter(centers.values()))[0])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {s: np.zeros((len(c), size + 2)) for s, c in centers.items()}
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            for s, c in centers.items():
+                far = _distances(x, c)
+                own = far.argmin(1)
+                both = np.column_stack((np.ones(len(x)), far[np.arange(len(x)), own], x))
+                for j in range(len(c)):
+                    total[s][j] += both[own == j].sum(0)
+        for s, t in total.items():
+            used = np.flatnonzero(t[:, 0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s] * len(used), pa.int32()), pa.array(used.astype(np.int32)),
+                 pa.array(t[used, 0].astype(np.int64)), pa.array(t[used, 1]),
+                 pa.array(t[used, 2:].tolist(), pa.list_(pa.float64()))],
+                ["seed", "c", "n", "cost", "x"])
+
+    found = rows.select("x").mapInArrow(
+        run, "seed int, c int, n long, cost double, x array<double>")
+    return found.groupBy("seed", "c").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+        F.array(*[F.sum(F.col("x")[i]) for i in range(size)]).alias("x")).collect()
 
 
 def kmeans_best(df: DataFrame, k: int = 5, seed: int = 42, restarts: int = 10,
@@ -285,19 +342,14 @@ def centroids_of(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -
     return {r[cluster]: [r[c] for c in cols] for r in rows}
 
 
-def nearest_center(cols: Sequence[str], centroids: dict) -> Column:
-    """(d, id): the smallest squared distance and its center, the smallest id on ties."""
+def nearest_centroid(cols: Sequence[str], centroids: dict) -> Column:
+    """Id of the nearest centroid by squared distance; ties go to the smallest id."""
     cands = []
     for cid, ctr in sorted(centroids.items()):
         d = sum(((F.col(c) - F.lit(v)) ** 2 for c, v in zip(cols[1:], ctr[1:])),
                 (F.col(cols[0]) - F.lit(ctr[0])) ** 2)
         cands.append(F.struct(d.alias("d"), F.lit(cid).alias("id")))
-    return F.array_min(F.array(*cands))
-
-
-def nearest_centroid(cols: Sequence[str], centroids: dict) -> Column:
-    """Id of the nearest centroid by squared distance; ties go to the smallest id."""
-    return nearest_center(cols, centroids)["id"]
+    return F.array_min(F.array(*cands))["id"]
 
 
 def assign_segment(df: DataFrame, cols: Sequence[str], centroids: dict,

@@ -63,9 +63,9 @@ def test_restarts_together_equal_separate_runs(spark):
 
 def test_lloyd_steps_equal_numpy(spark):
     pts, df = _points(spark, 3)
-    rows = df.select(F.col("a").alias("x0"), F.col("b").alias("x1"))
+    rows = df.select(F.array("a", "b").alias("x"))
     starts = {7: pts[:4].tolist(), 8: pts[100:104].tolist(), 9: [[0.0, 0.0], [99.0, 99.0]]}
-    for f in sg.lloyd(rows, ["x0", "x1"], starts, max_iter=6, tol=1e-9):
+    for f in sg.lloyd(rows, starts, max_iter=6, tol=1e-9):
         c = np.array(starts[f.seed])
         for _ in range(6):
             own = ((pts[:, None] - c[None]) ** 2).sum(2).argmin(1)
