@@ -199,7 +199,8 @@ def eigenpairs(times: Callable[[np.ndarray], np.ndarray], size: int, want: int,
         new = _minres(lambda t, p=project, th=theta: p(times(p(t)) - th * p(t)),
                       -project(residual), steps)
         if space.shape[1] + new.shape[1] > SPACE * want:
-            space, image = space[:, :2 * want], image[:, :2 * want]
+            space = _orthonormal(space[:, :2 * want], locked)
+            image = times(space)  # anew, or rounding would add up from one restart to the next
         new = _orthonormal(np.column_stack((new, residual)), locked, space)
         if not new.shape[1]:  # no residual leads further
             new = _orthonormal(np.random.default_rng(space.shape[1]).standard_normal(
