@@ -115,7 +115,7 @@ def _hidden(attributes: str) -> bool:
 
 def _tokens(page: str) -> Iterator[tuple[int, str | None, str, bool, str]]:
     """(place, text, tag, whether it closes, attributes) of all runs of text and tags."""
-    lower = page.lower()
+    unclosed: set[str] = set()  # raw elements that nothing closes from here on
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
@@ -129,10 +129,13 @@ def _tokens(page: str) -> Iterator[tuple[int, str | None, str, bool, str]]:
         closing = bool(m.group(1) or m.group(4))
         attributes = m.group(3) or m.group(6) or ""
         if name in _RAW and not closing:
-            if name != "head" or "</head" in lower[at:at + 200_000]:
+            if name not in unclosed and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                if not attributes.endswith("/"):
-                    at = end.end() if end else size if name in ("script", "style") else at
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+                    at = size if name in ("script", "style") else at
             continue
         yield m.start(), None, name, closing, attributes
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from cases import SF_SMALL
@@ -100,3 +101,17 @@ def test_languages_without_stop_words(long):
     page = (f"<nav><a href=1>{long}</a></nav><p><a href=2>{long}</a></p><p>{long}</p>"
             f"<footer>{long}</footer>")
     assert html_text.main_text(page) == long
+
+
+@pytest.mark.parametrize("n", [12, 12_000])
+def test_heads_of_any_length_are_no_text(n):
+    page = ("<html><head>" + "<meta name='description' content='x'>" * n + f"<p>{LONG2}</p></head>"
+            f"<body><p>{LONG}</p></body>")
+    assert html_text.main_text(page) == LONG
+
+
+def test_time_on_unclosed_raw_tags_is_linear():
+    page = "<article><p>" + LONG + "</p>" + "<svg x>" * 200_000
+    start = time.perf_counter()
+    assert html_text.main_text(page) == LONG
+    assert time.perf_counter() - start < 20  # minutes if each looked for its end
