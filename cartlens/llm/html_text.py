@@ -8,7 +8,12 @@ the label of the nearest decided block, inside the article if there is one.
 The stop words are English, German, French and Spanish; on a page where no block
 reaches their share, long blocks are decided by length and links alone.
 A mark by class, id or role does not count on the page itself, on a main element,
-or on what is wrapped around the article that has the fewest such marks.
+or on what is wrapped around the article that has the fewest such marks, and a name
+that tells what a page or element has or is laid out as (``has-sidebar``,
+``login-page``) is no mark. Where both are there, the article wins over the main
+element around it, if the first long block of the main element lies in it.
+Inside an article a block goes for its links only if it is little else, and then
+decides nothing about its neighbours.
 Pages are independent, so this is one map without a shuffle.
 """
 
@@ -23,8 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: a block with a larger share of characters inside links is out
 LINKS = 0.33
+#: the same inside an article
+ARTICLE_LINKS = 0.9
 #: characters from which a block is long enough to be decided
 SHORT = 70
 #: shares of stop words: text, and perhaps text
@@ -43,10 +52,10 @@ STOP_WORDS = frozenset("""
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?"""
+    r"""|<(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>=]+|=)*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?"""
     r"""|([^<]+|<)""", re.S)
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "object",
-        "math", "select", "head"}
+        "annotation", "annotation-xml", "select", "head"}
 _OUT = {"nav", "footer", "aside", "form", "header", "menu", "button", "dialog", "fieldset"}
 _MAIN = {"article", "main"}
 #: tags that no class, id or role marks as not the article
@@ -58,7 +67,7 @@ _BLOCK = _OUT | _MAIN | _HEADING | {
     "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _EMPTY = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source",
           "track", "wbr", "param"}
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
 #: words in a class, id or role that mark what is not the article
 _BOILERPLATE = frozenset("""
@@ -70,6 +79,9 @@ _BOILERPLATE = frozenset("""
     sidebars signup social sponsor sponsored subscribe subscription tags teaser teasers toc
     toolbar topbar widget widgets
 """.split())
+#: words of a name that tells what is there or how a page is laid out, and last words of such
+_STATE = frozenset("no not has have with without".split())
+_LAYOUT = frozenset("page layout template".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -78,16 +90,22 @@ class Block:
     out: bool  # inside something that is never part of an article
     main: bool  # inside the article
     heading: bool
+    article: bool = False  # inside an article element
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
+    @property
+    def links(self) -> bool:
+        """Whether the block is out for its links."""
+        return self.linked > (ARTICLE_LINKS if self.main else LINKS) * len(self.text)
+
     def label(self, words: bool = True) -> bool | None:
         """Pass one: text, not text, or undecided; ``words``: by stop words too."""
         if self.out:
             return False
         n = len(self.text)
-        if self.linked > LINKS * n:
+        if self.links:
             return False
         if n < SHORT or self.heading:
             return None
@@ -105,15 +123,23 @@ def _named(attributes: str) -> bool:
     if not attributes:
         return False
     names = " ".join(_NAMES.findall(attributes)).replace("'", " ").replace('"', " ")
-    split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()
-    return any(x in _BOILERPLATE for x in re.split(r"[^a-z]+", split))
+    for name in names.split():
+        split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()
+        words = [x for x in re.split(r"[^a-z]+", split) if x]
+        if (not _BOILERPLATE.isdisjoint(words) and _STATE.isdisjoint(words)
+                and words[-1] not in _LAYOUT):
+            return True
+    return False
 
 
 def _hidden(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def _tokens(page: str) -> Iterator[tuple[int, str | None, str, bool, str]]:
+Token = tuple[int, str | None, str, bool, str]
+
+
+def _tokens(page: str) -> Iterator[Token]:
     """(place, text, tag, whether it closes, attributes) of all runs of text and tags."""
     unclosed: set[str] = set()  # raw elements that nothing closes from here on
     at, size = 0, len(page)
@@ -140,7 +166,7 @@ def _tokens(page: str) -> Iterator[tuple[int, str | None, str, bool, str]]:
         yield m.start(), None, name, closing, attributes
 
 
-def _wrappers(page: str) -> set[int]:
+def _wrappers(tokens: list[Token]) -> set[int]:
     """Places of the elements that are marked by a name but hold the article.
 
     That is an article or main element under the fewest marks; deeper marks and
@@ -149,7 +175,7 @@ def _wrappers(page: str) -> set[int]:
     stack: list[tuple[str, int, int, bool]] = []  # tag, place, marks so far, never text
     depth: dict[int, int] = {}  # of marked elements that hold an article
     least, seen = None, 0  # ``seen``: open elements that are known to hold one
-    for place, _, name, closing, attributes in _tokens(page):
+    for place, _, name, closing, attributes in tokens:
         if name not in _BLOCK or name in _EMPTY:
             continue
         if closing:
@@ -178,7 +204,8 @@ def _wrappers(page: str) -> set[int]:
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks, in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open blocks: tag, out, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # open blocks: tag, out, main, article
+    tokens = list(_tokens(page))
     lower = page.lower()
     unclosed: dict[str, bool] = {}
     wrappers: set[int] | None = None
@@ -191,12 +218,11 @@ def blocks(page: str) -> list[Block]:
             unclosed[name] = lower.count(f"</{name}") >= len(re.findall(rf"<{name}[\s>/]", lower))
         return unclosed[name]
 
-    for place, run, name, closing, attributes in _tokens(page):
+    for place, run, name, closing, attributes in tokens:
         if run is not None:
             if now is None:
-                out, main = stack[-1][1:] if stack else (False, False)
-                tag = next((t for t, _, _ in reversed(stack) if t in _HEADING or t in _BLOCK), "")
-                now = Block(out, main, tag in _HEADING)
+                tag, out, main, article = stack[-1] if stack else ("", False, False, False)
+                now = Block(out, main, tag in _HEADING, article)
                 found.append(now)
             run = html.unescape(run)
             now.parts.append(run)
@@ -220,17 +246,18 @@ def blocks(page: str) -> list[Block]:
                 marked = name not in _NEVER and _named(attributes)
                 if marked:
                     if wrappers is None:
-                        wrappers = _wrappers(page)
+                        wrappers = _wrappers(tokens)
                     marked = place not in wrappers
                 marked = marked or _hidden(attributes)
                 if name in _MAIN and not marked:
                     # an element that is never closed ends where the article starts
                     while stack and stack[-1][1] and not ends(stack[-1][0]):
                         stack.pop()
-                out, main = stack[-1][1:] if stack else (False, False)
-                main = main or (name in _MAIN and not out and not marked)
+                out, main, article = stack[-1][1:] if stack else (False, False, False)
+                begins = name in _MAIN and not out and not marked
+                main, article = main or begins, article or (begins and name == "article")
                 inner = name == "header" and main  # an article's own header has its heading
-                stack.append((name, out or marked or (name in _OUT and not inner), main))
+                stack.append((name, out or marked or (name in _OUT and not inner), main, article))
     for b in found:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in found if b.text]
@@ -243,6 +270,9 @@ def main_text(page: str | None) -> str:
         for b in all_blocks:
             b.out = b.out or not b.main
         own = [b for b in all_blocks if not b.out]
+        lead = next((i for i, b in enumerate(own) if b.label()), None)
+        if lead is not None and own[lead].article:  # headings before it may stand outside
+            own = [b for i, b in enumerate(own) if b.article or (b.heading and i < lead)]
     else:
         own = all_blocks
     labels = [b.label() for b in own]
@@ -250,11 +280,13 @@ def main_text(page: str | None) -> str:
         labels = [b.label(words=False) for b in own]
     before, after, last = [], [], None
     for i, x in enumerate(labels):
-        last = (i, x) if x is not None else last
+        tells = x is not None and not (own[i].main and own[i].links)
+        last = (i, x) if tells else last
         before.append(last)
     last = None
     for i in range(len(labels) - 1, -1, -1):
-        last = (i, labels[i]) if labels[i] is not None else last
+        tells = labels[i] is not None and not (own[i].main and own[i].links)
+        last = (i, labels[i]) if tells else last
         after.append(last)
     after.reverse()
     kept = []
@@ -278,9 +310,12 @@ def extract(pages: DataFrame, *, page: str = "html", keep: tuple[str, ...] = ("p
     """The columns ``keep`` of every row, ``text`` (empty if none) and ``n_chars``.
 
     Null and empty pages give an empty text; repeated rows are extracted one by
-    one; broken, cut-off and very long markup is read as far as it goes.
+    one; broken, cut-off and very long markup is read as far as it goes; an empty
+    table stays empty. Columns of ``keep`` named ``text`` or ``n_chars`` give way to
+    the extracted ones; other columns of any name may be there.
     """
-    rows = pages.select(*keep, F.col(page).alias("_page"))
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
+    rows = pages.select(*keep, F.col(page).alias(fresh("page", pages)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -115,3 +115,46 @@ def test_time_on_unclosed_raw_tags_is_linear():
     start = time.perf_counter()
     assert html_text.main_text(page) == LONG
     assert time.perf_counter() - start < 20  # minutes if each looked for its end
+
+
+@pytest.mark.parametrize("page,want", [
+    # names that tell what is there, not what an element is
+    (f"<article><div class='article-body no-sidebar'><p>{LONG}</p></div></article>", LONG),
+    (f"<div class='content has-sidebar'><p>{LONG}</p></div><div class=sidebar>{LONG2}</div>", LONG),
+    (f"<div id='login-page'><p>{LONG}</p><div class='page-footer'>{LONG2}</div></div>", LONG),
+    (f"<article data-id='footer'><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><div class='post no-ads comment-list'>{LONG2}</div></article>", LONG),
+    # the article wins over the main element, which keeps its title
+    (f"<main><h1>Title</h1><article><p>{LONG}</p></article><section><h2>Replies</h2><p>{LONG2}</p>"
+     f"</section></main>", f"Title\n\n{LONG}"),
+    # but not where the articles are what follows the main text
+    (f"<main><p>{LONG}</p><article><p>{LONG2}</p></article></main>", f"{LONG}\n\n{LONG2}"),
+    # links inside an article
+    (f"<article><p>{LONG}</p><p>See <a href=1>{LONG2}</a> for more of this.</p></article>",
+     f"{LONG}\n\nSee {LONG2} for more of this."),
+    (f"<article><p>{LONG}</p><ul><li><a href=1>Link</a></li><li>Plain</li><li><a href=2>Link</a>"
+     f"</li></ul></article>", f"{LONG}\n\nPlain"),
+    # formulas are text, their sources are not
+    (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2"
+     f"</annotation></math></p></article>", f"{LONG} x=2"),
+    # quotes count only where a value starts
+    (f"<article><p data-x=it's>It's the first. {LONG}</p><p title = 'a>b'>{LONG2}</p></article>",
+     f"It's the first. {LONG}\n\n{LONG2}"),
+])
+def test_marks_links_and_quotes(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_columns_with_clashing_names(spark):
+    pages = spark.createDataFrame([(1, f"<article><p>{LONG}</p>", "old", 7, "p")],
+                                  "page_id long, html string, text string, n_chars int, page string")
+    got = html_text.extract(pages, keep=("page_id", "text", "n_chars", "page"))
+    assert got.columns == ["page_id", "page", "text", "n_chars"]
+    assert [tuple(r) for r in got.collect()] == [(1, "p", LONG, len(LONG))]
+
+
+def test_time_on_tags_that_nothing_ends_is_linear():
+    start = time.perf_counter()
+    html_text.main_text("<a " + "x=\"1\" y='2' " * 100_000)
+    html_text.main_text("<a x='" * 100_000)
+    assert time.perf_counter() - start < 20
