@@ -1,13 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-The first occurrence of a line stays; a later line that is equal to, or within
-``edits`` edits of, any earlier line goes.
+The first occurrence of a line stays; a later line that is equal to, or near, any
+earlier line goes. Lines are near within ``edits`` edits that are also at most a
+fifth of the longer line's characters (a similarity of 0.8): two edits from 10
+characters on, one from 5, and shorter lines must be equal.
 
 Equal lines are found by hash, and one of each takes part in the join. A line of
-n characters is cut into edits + 1 segments: a line within ``edits`` edits must
-hold one of them unchanged, near its place. Segments are filed under (length,
-segment number, text); each line looks up the substrings that length and place
-allow for every shorter length within reach. Letter counts discard most false
+n characters is cut into one segment more than the edits that a line of its length
+or a longer one may be away: a near line must hold one of them unchanged, near its
+place. Segments are filed under (length, segment number, text); each line looks up
+the substrings that length and place allow for every shorter length within reach. Letter counts discard most false
 meetings inside the join, and what is left is verified by banded bit-parallel
 edit distance: one bit per diagonal of the band, one word per number of edits.
 """
@@ -20,12 +22,24 @@ from pyspark.sql import functions as F
 from .common import fresh, partitions, release, stored, with_row
 
 EDITS = 2
-#: lines of fewer characters must be equal to go
-MIN_CHARS = 24
+#: near lines have at least as many characters for each edit, the longer one counted
+CHARS = 5
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
+def allowed(longer: Column, edits: int) -> Column:
+    """Edits that a line of ``longer`` characters and one no longer may be apart."""
+    return F.least(F.lit(edits), F.floor(longer / CHARS).cast("int"))
+
+
+def reach(length: Column, edits: int) -> Column:
+    """The most edits that a line of ``length`` characters and one no shorter may be
+    apart: d of them need d * CHARS characters in the longer one, which has at most
+    d more than the other."""
+    return F.least(F.lit(edits), F.floor(length / (CHARS - 1)).cast("int"))
+
+
+def segment(length: Column, i: Column, edits: Column) -> tuple[Column, Column]:
     """(start, size) of segment i of the edits + 1 segments of a line, from 0; the
     later ones take what is left over."""
     parts = edits + 1
@@ -50,7 +64,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     Bit d of word r: the first j characters of b are within r edits of the first
     j + d - edits of a. Reading a character keeps a bit whose diagonal matches;
-    an edit moves it along the band.
+    an edit moves it along the band. Near lines are also similar, see ``allowed``.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
@@ -75,7 +89,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
     last = F.aggregate(F.transform(b, equal), start, read)
     shorter = F.size(b) - F.size(a)
     end = F.call_function("shiftleft", F.lit(1), F.lit(edits) - shorter)
-    return F.when(F.abs(shorter) <= edits, F.get(last, F.lit(edits)).bitwiseAND(end) != 0
+    most = allowed(F.greatest(F.size(a), F.size(b)), edits)
+    return F.when(F.abs(shorter) <= edits, F.get(last, most).bitwiseAND(end) != 0
                   ).otherwise(False)
 
 
@@ -113,16 +128,19 @@ def _pieces_agree(u: Column, v: Column, edits: int, pieces: int = 8) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: ~found(i))) <= edits
 
 
-def _keyed(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int, min_chars: int
-           ) -> DataFrame:
+def _keyed(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int) -> DataFrame:
     """``lines`` (id, size, u and others) with ``key`` for each wanted substring;
     ``u`` has four bytes a character, so a piece is cut without reading up to it."""
     each = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(
         ("less", "i", "shift"), x, strict=True)]) for x in wanted])
     length = F.col("size") - F.col("less")
-    start, n = segment(length, F.col("i"), edits)
+    most = reach(length, edits)
+    start, n = segment(length, F.col("i"), most)
     start = start + F.col("shift")
-    inside = (length >= min_chars) & (start >= 0) & (start + n <= F.col("size"))
+    # what ``lookups`` allows, by the edits that lines of this length may be apart
+    behind = most - F.col("i")
+    inside = ((most > 0) & (behind >= 0) & (F.abs(F.col("less") - F.col("shift")) <= behind)
+              & (start >= 0) & (start + n <= F.col("size")))
     piece = F.call_function("substring", F.col("u"), 4 * start + 1, 4 * n)
     # equal keys stand for equal pieces; a chance meeting fails the verification
     return lines.select("*", F.inline(each)).where(inside).select(
@@ -130,20 +148,19 @@ def _keyed(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int, min
         (F.col("less") > 0).alias("longer"), F.xxhash64(length, F.col("i"), piece).alias("key"))
 
 
-def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, other) once for each pair of lines of ``distinct`` (id, line, size)
-    within ``edits`` edits, both of at least ``min_chars`` characters.
+def near_lines(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(id, other) once for each pair of near lines of ``distinct`` (id, line, size).
 
     A first pass over all lines only finds those that meet any other in the
     index; the few that do are joined, filtered and verified.
     """
     spark, wanted = distinct.sparkSession, lookups(edits)
     own = wanted[:edits + 1]
-    long = distinct.where(F.col("size") >= max(min_chars, edits + 1))
+    long = distinct.where(reach(F.col("size"), edits) > 0)  # others are near none
     wide = F.encode("line", "UTF-32").alias("u")
     every = long.select("id", "size", wide)
-    asks = _keyed(every, wanted, edits, min_chars).drop("longer")
-    has = _keyed(every, own, edits, min_chars).select(F.col("id").alias("other"),
+    asks = _keyed(every, wanted, edits).drop("longer")
+    has = _keyed(every, own, edits).select(F.col("id").alias("other"),
                                                       F.col("key").alias("its_key"))
     meet = (F.col("key") == F.col("its_key")) & (F.col("id") != F.col("other"))
     met = stored(asks.join(has, meet, "left_semi").select("id")
@@ -153,12 +170,12 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         "id", "size", "line", _counts(F.col("line")).alias("counts")), "line-texts")
     release(spark)
     few = texts.select("id", "size", "counts", wide)
-    index = _keyed(few, own, edits, min_chars).select(
+    index = _keyed(few, own, edits).select(
         F.col("id").alias("other"), F.col("counts").alias("theirs"), "key")
     # of two lines of one length the later id asks; an edit changes the letter
     # counts by 2 in all at most
     apart = F.bit_count(F.col("counts").bitwiseXOR(F.col("theirs")))
-    pairs = (_keyed(few, wanted, edits, min_chars).join(index, "key")
+    pairs = (_keyed(few, wanted, edits).join(index, "key")
              .where((F.col("longer") | (F.col("id") > F.col("other")))
                     & (F.col("id") != F.col("other")) & (apart <= 2 * edits))
              .select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
@@ -177,8 +194,7 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
             .where(within(F.col("a"), F.col("b"), edits)).select("id", "other"))
 
 
-def decided(docs: DataFrame, row: str, *, text: str = "text", edits: int = EDITS,
-            min_chars: int = MIN_CHARS) -> DataFrame:
+def decided(docs: DataFrame, row: str, *, text: str = "text", edits: int = EDITS) -> DataFrame:
     """(row, drop): for each row that loses a line, whether each of its lines
     goes, in order. ``row`` is a unique long; smaller rows are earlier."""
     lines = _lines(docs, row, text)
@@ -190,7 +206,7 @@ def decided(docs: DataFrame, row: str, *, text: str = "text", edits: int = EDITS
         .select(F.monotonically_increasing_id().alias("id"), "line", "place", "copies", *hashes,
                 F.char_length("line").alias("size")), "lines")
     release(docs.sparkSession)
-    pairs = near_lines(distinct, edits, min_chars)
+    pairs = near_lines(distinct, edits)
     first = distinct.select("id", "place")
     later = (pairs.join(first, "id")
              .join(first.select(F.col("id").alias("other"), F.col("place").alias("at")), "other")
@@ -209,19 +225,21 @@ def decided(docs: DataFrame, row: str, *, text: str = "text", edits: int = EDITS
             .where("any").select("row", F.col("all.goes").alias("drop")))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", edits: int = EDITS,
-          min_chars: int = MIN_CHARS) -> tuple[DataFrame, str]:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", edits: int = EDITS
+          ) -> tuple[DataFrame, str]:
     """All rows of ``docs`` with ``text`` cleaned, plus a struct column; its name.
 
     The struct has ``n_lines`` and ``n_removed``. The first occurrence of a line
     stays: rows are ordered by id if ids are integers, unique and not null, else
     as stored. Lines are compared without outer blanks; blank lines always stay.
     Null texts stay null, a text that loses all lines is empty, repeated rows
-    lose what the first of them keeps, and an empty table stays empty.
+    lose what the first of them keeps, and an empty table stays empty. Texts and
+    lines may have any length; columns of any other names may be there, as the
+    operator's own get names that are not taken.
     """
     docs, row = with_row(docs, id_col)
     drop = fresh("drop", docs)
-    gone = decided(docs, row, text=text, edits=edits, min_chars=min_chars).select(
+    gone = decided(docs, row, text=text, edits=edits).select(
         F.col("row").alias(row), F.col("drop").alias(drop))
     lines = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.get(F.col(drop), i)), "\n")

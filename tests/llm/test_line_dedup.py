@@ -20,7 +20,11 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(texts, edits=2, least=24):
+def near(a, b, edits=2):
+    return distance(a, b) <= min(edits, max(len(a), len(b)) // 5)
+
+
+def brute(texts, edits=2):
     """Cleaned texts of rows in order."""
     seen, out = {}, []
     by_size = {}
@@ -36,11 +40,10 @@ def brute(texts, edits=2, least=24):
                 continue
             goes = line in seen
             if not goes:
-                if len(line) >= least:
-                    goes = any(distance(line, o) <= edits
-                               for n in range(len(line) - edits, len(line) + edits + 1)
-                               for o in by_size.get(n, ()))
-                    by_size.setdefault(len(line), []).append(line)
+                goes = any(near(line, o, edits)
+                           for n in range(len(line) - edits, len(line) + edits + 1)
+                           for o in by_size.get(n, ()))
+                by_size.setdefault(len(line), []).append(line)
                 seen[line] = True
             if not goes:
                 kept.append(raw)
@@ -68,14 +71,16 @@ def lines(seed):
     return out
 
 
-@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+@pytest.mark.parametrize("edits", [0, 1, 2, 3, 5])
 def test_joins_all_near_lines(spark, edits):
-    words = sorted({x.strip() for x in lines(1) + lines(50)} - {""})
+    r = random.Random(edits)
+    short = {"".join(r.choice("abé") for _ in range(r.randint(1, 16))) for _ in range(300)}
+    words = sorted({x.strip() for x in lines(1) + lines(50)} - {""} | short)
     frame = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(words)],
                                   "id long, line string, size int")
-    got = {tuple(r) for r in op.near_lines(frame, edits, 10).collect()}
+    got = {tuple(r) for r in op.near_lines(frame, edits).collect()}
     want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words)
-            if i < j and min(len(a), len(b)) >= 10 and distance(a, b) <= edits}
+            if i < j and near(a, b, edits)}
     assert got == want
 
 
@@ -83,13 +88,25 @@ def test_bit_parallel_distance(spark):
     r = random.Random(2)
     pairs = []
     for _ in range(400):
-        a = "".join(r.choice("abé") for _ in range(r.randint(1, 9)))
+        a = "".join(r.choice("abé") for _ in range(r.randint(1, 14)))
         b = "".join(r.choice("abé") for _ in range(max(1, len(a) + r.randint(-4, 4))))
-        pairs.append((a, b))
+        c = list(a)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(c))
+            c[at:at + r.randint(0, 1)] = r.choice(["", "a", "é"])
+            c = c or ["b"]
+        pairs += [(a, b), (a, "".join(c))]
     rows = spark.createDataFrame(pairs, "a string, b string").select(
         "a", "b", op.within(F.split("a", ""), F.split("b", ""), 2).alias("x")).collect()
-    assert all(r.x == (distance(r.a, r.b) <= 2) for r in rows)
-    assert 50 < sum(r.x for r in rows) < 350
+    assert all(r.x == near(r.a, r.b) for r in rows)
+    assert 50 < sum(r.x for r in rows) < 750
+
+
+def test_short_lines(spark):
+    text = "Und | äbe.\nUnd äbe.\nabcd\nabce\nabcde\nabcdf\nvwxyzabcd\nvwxyzab--"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert op.dedup(docs)[0].head().text == brute([text])[0]
+    assert brute([text]) == ["Und | äbe.\nabcd\nabce\nvwxyzabcd\nvwxyzab--"]
 
 
 def test_given_documents(spark):
