@@ -178,7 +178,10 @@ def repeated(docs: DataFrame, row: str, *, text: str = "text", width: int = WIDT
     anywhere else too. ``row`` is a unique long."""
     spark = docs.sparkSession
     every = stretches(docs, row, text, width, seed)
-    anchors = every.groupBy("h").count().where("count > 1").select("h")
+    # stored, so that both sides of the join come straight from a shuffle: an anchor with
+    # a large share of the rows is then split at run time
+    anchors = stored(every.groupBy("h").count().where("count > 1").select("h"), "anchors")
+    release(spark)
     met = stored(every.join(anchors, "h"), "stretches")
     release(spark)
     kinds = stored(met.groupBy("h", "body").agg(
@@ -186,7 +189,7 @@ def repeated(docs: DataFrame, row: str, *, text: str = "text", width: int = WIDT
     inside = met.join(kinds.where("n > 1").select("h", "body"), ["h", "body"], "left_semi").select(
         "row", "first", "last")
     # anchors with a stretch that occurs once: it and an example of each of the others
-    open_ = kinds.where("n = 1").select("h").distinct()
+    open_ = stored(kinds.where("n = 1").select("h").distinct(), "open-anchors")
     asked = (kinds.join(open_, "h", "left_semi")
              .select("h", "body", (F.col("n") == 1).alias("edge"), "example"))
     asked = (met.join(asked, ["h", "body"]).where("row = example")
