@@ -521,6 +521,22 @@ def q_cv_logistic(spark, sf):
                      r6("cv_auc_std").alias("cv_auc_std"))
 
 
+@query("cv_forest_min_split")
+def q_cv_forest_min_split(spark, sf):
+    """forests of 20 trees by 5-fold AUC for four values of the rows that a node
+    needs to be split; each fold fits one forest, and the values prune it."""
+    from .plans import model as mo
+    p = model_data(spark, sf)
+    est = dict(mo.candidates(p.n_train))["RandomForest"].copy()
+    bounds = [2, 5, 20, 100]
+    cv = mo.cross_validate(p.train, est, [{est.numTrees: 20, mo.MIN_SPLIT: b} for b in bounds])
+    rows = [(b, float(m), float(s)) for b, m, s in
+            zip(bounds, cv.avgMetrics, cv.stdMetrics, strict=True)]
+    df = spark.createDataFrame(rows, "min_rows int, cv_auc_mean double, cv_auc_std double")
+    return df.select("min_rows", r6("cv_auc_mean").alias("cv_auc_mean"),
+                     r6("cv_auc_std").alias("cv_auc_std"))
+
+
 @query("cv_model_comparison")
 def q_cv_model_comparison(spark, sf):
     """F1-F6: all four candidates by 5-fold AUC, run as concurrent jobs; winner flagged."""

@@ -12,6 +12,8 @@ candidates  logistic regression (C=1 as regParam=1/(C*n)), balanced random
             forest, and two boosted-tree stand-ins (depth-wise / leaf-count).
 CV          5 stratified folds from an exact per-class hash rank; AUC exact
             (``numBins=0``); mean and population std per candidate.
+pruning     the forest's grid varies the rows that a node needs to be split; one
+            forest per fold serves all these values (:func:`prune`).
 
 Data work is distributed; the driver holds only fitted parameters, slot
 names and metric rows.
@@ -25,7 +27,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -38,13 +40,15 @@ from ..functions import features as fe
 from ..operators import encode as en
 from ..operators import evaluate as ev
 from ..operators.ranking import bucket_digits, bucketed_rank, hash_order
-from ..session import materialize
+from ..session import materialize, scratch_table
 from . import logistic
 from . import training as tr
 
 SEED = 42
 MIN_IMPORTANCE = 0.01
 FALLBACK_TOP = 20
+#: grid key: rows that a forest's node needs to be split (no Spark parameter)
+MIN_SPLIT = "minSamplesSplit"
 
 
 # ---------------------------------------------------------------- D6 + assemble
@@ -135,6 +139,7 @@ def grid_for(name: str, est, n_train: int):
     if name == "RandomForest":
         g = (g.addGrid(est.numTrees, [200, 400]).addGrid(est.maxDepth, [8, 12, 16])
              .addGrid(est.minInstancesPerNode, [1, 2]))
+        return [m | {MIN_SPLIT: rows} for m in g.build() for rows in (2, 5)]
     elif name == "BoostedDepthwise":
         g = (g.addGrid(est.stepSize, [0.01, 0.05, 0.1]).addGrid(est.maxIter, [200, 400])
              .addGrid(est.maxDepth, [3, 5, 7]))
@@ -146,6 +151,39 @@ def grid_for(name: str, est, n_train: int):
     return g.build()
 
 
+def prune(spark: SparkSession, model: RandomForestClassificationModel, min_rows: int
+          ) -> RandomForestClassificationModel:
+    """The forest in which a node of fewer than ``min_rows`` rows is a leaf.
+
+    Rows are those of the tree's bootstrap sample, repeats included. A node never has
+    more rows than its parent, so the nodes below a new leaf need no walk: the saved
+    node table is changed row by row, and loading builds each tree from its root.
+    A new leaf predicts by the class weights that the node had before its split.
+    Every split node has two rows or more, so 2 or less gives the model itself.
+    """
+    if min_rows <= 2:
+        return model
+    full, pruned = scratch_table(spark, "forest"), scratch_table(spark, "forest-pruned")
+    model.save(full)
+    model.save(pruned)  # its metadata; the nodes are replaced
+    node = F.col("nodeData")
+    leaf = (node.withField("gain", F.lit(-1.0)).withField("leftChild", F.lit(-1))
+            .withField("rightChild", F.lit(-1)).withField("split", F.struct(
+                F.lit(-1).alias("featureIndex"),
+                F.array().cast("array<double>").alias("leftCategoriesOrThreshold"),
+                F.lit(-1).alias("numCategories"))))
+    few = (node["leftChild"] >= 0) & (node["rawCount"] < min_rows)
+    (spark.read.parquet(f"{full}/data").withColumn("nodeData", F.when(few, leaf).otherwise(node))
+     .write.mode("overwrite").parquet(f"{pruned}/data"))
+    return RandomForestClassificationModel.load(pruned)
+
+
+def fit_point(est, train: DataFrame, params: dict):
+    """The model of one grid point, ``MIN_SPLIT`` included."""
+    model = est.fit(train, {k: v for k, v in params.items() if k != MIN_SPLIT})
+    return prune(train.sparkSession, model, params[MIN_SPLIT]) if MIN_SPLIT in params else model
+
+
 # ---------------------------------------------------------------- F5
 def with_folds(df: DataFrame, key: str = "customer_id", label: str = "label",
                k: int = 5, seed: int = SEED, n_rows: int | None = None) -> DataFrame:
@@ -172,8 +210,9 @@ def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism
                    ) -> CvScores:
     """AUC on every stored fold of a model fitted on the others; nothing is refitted
     on all rows here. Ridge logistic regressions of all folds and penalties share
-    every scan, unless they have too many features for that. Other fits are
-    independent, so up to ``parallelism`` run as concurrent Spark jobs."""
+    every scan, unless they have too many features for that. Grid points that differ
+    by ``MIN_SPLIT`` alone share a fold's forest. Other fits are independent, so up to
+    ``parallelism`` run as concurrent Spark jobs."""
     from concurrent.futures import ThreadPoolExecutor
 
     maps = grid or [{}]
@@ -181,15 +220,23 @@ def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism
             train.first()[est.getFeaturesCol()].size, folds * len(maps)):
         return _cross_validate_logistic(train, est, penalties, folds)
 
-    def run(item):
-        fold, params = item
-        model = est.fit(train.where(F.col("fold") != fold), params)
-        return auc_evaluator().evaluate(model.transform(train.where(F.col("fold") == fold)))
+    def plain(params):
+        return frozenset((k, v) for k, v in params.items() if k != MIN_SPLIT)
 
-    jobs = [(f, m) for m in maps for f in range(folds)]
+    def run(item):
+        """AUC on one fold for every point that shares the fit."""
+        fold, shared = item
+        model = est.fit(train.where(F.col("fold") != fold), dict(shared))
+        held = train.where(F.col("fold") == fold)
+        return {rows: auc_evaluator().evaluate(
+            (model if rows is None else prune(train.sparkSession, model, rows))
+            .transform(held))
+            for rows in {m.get(MIN_SPLIT) for m in maps if plain(m) == shared}}
+
+    jobs = [(f, m) for m in dict.fromkeys(map(plain, maps)) for f in range(folds)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        auc = list(pool.map(run, jobs))
-    per = [auc[i * folds:(i + 1) * folds] for i in range(len(maps))]
+        auc = dict(zip(jobs, pool.map(run, jobs), strict=True))
+    per = [[auc[f, plain(m)][m.get(MIN_SPLIT)] for f in range(folds)] for m in maps]
     return CvScores([statistics.fmean(x) for x in per], [statistics.pstdev(x) for x in per])
 
 
@@ -198,7 +245,7 @@ def _ridge(est, maps: list) -> list[float] | None:
     if not isinstance(est, LogisticRegression) or est.isSet(est.weightCol) or (
             est.getStandardization() or est.getElasticNetParam() or not est.getFitIntercept()):
         return None
-    if any(p.name != "regParam" for m in maps for p in m):
+    if any(p == MIN_SPLIT or p.name != "regParam" for m in maps for p in m):
         return None
     return [float(m.get(est.regParam, est.getRegParam())) for m in maps]
 
@@ -325,13 +372,15 @@ def tune(p: ModelData, name: str, grid: dict | None = None):
             return est, grid_for(name, est, rows)
         b = ParamGridBuilder()
         for param, values in grid.items():
-            b = b.addGrid(est.getParam(param), list(values))
-        return est, b.build()
+            if param != MIN_SPLIT:
+                b = b.addGrid(est.getParam(param), list(values))
+        bounds = [{MIN_SPLIT: rows} for rows in grid.get(MIN_SPLIT, ())] or [{}]
+        return est, [m | bound for m in b.build() for bound in bounds]
 
     scores = cross_validate(p.train, *build(max(1, round(p.n_train * 4 / 5))))
     best = max(range(len(scores.avgMetrics)), key=lambda i: (scores.avgMetrics[i], -i))
     est, maps = build(p.n_train)
-    return est.fit(p.train, maps[best]), scores
+    return fit_point(est, p.train, maps[best]), scores
 
 
 def winner(cv: DataFrame) -> DataFrame:

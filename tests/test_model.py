@@ -1,7 +1,8 @@
 """Model invariants: planted signal, determinism, save/load equality."""
 
 import pytest
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
@@ -83,11 +84,81 @@ def test_tune_forest_small_grid(spark, prepared):
     assert max(cvm.avgMetrics) == cvm.avgMetrics[[5, 10].index(best.getNumTrees)]
 
 
+def walk(nodes, x, min_rows):
+    """Class shares of the node of a saved tree where a row ends, with no node of
+    fewer than ``min_rows`` rows split."""
+    node = nodes[0]
+    while node.leftChild >= 0 and node.rawCount >= min_rows:
+        cut = node.split.leftCategoriesOrThreshold[0]
+        node = nodes[node.leftChild if x[node.split.featureIndex] <= cut else node.rightChild]
+    return [s / sum(node.impurityStats) for s in node.impurityStats]
+
+
+@pytest.fixture(scope="module")
+def forest(spark, tmp_path_factory):
+    import random
+    r = random.Random(3)
+    rows = []
+    for _ in range(600):
+        x = [r.random() for _ in range(4)]
+        rows.append((float(x[0] + x[1] * x[2] + r.gauss(0, 0.3) > 0.8), Vectors.dense(x),
+                     1.0 + r.random()))
+    df = spark.createDataFrame(rows, ["label", "features", "w"])
+    model = RandomForestClassifier(numTrees=7, maxDepth=12, weightCol="w", seed=5).fit(df)
+    path = str(tmp_path_factory.mktemp("forest") / "m")
+    model.save(path)
+    trees = {}
+    for row in spark.read.parquet(path + "/data").collect():
+        trees.setdefault(row.treeID, {})[row.nodeData.id] = row.nodeData
+    return df, model, trees
+
+
+@pytest.mark.parametrize("min_rows", [0, 2, 3, 5, 40, 100_000])
+def test_pruned_forest_never_split_small_nodes(spark, forest, min_rows):
+    df, model, trees = forest
+    small = mo.prune(spark, model, min_rows)
+    assert small.getNumTrees == model.getNumTrees and small.numFeatures == model.numFeatures
+    for r in small.transform(df).collect():
+        each = [walk(t, r.features.toArray(), min_rows) for t in trees.values()]
+        want = sum(s[1] for s in each) / sum(map(sum, each))
+        assert abs(r.probability[1] - want) < 1e-12
+    nodes = small.totalNumNodes
+    assert nodes == (model.totalNumNodes if min_rows <= 2 else nodes) <= model.totalNumNodes
+    assert (nodes < model.totalNumNodes) == (min_rows > 2)
+    if min_rows == 100_000:
+        assert nodes == 7  # roots only
+
+
+def test_points_of_one_forest_equal_their_own_fits(forest):
+    df, _, _ = forest
+    train = df.withColumn("fold", F.pmod(F.hash("w"), F.lit(3)))
+    est = RandomForestClassifier(maxDepth=6, seed=2, weightCol="w")
+    maps = [{est.numTrees: n, mo.MIN_SPLIT: b} for n in (2, 4) for b in (2, 30)]
+    cv = mo.cross_validate(train, est, maps, folds=3)
+    for m, got in zip(maps, cv.avgMetrics, strict=True):
+        alone = [mo.auc_evaluator().evaluate(mo.fit_point(
+            est, train.where(F.col("fold") != f), m).transform(train.where(F.col("fold") == f)))
+            for f in range(3)]
+        assert abs(sum(alone) / 3 - got) < 1e-12
+    assert len(set(cv.avgMetrics)) == 4
+
+
+def test_tune_chooses_the_rows_to_split(spark, prepared):
+    best, cvm = mo.tune(prepared, "RandomForest", {"numTrees": [5], mo.MIN_SPLIT: [2, 50]})
+    assert len(cvm.avgMetrics) == 2
+    full = dict(mo.candidates(prepared.n_train))["RandomForest"].setParams(numTrees=5)
+    nodes = full.fit(prepared.train).totalNumNodes
+    assert (best.totalNumNodes < nodes) == (cvm.avgMetrics[1] > cvm.avgMetrics[0])
+
+
 def test_default_grids_match_workflow_sizes(spark, prepared):
     sizes = {name: len(mo.grid_for(name, est, prepared.n_train))
              for name, est in mo.candidates(prepared.n_train)}
-    assert sizes == {"LogisticRegression": 3, "RandomForest": 12,
+    assert sizes == {"LogisticRegression": 3, "RandomForest": 24,
                      "BoostedDepthwise": 18, "BoostedLeafwise": 18}
+    est = dict(mo.candidates(prepared.n_train))["RandomForest"]
+    assert len({tuple(sorted((getattr(k, "name", k), v) for k, v in m.items()))
+                for m in mo.grid_for("RandomForest", est, prepared.n_train)}) == 24
 
 
 def test_train_then_score_in_fresh_session(spark, prepared, tmp_path):

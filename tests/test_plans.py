@@ -34,6 +34,7 @@ def test_every_query_has_oracle_or_is_model_backed():
     q, o = catalog.queries(), oracle.oracle_sql()
     assert set(o) <= set(q) <= set(entry.queries())
     model_backed = {"kmeans_segments", "kmeans_silhouette", "cv_model_comparison", "pca_projection", "feature_selection", "cv_logistic",
+                    "cv_forest_min_split",
                     "tuned_logistic_scores", "coefficients_top", "importance_top",
                     "model_comparison", "score_requests", "bundle_roundtrip", "score_trained"}
     assert set(q) - set(o) == model_backed
