@@ -234,13 +234,25 @@ def one_hot_levels(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, level, slot): sorted levels per column seen in train.
 
     This is the slot layout of ``StringIndexer(stringOrderType='alphabetAsc')``
-    followed by ``OneHotEncoder``; test values outside it get all zeros.
+    followed by ``OneHotEncoder``; test values outside it get all zeros. The levels
+    of all columns are sorted by ranges: a level's slot is its place in its range
+    plus its column's levels in earlier ranges, so no task holds a column's levels.
+    NULL is no level; a column without levels has no rows.
     """
     from .stats import label_counts
-    lv = label_counts(train, cols).select(F.col("name").alias("column_name"),
-                                          F.col("value").alias("level"))
-    w = Window.partitionBy("column_name").orderBy("level")  # per column, over levels
-    return lv.withColumn("slot", F.row_number().over(w) - 1)
+    lv = materialize(
+        label_counts(train, cols).select(F.col("name").alias("column_name"),
+                                         F.col("value").alias("level"))
+        .repartitionByRange("column_name", "level").withColumn("_part", F.spark_partition_id()))
+    sizes = lv.groupBy("column_name", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # a column has a row a range at most
+    earlier = (Window.partitionBy("column_name").orderBy("_part")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("column_name", "_part",
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("column_name", "_part").orderBy("level"))
+    return lv.join(before, ["column_name", "_part"]).select(
+        "column_name", "level", (F.col("_before") + place - 1).cast("int").alias("slot"))
 
 
 # ---------------------------------------------------------------- D7

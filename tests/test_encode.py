@@ -192,3 +192,24 @@ def test_batched_fits_equal_single_fits(spark):
         one = en.fit_group_means(df, gm.group, "v")
         assert sorted(gm.table.collect()) == sorted(one.table.collect())
         assert gm.global_mean == pytest.approx(one.global_mean)
+
+
+def test_one_hot_slots_of_many_levels(spark):
+    """More levels than a range holds: slots are the levels' places, range by range."""
+    levels = [f"v{(i * 7919) % 5000:05d}é" for i in range(5000)]
+    rows = [(x, "only" if i % 3 else None, None) for i, x in enumerate(levels)] * 2
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for values in (("false", "7"), ("true", "8")):
+            for k, v in zip(keys, values, strict=True):
+                spark.conf.set(k, v)
+            got = {(r.column_name, r.level): r.slot
+                   for r in en.one_hot_levels(df, ["a", "b", "c"]).collect()}
+            want = {("a", x): i for i, x in enumerate(sorted(levels))} | {("b", "only"): 0}
+            assert got == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert en.one_hot_levels(df.limit(0), ["a"]).count() == 0
