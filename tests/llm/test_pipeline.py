@@ -77,3 +77,11 @@ def test_odd_rows(spark):
     held(spark, run_stages(spark, cases.documents(spark), SF_SMALL), SF_SMALL)
     for _, after in run_stages(spark, cases.empty(spark), SF_SMALL):
         assert after.count() == 0
+
+
+def test_lines_of_documents_without_a_length(spark):
+    docs = spark.createDataFrame([(1, "one line of text\none line of text", "x"), (2, None, "y")],
+                                 "doc_id long, text string, line_dedup string")
+    got = corpus_pipeline.drop_repeated_lines(spark, docs, SF_SMALL)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "one line of text", "x"), (2, None, "y")]
