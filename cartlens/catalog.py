@@ -575,7 +575,7 @@ def q_coefficients(spark, sf):
 def q_importance_top(spark, sf):
     from .plans import model as mo
     p = model_data(spark, sf)
-    rf = dict(mo.candidates(p.n_train))["RandomForest"].fit(p.train)
+    rf = mo.fit(dict(mo.candidates(p.n_train))["RandomForest"], p.train)
     t = mo.top_importance(rf, [p.names[i] for i in p.keep], 20)
     return t.select("feature", r6("importance").alias("importance"))
 

@@ -14,6 +14,8 @@ CV          5 stratified folds from an exact per-class hash rank; AUC exact
             (``numBins=0``); mean and population std per candidate.
 pruning     the forest's grid varies the rows that a node needs to be split; one
             forest per fold serves all these values (:func:`prune`).
+spread      a fit caches its rows far wider than they are stored, so they are dealt
+            to tasks by the size they have there, not by file size (:func:`fit`).
 
 Data work is distributed; the driver holds only fitted parameters, slot
 names and metric rows.
@@ -47,6 +49,9 @@ from . import training as tr
 SEED = 42
 MIN_IMPORTANCE = 0.01
 FALLBACK_TOP = 20
+#: bytes of a fit's cached rows that a task holds at most, and that are worth a task
+TASK_BYTES, MIN_TASK_BYTES = 128 << 20, 8 << 20
+KEY = "customer_id"
 #: grid key: rows that a forest's node needs to be split (no Spark parameter)
 MIN_SPLIT = "minSamplesSplit"
 
@@ -74,6 +79,37 @@ def slot_names(df: DataFrame, col: str) -> list[str]:
     return [n for _, n in named]
 
 
+# ---------------------------------------------------------------- fits
+def fit_tasks(rows: int, slots: int, trees: int, cores: int) -> int:
+    """Tasks for a fit on so many rows. A cached row has a number a slot, and a forest
+    adds a bootstrap count and a node id a tree."""
+    size = rows * (8 * slots + 8 * trees + 64)
+    return max(-(-size // TASK_BYTES), min(cores, size // MIN_TASK_BYTES), 1)
+
+
+def spread(est, train: DataFrame, at_once: int = 1, key: str = KEY) -> DataFrame:
+    """``train`` dealt to the tasks that the fit needs, by ``key`` and in its order, so
+    that neither files nor arrival decide a bootstrap sample. ``at_once`` fits share the
+    cores. Rows that are worth one task only stay as they are."""
+    first = train.select(est.getFeaturesCol()).first()
+    if first is None:
+        return train
+    trees = est.getNumTrees() if isinstance(est, RandomForestClassifier) else 0
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    n = fit_tasks(train.count(), first[0].size, trees, cores // max(1, at_once))
+    if n == 1:
+        return train
+    if key not in train.columns:
+        return train.repartition(n)
+    return train.repartition(n, key).sortWithinPartitions(key)
+
+
+def fit(est, train: DataFrame, params: dict | None = None, at_once: int = 1):
+    """``est`` with ``params`` fitted on all of ``train``, spread over its tasks."""
+    est = est.copy(params or {})
+    return est.fit(spread(est, train, at_once))
+
+
 # ---------------------------------------------------------------- D7, D8
 def select_features(train: DataFrame, names: list[str], label: str = "label",
                     min_importance: float = MIN_IMPORTANCE, fallback: int | None = FALLBACK_TOP,
@@ -85,7 +121,7 @@ def select_features(train: DataFrame, names: list[str], label: str = "label",
     rf = RandomForestClassifier(featuresCol="raw", labelCol=label, weightCol="w",
                                 numTrees=trees, seed=SEED, maxDepth=15,
                                 cacheNodeIds=True, checkpointInterval=10)
-    imp = rf.fit(weighted).featureImportances.toArray().tolist()
+    imp = fit(rf, weighted).featureImportances.toArray().tolist()
     keep = [i for i, v in enumerate(imp) if v >= min_importance]
     if not keep and fallback:
         keep = sorted(range(len(imp)), key=lambda i: -imp[i])[:fallback]
@@ -180,7 +216,7 @@ def prune(spark: SparkSession, model: RandomForestClassificationModel, min_rows:
 
 def fit_point(est, train: DataFrame, params: dict):
     """The model of one grid point, ``MIN_SPLIT`` included."""
-    model = est.fit(train, {k: v for k, v in params.items() if k != MIN_SPLIT})
+    model = fit(est, train, {k: v for k, v in params.items() if k != MIN_SPLIT})
     return prune(train.sparkSession, model, params[MIN_SPLIT]) if MIN_SPLIT in params else model
 
 
@@ -226,7 +262,7 @@ def cross_validate(train: DataFrame, est, grid=None, folds: int = 5, parallelism
     def run(item):
         """AUC on one fold for every point that shares the fit."""
         fold, shared = item
-        model = est.fit(train.where(F.col("fold") != fold), dict(shared))
+        model = fit(est, train.where(F.col("fold") != fold), dict(shared), parallelism)
         held = train.where(F.col("fold") == fold)
         return {rows: auc_evaluator().evaluate(
             (model if rows is None else prune(train.sparkSession, model, rows))
@@ -422,7 +458,7 @@ def compare_models(md: ModelData, names: list[str] | None = None) -> DataFrame:
 
     def run(item):  # one candidate: fit, score, metrics (independent Spark jobs)
         pos, name, est = item
-        sc = materialize(score(est.fit(md.train), md.test).select("label", "score"))
+        sc = materialize(score(fit(est, md.train, at_once=len(chosen)), md.test).select("label", "score"))
         thr = ev.best_threshold(ev.threshold_sweep(sc)).first()["threshold"]
         at = ev.binary_metrics(sc, threshold=thr).first()
         d = ev.binary_metrics(sc).first()
