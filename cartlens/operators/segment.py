@@ -175,9 +175,19 @@ def _cluster_sums(rows: DataFrame, centers: dict) -> list:
 
     found = rows.select("x").mapInArrow(
         run, "seed int, c int, n long, cost double, x array<double>")
-    return found.groupBy("seed", "c").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
-        F.array(*[F.sum(F.col("x")[i]) for i in range(size)]).alias("x")).collect()
+    # the tasks' shares are added in order of value, not of arrival: the same sums each time
+    shares = found.groupBy("seed", "c").agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("cost", "x"))).alias("s"))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0.0), lambda a, b: a + b)
+
+    def entry(i: int) -> Column:
+        return F.transform("s.x", lambda x: x[i])
+
+    return sorted(shares.select(
+        "seed", "c", "n", total(F.col("s.cost")).alias("cost"),
+        F.array(*[total(entry(i)) for i in range(size)]).alias("x")).collect())
 
 
 def kmeans_best(df: DataFrame, k: int = 5, seed: int = 42, restarts: int = 10,
