@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,25 @@ def test_contingency_of_many_levels_stays_long(spark):
                                  (F.col("id") % 100).cast("string").alias("b"))
     t = st.contingency(df, "a", "b")
     assert t.count() == 150 * 100 and t.agg(F.sum("n")).first()[0] == 300
+
+
+def test_kde_values_are_dealt_over_tasks(spark, tmp_path):
+    """The values of a group stay spread when they meet the grid: they are not broadcast
+    (they were: their table looks smaller to the planner than the groups' own), and the
+    join's key splits a group."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"),
+        (F.pmod(F.xxhash64("id"), F.lit(99991)) / 7).alias("x"), F.lit("text").alias("other"))
+    rows.write.parquet(str(tmp_path / "t"))
+    out = st.kde(spark.read.parquet(str(tmp_path / "t")), "x", "g", grid=20)
+    got = out.orderBy("g", "point").collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin [g" in plan
+    assert "_part" in plan.split("SortMergeJoin [", 1)[1].split("]", 1)[0]
+    for g in "ab":
+        x = np.array([r.x for r in rows.where(F.col("g") == g).collect()])
+        bw = len(x) ** -0.2 * x.std(ddof=1)
+        at = np.linspace(x.min() - 3 * bw, x.max() + 3 * bw, 20)
+        want = np.exp(-0.5 * ((at[:, None] - x) / bw) ** 2).sum(1) / (
+            len(x) * bw * np.sqrt(2 * np.pi))
+        assert np.allclose([r.density for r in got if r.g == g], want, rtol=1e-9)
