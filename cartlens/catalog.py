@@ -411,9 +411,10 @@ def materialize_frame(df):
 Z_COLS = [f"z_{c}" for c in L.SEGMENT_FEATURES]
 
 
-def report_frame(spark, sf):
+def report_frame(spark, sf, eng: DataFrame | None = None):
     """Engineered rows with fixed clusters ``customer_id % 5`` (no fitted model)."""
-    return engineered(spark, sf).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))
+    eng = engineered(spark, sf) if eng is None else eng
+    return eng.withColumn("cluster", (F.col("customer_id") % 5).cast("int"))
 
 
 @query("segment_matrix")
@@ -494,6 +495,19 @@ def q_pca_projection(spark, sf):
 _MODEL_DATA: dict = {}
 
 
+def model_shop(spark, sf):
+    """``shop`` written once per session and data folder: the fits, the segments and
+    the scoring of the model queries all read it."""
+    key = ("shop", spark.sparkContext.applicationId, sf)
+    if key not in _MODEL_DATA:
+        _MODEL_DATA[key] = shop_for_passes(spark, sf)
+    return _MODEL_DATA[key]
+
+
+def model_engineered(spark, sf, state: Prepared | None = None):
+    return prepare(model_shop(spark, sf), state, materialize_input=False)
+
+
 def model_data(spark, sf):
     """Split/encode/select/scale once per session and data folder; the frames
     are materialised in the shared checkpoint folder, so later queries reuse them."""
@@ -501,7 +515,8 @@ def model_data(spark, sf):
     key = (spark.sparkContext.applicationId, sf)  # unique per running context
     if key not in _MODEL_DATA:
         state = Prepared()
-        _MODEL_DATA[key] = mo.prepare_model_data(engineered(spark, sf, state), prep_state=state)
+        _MODEL_DATA[key] = mo.prepare_model_data(
+            model_engineered(spark, sf, state), prep_state=state)
     return _MODEL_DATA[key]
 
 
@@ -652,7 +667,7 @@ def scoring_bundle(spark, sf):
     p, m = tuned_logistic(spark, sf)
     sc = mo.score(m, p.test).select("label", "score")
     thr = ev.best_threshold(ev.threshold_sweep(sc)).first()["threshold"]
-    eng = report_frame(spark, sf)
+    eng = report_frame(spark, sf, model_engineered(spark, sf))
     z, seg_scaler = segment_matrix(eng)
     cents = centroids_of(z, Z_COLS, "cluster")
     return ScoringBundle(m, [p.names[i] for i in p.keep], p.scaler, thr, seg_scaler, cents,
@@ -665,7 +680,7 @@ def q_score_trained(spark, sf):
     from .plans import model as mo
     p, m = tuned_logistic(spark, sf)
     b = scoring_bundle(spark, sf)
-    scored = mo.score(m, mo.transform_new(shop(spark, sf), p))
+    scored = mo.score(m, mo.transform_new(model_shop(spark, sf), p))
     return scored.select("customer_id", r6("score").alias("probability"),
                          (F.col("score") >= F.lit(b.threshold)).alias("subscribes"))
 
@@ -682,7 +697,7 @@ def q_request_features(spark, sf):
 @query("score_requests")
 def q_score_requests(spark, sf):
     from .plans.scoring import score_requests
-    out = score_requests(shop(spark, sf), scoring_bundle(spark, sf))
+    out = score_requests(model_shop(spark, sf), scoring_bundle(spark, sf))
     return out.withColumn("probability", r6("probability"))
 
 
@@ -713,7 +728,7 @@ def q_bundle_roundtrip(spark, sf):
     path = scratch_table(spark, "bundle")
     save_scoring_state(path, p, scoring_bundle(spark, sf))
     md, bundle = load_scoring_state(spark, path)
-    out = score_requests(shop(spark, sf), bundle, "trained", md)
+    out = score_requests(model_shop(spark, sf), bundle, "trained", md)
     return out.select("customer_id", r6("probability").alias("probability"), "subscribes",
                       "segment", "segment_name")
 
