@@ -256,16 +256,32 @@ def one_hot_levels(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D7
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """(label, n, weight) with weight = n_rows / (n_classes * n_class)."""
+#: rows that one task may as well hold
+FEW_ROWS = 10_000
+
+
+def _weights(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     stats = c.agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_k")).first()
-    return c.withColumn("weight", F.lit(float(stats["_rows"])) / (F.lit(stats["_k"]) * F.col("n")))
+    return c.withColumn("weight", F.lit(float(stats["_rows"])) / (F.lit(stats["_k"]) * F.col("n"))
+                        ), stats["_rows"]
+
+
+def balanced_weights(df: DataFrame, label: str) -> DataFrame:
+    """(label, n, weight) with weight = n_rows / (n_classes * n_class)."""
+    return _weights(df, label)[0]
 
 
 def with_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    w = balanced_weights(df, label).select(label, F.col("weight").alias(out))
-    return attach(df, w, {label: F.col(label)})
+    """``df`` with the weight of each row's class.
+
+    The planner cannot tell that the classes are few, so it would shuffle all rows by
+    class, into as many tasks as there are classes. Beyond ``FEW_ROWS`` the weights are
+    written first: their size is known then, and the rows stay where they are.
+    """
+    w, rows = _weights(df, label)
+    w = w.select(label, F.col("weight").alias(out))
+    return attach(df, materialize(w) if rows > FEW_ROWS else w, {label: F.col(label)})
 
 
 # ---------------------------------------------------------------- D9

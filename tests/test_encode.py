@@ -213,3 +213,21 @@ def test_one_hot_slots_of_many_levels(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert en.one_hot_levels(df.limit(0), ["a"]).count() == 0
+
+
+def test_weights_do_not_gather_a_class_in_one_task(spark, tmp_path):
+    """Rows keep their eight parts when written with their class's weight."""
+    df = _frame(spark, 40_000).repartition(8).withColumn("x", F.md5(F.col("customer_id").cast("string")))
+    at = str(tmp_path / "weighted")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # less than the rows
+    try:
+        en.with_weights(df, "subscription_status", "w").write.parquet(at)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = spark.read.parquet(at)
+    per = got.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(per) == 8 and max(r["count"] for r in per) < 40_000 / 4
+    w = {(r.subscription_status, r.w): r["count"]
+         for r in got.groupBy("subscription_status", "w").count().collect()}
+    assert w == {("Yes", 40_000 / (2 * 13_334)): 13_334, ("No", 40_000 / (2 * 26_666)): 26_666}
