@@ -7,6 +7,7 @@ one-hot     StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast): every
             level seen in train keeps a slot; unseen and NULL are all zeros.
 select      a balanced 200-tree forest on unscaled features; slots with
             importance >= 0.01 are kept (top 20 when none qualifies).
+            Rows of several tasks go to :mod:`.forest`, fewer to MLlib's.
 scale       population-std standardisation of the kept slots, fitted on train.
 candidates  logistic regression (C=1 as regParam=1/(C*n)), balanced random
             forest, and two boosted-tree stand-ins (depth-wise / leaf-count).
@@ -43,7 +44,7 @@ from ..operators import encode as en
 from ..operators import evaluate as ev
 from ..operators.ranking import bucket_digits, bucketed_rank, hash_order
 from ..session import materialize, scratch_table
-from . import logistic
+from . import forest, logistic
 from . import training as tr
 
 SEED = 42
@@ -121,7 +122,11 @@ def select_features(train: DataFrame, names: list[str], label: str = "label",
     rf = RandomForestClassifier(featuresCol="raw", labelCol=label, weightCol="w",
                                 numTrees=trees, seed=SEED, maxDepth=15,
                                 cacheNodeIds=True, checkpointInterval=10)
-    imp = fit(rf, weighted).featureImportances.toArray().tolist()
+    dealt = spread(rf, weighted)
+    if dealt is weighted:  # worth one task
+        imp = rf.fit(weighted).featureImportances.toArray().tolist()
+    else:
+        imp = forest.importances(dealt, "raw", label, "w", trees, rf.getMaxDepth(), SEED)
     keep = [i for i, v in enumerate(imp) if v >= min_importance]
     if not keep and fallback:
         keep = sorted(range(len(imp)), key=lambda i: -imp[i])[:fallback]
